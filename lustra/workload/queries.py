@@ -410,7 +410,7 @@ def range_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def drop_low_variance(spark: SparkSession, sf: str) -> DataFrame:
-    return outliers.drop_low_variance(outliers.drop_column(table(spark, sf, "lineitem"), "l_shipdate"), 0.03)
+    return outliers.drop_low_variance(outliers.drop_column(table(spark, sf, "lineitem"), "l_shipdate"), 0.05)
 
 
 # ---------------------------------------------------------------- validation
