@@ -73,8 +73,8 @@ def out_of_range(x: str, spec: CellSpec) -> str:
     return f"coalesce({types.matches(x, shape)} AND ({' OR '.join(limits)}), false)"
 
 
-def cell_issue(x: str, spec: CellSpec) -> str:
-    """Name of the first issue a cell has, null when it has none."""
+def _issue_tests(x: str, spec: CellSpec) -> list[tuple[str, str]]:
+    """Tests and issues of a cell in the order they are tried."""
     checks = {
         "date": (f"NOT {types.matches(x, DATE_SHAPE)}", "wrong_format"),
         "phone": (f"NOT {types.matches(x, PHONE_SHAPE)}", "wrong_format"),
@@ -89,7 +89,16 @@ def cell_issue(x: str, spec: CellSpec) -> str:
         chain.append(checks[spec.kind])
     if spec.kind in ("integer", "money"):
         chain.append((out_of_range(x, spec), "outliers"))
-    return f"CASE {' '.join(f'WHEN {test} THEN {lit(issue)}' for test, issue in chain)} END"
+    return chain
+
+
+def possible_issues(spec: CellSpec) -> list[str]:
+    return [issue for _, issue in _issue_tests("x", spec)]
+
+
+def cell_issue(x: str, spec: CellSpec) -> str:
+    """Name of the first issue a cell has, null when it has none."""
+    return f"CASE {' '.join(f'WHEN {test} THEN {lit(issue)}' for test, issue in _issue_tests(x, spec))} END"
 
 
 def cast_cell(x: str, spec: CellSpec) -> str:

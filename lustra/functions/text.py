@@ -28,6 +28,8 @@ DEPARTMENT_LABELS = {
 # Date layouts tried in this order.
 DATE_FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%d-%m-%Y", "%m/%d/%Y")
 
+ISO_SHAPE = r"\A\d{4}-\d{2}-\d{2}\z"
+
 # Fixed value: addresses that survive the e-mail repair rule (case-insensitive).
 MAILBOX_PATTERN = r"(?iU)\A[\w.+-]+@[\w-]+\.[a-z]{2,}\n?\z"
 
@@ -48,8 +50,8 @@ def normalize_email(x: str) -> str:
     return f"lower({strip(x)})"
 
 
-def title_case(x: str) -> str:
-    """Capital after every character that has no case, lower elsewhere.
+def _marked_title(x: str) -> str:
+    """Title case of any text.
 
     ``initcap`` only starts a word after a space, so a marked space is put before every
     other run of cased letters and taken out again afterwards.
@@ -59,44 +61,72 @@ def title_case(x: str) -> str:
     return f"replace(initcap({split}), {lit(_MARK + ' ')}, '')"
 
 
+def title_case(x: str) -> str:
+    """Capital after every character that has no case, lower elsewhere."""
+    return f"CASE WHEN {x} RLIKE {lit(r'\A[A-Za-z ]*\z')} THEN initcap({x}) ELSE {_marked_title(x)} END"
+
+
 def canonical_label(x: str, labels: Mapping[str, str] = DEPARTMENT_LABELS) -> str:
     """Alias lookup on the stripped lower-case value; title case when unknown."""
+    if not labels:
+        return _marked_title(strip(x))
+    settled = sorted({v for v in labels.values() if labels.get(v.lower()) == v})
     known = f"try_element_at(map({lits(part for pair in labels.items() for part in pair)}), lower({strip(x)}))"
-    return f"coalesce({known}, {title_case(strip(x))})" if labels else title_case(strip(x))
+    looked_up = f"coalesce({known}, {_marked_title(strip(x))})"
+    return f"CASE WHEN {x} IN ({lits(settled)}) THEN {x} ELSE {looked_up} END" if settled else looked_up
 
 
-def _layout(fmt: str) -> tuple[str, str]:
-    """Regex and ISO-order replacement of a ``%Y``/``%m``/``%d`` layout."""
-    widths = {"%Y": r"(\d{4})", "%m": r"(\d{1,2})", "%d": r"(\d{1,2})"}
+_PARTS = {"%Y": r"(\d{4})", "%m": r"(\d{1,2})", "%d": r"(\d{1,2})"}
+
+
+def _layout(fmt: str) -> tuple[str, list[str]]:
+    """Regex of a ``%Y``/``%m``/``%d`` layout and the parts its groups hold."""
     groups, pattern, rest = [], "", fmt
     while rest:
         token = rest[:2]
-        if token in widths:
+        if token in _PARTS:
             groups.append(token)
-            pattern, rest = pattern + widths[token], rest[2:]
+            pattern, rest = pattern + _PARTS[token], rest[2:]
         else:
             pattern, rest = pattern + "\\" + rest[0], rest[1:]
-    order = "-".join(f"${groups.index(t) + 1}" for t in widths)
-    return rf"\A{pattern}\z", order
+    return pattern, groups
 
 
-def parse_date(x: str, fmt: str) -> str:
-    """Date of one layout, null otherwise; the shape test keeps failed parses cheap."""
-    pattern, order = _layout(fmt)
-    iso = f"regexp_replace({x}, {lit(pattern)}, {lit(order)})"
-    return f"CASE WHEN {x} RLIKE {lit(pattern)} THEN try_cast({iso} AS DATE) END"
+def parse_date(x: str, *formats: str) -> str:
+    """Date by the first layout that gives a real one, null otherwise.
+
+    Layouts of different shapes share one regex that also brings the parts into ISO order;
+    testing the shape first keeps failed parses cheap.
+    """
+    batches: list[dict[str, list[str]]] = [{}]
+    for fmt in formats:
+        pattern, groups = _layout(fmt)
+        if pattern in batches[-1]:
+            batches.append({})
+        batches[-1][pattern] = groups
+    tried = []
+    for batch in batches:
+        held = [token for groups in batch.values() for token in groups]
+        iso = "-".join("".join(f"${i + 1}" for i, t in enumerate(held) if t == token) for token in _PARTS)
+        pattern = lit(rf"\A(?:{'|'.join(batch)})\z")
+        tried.append(f"CASE WHEN {x} RLIKE {pattern} THEN try_cast(regexp_replace({x}, {pattern}, {lit(iso)}) AS DATE) END")
+    return f"coalesce({', '.join(tried)})" if len(tried) > 1 else tried[0]
 
 
 def format_date(x: str, formats: Sequence[str] = DATE_FORMATS) -> str:
     """First layout that gives a real date, as ISO text; anything else unchanged."""
-    tried = ", ".join(f"CAST({parse_date(x, fmt)} AS STRING)" for fmt in formats)
-    return f"coalesce({tried}, {x})"
+    first, *rest = formats
+    if first != "%Y-%m-%d" or not rest:
+        return f"coalesce(CAST({parse_date(x, *formats)} AS STRING), {x})"
+    # A full ISO shape comes out as it went in, whether or not it is a real date.
+    parsed = f"coalesce(CAST({parse_date(x, *formats)} AS STRING), {x})"
+    return f"CASE WHEN {x} RLIKE {lit(ISO_SHAPE)} THEN {x} ELSE {parsed} END"
 
 
 def format_phone(x: str) -> str:
     """``ddd-ddd-dddd`` when exactly ten digits are present, else unchanged."""
-    digits = f"regexp_replace({x}, {lit(r'(?U)\D')}, '')"
-    return f"CASE WHEN length({digits}) = 10 THEN regexp_replace({digits}, '(...)(...)(....)', '$1-$2-$3') ELSE {x} END"
+    pattern = r"(?U)\A\D*" + r"(\d)\D*" * 10 + r"\z"
+    return f"regexp_replace({x}, {lit(pattern)}, '$1$2$3-$4$5$6-$7$8$9$10')"
 
 
 def valid_email_or_null(x: str) -> str:

@@ -19,6 +19,8 @@ _NUMBER = r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:inf|in
 NUMBER_PATTERN = rf"\A\s*{_NUMBER}\s*\z"
 FLOAT_WORD_PATTERN = rf"\A\s*(?:{_NUMBER}|[+-]?(?i:nan))\s*\z"
 INTEGER_PATTERN = r"\A[+-]?\d+\z"
+# Whole numbers already written the shortest way.
+PLAIN_PATTERN = r"\A(?:0|-?[1-9]\d{0,14})\z"
 ISO_TIME_PATTERN = r"\A\s*\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})?)?\s*\z"
 
 
@@ -45,7 +47,7 @@ def to_timestamp(x: str, data_type: T.DataType, formats: Sequence[str] | str | N
     if formats is None:
         return f"CASE WHEN {matches(x, ISO_TIME_PATTERN)} THEN try_cast({x} AS TIMESTAMP) END"
     formats = [formats] if isinstance(formats, str) else formats
-    return f"CAST(coalesce({', '.join(text.parse_date(x, fmt) for fmt in formats)}) AS TIMESTAMP)"
+    return f"CAST({text.parse_date(x, *formats)} AS TIMESTAMP)"
 
 
 def to_boolean(x: str, true_words: Iterable[str] = TRUE_WORDS, false_words: Iterable[str] = FALSE_WORDS) -> str:
@@ -55,14 +57,17 @@ def to_boolean(x: str, true_words: Iterable[str] = TRUE_WORDS, false_words: Iter
 
 def integer_text(x: str) -> str:
     """Number truncated toward zero, as text; null when it is not a number."""
-    return f"CAST(try_cast({text_to_number(x)} AS BIGINT) AS STRING)"
+    whole = f"CAST(try_cast({text_to_number(x)} AS BIGINT) AS STRING)"
+    return f"CASE WHEN {matches(x, PLAIN_PATTERN)} THEN {x} ELSE {whole} END"
 
 
 def money_text(x: str) -> str:
     """Number rounded to two places (halves away from zero), shortest text."""
     fixed = f"CAST(try_cast(round({text_to_number(x)}, 2) AS DECIMAL(38,2)) AS STRING)"
-    return f"regexp_replace({fixed}, {lit(r'\.?0+\z')}, '')"
+    short = f"regexp_replace({fixed}, {lit(r'\.?0+\z')}, '')"
+    return f"CASE WHEN {matches(x, PLAIN_PATTERN)} THEN {x} ELSE {short} END"
 
 
 def flag_text(x: str) -> str:
-    return f"CAST({to_boolean(x, SCHEMA_TRUE_WORDS, SCHEMA_FALSE_WORDS)} AS STRING)"
+    word = to_boolean(x, SCHEMA_TRUE_WORDS, SCHEMA_FALSE_WORDS)
+    return f"CASE WHEN {x} IN ('true', 'false') THEN {x} ELSE CAST({word} AS STRING) END"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lustra.functions.columns import as_list, lit, ref
-from lustra.functions.people import CELL_ISSUES, ISSUES, PEOPLE, Spec, cell_issue
+from lustra.functions.people import CELL_ISSUES, ISSUES, PEOPLE, Spec, cell_issue, possible_issues
 from lustra.operators.dedup import count_from_signatures, signatures
 
 
@@ -21,7 +21,8 @@ def detect_issues(df: DataFrame, key: str = "id", spec: Spec = PEOPLE) -> DataFr
     found = df.selectExpr(*[ref(c) for c in spec], *named)
 
     def hits(issue: str) -> str:
-        return " + ".join(f"CAST({ref(f'__i_{c}')} <=> {lit(issue)} AS BIGINT)" for c in spec)
+        able = [c for c, s in spec.items() if issue in possible_issues(s)]
+        return " + ".join(f"CAST({ref(f'__i_{c}')} <=> {lit(issue)} AS BIGINT)" for c in able) or "0"
 
     counted = count_from_signatures(signatures(found, spec, {i: f"sum({hits(i)})" for i in CELL_ISSUES}), key, CELL_ISSUES)
     return counted.selectExpr(*[f"CAST({i} AS BIGINT) AS {i}" for i in ISSUES])

@@ -61,8 +61,9 @@ def _folded(todo: str, cell: str, spec: CellSpec) -> str:
 
 def _representatives(actions: DataFrame, by: Sequence[str], spec: Spec) -> DataFrame:
     """At most one action per group and action type; combines inside tasks first."""
-    outlying = " ".join(f"WHEN column_name = {lit(c)} THEN {out_of_range(cast_cell('new_value', s), s)}" for c, s in spec.items())
-    usable = f"NOT {is_missing('new_value')} AND NOT (action_type = 'fix_outlier' AND CASE {outlying} ELSE false END)"
+    ranged = {c: s for c, s in spec.items() if s.low is not None or s.high is not None}
+    outlying = " OR ".join(f"(column_name = {lit(c)} AND {out_of_range(cast_cell('new_value', s), s)})" for c, s in ranged.items())
+    usable = f"NOT {is_missing('new_value')} AND NOT (action_type = 'fix_outlier' AND ({outlying or 'false'}))"
     known = actions.filter(f"action_type IN ({lits(CELL_ACTIONS)}) AND column_name IN ({lits(spec)})").selectExpr(
         *[ref(c) for c in by], "seq", "action_type", "column_name", "new_value",
         "action_type IN ('fix_missing', 'fix_outlier') AS first",

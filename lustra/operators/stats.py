@@ -5,19 +5,17 @@ Everything returned here is a few numbers per column, whatever the number of row
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil, floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lustra.functions.columns import dtype, is_fractional, is_groupable, lit, lits, number, ref
+from lustra.functions.columns import any_of, dtype, is_fractional, is_groupable, lit, lits, number, ref
 from lustra.functions.frames import fetch
 
-# Values the built-in exact percentile may hold in one task, over all columns of a job.
-PERCENTILE_BUDGET = 4_000_000
-# Values one bracket of the exact search may hold in one task.
+# Values per column an exact ranking may hold in one task.
 BRACKET_LIMIT = 100_000
 # Rank error of the approximate percentile is 1 / SKETCH_ACCURACY of the rows.
 SKETCH_ACCURACY = 10_000
@@ -54,115 +52,151 @@ def quantiles(
     columns: Sequence[str],
     probs: Sequence[float],
     exact: bool = True,
-    budget: int = PERCENTILE_BUDGET,
     bracket: int = BRACKET_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of numeric columns.
 
-    The built-in exact percentile keeps every distinct value in one task, so it is used only
-    while rows x columns stay within ``budget``.  Beyond it the exact order statistics are
-    searched for: a sketch brackets each rank, counts verify the bracket, and the search goes
-    on inside it until few enough values are left to rank exactly.
+    An exact percentile has to hold every distinct value in one task.  So beyond ``bracket``
+    values the wanted order statistics are searched for: a sketch proposes cut points around
+    them, counts between the cuts verify where they lie, and the search goes on there until
+    few enough values are left to rank exactly.  Each round is two scans of the columns and
+    narrows the search by about ``accuracy / 4``; a value held by many rows is a cut itself.
     """
     out: dict[str, list[float | None]] = {}
-    rows = df.count() if exact and columns else 0
-    wanted = f"array({lits(float(p) for p in probs)})"
     for at in range(0, len(columns), _COLUMNS_PER_JOB):
         part = list(columns[at : at + _COLUMNS_PER_JOB])
-        if exact and rows * len(part) > budget:
-            out |= _searched_quantiles(df, part, probs, bracket, accuracy)
-            continue
-        call = "percentile({x}, {p})" if exact else f"percentile_approx({{x}}, {{p}}, {accuracy})"
-        row = fetch(df, {f"q{i}": call.format(x=number(df, c), p=wanted) for i, c in enumerate(part)})
-        out |= {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(part)}
+        out |= _exact(df, part, probs, bracket, accuracy) if exact else _sketched(df, part, probs, accuracy)
     return out
 
 
-@dataclass
-class _Rank:
-    """Search for the value at a zero-based rank inside the open interval (low, high)."""
+def _sketched(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int) -> dict[str, list[float | None]]:
+    wanted = f"array({lits(float(p) for p in probs)})"
+    row = fetch(df, {f"q{i}": f"percentile_approx({number(df, c)}, {wanted}, {accuracy})" for i, c in enumerate(columns)})
+    return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """Open interval of a column holding the wanted zero-based ranks.
+
+    ``below`` values of the column lie before it and ``inside`` values in it.
+    """
 
     column: str
-    rank: int
+    ranks: tuple[int, ...]
     inside: int
+    below: int = 0
     low: float | None = None
     high: float | None = None
-    below: int = 0
-    value: float | None = None
-
-    def narrow(self, left: float, right: float, n: Sequence[int]) -> None:
-        """Move to the piece holding the rank: below left, left, between, right, above."""
-        ends = [(self.low, left), None, (left, right), None, (right, self.high)]
-        at, rest = self.below, self.rank - self.below
-        for piece, size, value in zip(ends, n, (None, left, None, right, None)):
-            if rest < size:
-                if piece is None:
-                    self.value = value
-                else:
-                    (self.low, self.high), self.below, self.inside = piece, at, size
-                return
-            at, rest = at + size, rest - size
-        raise AssertionError("rank outside its bracket")
-
-
-def _searched_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], bracket: int, accuracy: int
+
+    def test(self, x: str) -> str:
+        limits = [f"{x} > {lit(self.low)}"] if self.low is not None else []
+        limits += [f"{x} < {lit(self.high)}"] if self.high is not None else []
+        return " AND ".join(limits)
+
+    def values(self, x: str) -> str:
+        """The column's value where it lies in the interval, null elsewhere."""
+        return f"CASE WHEN {self.test(x)} THEN {x} END" if self.test(x) else x
+
+    def pieces(self, cuts: Sequence[float]) -> list[tuple[float | None, float | None]]:
+        """Intervals and cut points in order: before the first cut, the cut, up to the next, ..."""
+        ends = [self.low, *cuts, self.high]
+        gaps = list(zip(ends, ends[1:]))
+        return [p for gap, cut in zip(gaps, cuts) for p in (gap, (cut, cut))] + [gaps[-1]]
+
+
+def _around(shares: Sequence[float], accuracy: int) -> list[float]:
+    """Shares just before and just after the given ones; neighbours share theirs."""
+    margin = 2.0 / accuracy
+    cuts: list[float] = []
+    for at in sorted(shares):
+        if cuts and at - margin <= cuts[-1]:
+            cuts[-1] = min(1.0, at + margin)
+        else:
+            cuts += [max(0.0, at - margin), min(1.0, at + margin)]
+    return cuts
+
+
+def _within(df: DataFrame, brackets: Sequence[_Bracket], x: Mapping[str, str]) -> DataFrame:
+    """Only rows some bracket looks at; the limits are literals, so scans can skip data."""
+    if any(b.low is None and b.high is None for b in brackets):
+        return df
+    return df.filter(any_of([b.test(x[b.column]) for b in brackets]))
+
+
+def _piece_test(x: str, piece: tuple[float | None, float | None]) -> str:
+    low, high = piece
+    if low is not None and low == high:
+        return f"{x} = {lit(low)}"
+    tests = [f"{x} > {lit(low)}"] if low is not None else []
+    tests += [f"{x} < {lit(high)}"] if high is not None else []
+    return " AND ".join(tests)
+
+
+def _exact(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int, accuracy: int
 ) -> dict[str, list[float | None]]:
-    values = {c: number(df, c) for c in columns}
-    row = fetch(df, {f"n{i}": f"count({values[c]})" for i, c in enumerate(columns)})
-    counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    searches: dict[tuple[str, int], _Rank] = {}
-    for c in columns:
-        for p in probs if counts[c] else ():
-            position = p * (counts[c] - 1)
-            for rank in (floor(position), ceil(position)):
-                searches[c, rank] = _Rank(c, rank, counts[c])
-
-    def inside(s: _Rank) -> str:
-        x = values[s.column]
-        limits = [f"{x} > {lit(s.low)}"] if s.low is not None else []
-        limits += [f"{x} < {lit(s.high)}"] if s.high is not None else []
-        return f"CASE WHEN {' AND '.join(limits)} THEN {x} END" if limits else x
-
-    def unsettled() -> list[_Rank]:
-        return [s for s in searches.values() if s.value is None]
-
-    while wide := [s for s in unsettled() if s.inside > bracket]:
-        margin = 2.0 / accuracy
-        sketches = {}
-        for i, s in enumerate(wide):
-            at = (s.rank - s.below) / s.inside
-            pair = f"array({lits((max(0.0, at - margin), min(1.0, at + margin)))})"
-            sketches[f"b{i}"] = f"percentile_approx({inside(s)}, {pair}, {accuracy})"
-        bounds = fetch(df, sketches)
-        checks = {}
-        for i, s in enumerate(wide):
-            x, (left, right) = inside(s), map(lit, bounds[f"b{i}"])
-            tests = ("{x} < {a}", "{x} = {a}", "{x} > {a} AND {x} < {b}", "{x} = {b} AND {x} > {a}", "{x} > {b}")
-            checks |= {f"c{i}_{j}": f"count_if({t.format(x=x, a=left, b=right)})" for j, t in enumerate(tests)}
-        seen = fetch(df, checks)
-        for i, s in enumerate(wide):
-            s.narrow(*bounds[f"b{i}"], [seen[f"c{i}_{j}"] for j in range(5)])
-
-    if rest := unsettled():
-        picked = {}
-        for i, s in enumerate(rest):
-            q = (s.rank - s.below + 0.5) / s.inside
-            picked[f"v{i}"] = f"percentile_disc({lit(q)}) WITHIN GROUP (ORDER BY {inside(s)})"
-        found = fetch(df, picked)
-        for i, s in enumerate(rest):
-            s.value = found[f"v{i}"]
-
-    out: dict[str, list[float | None]] = {c: [] for c in columns}
-    for c in columns:
-        for p in probs:
-            if not counts[c]:
-                out[c].append(None)
-                continue
-            position = p * (counts[c] - 1)
-            left, right = searches[c, floor(position)].value, searches[c, ceil(position)].value
-            out[c].append(left + (right - left) * (position - floor(position)))
+    x = {c: number(df, c) for c in columns}
+    # The first sketch of the whole columns shares a scan with their counts.
+    shares = f"array({lits(_around(probs, accuracy))})"
+    asked = {f"n{i}": f"count({x[c]})" for i, c in enumerate(columns)}
+    asked |= {f"s{i}": f"percentile_approx({x[c]}, {shares}, {accuracy})" for i, c in enumerate(columns)}
+    row = fetch(df, asked)
+    wanted = {c: [p * (row[f"n{i}"] - 1) for p in probs] for i, c in enumerate(columns) if row[f"n{i}"]}
+    brackets, cuts = [], {}
+    for i, c in enumerate(columns):
+        if c in wanted:
+            ranks = tuple(sorted({f(at) for at in wanted[c] for f in (floor, ceil)}))
+            brackets.append(_Bracket(c, ranks, row[f"n{i}"]))
+            cuts[brackets[-1]] = row[f"s{i}"]
+    value: dict[tuple[str, int], float] = {}
+
+    while wide := [b for b in brackets if b.inside > limit]:
+        if fresh := [b for b in wide if b not in cuts]:
+            parts = [(b, [(rank - b.below) / b.inside for rank in b.ranks]) for b in fresh]
+            sketch = fetch(
+                _within(df, fresh, x),
+                {
+                    f"s{i}": f"percentile_approx({b.values(x[b.column])}, array({lits(_around(at, accuracy))}), {accuracy})"
+                    for i, (b, at) in enumerate(parts)
+                },
+            )
+            cuts |= {b: sketch[f"s{i}"] for i, b in enumerate(fresh)}
+        pieces = {b: b.pieces(sorted(set(cuts[b]))) for b in wide}
+        sizes = fetch(
+            _within(df, wide, x),
+            {
+                f"n{i}_{j}": f"count_if({_piece_test(x[b.column], piece)})"
+                for i, b in enumerate(wide)
+                for j, piece in enumerate(pieces[b])
+            },
+        )
+        brackets = [b for b in brackets if b.inside <= limit]
+        for i, b in enumerate(wide):
+            at = b.below
+            for j, (low, high) in enumerate(pieces[b]):
+                size = sizes[f"n{i}_{j}"]
+                held = tuple(rank for rank in b.ranks if at <= rank < at + size)
+                if held and low is not None and low == high:
+                    value |= {(b.column, rank): low for rank in held}
+                elif held:
+                    brackets.append(_Bracket(b.column, held, size, at, low, high))
+                at += size
+
+    if brackets:
+        picks = {}
+        for i, b in enumerate(brackets):
+            at = f"array({lits((rank - b.below + 0.5) / b.inside for rank in b.ranks)})"
+            picks[f"v{i}"] = f"percentile_disc({at}) WITHIN GROUP (ORDER BY {b.values(x[b.column])})"
+        found = fetch(_within(df, brackets, x), picks)
+        for i, b in enumerate(brackets):
+            value |= {(b.column, rank): v for rank, v in zip(b.ranks, found[f"v{i}"])}
+
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    for c, places in wanted.items():
+        ends = [(value[c, floor(at)], value[c, ceil(at)], at - floor(at)) for at in places]
+        out[c] = [left + (right - left) * part if part else left for left, right, part in ends]
     return out
 
 
