@@ -18,9 +18,11 @@ def _numeric(df: DataFrame, columns: str | list[str]) -> list[str]:
     return [c for c in as_list(columns) if is_numeric(dtype(df, c))]
 
 
-def fit_iqr(df: DataFrame, columns: str | list[str], factor: float = 1.5, exact: bool = True) -> dict[str, tuple[float, float]]:
+def fit_iqr(
+    df: DataFrame, columns: str | list[str], factor: float = 1.5, exact: bool = True, rows: int | None = None
+) -> dict[str, tuple[float, float]]:
     """``q1 - f * iqr`` and ``q3 + f * iqr`` of each numeric column holding values."""
-    found = stats.quantiles(df, _numeric(df, columns), [0.25, 0.75], exact=exact)
+    found = stats.quantiles(df, _numeric(df, columns), [0.25, 0.75], exact=exact, rows=rows)
     return {c: iqr_bounds(q1, q3, factor) for c, (q1, q3) in found.items() if q1 is not None}
 
 

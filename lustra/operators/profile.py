@@ -152,8 +152,9 @@ def _edges(low: float, high: float, bins: int) -> list[float]:
 def _bin_counts(x: str, edges: Sequence[float]) -> list[str]:
     """Values per bin; the last bin is closed."""
     bins = len(edges) - 1
-    at = f"least(width_bucket({x}, {lit(edges[0])}, {lit(edges[-1])}, {bins}), {bins})"
-    return [f"count_if({at} = {b + 1})" for b in range(bins)]
+    at = f"width_bucket({x}, {lit(edges[0])}, {lit(edges[-1])}, {bins})"
+    # The maximum falls into a bin of its own after the last; least() would count nulls there.
+    return [f"count_if({at} {'=' if b < bins else '>='} {b})" for b in range(1, bins + 1)]
 
 
 def histograms(df: DataFrame, columns: Sequence[str] | None = None, bins: int = BINS) -> DataFrame:
@@ -188,38 +189,44 @@ def profile(df: DataFrame, order_by: Sequence[str] | None = None, exact: bool =
     found: dict[str, dict] = {
         c: {"position": i, "column": c, "dtype": dtype(df, c).simpleString()} for i, c in enumerate(df.columns)
     }
-    _scan_counts(df, texts, found)
-    _scan_numbers(df, numeric, exact, found)
+    rows, spread = _scan_counts(df, texts, numeric, found)
+    _scan_numbers(df, spread, rows, exact, found)
     if countable:
         _scan_values(df, countable, texts, exact, found)
     if order_by is not None and countable:
-        for r in sample_values(df, order_by, countable).orderBy("rank").collect():
+        for r in sorted(sample_values(df, order_by, countable).collect(), key=lambda r: r["rank"]):
             found[r["column"]].setdefault("sample_values", []).append(r["value"])
     names = [f.name for f in T.StructType.fromDDL(SCHEMA).fields]
     rows = [tuple(entry.get(name) for name in names) for entry in found.values()]
     return df.sparkSession.createDataFrame(rows, SCHEMA)
 
 
-def _scan_counts(df: DataFrame, texts: Sequence[str], found: dict[str, dict]) -> None:
-    """Nulls of every column and number-like values of text columns."""
-    asked = {f"n{i}": f"count_if({ref(c)} IS NULL)" for i, c in enumerate(df.columns)}
-    asked |= {f"d{i}": f"count_if({types.matches(ref(c), types.NUMBER_PATTERN)})" for i, c in enumerate(texts)}
-    row = fetch(df, {"rows": "count(1)"} | asked)
+def _scan_counts(
+    df: DataFrame, texts: Sequence[str], numeric: Sequence[str], found: dict[str, dict]
+) -> tuple[int, dict[str, stats.Moments]]:
+    """Rows, nulls of every column, number-like values of text columns, moments of numbers."""
+    asked = {"rows": "count(1)"} | {f"null{i}": f"count_if({ref(c)} IS NULL)" for i, c in enumerate(df.columns)}
+    asked |= {f"like{i}": f"count_if({types.matches(ref(c), types.NUMBER_PATTERN)})" for i, c in enumerate(texts)}
+    row = fetch(df, asked | stats.moment_exprs(df, numeric))
+    rows = row["rows"]
     for i, c in enumerate(df.columns):
-        found[c] |= {"null_count": row[f"n{i}"], "null_pct": round(row[f"n{i}"] / max(row["rows"], 1) * 100, 2)}
+        found[c] |= {"null_count": row[f"null{i}"], "null_pct": round(row[f"null{i}"] / max(rows, 1) * 100, 2)}
     for i, c in enumerate(texts):
-        present = row["rows"] - found[c]["null_count"]
-        found[c]["numeric_text_pct"] = round(row[f"d{i}"] / max(present, 1) * 100, 2)
+        present = rows - found[c]["null_count"]
+        found[c]["numeric_text_pct"] = round(row[f"like{i}"] / max(present, 1) * 100, 2)
+    return rows, stats.moments_of(row, numeric)
 
 
 def _tidy_number(x: float | None) -> float | None:
     return round(x, 6) if x is not None and isfinite(x) else None
 
 
-def _scan_numbers(df: DataFrame, numeric: Sequence[str], exact: bool, found: dict[str, dict]) -> None:
-    """Moments and quartiles, then outliers and histogram between the bounds they give."""
-    spread = stats.moments(df, numeric)
-    quartiles = stats.quantiles(df, numeric, [0.25, 0.5, 0.75], exact=exact)
+def _scan_numbers(
+    df: DataFrame, spread: Mapping[str, stats.Moments], rows: int, exact: bool, found: dict[str, dict]
+) -> None:
+    """Quartiles, then outliers and histogram between the bounds they give."""
+    numeric = list(spread)
+    quartiles = stats.quantiles(df, numeric, [0.25, 0.5, 0.75], exact=exact, rows=rows)
     asked, edges = {}, {}
     for i, c in enumerate(numeric):
         m, (q1, q2, q3) = spread[c], quartiles[c]
@@ -257,7 +264,7 @@ def _scan_values(
         if same[0] in texts:
             parts.append(_ranked(counts, TOP))
     if parts:
-        for r in reduce(DataFrame.unionByName, parts).orderBy("column", "rank").collect():
+        for r in sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: r["rank"]):
             if r["rank"] == 0:
                 found[r["column"]]["unique_count"] = r["n"]
             else:

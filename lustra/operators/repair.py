@@ -90,7 +90,10 @@ def apply_repairs(
     spec: Spec = PEOPLE,
     key: str = "id",
 ) -> DataFrame:
-    """Apply the action table; all joins are on the unique row id."""
+    """Apply the action table; all joins are on the unique row id.
+
+    The actions are read three times, so a computed action table is best staged first.
+    """
     row_id = as_list(row_id)
 
     # Bounded by columns x action types, so it can be turned into literals.

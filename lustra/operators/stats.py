@@ -9,7 +9,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lustra.functions.columns import any_of, dtype, is_fractional, is_groupable, lit, lits, number, ref
@@ -37,14 +37,20 @@ def null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     return row["rows"], {c: row[f"n{i}"] for i, c in enumerate(df.columns)}
 
 
+_MOMENTS = ("count", "avg", "stddev_samp", "min", "max")
+
+
+def moment_exprs(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    return {f"{f}{i}": f"{f}({number(df, c)})" for i, c in enumerate(columns) for f in _MOMENTS}
+
+
+def moments_of(row: Row, columns: Sequence[str]) -> dict[str, Moments]:
+    return {c: Moments(*[row[f"{f}{i}"] for f in _MOMENTS]) for i, c in enumerate(columns)}
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
     """Count, mean, sample deviation, minimum and maximum of numeric columns."""
-    if not columns:
-        return {}
-    functions = ("count", "avg", "stddev_samp", "min", "max")
-    asked = {f"{f}{i}": f"{f}({number(df, c)})" for i, c in enumerate(columns) for f in functions}
-    row = fetch(df, asked)
-    return {c: Moments(*[row[f"{f}{i}"] for f in functions]) for i, c in enumerate(columns)}
+    return moments_of(fetch(df, moment_exprs(df, columns)), columns) if columns else {}
 
 
 def quantiles(
@@ -54,6 +60,7 @@ def quantiles(
     exact: bool = True,
     bracket: int = BRACKET_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
+    rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of numeric columns.
 
@@ -62,18 +69,24 @@ def quantiles(
     them, counts between the cuts verify where they lie, and the search goes on there until
     few enough values are left to rank exactly.  Each round is two scans of the columns and
     narrows the search by about ``accuracy / 4``; a value held by many rows is a cut itself.
+    A caller who knows the number of ``rows`` to be small saves the counting.
     """
+    wanted = f"array({lits(float(p) for p in probs)})"
     out: dict[str, list[float | None]] = {}
     for at in range(0, len(columns), _COLUMNS_PER_JOB):
         part = list(columns[at : at + _COLUMNS_PER_JOB])
-        out |= _exact(df, part, probs, bracket, accuracy) if exact else _sketched(df, part, probs, accuracy)
+        if not exact:
+            out |= _called(df, part, f"percentile_approx({{x}}, {wanted}, {accuracy})", len(probs))
+        elif rows is not None and rows <= bracket:
+            out |= _called(df, part, f"percentile({{x}}, {wanted})", len(probs))
+        else:
+            out |= _exact(df, part, probs, bracket, accuracy)
     return out
 
 
-def _sketched(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int) -> dict[str, list[float | None]]:
-    wanted = f"array({lits(float(p) for p in probs)})"
-    row = fetch(df, {f"q{i}": f"percentile_approx({number(df, c)}, {wanted}, {accuracy})" for i, c in enumerate(columns)})
-    return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+def _called(df: DataFrame, columns: Sequence[str], call: str, width: int) -> dict[str, list[float | None]]:
+    row = fetch(df, {f"q{i}": call.format(x=number(df, c)) for i, c in enumerate(columns)})
+    return {c: list(row[f"q{i}"] or [None] * width) for i, c in enumerate(columns)}
 
 
 @dataclass(frozen=True)

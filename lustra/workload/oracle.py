@@ -140,7 +140,7 @@ def bins(source: str, c: str) -> str:
     """Ten counts between minimum and maximum, one row per bin."""
     return f"""SELECT '{c}' AS "column", CAST(b + 1 AS INT) AS bin, round(lo + (hi - lo) * b / 10, 4) AS low,
       round(CASE WHEN b = 9 THEN hi ELSE lo + (hi - lo) * (b + 1) / 10 END, 4) AS high,
-      (SELECT count(*) FROM {source} WHERE least(floor(10 * ({c} - lo) / (hi - lo)), 9) = b) AS n
+      (SELECT count(*) FROM {source} WHERE {c} IS NOT NULL AND least(floor(10 * ({c} - lo) / (hi - lo)), 9) = b) AS n
       FROM (SELECT min({c}) AS lo, max({c}) AS hi FROM {source}), range(10) AS r(b)"""
 
 

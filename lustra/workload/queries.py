@@ -12,7 +12,7 @@ from lustra.functions import text
 from lustra.operators import casting, dedup, issues, missing, outliers, profile, repair, score, textual, validate
 from lustra.plans import advice
 from lustra.plans.clean import clean, job_summary
-from lustra.session import new_shared_path
+from lustra.session import new_shared_path, stage
 from lustra.sources import people as generated
 from lustra.sources import readers, writers
 from lustra.streaming import clean_stream as streaming
@@ -469,10 +469,14 @@ def propose_repairs(spark: SparkSession, sf: str) -> DataFrame:
     return repair.propose_repairs(people(spark, sf), ROW)
 
 
+def _proposed(spark: SparkSession, sf: str) -> DataFrame:
+    """The proposed actions as a table, because applying reads them several times."""
+    return stage(repair.propose_repairs(people(spark, sf), ROW), "actions")
+
+
 @query
 def apply_repairs(spark: SparkSession, sf: str) -> DataFrame:
-    dirty = people(spark, sf)
-    return repair.apply_repairs(dirty, repair.propose_repairs(dirty, ROW), ROW)
+    return repair.apply_repairs(people(spark, sf), _proposed(spark, sf), ROW)
 
 
 # Which action clears which issue when the right value is known.
@@ -503,7 +507,7 @@ def _truth_actions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def apply_known_values(spark: SparkSession, sf: str) -> DataFrame:
-    return repair.apply_repairs(people(spark, sf), _truth_actions(spark, sf), ROW)
+    return repair.apply_repairs(people(spark, sf), stage(_truth_actions(spark, sf), "actions"), ROW)
 
 
 @query
@@ -526,7 +530,7 @@ def apply_column_repairs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def repair_audit(spark: SparkSession, sf: str) -> DataFrame:
     dirty = people(spark, sf)
-    actions = repair.propose_repairs(dirty, ROW)
+    actions = _proposed(spark, sf)
     after = repair.apply_repairs(dirty, actions, ROW)
     return repair.repair_audit(dirty, after, actions, ROW, truth=people_truth(spark, sf)).drop("reason")
 
@@ -562,7 +566,8 @@ def match_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, sf: str) -> DataFrame:
-    return apply_repairs(spark, sf)
+    """The repaired table, staged because it is counted and scored."""
+    return stage(apply_repairs(spark, sf), "repaired")
 
 
 @query
