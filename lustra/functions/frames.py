@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lustra.functions.columns import ref
 
+# Keeps the generated code of one aggregation within what the JVM compiles.
+AGGREGATES_PER_JOB = 256
+
 
 def with_exprs(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
     """Replace or add columns; all expressions see the input row."""
@@ -25,9 +28,16 @@ def aggregate_by(df: DataFrame, keys: Sequence[str], exprs: Mapping[str, str]) -
     return df.groupBy(*[F.expr(ref(k)) for k in keys]).agg(*[F.expr(f"{text} AS {ref(name)}") for name, text in exprs.items()])
 
 
-def fetch(df: DataFrame, exprs: Mapping[str, str]) -> Row:
-    """Run one aggregation job and return its only row."""
-    return aggregate(df, exprs).first()
+def fetch(df: DataFrame, exprs: Mapping[str, str]) -> dict[str, object]:
+    """The named aggregates of the whole table.
+
+    Very wide tables take one scan per ``AGGREGATES_PER_JOB``, each reading its columns only.
+    """
+    names, out = list(exprs), {}
+    for at in range(0, len(names), AGGREGATES_PER_JOB):
+        part = {name: exprs[name] for name in names[at : at + AGGREGATES_PER_JOB]}
+        out |= aggregate(df, part).first().asDict(recursive=False)
+    return out
 
 
 def pick(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -84,26 +84,44 @@ def count_near_duplicates(df: DataFrame, key: str = "id", spec: Spec = PEOPLE) -
     return duplicate_counts(df, key, spec).select("near_duplicates")
 
 
-def _flag(df: DataFrame, group: Sequence[str], row_id: Sequence[str], name: str) -> DataFrame:
-    """Flag rows that are not alone in their group, joining on the row id."""
+def flag_rows(df: DataFrame, row_id: str | list[str], groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Add one flag per named grouping: true where the row is not alone in its group.
+
+    Rows alone in their group are found with partial aggregation and joined on the row id, so
+    a group of any size stays spread; all flags share the shuffle of the rows by their id.
+    """
+    row_id = as_list(row_id)
     ids = [F.expr(f"min({ref(c)}) AS {ref(c)}") for c in row_id]
-    groups = df.groupBy(*[F.expr(f"{g} AS __g{i}") for i, g in enumerate(group)]).agg(F.expr("count(1) AS __n"), *ids)
-    alone = groups.filter("__n = 1").selectExpr(*[ref(c) for c in row_id], "true AS __alone")
-    return df.join(alone, list(row_id), "left").withColumn(name, F.expr("__alone IS NULL")).drop("__alone")
+    out = df
+    for name, group in groups.items():
+        keys = [F.expr(f"{g} AS __g{i}") for i, g in enumerate(group)]
+        counted = df.groupBy(*keys).agg(F.expr("count(1) AS __n"), *ids).filter("__n = 1")
+        alone = counted.selectExpr(*[ref(c) for c in row_id], "true AS __alone")
+        out = out.join(alone, row_id, "left").withColumn(name, F.expr("__alone IS NULL")).drop("__alone")
+    return out
+
+
+def _signature(spec: Spec) -> list[str]:
+    return [normal_cell(ref(c), s) for c, s in spec.items()]
 
 
 def flag_duplicate_rows(
     df: DataFrame, row_id: str | list[str], spec: Spec = PEOPLE, name: str = "is_duplicate"
 ) -> DataFrame:
     """Flag rows whose normalised form occurs more than once."""
-    return _flag(df, [normal_cell(ref(c), s) for c, s in spec.items()], as_list(row_id), name)
+    return flag_rows(df, row_id, {name: _signature(spec)})
 
 
 def flag_near_duplicate_rows(
     df: DataFrame, row_id: str | list[str], key: str = "id", name: str = "is_near_duplicate"
 ) -> DataFrame:
     """Flag rows whose key occurs more than once."""
-    return _flag(df, [ref(key)], as_list(row_id), name)
+    return flag_rows(df, row_id, {name: [ref(key)]})
+
+
+def flag_duplicates(df: DataFrame, row_id: str | list[str], key: str = "id", spec: Spec = PEOPLE) -> DataFrame:
+    """Both flags at once."""
+    return flag_rows(df, row_id, {"is_duplicate": _signature(spec), "is_near_duplicate": [ref(key)]})
 
 
 def later_copies(df: DataFrame, row_id: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:

@@ -43,20 +43,26 @@ def _compared(left: DataFrame, right: DataFrame, columns: Sequence[str], keys: S
 
 
 def cell_match_ratio(
-    df: DataFrame, truth: DataFrame, columns: Sequence[str] | None = None, sort_key: Sequence[str] = SORT_KEY
+    df: DataFrame,
+    truth: DataFrame,
+    columns: Sequence[str] | None = None,
+    sort_key: Sequence[str] = SORT_KEY,
+    row_id: Sequence[str] = (),
 ) -> DataFrame:
     """One row ``(matches, cells, ratio)`` comparing both tables by sorted position.
 
-    Rows equal in the sort key are ordered by their other columns, which also lets the range
-    sort split a key that holds many rows.  A cell absent on one side equals null.
+    Rows equal in the sort key are ordered by their other columns, so the range sort can
+    split a key that holds many rows; ``row_id`` (columns of ``df``) lets it also split one
+    row that occurs very often.  A cell absent on one side equals null.
     """
     columns = list(truth.columns) if columns is None else list(columns)
     order = [f"coalesce(CAST({ref(c)} AS STRING), 'None')" for c in sort_key if c in columns] + [ref(c) for c in columns]
 
-    def ranked(side: DataFrame) -> DataFrame:
-        return number_rows(pick(side, columns), order, "__at")
+    def ranked(side: DataFrame, ids: Sequence[str]) -> DataFrame:
+        kept = pick(side, [*columns, *[c for c in ids if c not in columns]])
+        return number_rows(kept, order + [ref(c) for c in ids], "__at")
 
-    return _ratio(_compared(ranked(df), ranked(truth), columns, ["__at"]), len(columns))
+    return _ratio(_compared(ranked(df, row_id), ranked(truth, ()), columns, ["__at"]), len(columns))
 
 
 def cell_match_by_key(
@@ -76,9 +82,11 @@ def cell_match_by_key(
     return _ratio(found.drop("l").crossJoin(F.broadcast(aggregate(df, {"l": "count(1)"}))), len(columns))
 
 
-def dataset_match_score(df: DataFrame, truth: DataFrame, spec: Spec = PEOPLE) -> DataFrame:
+def dataset_match_score(
+    df: DataFrame, truth: DataFrame, spec: Spec = PEOPLE, row_id: Sequence[str] = ()
+) -> DataFrame:
     """Positional match of the normalised tables over the specified columns."""
-    return cell_match_ratio(normalized_row(df, spec), normalized_row(truth, spec), list(spec))
+    return cell_match_ratio(normalized_row(df, spec), normalized_row(truth, spec), list(spec), row_id=row_id)
 
 
 def issues_fixed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lustra.functions.columns import any_of, dtype, is_fractional, is_groupable, lit, lits, number, ref
@@ -44,7 +44,7 @@ def moment_exprs(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return {f"{f}{i}": f"{f}({number(df, c)})" for i, c in enumerate(columns) for f in _MOMENTS}
 
 
-def moments_of(row: Row, columns: Sequence[str]) -> dict[str, Moments]:
+def moments_of(row: Mapping[str, object], columns: Sequence[str]) -> dict[str, Moments]:
     return {c: Moments(*[row[f"{f}{i}"] for f in _MOMENTS]) for i, c in enumerate(columns)}
 
 

@@ -244,30 +244,39 @@ ORACLE["profile_summary"] = union(
 
 def _diff_row(c: str, numeric: bool, kept: bool) -> str:
     def side(source: str, mark: str) -> str:
-        numbers = f"round(avg({c}), 4), round(stddev_samp({c}), 4), round(min({c}), 4), round(max({c}), 4)"
+        numbers = f"round(avg({c}), 6), round(stddev_samp({c}), 6), round(min({c}), 6), round(max({c}), 6)"
         outliers = f"(SELECT outlier_count_iqr FROM ({number_row(source, c)}))"
         if not numeric:
             numbers, outliers = "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE", "NULL::BIGINT"
         return f"""(SELECT '{'double' if numeric else 'string'}', count(*) - count({c}), count(DISTINCT {c}), {numbers}, {outliers}
           FROM {source}) AS {mark}(dtype_{mark}, {', '.join(f'{f}_{mark}' for f in _DIFF)})"""
 
+    shown = ", ".join(f"{r(f, f'{f}_before')} AS {f}_before" for f in _DIFF)
     if kept:
-        change = ", ".join(f"{r(f, f'{f}_after - {f}_before')} AS {f}_change" for f in _DIFF)
-        return f"""SELECT '{c}' AS "column", *, 'kept' AS status, {change} FROM {side('first', 'before')}, {side('second', 'after')}"""
-    gone = ", ".join(f"NULL AS {f}_after" for f in ("dtype", *_DIFF))
-    change = ", ".join(f"NULL AS {f}_change" for f in _DIFF)
-    return f"""SELECT '{c}' AS "column", *, {gone}, 'dropped' AS status, {change} FROM {side('first', 'before')}"""
+        shown += "".join(f", {r(f, f'{f}_after')} AS {f}_after, {r(f, f'{f}_after - {f}_before')} AS {f}_change" for f in _DIFF)
+        return f"""SELECT '{c}' AS "column", dtype_before, dtype_after, 'kept' AS status, {shown}
+          FROM {side('first', 'before')}, {side('second', 'after')}"""
+    shown += "".join(f", NULL AS {f}_after, NULL AS {f}_change" for f in _DIFF)
+    return f"""SELECT '{c}' AS "column", dtype_before, NULL AS dtype_after, 'dropped' AS status, {shown} FROM {side('first', 'before')}"""
 
 
 _DIFF = ("null_count", "unique_count", "mean", "std", "min", "max", "outlier_count_iqr")
 
 
+_DIFF_COLUMNS = ", ".join(
+    ['"column"', "dtype_before", "dtype_after", "status", *[f"{f}_{mark}" for f in _DIFF for mark in ("before", "after", "change")]]
+)
+
+
 def r(field: str, x: str) -> str:
     return f"round({x}, 4)" if field in ("mean", "std", "min", "max") else x
 
 
 ORACLE["profile_diff"] = with_people(
-    union([_diff_row("age", True, True), _diff_row("salary", True, False), _diff_row("department", False, True)]),
+    union(
+        f"SELECT {_DIFF_COLUMNS} FROM ({_diff_row(c, numeric, kept)})"
+        for c, numeric, kept in (("age", True, True), ("salary", True, False), ("department", False, True))
+    ),
     "first AS (SELECT age, salary, department FROM typed)",
     f"second AS (SELECT coalesce(age, (SELECT quantile_cont(age, 0.5) FROM typed)) AS age, {label('department')} AS department FROM typed)",
 )
@@ -665,7 +674,7 @@ ORACLE["clean_events"] = """WITH t AS (SELECT event_id, CASE WHEN event_id % 7 <
   q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM d)
   SELECT event_id, round(value, 4) AS value, event_type, user_id FROM d, q
   WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"""
-ORACLE["job_report"] = with_people(
+ORACLE["job_summary"] = with_people(
     f"""SELECT (SELECT count(*) FROM loaded) AS original_rows, count(*) FILTER (WHERE age <= 45) AS cleaned_rows,
       (SELECT count(*) FROM loaded) - count(*) FILTER (WHERE age <= 45) AS rows_removed,
       CAST({len(_STEPS)} AS BIGINT) AS cleaning_steps, count(*) FILTER (WHERE age IS NULL OR age > 45) AS validation_errors FROM cleaned""",

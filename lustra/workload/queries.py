@@ -11,7 +11,8 @@ from lustra.functions import people as cells
 from lustra.functions import text
 from lustra.operators import casting, dedup, issues, missing, outliers, profile, repair, score, textual, validate
 from lustra.plans import advice
-from lustra.plans.clean import clean, job_summary
+from lustra.plans import clean as runs
+from lustra.plans.clean import clean
 from lustra.session import new_shared_path, stage
 from lustra.sources import people as generated
 from lustra.sources import readers, writers
@@ -260,8 +261,7 @@ def dup_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dup_flags(spark: SparkSession, sf: str) -> DataFrame:
-    flagged = dedup.flag_near_duplicate_rows(dedup.flag_duplicate_rows(people(spark, sf), ROW), ROW)
-    return flagged.select(*ROW, "is_duplicate", "is_near_duplicate")
+    return dedup.flag_duplicates(people(spark, sf), ROW).select(*ROW, "is_duplicate", "is_near_duplicate")
 
 
 @query
@@ -551,7 +551,7 @@ def table_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cell_match(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(score.cell_match_ratio(people(spark, sf), people_truth(spark, sf), CELLS), "ratio", places=8)
+    return rounded(score.cell_match_ratio(people(spark, sf), people_truth(spark, sf), CELLS, row_id=ROW), "ratio", places=8)
 
 
 @query
@@ -562,7 +562,7 @@ def cell_match_keyed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def match_score(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(score.dataset_match_score(people(spark, sf), people_truth(spark, sf)), "ratio", places=8)
+    return rounded(score.dataset_match_score(people(spark, sf), people_truth(spark, sf), row_id=ROW), "ratio", places=8)
 
 
 def _repaired(spark: SparkSession, sf: str) -> DataFrame:
@@ -578,7 +578,7 @@ def issues_fixed(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def grades(spark: SparkSession, sf: str) -> DataFrame:
     after = _repaired(spark, sf)
-    match = score.cell_match_ratio(after, people_truth(spark, sf), CELLS)
+    match = score.cell_match_ratio(after, people_truth(spark, sf), CELLS, row_id=ROW)
     found = score.grades(issues.detect_issues(people(spark, sf)), issues.detect_issues(after), match, 10, 80, 1)
     return rounded(found, "easy", "medium", "hard", places=8)
 
@@ -650,11 +650,11 @@ def clean_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def job_report(spark: SparkSession, sf: str) -> DataFrame:
+def job_summary(spark: SparkSession, sf: str) -> DataFrame:
     raw = _as_loaded(spark, sf)
     cleaned, audit = clean(raw)
     rules = {"columns": {"age": {"required": True, "max": 45}}}
-    return job_summary(raw, validate.valid_rows(cleaned, rules), audit, validate.validation_errors(cleaned, rules))
+    return runs.job_summary(raw, validate.valid_rows(cleaned, rules), audit, validate.validation_errors(cleaned, rules))
 
 
 # ---------------------------------------------------------------- generated tables

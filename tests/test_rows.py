@@ -77,6 +77,8 @@ def test_flags_and_copies(hot):
     whole, keys = Counter(r[1:] for r in data), Counter(r[1] for r in data)
     flagged = dedup.flag_near_duplicate_rows(df, "i", "key")
     assert {r["i"]: r["is_near_duplicate"] for r in flagged.collect()} == {r[0]: keys[r[1]] > 1 for r in data}
+    plain = dedup.flag_rows(df, "i", {"same": ["key", "a", "b"], "near": ["key"]})
+    assert {r["i"]: (r["same"], r["near"]) for r in plain.collect()} == {r[0]: (whole[r[1:]] > 1, keys[r[1]] > 1) for r in data}
     seen, later = set(), set()
     for r in data:
         (later.add(r[0]) if r[1:] in seen else seen.add(r[1:]))
