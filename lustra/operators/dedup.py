@@ -124,12 +124,20 @@ def flag_duplicates(df: DataFrame, row_id: str | list[str], key: str = "id", spe
     return flag_rows(df, row_id, {"is_duplicate": _signature(spec), "is_near_duplicate": [ref(key)]})
 
 
+def first_rows(
+    df: DataFrame, row_id: str | list[str], columns: Sequence[str], carry: Sequence[str] = ()
+) -> DataFrame:
+    """Row ids of the first of each set of identical raw rows, with the ``carry`` columns."""
+    row_id = as_list(row_id)
+    if len(row_id) == 1:
+        groups, ids = aggregate_by(df, columns, {"__first": f"min({ref(row_id[0])})"}), f"__first AS {ref(row_id[0])}"
+    else:
+        groups, ids = aggregate_by(df, columns, {"__first": f"min(struct({refs(row_id)}))"}), "__first.*"
+    return groups.selectExpr(ids, *[ref(c) for c in carry])
+
+
 def later_copies(df: DataFrame, row_id: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Row ids of every copy of an identical raw row after the first by row id."""
     row_id = as_list(row_id)
     columns = [c for c in df.columns if c not in row_id] if columns is None else list(columns)
-    if len(row_id) == 1:
-        firsts = aggregate_by(df, columns, {row_id[0]: f"min({ref(row_id[0])})"}).selectExpr(ref(row_id[0]))
-    else:
-        firsts = aggregate_by(df, columns, {"__first": f"min(struct({refs(row_id)}))"}).selectExpr("__first.*")
-    return pick(df, row_id).join(firsts, row_id, "left_anti")
+    return pick(df, row_id).join(first_rows(df, row_id, columns), row_id, "left_anti")

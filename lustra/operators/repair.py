@@ -32,7 +32,8 @@ from lustra.functions.people import (
     out_of_range,
 )
 from lustra.operators import missing, stats
-from lustra.operators.dedup import later_copies
+from lustra.operators.dedup import first_rows, later_copies
+from lustra.session import stage
 
 # Action names, and the issues each of them is meant to clear.
 CELL_ACTIONS = ("fix_missing", "fix_format", "fix_type", "fix_outlier")
@@ -139,6 +140,11 @@ def _named_cell(prefix: str, spec: Spec, build: Callable[[str, CellSpec], str])
     return f"CASE column_name {cases} END"
 
 
+def _cases(spec: Spec, build: Callable[[str, CellSpec], str]) -> str:
+    """A rule of the column an action names, over ``x``."""
+    return f"CASE column_name {' '.join(f'WHEN {lit(c)} THEN {build("x", s)}' for c, s in spec.items())} END"
+
+
 def repair_audit(
     before: DataFrame,
     after: DataFrame,
@@ -163,28 +169,28 @@ def repair_audit(
         return df.selectExpr(*ids, *[f"{ref(c)} AS {ref(mark + c)}" for c in spec], f"true AS {mark}")
 
     joined = single.join(side(before, "__b_"), row_id, "left").join(side(after, "__c_"), row_id, "left")
-    lost = "false"
     if truth is not None:
         true = truth.selectExpr(*[f"{ref(c)} AS {ref('__t_' + c)}" for c in spec])
         joined = joined.join(true, F.expr(f"{ref('__b_' + key)} = {ref('__t_' + key)}"), "left")
-        was, now, right = (_named_cell(mark, spec, normal_cell) for mark in ("__b_", "__c_", "__t_"))
-        lost = f"({was} <=> {right}) AND NOT ({now} <=> {right})"
+    true_value = "CAST(NULL AS STRING)" if truth is None else _named_cell("__t_", spec, lambda c, s: c)
 
     cleared = " ".join(
-        f"WHEN {lit(kind)} THEN issue_before IN ({lits(issues)}) AND NOT coalesce(issue_after IN ({lits(issues)}), false)"
+        f"WHEN {lit(kind)} THEN __cells[0].issue IN ({lits(issues)}) AND NOT coalesce(__cells[1].issue IN ({lits(issues)}), false)"
         for kind, issues in CLEARS.items()
     )
-    looked = with_exprs(
+    named = with_exprs(
         joined,
         {
             "value_before": _named_cell("__b_", spec, lambda c, s: c),
             "value_after": _named_cell("__c_", spec, lambda c, s: c),
-            "issue_before": _named_cell("__b_", spec, cell_issue),
-            "issue_after": _named_cell("__c_", spec, cell_issue),
+            "value_true": true_value,
             "__gone": "__b_ IS NOT NULL AND __c_ IS NULL",
-            "__lost": lost,
         },
     )
+    # Issue and comparable form of the cell before, after and in truth, by its column's rules.
+    judge = f"struct({_cases(spec, cell_issue)} AS issue, {_cases(spec, normal_cell)} AS normal)"
+    looked = with_exprs(named, {"__cells": f"transform(array(value_before, value_after, value_true), x -> {judge})"})
+    lost = "__cells[0].normal <=> __cells[2].normal AND NOT (__cells[1].normal <=> __cells[2].normal)"
     changed = "__b_ IS NOT NULL AND __c_ IS NOT NULL AND NOT (value_before <=> value_after)"
     kinds = f"action_type IN ({lits(CELL_ACTIONS)})"
     judged = with_exprs(
@@ -194,7 +200,8 @@ def repair_audit(
             "correct": f"CASE WHEN action_type = 'remove_duplicate' THEN __gone ELSE {changed} AND coalesce(CASE action_type {cleared} END, false) END",
         },
     )
-    destructive = f"{kinds} AND valid AND NOT correct AND __lost AS destructive"
+    known = "false" if truth is None else "true"
+    destructive = f"{kinds} AND valid AND NOT correct AND {known} AND {lost} AS destructive"
     return judged.selectExpr(*[ref(c) for c in single.columns], "value_before", "value_after", "valid", "correct", destructive)
 
 
@@ -208,28 +215,33 @@ def median_of_readable(df: DataFrame, column: str, spec: CellSpec) -> float | No
 def propose_repairs(df: DataFrame, row_id: str | list[str], spec: Spec = PEOPLE) -> DataFrame:
     """Rule-based action table: later exact copies, missing ages, missing e-mails, slash dates.
 
-    Copies are removed first, so the other rules look at the remaining rows only.
+    Copies are removed first, so the other rules look at the remaining rows only.  The first
+    rows are staged: finding them is the one shuffle of whole rows.
     """
     row_id = as_list(row_id)
-    copies = later_copies(df, row_id, list(spec))
-    median = median_of_readable(pick(df, list(spec)).dropDuplicates(), "age", spec["age"])
+    firsts = stage(first_rows(df, row_id, list(spec), carry=["age"]), "firsts")
+    median = median_of_readable(firsts, "age", spec["age"])
     age = DEFAULT_AGE if median is None else int(median)
     iso = text.parse_date("hire_date", "%Y/%m/%d")
 
-    def action(seq: int, kind: str, column: str, value: str, reason: str, when: str = "true") -> str:
+    def action(seq: int, kind: str, column: str, value: str, reason: str, when: str) -> str:
         fields = f"{seq}L AS seq, {lit(kind)} AS action_type, {lit(column)} AS column_name"
         return f"CASE WHEN {when} THEN struct({fields}, CAST({value} AS STRING) AS new_value, {lit(reason)} AS reason) END"
 
+    first = "__first IS NOT NULL"
     found = (
-        action(2, "fix_missing", "age", lit(str(age)), "median age", is_missing("age")),
-        action(3, "fix_missing", "email", text.derive_email("coalesce(name, 'None')"), "derived from the name", is_missing("email")),
-        action(4, "fix_format", "hire_date", iso, "ISO date", f"{iso} IS NOT NULL"),
+        action(1, "remove_duplicate", "id", "NULL", "exact copy of an earlier row", f"NOT ({first})"),
+        action(2, "fix_missing", "age", lit(str(age)), "median age", f"{first} AND {is_missing('age')}"),
+        action(
+            3, "fix_missing", "email", text.derive_email("coalesce(name, 'None')"), "derived from the name",
+            f"{first} AND {is_missing('email')}",
+        ),
+        action(4, "fix_format", "hire_date", iso, "ISO date", f"{first} AND {iso} IS NOT NULL"),
     )
     ids = [ref(c) for c in row_id]
-    rest = df.selectExpr(*ids, f"explode(array({', '.join(found)})) AS __a").filter("__a IS NOT NULL")
-    fixes = rest.join(copies, row_id, "left_anti").selectExpr(*ids, "__a.*")
-    removal = action(1, "remove_duplicate", "id", "NULL", "exact copy of an earlier row")
-    return copies.selectExpr(*ids, f"{removal} AS __a").selectExpr(*ids, "__a.*").unionByName(fixes)
+    marked = df.join(firsts.selectExpr(*ids, "true AS __first"), row_id, "left")
+    long = marked.selectExpr(*ids, f"explode(array({', '.join(found)})) AS __a")
+    return long.filter("__a IS NOT NULL").selectExpr(*ids, "__a.*")
 
 
 def auto_clean(df: DataFrame, row_id: str | list[str], spec: Spec = PEOPLE) -> DataFrame:

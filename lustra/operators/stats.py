@@ -11,6 +11,7 @@ from math import ceil, floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lustra.functions.columns import any_of, dtype, is_fractional, is_groupable, lit, lits, number, ref
 from lustra.functions.frames import fetch
@@ -213,24 +214,32 @@ def _exact(
     return out
 
 
+def _countable(df: DataFrame, name: str) -> str:
+    """Column in the widest type of its family; adding 0 merges negative and positive zero."""
+    if is_fractional(dtype(df, name)):
+        return f"{number(df, name)} + 0"
+    return f"CAST({ref(name)} AS BIGINT)" if isinstance(dtype(df, name), T.IntegralType) else ref(name)
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Long ``(column, value, n)`` of non-null values of columns sharing one type.
+    """Long ``(column, value, n)`` of non-null values of columns of one family (``by_type``).
 
     Counting combines inside each task first, so a value held by most rows is one row per
     task when it is shuffled.
     """
-    # Adding 0 merges negative and positive zero.
-    cells = [f"{number(df, c)} + 0 AS {ref(c)}" if is_fractional(dtype(df, c)) else ref(c) for c in columns]
-    long = df.selectExpr(*cells).unpivot([], [F.expr(ref(c)) for c in columns], "column", "value")
+    cells = df.selectExpr(*[f"{_countable(df, c)} AS {ref(c)}" for c in columns])
+    long = cells.unpivot([], [F.expr(ref(c)) for c in columns], "column", "value")
     return long.filter("value IS NOT NULL").groupBy("column", "value").agg(F.expr("count(1) AS n"))
 
 
 def by_type(df: DataFrame, columns: Iterable[str]) -> list[list[str]]:
-    """Group columns of the same countable type, keeping their order."""
+    """Group countable columns by family (whole, fractional, or their type), keeping their order."""
     groups: dict[str, list[str]] = {}
     for c in columns:
-        if is_groupable(dtype(df, c)):
-            groups.setdefault(dtype(df, c).simpleString(), []).append(c)
+        kind = dtype(df, c)
+        if is_groupable(kind):
+            family = "fractional" if is_fractional(kind) else "whole" if isinstance(kind, T.IntegralType) else kind.simpleString()
+            groups.setdefault(family, []).append(c)
     return list(groups.values())
 
 
