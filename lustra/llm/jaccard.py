@@ -22,7 +22,8 @@ PER_100 = 75  # two sets link when 100 * intersection >= PER_100 * union
 CELLS = 1 << 18  # counters of the frequency sketch; a size of the plan, not of the result
 COLD = 4096  # a token whose sketch counter is below this has a list short enough for one task
 MOST_LIGHT = 16  # largest boundary between light and heavy sets that is weighed
-HUB_ROUNDS = 8
+NARROWINGS = 3  # times the candidates are counted and listed anew
+HUB_ROUNDS = 2
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([2 * k + 1 for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1D, 0x632BE59BD9B4E019, 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)], dtype=np.uint64)
@@ -69,6 +70,11 @@ def prefix_length(n: int) -> int:
     return n - smallest_partner(n) + 1
 
 
+def reach(n, place):
+    """Largest partner that can still link with a set of ``n`` tokens when their first common one is at ``place``."""
+    return (100 * n - (100 + PER_100) * place) // PER_100
+
+
 def light_cost(n: int) -> int:
     """Subsets that a light set of ``n`` tokens is enumerated into."""
     return sum(comb(n, least_overlap(n, m)) for m in range(smallest_partner(n), largest_partner(n) + 1) if least_overlap(n, m) <= n)
@@ -95,74 +101,117 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
     return (t.as_py() for t in batch.column("text").cast(pa.binary()))
 
 
+def _count(seen: np.ndarray, tokens: np.ndarray) -> None:
+    np.add.at(seen, (tokens & np.uint64(CELLS - 1)).astype(np.int64), 1)
+
+
+def _cells(seen: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    cells = np.flatnonzero(seen)
+    return pa.array(cells), pa.array(seen[cells])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, then what the task has counted in the sketch (one count per batch and set)."""
-    names = ["doc_id", "text_hash", "n", "sid", "cell", "seen"]
+    """A row per document, with the tokens of small sets, then what the task has counted in the sketch."""
+    names = ["doc_id", "text_hash", "n", "sid", "tokens", "cell", "seen"]
     seen = np.zeros(CELLS, np.int64)
     for batch in batches:
-        ns, sids, met = [], [], set()
+        ns, sids, small, met = [], [], [], set()
         for text in _texts(batch):
             tokens = shingle_set(text)
             sid = set_id(tokens)
             ns.append(len(tokens))
             sids.append(sid)
+            small.append(tokens.tobytes() if 0 < len(tokens) <= MOST_LIGHT else None)
             if sid not in met:
                 met.add(sid)
-                np.add.at(seen, (tokens & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                _count(seen, tokens)
         empty = pa.nulls(len(ns), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), empty, empty],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(small, pa.binary()), empty, empty],
             names=names,
         )
-    cells = np.flatnonzero(seen)
+    cells, counts = _cells(seen)
     empty = pa.nulls(len(cells), pa.int64())
-    yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(cells), pa.array(seen[cells])], names=names)
+    yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(len(cells), pa.binary()), cells, counts], names=names)
+
+
+def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for text in _texts(batch):
+            _count(seen, shingle_set(text))
+    yield pa.RecordBatch.from_arrays(list(_cells(seen)), names=["cell", "seen"])
 
 
 def _prefixes(sent, light: int):
-    """(token, sid, n, cold) of the prefixes of all sets that can link with a heavy one, rare tokens first."""
+    """(token, sid, n, reach, cold) of the prefixes of all sets that can link with a heavy one, rare tokens first."""
     least = smallest_partner(light + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sent.value
         for batch in batches:
-            tokens, sids, sizes, colds, met = [], [], [], [], set()
+            parts: list[tuple[np.ndarray, ...]] = []
+            met: set[int | None] = {None}
             for text in _texts(batch):
-                all_ = shingle_set(text)
-                n, sid = len(all_), set_id(all_)
+                tokens = shingle_set(text)
+                n, sid = len(tokens), set_id(tokens)
                 if n < least or sid in met:
                     continue
                 met.add(sid)
-                counts = seen[(all_ & np.uint64(CELLS - 1)).astype(np.int64)]
-                first = np.lexsort((all_, counts))[: prefix_length(n)]
-                tokens.append(all_[first])
-                colds.append(counts[first] < COLD)
-                sids.append(np.full(len(first), sid, np.int64))
-                sizes.append(np.full(len(first), n, np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(tokens)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(colds))],
-                    names=["token", "sid", "n", "cold"],
-                )
+                counts = seen[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
+                first = np.lexsort((tokens, counts))[: prefix_length(n)]
+                k = len(first)
+                parts.append((tokens[first].view(np.int64), np.full(k, sid, np.int64), np.full(k, n), reach(n, np.arange(k)), counts[first] < COLD))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["token", "sid", "n", "reach", "cold"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the tokens that two sets of the partition have; each row once."""
+def _fitting(n: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which rows of one list have another that both reach.
+
+    By size: among the rows up to one's own reach, the farthest reach of another must come back to it.
+    """
+    order = np.argsort(n, kind="stable")
+    sizes, back = n[order], far[order]
+    best = np.maximum.accumulate(back)
+    at = np.maximum.accumulate(np.where(back == best, np.arange(len(back)), 0))
+    # The farthest without the row that is farthest itself.
+    second = np.full(len(back), -1)
+    for k in range(1, len(back)):
+        second[k] = max(second[k - 1], best[k - 1] if back[k] >= best[k - 1] else back[k])
+    upto = np.searchsorted(sizes, back, "right") - 1
+    other = np.where(upto < 0, -1, np.where(at[upto] == np.arange(len(back)), second[upto], best[upto]))
+    out = np.empty(len(n), bool)
+    out[order] = other >= sizes
+    return out
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cold rows that fit another row of their list; hot rows as they are.  Each row once."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    token, sid, n = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("token", "sid", "n"))
+    names = ["token", "sid", "n", "reach", "cold"]
+    token, sid, n, far, cold = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in names)
     order = np.lexsort((sid, token))
-    token, sid, n = token[order], sid[order], n[order]
+    token, sid, n, far, cold = (a[order] for a in (token, sid, n, far, cold))
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-    token, sid, n = token[new], sid[new], n[new]
-    same = np.zeros(len(token) + 1, bool)
-    same[1:-1] = token[1:] == token[:-1]
-    keep = same[1:] | same[:-1]
-    yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(sid[keep]), pa.array(n[keep])], names=["token", "sid", "n"])
+    token, sid, n, far, cold = (a[new] for a in (token, sid, n, far, cold))
+    keep = ~cold
+    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    sizes = np.diff(edges)
+    two = edges[:-1][sizes == 2]
+    fit = cold[two] & (n[two] <= far[two + 1]) & (n[two + 1] <= far[two])
+    keep[two] |= fit
+    keep[two + 1] |= fit
+    for k in np.flatnonzero(sizes > 2):
+        a, b = edges[k], edges[k + 1]
+        if cold[a]:
+            keep[a:b] = _fitting(n[a:b], far[a:b])
+    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, sid, n, far)], names=names[:4])
 
 
 def _subsets(light: int):
@@ -173,14 +222,10 @@ def _subsets(light: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, lows, sids, met = [], [], [], set()
-            for text in _texts(batch):
-                tokens = shingle_set(text)
-                n, sid = len(tokens), set_id(tokens)
-                if not 0 < n <= light or sid in met:
-                    continue
-                met.add(sid)
-                raw = [t.tobytes() for t in tokens]
+            keys, lows, sids = [], [], []
+            for sid, data in zip(batch.column("sid").to_pylist(), batch.column("tokens").to_pylist()):
+                raw = [data[i : i + 8] for i in range(0, len(data), 8)]
+                n = len(raw)
                 for m in range(smallest_partner(n), min(largest_partner(n), light) + 1):
                     need = least_overlap(n, m)
                     if need > min(n, m):
@@ -212,14 +257,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep])], names=["a", "b"])
 
 
-def _light_links(docs: DataFrame, light: int) -> DataFrame:
+def _light_links(base: DataFrame, light: int) -> DataFrame:
     """Star links of sets that share a subset: a set of the smaller size links with all others of its key."""
-    rows = docs.mapInArrow(_subsets(light), "key long, low boolean, sid long")
-    rows = stage(rows.distinct(), "subsets")
+    sets = base.filter(f"n BETWEEN 1 AND {light}").groupBy("sid").agg(F.expr("min(tokens) AS tokens"))
+    rows = stage(sets.mapInArrow(_subsets(light), "key long, low boolean, sid long"), "subsets")
     centre = rows.filter("low").groupBy("key").agg(F.expr("min(sid) AS centre"))
     return rows.join(centre, "key").filter("sid != centre").selectExpr("sid AS a", "centre AS b").distinct()
 
 
+def _sketch(counted: DataFrame) -> np.ndarray:
+    """The counters on the driver: CELLS numbers, whatever the input."""
+    seen = np.zeros(CELLS, np.int64)
+    for row in counted.groupBy("cell").agg(F.sum("seen").alias("seen")).collect():
+        seen[row["cell"]] = row["seen"]
+    return seen
+
+
+def _inverted(texts: DataFrame, seen: np.ndarray, light: int) -> DataFrame:
+    """Staged inverted lists of the texts' prefixes, only rows that fit another row of their list.
+
+    Lists of cold tokens meet in one task and are bounded by COLD; those of hot ones are spread and kept.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(seen)
+    rows = texts.mapInArrow(_prefixes(sent, light), "token long, sid long, n long, reach long, cold boolean")
+    rows = rows.repartition("token", F.expr("if(cold, 0, pmod(sid, 64))"))
+    return stage(rows.mapInArrow(_lists, "token long, sid long, n long, reach long"), "lists")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, comp) of every row; comp names the component, null without shingles.
 
@@ -231,35 +295,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     * Light sets, up to a size chosen by cost, are enumerated into subsets as large as a link asks.  Sharing
       one is linking, so each subset is a star and nothing is left to compare.
-    * Heavy sets scan the inverted lists of their prefixes: the rarest tokens by a sketch of all documents,
-      which only orders tokens, so that any sketch gives the same links.  A list is searched by rounds: every set is compared
-      whole with the hub that shares most lists with it and lies in another component; what has one
-      component is done.  When the pairs still open are few against the lists, or the rounds are used up,
-      all of them are compared.  Pairs inside a component are never made.
+    * Heavy sets scan the inverted lists of their prefixes, the rarest tokens by a sketch of all documents
+      (which only orders tokens: any sketch gives the same links).  A token's place in a set bounds the sizes
+      it can link with; sets without a fitting partner in any list are done.  The others are counted and
+      listed anew, which sharpens the order.  Then every set is compared whole with the hub that shares
+      most lists with it and lies in another component, and at last all fitting pairs of lists between
+      components.  Pairs inside a component are never made.
     """
-    spark = docs.sparkSession
-    texts = docs.selectExpr("doc_id", "text", "xxhash64(text) AS text_hash")
-    scanned = stage(texts.mapInArrow(_scan, "doc_id long, text_hash long, n long, sid long, cell long, seen long"), "sets")
+    scanned = docs.selectExpr("doc_id", "text", "xxhash64(text) AS text_hash")
+    scanned = stage(scanned.mapInArrow(_scan, "doc_id long, text_hash long, n long, sid long, tokens binary, cell long, seen long"), "sets")
     base = scanned.filter("cell IS NULL").drop("cell", "seen")
-    # CELLS rows at most, whatever the input.
-    counted = scanned.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).collect()
-    seen = np.zeros(CELLS, np.int64)
-    for row in counted:
-        seen[row["cell"]] = row["seen"]
+    seen = _sketch(scanned.filter("cell IS NOT NULL"))
     small = base.filter(f"n BETWEEN 1 AND {MOST_LIGHT}").groupBy("n").agg(F.expr("count(DISTINCT sid) AS sets")).collect()
     total = float(seen.sum()) or 1.0
     light = boundary({r["n"]: r["sets"] for r in small}, float((seen.astype(float) ** 2).sum()) / total)
-
-    sent = spark.sparkContext.broadcast(seen)
-    texts = docs.select("text")
-    rows = texts.mapInArrow(_prefixes(sent, light), "token long, sid long, n long, cold boolean")
-    rows = rows.repartition("token", F.expr("if(cold, 0, pmod(sid, 64))"))
-    # Cold lists meet in one task, bounded by COLD counts; those of hot tokens are spread and all kept.
-    lists = stage(rows.mapInArrow(_lists, "token long, sid long, n long"), "lists")
-    links = _light_links(texts, light) if light else spark.createDataFrame([], "a long, b long")
+    links = _light_links(base, light) if light else docs.sparkSession.createDataFrame([], "a long, b long")
     comps = stage(components(links), "components")
+
+    lists = _inverted(docs.select("text"), seen, light)
     if not lists.isEmpty():
-        comps = _search(docs, lists, comps)
+        texts = stage(_texts_of(lists, base, docs), "texts")
+        for _ in range(NARROWINGS - 1):
+            lists = _inverted(texts, _sketch(texts.mapInArrow(_recount, "cell long, seen long")), light)
+            texts = stage(texts.join(lists.select("sid").distinct(), "sid", "left_semi"), "texts")
+        comps = _search(texts, lists, comps)
 
     ids = base.groupBy("sid").agg(F.min("doc_id").alias("first")).filter("sid IS NOT NULL")
     named = ids.join(comps, F.expr("sid = node"), "left").selectExpr("sid", "first", "coalesce(comp, sid) AS comp")
@@ -269,81 +328,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.selectExpr("doc_id", "text_hash", "n AS n_shingles", "if(sid IS NULL, doc_id, component_id) AS component_id", "comp")
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cold rows whose token two sets share; hot rows as they are, each once."""
-    held = [b for b in batches if b.num_rows]
-    cold = [b.filter(b.column("cold")) for b in held]
-    yield from _shared(iter(cold))
-    hot = [b.filter(pa.compute.invert(b.column("cold"))) for b in held]
-    met: set[tuple[int, int]] = set()
-    for b in hot:
-        keep = []
-        for pair in zip(b.column("token").to_pylist(), b.column("sid").to_pylist()):
-            keep.append(pair not in met)
-            met.add(pair)
-        if any(keep):
-            yield b.filter(pa.array(keep)).select(["token", "sid", "n"])
+def _texts_of(lists: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sid, text) of every listed set, the text of one of its documents."""
+    chosen = base.join(lists.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.expr("min(struct(doc_id, text_hash)) AS one"))
+    chosen = chosen.selectExpr("sid", "one.doc_id AS __id", "one.text_hash AS __hash")
+    found = docs.select("doc_id", "text").join(chosen, F.expr("xxhash64(text) = __hash AND doc_id <=> __id"))
+    # Rows that repeat an id and a text are few, and equal: any of them will do.
+    return found.select("sid", "text")
 
 
-def _search(docs: DataFrame, lists: DataFrame, comps: DataFrame) -> DataFrame:
+def _search(texts: DataFrame, lists: DataFrame, comps: DataFrame) -> DataFrame:
     """Components after comparing sets that share a list until no list has an open pair."""
     tested = None
-    with_ids = docs.select("text").mapInArrow(_named, "sid long, text binary")
-    wanted = lists.select("sid").distinct()
-    held = stage(with_ids.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.expr("any_value(text) AS text")), "texts")
     for turn in range(HUB_ROUNDS + 1):
-        rows = lists.join(comps, F.expr("sid = node"), "left").selectExpr("token", "sid", "n", "coalesce(comp, sid) AS comp")
+        rows = lists.join(comps, F.expr("sid = node"), "left").selectExpr("token", "sid", "n", "reach", "coalesce(comp, sid) AS comp")
         by_comp = rows.groupBy("token", "comp").agg(F.expr("count(1) AS k"))
-        open_ = by_comp.groupBy("token").agg(F.expr("count(1) AS comps"), F.expr("sum(k) AS k"), F.expr("sum(k * k) AS own")).filter("comps > 1")
-        open_ = open_.selectExpr("token AS __token", "k", "k * k - own AS cross")
+        open_ = by_comp.groupBy("token").agg(F.expr("count(1) AS comps"), F.expr("max_by(comp, struct(k, comp)) AS main")).filter("comps > 1")
+        open_ = open_.selectExpr("token AS __token", "main")
         rows = stage(rows.join(open_, F.expr("token = __token")).drop("__token"), "open")
-        left = rows.agg(F.expr("count(1)"), F.expr("coalesce(sum(cross / k), 0)")).first()
-        if not left[0]:
+        if rows.isEmpty():
             break
-        lists = rows.select("token", "sid", "n")
-        last = turn == HUB_ROUNDS or left[1] <= 4 * left[0]
-        pairs = _all_pairs(rows) if last else _hub_pairs(rows, turn)
+        lists = rows.select("token", "sid", "n", "reach")
+        pairs = _all_pairs(rows) if turn == HUB_ROUNDS else _hub_pairs(rows, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        links = stage(_linked(pairs, held), "links")
-        comps = _united(comps, links)
-        if last:
-            break
+        comps = _united(comps, stage(_linked(pairs, texts), "links"))
         tested = pairs if tested is None else tested.unionAll(pairs)
     return comps
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A text for every set of the task, its first."""
-    met: set[int | None] = {None}
-    for batch in batches:
-        rows = []
-        for text in _texts(batch):
-            sid = set_id(shingle_set(text))
-            if sid not in met:
-                met.add(sid)
-                rows.append((sid, text))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "text"])
-
-
-_FITS = f"100 * least(n, m) >= {PER_100} * greatest(n, m)"
-
-
 def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each set with the hub of another component that it shares most lists with; hubs change with the turn."""
-    hubs = rows.groupBy("token").agg(F.expr(f"min_by(struct(sid, n, comp), xxhash64(sid, {turn})) AS hub"))
-    near = rows.join(hubs, "token").selectExpr("sid", "n", "comp", "hub.sid AS h", "hub.n AS m", "hub.comp AS hub_comp")
-    near = near.filter(f"comp != hub_comp AND {_FITS}").groupBy("sid", "h").agg(F.expr("count(1) AS shared"))
-    best = near.groupBy("sid").agg(F.expr("max_by(h, struct(shared, h)) AS h"))
+    """Each set with the hub of another component that it shares most lists with.
+
+    The hub of a list is the set with the longest reach for its size, the one with most in common with
+    others; in every other turn it is drawn by a hash.
+    """
+    hubs = rows.groupBy("token").agg(F.expr(f"max_by(struct(sid, n, reach, comp), struct({'reach / n' if turn % 2 == 0 else '0'}, xxhash64(sid, {turn}))) AS hub"))
+    near = rows.join(hubs, "token").filter("comp != hub.comp AND n <= hub.reach AND hub.n <= reach")
+    shared = near.selectExpr("sid", "hub.sid AS h").groupBy("sid", "h").agg(F.expr("count(1) AS shared"))
+    best = shared.groupBy("sid").agg(F.expr("max_by(h, struct(shared, h)) AS h"))
     return best.selectExpr("greatest(sid, h) AS a", "least(sid, h) AS b").distinct()
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Every pair of a list that fits in size and lies in two components."""
-    other = rows.selectExpr("token", "sid AS other", "n AS m", "comp AS other_comp")
-    pairs = rows.join(other, "token").filter(f"sid > other AND comp != other_comp AND {_FITS}")
-    return pairs.selectExpr("sid AS a", "other AS b").distinct()
+    """Every pair of a list that fits and lies in two components: one of the two is not in the main one."""
+    other = rows.selectExpr("token", "sid AS other", "n AS m", "reach AS other_reach", "comp AS other_comp")
+    pairs = rows.filter("comp != main").join(other, "token")
+    pairs = pairs.filter("comp != other_comp AND (other_comp = main OR sid > other) AND n <= other_reach AND m <= reach")
+    return pairs.selectExpr("greatest(sid, other) AS a", "least(sid, other) AS b").distinct()
 
 
 def _linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
