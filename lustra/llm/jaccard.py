@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -19,11 +20,12 @@ from lustra.session import stage
 
 WORDS = 5
 PER_100 = 75  # two sets link when 100 * intersection >= PER_100 * union
-CELLS = 1 << 18  # counters of the frequency sketch; a size of the plan, not of the result
+CELLS = 1 << 21  # counters of the frequency sketch; a size of the plan, not of the result
+BLOCK = 1 << 12  # counters moved as one value
 COLD = 4096  # a token whose sketch counter is below this has a list short enough for one task
 MOST_LIGHT = 16  # largest boundary between light and heavy sets that is weighed
 NARROWINGS = 3  # times the candidates are counted and listed anew
-HUB_ROUNDS = 2
+HUB_ROUNDS = 4
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([2 * k + 1 for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1D, 0x632BE59BD9B4E019, 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)], dtype=np.uint64)
@@ -105,14 +107,26 @@ def _count(seen: np.ndarray, tokens: np.ndarray) -> None:
     np.add.at(seen, (tokens & np.uint64(CELLS - 1)).astype(np.int64), 1)
 
 
-def _cells(seen: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    cells = np.flatnonzero(seen)
-    return pa.array(cells), pa.array(seen[cells])
+def _blocks(seen: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Blocks of counters that have counted anything, packed."""
+    used = np.flatnonzero(seen.reshape(-1, BLOCK).any(1))
+    return pa.array(used), pa.array([zlib.compress(seen[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in used], pa.binary())
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the blocks of a partition."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+            seen = np.frombuffer(zlib.decompress(counts), np.int64)
+            total[k] = total[k] + seen if k in total else seen
+    packed = [zlib.compress(total[k].tobytes(), 1) for k in total]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, with the tokens of small sets, then what the task has counted in the sketch."""
-    names = ["doc_id", "text_hash", "n", "sid", "tokens", "cell", "seen"]
+    names = ["doc_id", "text_hash", "n", "sid", "tokens", "block", "counts"]
     seen = np.zeros(CELLS, np.int64)
     for batch in batches:
         ns, sids, small, met = [], [], [], set()
@@ -125,14 +139,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sid not in met:
                 met.add(sid)
                 _count(seen, tokens)
-        empty = pa.nulls(len(ns), pa.int64())
+        empty = [pa.nulls(len(ns), pa.int64()), pa.nulls(len(ns), pa.binary())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(small, pa.binary()), empty, empty],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), pa.array(small, pa.binary()), *empty],
             names=names,
         )
-    cells, counts = _cells(seen)
-    empty = pa.nulls(len(cells), pa.int64())
-    yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(len(cells), pa.binary()), cells, counts], names=names)
+    blocks, counts = _blocks(seen)
+    empty = pa.nulls(len(blocks), pa.int64())
+    yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(len(blocks), pa.binary()), blocks, counts], names=names)
 
 
 def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +154,7 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in _texts(batch):
             _count(seen, shingle_set(text))
-    yield pa.RecordBatch.from_arrays(list(_cells(seen)), names=["cell", "seen"])
+    yield pa.RecordBatch.from_arrays(list(_blocks(seen)), names=["block", "counts"])
 
 
 def _prefixes(sent, light: int):
@@ -268,8 +282,8 @@ def _light_links(base: DataFrame, light: int) -> DataFrame:
 def _sketch(counted: DataFrame) -> np.ndarray:
     """The counters on the driver: CELLS numbers, whatever the input."""
     seen = np.zeros(CELLS, np.int64)
-    for row in counted.groupBy("cell").agg(F.sum("seen").alias("seen")).collect():
-        seen[row["cell"]] = row["seen"]
+    for row in counted.repartition("block").mapInArrow(_added, "block long, counts binary").collect():
+        seen[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] += np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     return seen
 
 
@@ -303,9 +317,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
       components.  Pairs inside a component are never made.
     """
     scanned = docs.selectExpr("doc_id", "text", "xxhash64(text) AS text_hash")
-    scanned = stage(scanned.mapInArrow(_scan, "doc_id long, text_hash long, n long, sid long, tokens binary, cell long, seen long"), "sets")
-    base = scanned.filter("cell IS NULL").drop("cell", "seen")
-    seen = _sketch(scanned.filter("cell IS NOT NULL"))
+    scanned = stage(scanned.mapInArrow(_scan, "doc_id long, text_hash long, n long, sid long, tokens binary, block long, counts binary"), "sets")
+    base = scanned.filter("block IS NULL").drop("block", "counts")
+    seen = _sketch(scanned.filter("block IS NOT NULL").select("block", "counts"))
     small = base.filter(f"n BETWEEN 1 AND {MOST_LIGHT}").groupBy("n").agg(F.expr("count(DISTINCT sid) AS sets")).collect()
     total = float(seen.sum()) or 1.0
     light = boundary({r["n"]: r["sets"] for r in small}, float((seen.astype(float) ** 2).sum()) / total)
@@ -316,7 +330,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not lists.isEmpty():
         texts = stage(_texts_of(lists, base, docs), "texts")
         for _ in range(NARROWINGS - 1):
-            lists = _inverted(texts, _sketch(texts.mapInArrow(_recount, "cell long, seen long")), light)
+            lists = _inverted(texts, _sketch(texts.mapInArrow(_recount, "block long, counts binary")), light)
             texts = stage(texts.join(lists.select("sid").distinct(), "sid", "left_semi"), "texts")
         comps = _search(texts, lists, comps)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from lustra.session import new_shared_path, stage
 
 LENGTH = 100  # bytes of a string that must not start twice
-GRAM = 24  # bytes of an anchor
+GRAM = 24  # bytes of an anchor: 16 and 8
 REACH = LENGTH - GRAM + 1  # places an anchor can have in such a string
 BUCKET = 1000  # occurrences of an anchor that are sorted together
 CHUNK = 1 << 22  # bytes hashed, or strings times LENGTH sorted, at a time
@@ -133,6 +134,17 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     split = table.column("split").to_numpy(zero_copy_only=False)
     data = table.column("bytes").to_pylist()
     order = np.lexsort((lo, row, doc, salt, gram))
+    # Suffixes that repeat as a whole run follow the first run of the same bytes: no need to sort them again.
+    first: dict[tuple[int, bytes], int] = {}
+    again = np.array([first.setdefault((salt[i], data[i]), i) != i for i in order], bool)
+    whole = order[again]
+    if len(whole):
+        distinct = np.array([(row[i], lo[i]) != (row[k], lo[k]) for i, k in ((i, first[salt[i], data[i]]) for i in whole)], bool)
+        whole = whole[distinct]
+        last = lo[whole] + np.array([len(data[i]) - LENGTH for i in whole], np.int32)
+        empty = pa.nulls(len(whole), pa.int64())
+        yield _found([row[whole], doc[whole], lo[whole], last.astype(np.int32)], [empty, empty])
+    order = order[~again]
     begin = 0
     while begin < len(order):
         # Whole buckets until the strings fill a chunk.
@@ -227,13 +239,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     grams = texts.select("data").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.expr("count(1) AS n")).filter("n > 1")
     runs = texts.select("row", "data").mapInArrow(_runs, "gram long, row long, lo int, hi int")
-    repeated = runs.join(grams, "gram").selectExpr("gram", "row", "lo", "hi", f"CAST(ceil(n / {BUCKET}) AS INT) AS parts")
+    repeated = stage(runs.join(grams, "gram").selectExpr("gram", "row", "lo", "hi", f"CAST(ceil(n / {BUCKET}) AS INT) AS parts"), "runs")
+    # The shuffles behind are done with: their files go when the driver collects its garbage.
+    del grams, runs
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     # A null id counts as the smallest number.
     suffixes = repeated.join(texts, "row").selectExpr(
         "gram", "pmod(row, parts) AS salt", "parts > 1 AS split", f"coalesce(doc_id, {-(1 << 63) + 1}L - 1L) AS doc", "row", "lo",
         f"substring(data, lo + 1, hi - lo + {LENGTH}) AS bytes",
     )
-    found = stage(suffixes.distinct().repartition("gram", "salt").mapInArrow(_sorted, _FOUND), "found")
+    found = stage(suffixes.repartition("gram", "salt").mapInArrow(_sorted, _FOUND), "found")
     gone = found.filter("high IS NULL").select("row", "lo", "hi")
     open_ = found.filter("high IS NOT NULL")
     first = open_.groupBy("high", "low").agg(F.expr("min(struct(doc, row, lo)) AS first"), F.expr("count(1) AS n")).filter("n > 1")
