@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -87,20 +86,74 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield at, held
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, texts in _chunks(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(anchors(texts)[3])], names=["gram"])
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per run of starts: its anchor, the name of its bytes and its place.
+
+    Of runs of a batch with the same bytes only the first is still open; the others are later copies.
+    """
     for batch in batches:
         rows = batch.column("row").to_numpy(zero_copy_only=False)
+        docs = batch.column("doc").to_numpy(zero_copy_only=False)
+        parts, names = [], []
         for at, texts in _chunks(batch):
             text, lo, hi, gram = anchors(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram), pa.array(rows[at + text]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["gram", "row", "lo", "hi"]
-            )
+            parts.append((gram, rows[at + text], docs[at + text], lo, hi))
+            ends = hi + LENGTH
+            names += [xxhash.xxh3_64_intdigest(texts[t][a:b]) for t, a, b in zip(text.tolist(), lo.tolist(), ends.tolist())]
+        if names:
+            gram, row, doc, lo, hi = map(np.concatenate, zip(*parts))
+            name = np.array(names, np.uint64).view(np.int64)
+            yield _placed(gram, name, row, doc, lo, hi, ~_copies(gram, name, row, doc, lo))
+
+
+def _placed(gram, name, row, doc, lo, hi, open_) -> pa.RecordBatch:
+    columns = [np.where(open_, gram, row), gram, name, row, doc, lo.astype(np.int32), hi.astype(np.int32), open_]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["key", "gram", "name", "row", "doc", "lo", "hi", "open"])
+
+
+def _copies(gram, name, row, doc, lo) -> np.ndarray:
+    """Which runs come after another place with the same bytes."""
+    order = np.lexsort((lo, row, doc, name, gram))
+    gram, name, row, doc, lo = (a[order] for a in (gram, name, row, doc, lo))
+    head = np.ones(len(order), bool)
+    head[1:] = (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])
+    first = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    out = np.empty(len(order), bool)
+    # Rows equal in id and text are one place.
+    out[order] = (row != row[first]) | (lo != lo[first]) | (doc != doc[first])
+    return out
+
+
+_MET = "row long, doc long, lo int, hi int, gram long, parts int"
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs that are later copies as a whole (no gram), and one of each bytes where an anchor has several."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    names = ("gram", "name", "row", "doc", "lo", "hi", "open")
+    gram, name, row, doc, lo, hi, open_ = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in names)
+    done = ~open_
+    at = np.flatnonzero(open_)
+    done[at] = _copies(gram[at], name[at], row[at], doc[at], lo[at])
+    at = np.flatnonzero(~done)
+    order = at[np.lexsort((name[at], gram[at]))]
+    new = np.ones(len(order), bool)
+    new[1:] = gram[order][1:] != gram[order][:-1]
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(order)))
+    several = np.repeat(size, size)
+    keep = np.repeat(size > 1, size)
+    kept, parts = order[keep], -(-several[keep] // BUCKET)
+    gone = np.flatnonzero(done)
+    every = np.concatenate([gone, kept])
+    some = np.concatenate([np.zeros(len(gone), bool), np.ones(len(kept), bool)])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(row[every]), pa.array(doc[every]), pa.array(lo[every]), pa.array(hi[every]), pa.array(gram[every], mask=~some),
+         pa.array(np.concatenate([np.zeros(len(gone), np.int32), parts.astype(np.int32)]), mask=~some)],
+        names=["row", "doc", "lo", "hi", "gram", "parts"],
+    )
 
 
 def repeats(strings: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -134,17 +187,6 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     split = table.column("split").to_numpy(zero_copy_only=False)
     data = table.column("bytes").to_pylist()
     order = np.lexsort((lo, row, doc, salt, gram))
-    # Suffixes that repeat as a whole run follow the first run of the same bytes: no need to sort them again.
-    first: dict[tuple[int, bytes], int] = {}
-    again = np.array([first.setdefault((salt[i], data[i]), i) != i for i in order], bool)
-    whole = order[again]
-    if len(whole):
-        distinct = np.array([(row[i], lo[i]) != (row[k], lo[k]) for i, k in ((i, first[salt[i], data[i]]) for i in whole)], bool)
-        whole = whole[distinct]
-        last = lo[whole] + np.array([len(data[i]) - LENGTH for i in whole], np.int32)
-        empty = pa.nulls(len(whole), pa.int64())
-        yield _found([row[whole], doc[whole], lo[whole], last.astype(np.int32)], [empty, empty])
-    order = order[~again]
     begin = 0
     while begin < len(order):
         # Whole buckets until the strings fill a chunk.
@@ -221,39 +263,35 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     and text are one place and get the same result; an empty table gives an empty one; other columns are
     left out.
 
-    1. Every string of LENGTH bytes has an anchor, a short gram chosen by its own bytes.  Anchors are counted
-       over all documents; a string whose anchor occurs once cannot repeat.
-    2. The suffixes around repeated anchors are dealt out by anchor, so equal ones meet, and sorted there.  An
-       anchor of many occurrences is split into buckets by document.
+    1. Every string of LENGTH bytes has an anchor, a short gram chosen by its own bytes, and the starts with
+       one anchor form a run.  Runs are dealt out by anchor, so equal strings meet, as rows without bytes; a
+       string whose anchor occurs once cannot repeat, and a run whose bytes have an earlier place is a copy.
+    2. Where an anchor has runs of different bytes, one run of each goes on with its bytes, and the suffixes in
+       them are sorted.  An anchor of many such runs is split into buckets by document.
     3. What a split bucket has not removed is compared across buckets by a 128-bit digest, in an aggregation
        that keeps the first place of each.
     4. Runs of removed starts go back to their documents, where covered bytes merge into spans.
     """
     spark = docs.sparkSession
-    fields = "xxhash64(doc_id, text) AS row", "doc_id", "CAST(coalesce(text, '') AS BINARY) AS data"
+    # A null id counts as the smallest number.
+    fields = "xxhash64(doc_id, text) AS row", "doc_id", f"coalesce(doc_id, {-(1 << 63) + 1}L - 1L) AS doc", "CAST(coalesce(text, '') AS BINARY) AS data"
     # Both joins with whole texts go by row: bucketed once, texts are not moved for either.
-    name, buckets = f"texts_{uuid.uuid4().hex}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table, buckets = f"texts_{uuid.uuid4().hex}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = new_shared_path(spark, "texts")
-    docs.selectExpr(*fields).write.bucketBy(buckets, "row").option("path", path).saveAsTable(name)
-    texts = spark.table(name)
-
-    grams = texts.select("data").mapInArrow(_grams, "gram long").groupBy("gram").agg(F.expr("count(1) AS n")).filter("n > 1")
-    runs = texts.select("row", "data").mapInArrow(_runs, "gram long, row long, lo int, hi int")
-    repeated = stage(runs.join(grams, "gram").selectExpr("gram", "row", "lo", "hi", f"CAST(ceil(n / {BUCKET}) AS INT) AS parts"), "runs")
-    # The shuffles behind are done with: their files go when the driver collects its garbage.
-    del grams, runs
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    # A null id counts as the smallest number.
-    suffixes = repeated.join(texts, "row").selectExpr(
-        "gram", "pmod(row, parts) AS salt", "parts > 1 AS split", f"coalesce(doc_id, {-(1 << 63) + 1}L - 1L) AS doc", "row", "lo",
-        f"substring(data, lo + 1, hi - lo + {LENGTH}) AS bytes",
-    )
+    docs.selectExpr(*fields).write.bucketBy(buckets, "row").option("path", path).saveAsTable(table)
+    texts = spark.table(table)
+
+    runs = docs.selectExpr(*fields).mapInArrow(_runs, "key long, gram long, name long, row long, doc long, lo int, hi int, open boolean")
+    met = stage(runs.repartition("key").drop("key").mapInArrow(_met, _MET), "runs")
+    several = met.filter("gram IS NOT NULL").drop("doc")
+    suffixes = several.join(texts, "row").selectExpr(
+        "gram", "pmod(row, parts) AS salt", "parts > 1 AS split", "doc", "row", "lo", f"substring(data, lo + 1, hi - lo + {LENGTH}) AS bytes"
+    )
     found = stage(suffixes.repartition("gram", "salt").mapInArrow(_sorted, _FOUND), "found")
-    gone = found.filter("high IS NULL").select("row", "lo", "hi")
     open_ = found.filter("high IS NOT NULL")
     first = open_.groupBy("high", "low").agg(F.expr("min(struct(doc, row, lo)) AS first"), F.expr("count(1) AS n")).filter("n > 1")
-    later = open_.join(first, ["high", "low"]).filter("NOT (struct(doc, row, lo) <=> first)").select("row", "lo", "hi")
-    spans = gone.unionAll(later).groupBy("row").agg(F.expr("collect_list(struct(lo, hi)) AS runs"))
+    later = open_.join(first, ["high", "low"]).filter("NOT (struct(doc, row, lo) <=> first)")
+    gone = [x.select("row", "lo", "hi") for x in (met.filter("gram IS NULL"), found.filter("high IS NULL"), later)]
+    spans = gone[0].unionAll(gone[1]).unionAll(gone[2]).groupBy("row").agg(F.expr("collect_list(struct(lo, hi)) AS runs"))
     whole = texts.join(spans, "row", "left").select("doc_id", "data", "runs")
     return whole.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
