@@ -17,7 +17,7 @@ LENGTH = 100  # bytes of a string that must not start twice
 GRAM = 24  # bytes of an anchor: 16 and 8
 REACH = LENGTH - GRAM + 1  # places an anchor can have in such a string
 BUCKET = 1000  # occurrences of an anchor that are sorted together
-CHUNK = 1 << 22  # bytes hashed, or strings times LENGTH sorted, at a time
+CHUNK = 1 << 21  # bytes hashed, or strings times LENGTH sorted, at a time
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
