@@ -24,8 +24,8 @@ CELLS = 1 << 21  # counters of the frequency sketch; a size of the plan, not of
 BLOCK = 1 << 12  # counters moved as one value
 COLD = 4096  # a token whose sketch counter is below this has a list short enough for one task
 MOST_LIGHT = 16  # largest boundary between light and heavy sets that is weighed
-NARROWINGS = 3  # times the candidates are counted and listed anew
-HUB_ROUNDS = 4
+NARROWINGS = 4  # times the candidates are counted and listed anew
+HUB_ROUNDS = 3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([2 * k + 1 for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1D, 0x632BE59BD9B4E019, 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)], dtype=np.uint64)
