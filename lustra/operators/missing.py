@@ -15,7 +15,7 @@ STATISTICS = ("mean", "median", "mode")
 
 
 def fit_fill(
-    df: DataFrame, strategies: Mapping[str, str], exact: bool = True, rows: int | None = None
+    df: DataFrame, strategies: Mapping[str, str], exact: bool = True
 ) -> dict[str, object]:
     """Fill value per column for ``mean``, ``median`` and ``mode``.
 
@@ -30,7 +30,7 @@ def fit_fill(
 
     numeric = [c for c in strategies if is_numeric(dtype(df, c))]
     means = stats.moments(df, [c for c in asked("mean") if c in numeric])
-    medians = stats.quantiles(df, [c for c in asked("median") if c in numeric], [0.5], exact=exact, rows=rows)
+    medians = stats.quantiles(df, [c for c in asked("median") if c in numeric], [0.5], exact=exact)
     values: dict[str, object] = {c: m.mean for c, m in means.items()}
     values |= {c: q[0] for c, q in medians.items()}
     values |= stats.modes(df, asked("mode"))

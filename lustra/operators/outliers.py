@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import isfinite
 
 from pyspark.sql import DataFrame
 
@@ -18,12 +19,15 @@ def _numeric(df: DataFrame, columns: str | list[str]) -> list[str]:
     return [c for c in as_list(columns) if is_numeric(dtype(df, c))]
 
 
-def fit_iqr(
-    df: DataFrame, columns: str | list[str], factor: float = 1.5, exact: bool = True, rows: int | None = None
-) -> dict[str, tuple[float, float]]:
-    """``q1 - f * iqr`` and ``q3 + f * iqr`` of each numeric column holding values."""
-    found = stats.quantiles(df, _numeric(df, columns), [0.25, 0.75], exact=exact, rows=rows)
-    return {c: iqr_bounds(q1, q3, factor) for c, (q1, q3) in found.items() if q1 is not None}
+def _finite(bounds: Bounds) -> dict[str, tuple[float, float]]:
+    """Bounds that infinite values leave without a number limit nothing."""
+    return {c: pair for c, pair in bounds.items() if all(map(isfinite, pair))}
+
+
+def fit_iqr(df: DataFrame, columns: str | list[str], factor: float = 1.5, exact: bool = True) -> dict[str, tuple[float, float]]:
+    """``q1 - f * iqr`` and ``q3 + f * iqr`` of each numeric column holding values, where both are finite."""
+    found = stats.quantiles(df, _numeric(df, columns), [0.25, 0.75], exact=exact)
+    return _finite({c: iqr_bounds(q1, q3, factor) for c, (q1, q3) in found.items() if q1 is not None})
 
 
 def iqr_bounds(q1: float, q3: float, factor: float = 1.5) -> tuple[float, float]:
@@ -31,9 +35,9 @@ def iqr_bounds(q1: float, q3: float, factor: float = 1.5) -> tuple[float, float]
 
 
 def fit_zscore(df: DataFrame, columns: str | list[str], threshold: float = 3.0) -> dict[str, tuple[float, float]]:
-    """``mean +- t * std``; columns without spread (or a single row) are left out."""
+    """``mean +- t * std``; columns without spread (or a single row) or without finite bounds are left out."""
     found = stats.moments(df, _numeric(df, columns))
-    return {c: (m.mean - threshold * m.std, m.mean + threshold * m.std) for c, m in found.items() if m.std}
+    return _finite({c: (m.mean - threshold * m.std, m.mean + threshold * m.std) for c, m in found.items() if m.std})
 
 
 def apply_clip(df: DataFrame, bounds: Bounds) -> DataFrame:
@@ -56,13 +60,14 @@ def cap_zscore(df: DataFrame, columns: str | list[str], threshold: float = 3.0)
 def remove_iqr(df: DataFrame, column: str, factor: float = 1.5, exact: bool = True) -> DataFrame:
     """Keep rows inside the bounds; rows null in the column go as well.
 
-    The bounds are literals, so the comparison reaches the parquet scan.
+    The bounds are literals, so the comparison reaches the parquet scan.  Without finite
+    bounds only the rows null in the column go.
     """
     if not is_numeric(dtype(df, column)):
         return df
     bounds = fit_iqr(df, column, factor, exact)
     if not bounds:
-        return df.filter("false")
+        return df.filter(f"{number(df, column)} IS NOT NULL")
     low, high = bounds[column]
     return df.filter(f"{ref(column)} BETWEEN {lit(low)} AND {lit(high)}")
 

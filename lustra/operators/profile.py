@@ -7,6 +7,7 @@ and outliers, value counts, and a bounded top-k per column for sample values.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import ROUND_HALF_UP, Context, Decimal
 from functools import reduce
 from math import isfinite
 
@@ -23,6 +24,7 @@ from lustra.operators.outliers import iqr_bounds
 BINS = 10
 TOP = 5
 SAMPLES = 5
+_DIGITS = Context(prec=400)  # room for every double
 
 SCHEMA = (
     "position int, column string, dtype string, null_count long, null_pct double, unique_count long, "
@@ -37,6 +39,11 @@ def _share(part: str, whole: str) -> str:
     return f"round({part} / greatest({whole}, 1) * 100, 2)"
 
 
+def _rounded(x: float, places: int) -> float:
+    """Half away from zero on the decimal text, as Spark's round does."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP, _DIGITS)) if isfinite(x) else x
+
+
 def _tidy(x: str) -> str:
     """Six decimals; infinities and NaN become null."""
     return f"CASE WHEN NOT isnan({x}) AND abs({x}) <> double('Infinity') THEN round({x}, 6) END"
@@ -80,7 +87,7 @@ def column_numbers(df: DataFrame, columns: Sequence[str] | None = None, exact: b
     for i, c in enumerate(columns):
         x, (q1, q2, q3) = number(df, c), found[c]
         outside = "0"
-        if q1 is not None:
+        if q1 is not None and all(map(isfinite, iqr_bounds(q1, q3))):
             low, high = map(lit, iqr_bounds(q1, q3))
             outside = f"count_if({x} < {low} OR {x} > {high})"
         aggs |= {f"mean{i}": f"avg({x})", f"std{i}": f"stddev_samp({x})", f"min{i}": f"min({x})", f"max{i}": f"max({x})"}
@@ -162,12 +169,13 @@ def histograms(df: DataFrame, columns: Sequence[str] | None = None, bins: int =
     columns = numeric_columns(df) if columns is None else list(columns)
     aggs, fields = {}, []
     for i, (c, m) in enumerate(stats.moments(df, columns).items()):
-        if not m.count:
+        # A column reaching to infinity has no bins of equal width, here as in the profile.
+        if not m.count or not (isfinite(m.low) and isfinite(m.high)):
             continue
         edges = _edges(m.low, m.high, bins)
         for b, counted in enumerate(_bin_counts(number(df, c), edges)):
             aggs[f"b{i}_{b}"] = counted
-            low, high = lit(round(edges[b], 4)), lit(round(edges[b + 1], 4))
+            low, high = lit(_rounded(edges[b], 4)), lit(_rounded(edges[b + 1], 4))
             fields.append(f"struct({lit(c)} AS column, {b + 1} AS bin, {low} AS low, {high} AS high, b{i}_{b} AS n)")
     if not fields:
         return df.sparkSession.createDataFrame([], "column string, bin int, low double, high double, n long")
@@ -190,7 +198,7 @@ def profile(df: DataFrame, order_by: Sequence[str] | None = None, exact: bool =
         c: {"position": i, "column": c, "dtype": dtype(df, c).simpleString()} for i, c in enumerate(df.columns)
     }
     rows, spread = _scan_counts(df, texts, numeric, found)
-    _scan_numbers(df, spread, rows, exact, found)
+    _scan_numbers(df, spread, exact, found)
     if countable:
         _scan_values(df, countable, texts, exact, found)
     if order_by is not None and countable:
@@ -210,23 +218,21 @@ def _scan_counts(
     row = fetch(df, asked | stats.moment_exprs(df, numeric))
     rows = row["rows"]
     for i, c in enumerate(df.columns):
-        found[c] |= {"null_count": row[f"null{i}"], "null_pct": round(row[f"null{i}"] / max(rows, 1) * 100, 2)}
+        found[c] |= {"null_count": row[f"null{i}"], "null_pct": _rounded(row[f"null{i}"] / max(rows, 1) * 100, 2)}
     for i, c in enumerate(texts):
         present = rows - found[c]["null_count"]
-        found[c]["numeric_text_pct"] = round(row[f"like{i}"] / max(present, 1) * 100, 2)
+        found[c]["numeric_text_pct"] = _rounded(row[f"like{i}"] / max(present, 1) * 100, 2)
     return rows, stats.moments_of(row, numeric)
 
 
 def _tidy_number(x: float | None) -> float | None:
-    return round(x, 6) if x is not None and isfinite(x) else None
+    return _rounded(x, 6) if x is not None and isfinite(x) else None
 
 
-def _scan_numbers(
-    df: DataFrame, spread: Mapping[str, stats.Moments], rows: int, exact: bool, found: dict[str, dict]
-) -> None:
+def _scan_numbers(df: DataFrame, spread: Mapping[str, stats.Moments], exact: bool, found: dict[str, dict]) -> None:
     """Quartiles, then outliers and histogram between the bounds they give."""
     numeric = list(spread)
-    quartiles = stats.quantiles(df, numeric, [0.25, 0.5, 0.75], exact=exact, rows=rows)
+    quartiles = stats.quantiles(df, numeric, [0.25, 0.5, 0.75], exact=exact)
     asked, edges = {}, {}
     for i, c in enumerate(numeric):
         m, (q1, q2, q3) = spread[c], quartiles[c]
@@ -234,8 +240,9 @@ def _scan_numbers(
         found[c] |= {k: _tidy_number(v) for k, v in values.items()} | {"outlier_count_iqr": 0}
         if not m.count:
             continue
-        x, (low, high) = number(df, c), map(lit, iqr_bounds(q1, q3))
-        asked[f"o{i}"] = f"count_if({x} < {low} OR {x} > {high})"
+        x, bounds = number(df, c), iqr_bounds(q1, q3)
+        if all(map(isfinite, bounds)):
+            asked[f"o{i}"] = f"count_if({x} < {lit(bounds[0])} OR {x} > {lit(bounds[1])})"
         if isfinite(m.low) and isfinite(m.high):
             edges[c] = _edges(m.low, m.high, BINS)
             asked |= {f"b{i}_{b}": n for b, n in enumerate(_bin_counts(x, edges[c]))}
@@ -243,10 +250,10 @@ def _scan_numbers(
         return
     row = fetch(df, asked)
     for i, c in enumerate(numeric):
-        if spread[c].count:
+        if f"o{i}" in asked:
             found[c]["outlier_count_iqr"] = row[f"o{i}"]
         if c in edges:
-            found[c]["distribution"] = ([row[f"b{i}_{b}"] for b in range(BINS)], [round(e, 4) for e in edges[c]])
+            found[c]["distribution"] = ([row[f"b{i}_{b}"] for b in range(BINS)], [_rounded(e, 4) for e in edges[c]])
 
 
 def _scan_values(

@@ -61,7 +61,6 @@ def quantiles(
     exact: bool = True,
     bracket: int = BRACKET_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
-    rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of numeric columns.
 
@@ -70,7 +69,7 @@ def quantiles(
     them, counts between the cuts verify where they lie, and the search goes on there until
     few enough values are left to rank exactly.  Each round is two scans of the columns and
     narrows the search by about ``accuracy / 4``; a value held by many rows is a cut itself.
-    A caller who knows the number of ``rows`` to be small saves the counting.
+    Order statistics are interpolated here alone, so the result does not depend on ``bracket``.
     """
     wanted = f"array({lits(float(p) for p in probs)})"
     out: dict[str, list[float | None]] = {}
@@ -78,8 +77,6 @@ def quantiles(
         part = list(columns[at : at + _COLUMNS_PER_JOB])
         if not exact:
             out |= _called(df, part, f"percentile_approx({{x}}, {wanted}, {accuracy})", len(probs))
-        elif rows is not None and rows <= bracket:
-            out |= _called(df, part, f"percentile({{x}}, {wanted})", len(probs))
         else:
             out |= _exact(df, part, probs, bracket, accuracy)
     return out
@@ -210,7 +207,8 @@ def _exact(
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     for c, places in wanted.items():
         ends = [(value[c, floor(at)], value[c, ceil(at)], at - floor(at)) for at in places]
-        out[c] = [left + (right - left) * part if part else left for left, right, part in ends]
+        # Equal ends need no arithmetic, which between infinities gives NaN.
+        out[c] = [left if left == right or not part else left + (right - left) * part for left, right, part in ends]
     return out
 
 

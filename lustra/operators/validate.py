@@ -62,26 +62,26 @@ def _checks(df: DataFrame, schema: Mapping, row_id: Sequence[str]) -> list[_Chec
             out.append(_Check(name, rule, f"coalesce({failed}, false)", f"concat({at}{text})"))
 
         if rules.get("required", False):
-            add("required", f"NOT ({present})", f"'{name}' is required but null")
+            add("required", f"NOT ({present})", f"'{name}' must not be empty")
         if rules.get("type") == "numeric":
-            add("type", f"{present} AND NOT {readable}", f"'{name}' expected numeric, got '", "'")
+            add("type", f"{present} AND NOT {readable}", f"'{name}' holds no number: '", "'")
         if "min" in rules:
-            add("min", f"{value} < {lit(rules['min'])}", f"'{name}'=", f" < min={rules['min']}")
+            add("min", f"{value} < {lit(rules['min'])}", f"'{name}' is below {rules['min']}: ", "")
         if "max" in rules:
-            add("max", f"{value} > {lit(rules['max'])}", f"'{name}'=", f" > max={rules['max']}")
+            add("max", f"{value} > {lit(rules['max'])}", f"'{name}' is above {rules['max']}: ", "")
         if "pattern" in rules:
             found = types.matches(shown, java_pattern(rules["pattern"], df.sparkSession))
-            add("pattern", f"{present} AND NOT {found}", f"'{name}'='", f"' doesn't match pattern '{rules['pattern']}'")
+            add("pattern", f"{present} AND NOT {found}", f"'{name}' lacks the form {rules['pattern']}: '", "'")
         if "allowed_values" in rules:
             known = f"{shown} IN ({lits(str(v) for v in rules['allowed_values'])})"
-            add("allowed_values", f"{present} AND NOT {known}", f"'{name}'='", f"' not in {rules['allowed_values']}")
+            add("allowed_values", f"{present} AND NOT {known}", f"'{name}' is none of {rules['allowed_values']}: '", "'")
     return out
 
 
 def missing_columns(df: DataFrame, schema: Mapping) -> DataFrame:
     """One error row per required column the table does not have; needs no data."""
     rows = [
-        (name, "missing_column", None, f"Required column '{name}' not found")
+        (name, "missing_column", None, f"Column '{name}' is required and absent")
         for name, rules in schema.get("columns", {}).items()
         if rules.get("required", False) and name not in df.columns
     ]

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lustra.functions.columns import ref
+
 
 def local_session(cores: int = 8, name: str = "lustra") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings their own."""
@@ -55,12 +57,18 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     for field in df.schema.fields:
         if isinstance(field.dataType, T.NullType):
-            df = df.withColumn(field.name, F.col(f"`{field.name}`").cast("string"))
+            df = df.withColumn(field.name, F.expr(f"CAST({ref(field.name)} AS STRING)"))
     path = new_shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table this application has staged; call it when no result that reads them is needed."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lustra/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint that keeps the partitioning and the order inside partitions."""
     spark = df.sparkSession

@@ -111,6 +111,7 @@ def inject_issues(people: DataFrame, key: str = "k", seed: int = 11, rates: dict
     parts = [f"substring(hire_date, {at}, {n})" for at, n in ((1, 4), (6, 2), (9, 2))]
     alias = " ".join(f"WHEN {lit(label)} THEN {lit(word)}" for label, word in ALIASES.items())
     flag = " ".join(f"WHEN {lit(value)} THEN {lit(word)}" for value, word in FLAG_WORDS.items())
+    # Our own bad values: an unreadable age, and an age and a salary out of range.
     rows = with_exprs(
         people,
         {

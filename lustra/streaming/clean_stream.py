@@ -92,9 +92,18 @@ def clean_stream(
     )
 
 
-def read_valid(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).filter("is_valid = 'true'").drop("is_valid", "errors")
+def _written(spark: SparkSession, out: str, schema: str | T.StructType | None) -> DataFrame:
+    """The stream's table; with the ``schema`` of its input even before any row was written."""
+    if schema is None:
+        return spark.read.parquet(out)
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    added = T.StructType.fromDDL(f"errors array<struct<{validate.ERROR}>>, is_valid string")
+    return spark.read.schema(T.StructType([*fields.fields, *added.fields])).parquet(out)
 
 
-def read_quarantine(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).filter("is_valid = 'false'").drop("is_valid")
+def read_valid(spark: SparkSession, out: str, schema: str | T.StructType | None = None) -> DataFrame:
+    return _written(spark, out, schema).filter("is_valid = 'true'").drop("is_valid", "errors")
+
+
+def read_quarantine(spark: SparkSession, out: str, schema: str | T.StructType | None = None) -> DataFrame:
+    return _written(spark, out, schema).filter("is_valid = 'false'").drop("is_valid")

@@ -441,14 +441,14 @@ def _error(test: str, c: str, rule: str, message: str, source: str = "orders", i
 
 _ORDER_ERRORS = union(
     (
-        _error(_PRICE_LOW, "o_totalprice", "min", "'''o_totalprice''=' || o_totalprice || ' < min=5000'"),
-        _error(_PRICE_HIGH, "o_totalprice", "max", "'''o_totalprice''=' || o_totalprice || ' > max=300000'"),
-        _error(_STATUS, "o_orderstatus", "allowed_values", "'''o_orderstatus''=''' || o_orderstatus || ''' not in [''O'', ''F'']'"),
+        _error(_PRICE_LOW, "o_totalprice", "min", "'''o_totalprice'' is below 5000: ' || o_totalprice"),
+        _error(_PRICE_HIGH, "o_totalprice", "max", "'''o_totalprice'' is above 300000: ' || o_totalprice"),
+        _error(_STATUS, "o_orderstatus", "allowed_values", "'''o_orderstatus'' is none of [''O'', ''F'']: ''' || o_orderstatus || ''''"),
         _error(
             _PRIORITY, "o_orderpriority", "pattern",
-            "'''o_orderpriority''=''' || o_orderpriority || ''' doesn''t match pattern ''[1-4]-'''",
+            "'''o_orderpriority'' lacks the form [1-4]-: ''' || o_orderpriority || ''''",
         ),
-        "SELECT NULL, 'o_comment', 'missing_column', NULL, 'Required column ''o_comment'' not found'",
+        "SELECT NULL, 'o_comment', 'missing_column', NULL, 'Column ''o_comment'' is required and absent'",
     )
 )
 ORACLE["validate_valid"] = f"SELECT * FROM orders WHERE NOT ({_BROKEN})"
@@ -457,19 +457,19 @@ ORACLE["validate_quarantine"] = f"""SELECT *, concat_ws(',', CASE WHEN {_PRICE_L
     CASE WHEN {_PRICE_HIGH} THEN 'o_totalprice/max' END, CASE WHEN {_STATUS} THEN 'o_orderstatus/allowed_values' END,
     CASE WHEN {_PRIORITY} THEN 'o_orderpriority/pattern' END) AS errors FROM orders WHERE {_BROKEN}"""
 _PEOPLE_TESTS = {
-    ("age", "required"): ("age IS NULL", "'''age'' is required but null'"),
-    ("age", "type"): ("age IS NOT NULL AND TRY_CAST(age AS DOUBLE) IS NULL", "'''age'' expected numeric, got ''' || age || ''''"),
-    ("age", "min"): ("TRY_CAST(age AS DOUBLE) < 0", "'''age''=' || age || ' < min=0'"),
-    ("age", "max"): ("TRY_CAST(age AS DOUBLE) > 120", "'''age''=' || age || ' > max=120'"),
-    ("email", "required"): ("email IS NULL", "'''email'' is required but null'"),
+    ("age", "required"): ("age IS NULL", "'''age'' must not be empty'"),
+    ("age", "type"): ("age IS NOT NULL AND TRY_CAST(age AS DOUBLE) IS NULL", "'''age'' holds no number: ''' || age || ''''"),
+    ("age", "min"): ("TRY_CAST(age AS DOUBLE) < 0", "'''age'' is below 0: ' || age"),
+    ("age", "max"): ("TRY_CAST(age AS DOUBLE) > 120", "'''age'' is above 120: ' || age"),
+    ("email", "required"): ("email IS NULL", "'''email'' must not be empty'"),
     ("email", "pattern"): (
         "NOT regexp_matches(email, '^[^@ ]+@[^@ ]+\\.[a-z]+$')",
-        "'''email''=''' || email || ''' doesn''t match pattern ''[^@\\s]+@[^@\\s]+\\.[a-z]+$'''",
+        "'''email'' lacks the form [^@\\s]+@[^@\\s]+\\.[a-z]+$: ''' || email || ''''",
     ),
-    ("salary", "min"): ("TRY_CAST(salary AS DOUBLE) < 0", "'''salary''=' || salary || ' < min=0'"),
+    ("salary", "min"): ("TRY_CAST(salary AS DOUBLE) < 0", "'''salary'' is below 0: ' || salary"),
     ("department", "allowed_values"): (
         "department NOT IN ('Engineering', 'Finance', 'Sales', 'HR', 'Operations')",
-        "'''department''=''' || department || ''' not in [''Engineering'', ''Finance'', ''Sales'', ''HR'', ''Operations'']'",
+        "'''department'' is none of [''Engineering'', ''Finance'', ''Sales'', ''HR'', ''Operations'']: ''' || department || ''''",
     ),
 }
 ORACLE["validate_people_errors"] = with_people(
@@ -738,8 +738,19 @@ _KINDS = "('click', 'view', 'purchase')"
 ORACLE["stream_clean"] = f"""SELECT event_id, user_id, lower(event_type) AS event_type, least(greatest(value, 0), 60) AS value
   FROM events WHERE lower(event_type) IN {_KINDS} AND user_id >= 2"""
 ORACLE["stream_quarantine"] = f"""SELECT event_id, 'event_type' AS "column", 'allowed_values' AS rule, lower(event_type) AS value,
-    'Row ' || event_id || ': ''event_type''=''' || lower(event_type) || ''' not in [''click'', ''view'', ''purchase'']' AS message
+    'Row ' || event_id || ': ''event_type'' is none of [''click'', ''view'', ''purchase'']: ''' || lower(event_type) || '''' AS message
   FROM events WHERE lower(event_type) NOT IN {_KINDS}
-  UNION ALL SELECT event_id, 'user_id', 'min', CAST(user_id AS VARCHAR), 'Row ' || event_id || ': ''user_id''=' || user_id || ' < min=2'
+  UNION ALL SELECT event_id, 'user_id', 'min', CAST(user_id AS VARCHAR), 'Row ' || event_id || ': ''user_id'' is below 2: ' || user_id
   FROM events WHERE user_id < 2"""
 ORACLE["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
+
+ORACLE |= {
+    f"cap_{how}_infinite": f"""SELECT event_id, event_id % {every} = 0 AS endless,
+        CASE WHEN event_id % {every} <> 0 THEN value END AS value FROM events"""
+    for how, every in (("iqr", 3), ("zscore", 7))
+}
+ORACLE["quantiles_searched"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median,
+        round(quantile_cont({c}, 0.75), 4) AS q3 FROM lineitem"""
+    for c in ("l_extendedprice", "l_quantity")
+)

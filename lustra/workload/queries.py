@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lustra.functions import people as cells
 from lustra.functions import text
-from lustra.operators import casting, dedup, issues, missing, outliers, profile, repair, score, textual, validate
+from lustra.operators import casting, dedup, issues, missing, outliers, profile, repair, score, stats, textual, validate
 from lustra.plans import advice
 from lustra.plans import clean as runs
 from lustra.plans.clean import clean
@@ -736,3 +736,34 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
         repeats=(["user_id", "event_type"], "ts", "400 days"),
     ).awaitTermination()
     return streaming.read_valid(spark, out).select("user_id", "event_type")
+
+
+# ---------------------------------------------------------------- infinite values, searched quantiles
+
+
+def _reaching(spark: SparkSession, sf: str, every: int) -> DataFrame:
+    """Events with an infinite value in one of ``every`` rows."""
+    return table(spark, sf, "events").selectExpr("event_id", f"if(event_id % {every} = 0, double('Infinity'), value) AS value")
+
+
+def _told(df: DataFrame) -> DataFrame:
+    return df.selectExpr("event_id", "value = double('Infinity') AS endless", "if(value = double('Infinity'), NULL, value) AS value")
+
+
+@query
+def cap_iqr_infinite(spark: SparkSession, sf: str) -> DataFrame:
+    return _told(outliers.cap_iqr(_reaching(spark, sf, 3), "value"))
+
+
+@query
+def cap_zscore_infinite(spark: SparkSession, sf: str) -> DataFrame:
+    return _told(outliers.cap_zscore(_reaching(spark, sf, 7), "value"))
+
+
+@query
+def quantiles_searched(spark: SparkSession, sf: str) -> DataFrame:
+    """Quartiles found by searching: no task may rank more than 500 values."""
+    columns = ["l_extendedprice", "l_quantity"]
+    found = stats.quantiles(table(spark, sf, "lineitem"), columns, [0.25, 0.5, 0.75], bracket=500)
+    rows = [(c, *[float(q) for q in found[c]]) for c in columns]
+    return rounded(spark.createDataFrame(rows, "column string, q1 double, median double, q3 double"), "q1", "median", "q3")

@@ -116,7 +116,7 @@ def test_default_cleaning(spark):
         ("summary", None, 0),
     ]
     summary = audit.filter("step = 'summary'").first()["detail"]
-    assert summary == "Cleaning complete. Rows: 20→20, Nulls: 7→4"
+    assert summary == "20 of 20 rows left, nulls from 7 to 4"
     report = job_summary(raw, cleaned, audit, cleaned.limit(0)).first()
     assert (report["original_rows"], report["rows_removed"], report["cleaning_steps"]) == (20, 0, 13)
 
@@ -189,3 +189,25 @@ def test_shared_folder(spark):
     df = spark.createDataFrame([(1, None)], "a int, b void")
     back = session.stage(df)
     assert [tuple(r) for r in back.collect()] == [(1, None)]
+
+
+def test_stream_of_no_files(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    schema = "id long, age int"
+    rules = {"schema": {"columns": {"age": {"min": 0}}}}
+    streaming.clean_stream(spark, str(landing), schema, rules, out, str(tmp_path / "check")).awaitTermination()
+    assert streaming.read_valid(spark, out, schema).columns == ["id", "age"]
+    assert streaming.read_quarantine(spark, out, schema).count() == 0
+
+
+def test_release_deletes_staged_tables(spark):
+    import os
+
+    from lustra.session import release, shared_dir, stage
+
+    staged = stage(spark.range(5).selectExpr("id", "NULL AS `a``b`"))
+    folder = os.path.join(shared_dir(spark).removeprefix("file:"), "lustra", spark.sparkContext.applicationId)
+    assert staged.count() == 5 and os.listdir(folder)
+    release(spark)
+    assert not os.path.exists(folder)

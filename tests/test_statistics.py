@@ -35,7 +35,7 @@ def test_quantiles_agree_with_pandas_on_every_path(numbers):
     frame = numbers.toPandas()
     want = {c: frame[c].quantile(probs).tolist() for c in names}
     ways = (
-        {"rows": 5000}, {}, {"bracket": 500, "accuracy": 100}, {"bracket": 1, "accuracy": 20}, {"bracket": 50, "accuracy": 1000},
+        {}, {"bracket": 500, "accuracy": 100}, {"bracket": 1, "accuracy": 20}, {"bracket": 50, "accuracy": 1000},
     )
     for way in ways:
         found = stats.quantiles(numbers, names, probs, **way)
@@ -188,3 +188,33 @@ def test_null_tokens(spark):
     df = spark.createDataFrame([("NA", float("nan"), "ok"), ("", 1.0, None), ("None", 2.0, "n/a")], "a string, b double, c string")
     assert [tuple(r) for r in null_tokens(df).collect()] == [(None, None, "ok"), (None, 1.0, None), (None, 2.0, None)]
     assert not any(math.isnan(r["b"]) for r in null_tokens(df).collect() if r["b"] is not None)
+
+
+INF = float("inf")
+
+
+@pytest.mark.parametrize("extra", [[INF], [-INF], [INF, -INF], [float("nan")], [INF] * 5])
+def test_infinite_values_wipe_nothing(spark, extra):
+    values = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, *extra]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    kept = [v for v in values if v == v]
+    for done in (outliers.cap_iqr(df, "x"), outliers.cap_zscore(df, "x")):
+        got = [r["x"] for r in done.collect() if r["x"] is not None]
+        assert len(got) == len(kept) and all(v == v for v in got) and {1.0, 8.0} <= set(got)
+    row = profile.column_numbers(df).collect()[0]
+    assert row["outlier_count_iqr"] <= len(extra)
+    assert profile.profile(df).collect()[0]["outlier_count_iqr"] == row["outlier_count_iqr"]
+    bins = profile.histograms(df).collect()
+    assert sum(r["n"] for r in bins) in (0, len(kept)) and all(r["low"] == r["low"] for r in bins)
+
+
+def test_quantiles_do_not_depend_on_the_bracket(spark):
+    rows = [((k * 7919) % 40_009 / 100,) for k in range(3000)]
+    df = spark.createDataFrame(rows, "x double")
+    found = [stats.quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.9], bracket=b)["x"] for b in (10, 100, 100_000)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_one_rounding_rule(spark):
+    df = spark.createDataFrame([(None if k == 0 else 1,) for k in range(800)], "x int")
+    assert profile.profile(df).collect()[0]["null_pct"] == profile.column_nulls(df).collect()[0]["null_pct"] == 0.13
