@@ -44,7 +44,7 @@ def deduplicated(pages: DataFrame, least: int = 0) -> DataFrame:
     return found.withColumn("keeper", F.expr("if(__digest IS NULL, page_id, best)")).drop("__digest", "best")
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
+def write_warc(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip") -> None:
     """One record per page into archive files below ``path``, any file system Spark can write.
 
     Records are text through Spark's own writer, so a lost task is written again and never half seen.  The
@@ -66,7 +66,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
         'Content-Type: application/http;msgtype=response\r\nContent-Length: ',
         octet_length(http) + if(same, octet_length(payload), 0), '\r\n\r\n', http, if(same, payload, ''), '\r\n')"""
     # The separator of the sink is the second line end after a record.
-    rows.select(F.expr(record).alias("value")).write.option("lineSep", "\r\n").text(path)
+    rows.select(F.expr(record).alias("value")).write.option("lineSep", "\r\n").option("compression", compression).text(path)
 
 
 class WarcFiles(InputPartition):
@@ -109,7 +109,8 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for name, _ in partition.files:
             store, path = fs.FileSystem.from_uri(name)
-            with store.open_input_file(path) as stream:
+            # Plain files are sought in; compressed ones are read through, and what is skipped is not decoded.
+            with (store.open_input_stream if path.endswith(".gz") else store.open_input_file)(path) as stream:
                 for row in self._records(Lines(stream)):
                     rows.append(row)
                     held += 256 + len(row[-1] or b"")
@@ -145,7 +146,7 @@ class WarcReader(DataSourceReader):
 
 
 class Lines:
-    """Buffered lines, blocks and forward seeks over a random-access file."""
+    """Buffered lines, blocks and forward seeks over a file or a stream."""
 
     STEP = 1 << 18
 
@@ -188,9 +189,15 @@ class Lines:
     def seek(self, to: int) -> None:
         if to <= self.start + len(self.data):
             self.at = to - self.start
-        else:
+        elif self.file.seekable():
             self.file.seek(to)
             self.start, self.at, self.data = to, 0, b""
+        else:
+            while to > self.start + len(self.data):
+                self.start, self.data = self.start + len(self.data), self.file.read(self.STEP)
+                if not self.data:
+                    raise ValueError("the archive ends inside a record")
+            self.at = to - self.start
 
 
 class Warc(DataSource):

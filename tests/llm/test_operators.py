@@ -253,7 +253,10 @@ def test_warc(spark, tmp_path):
     tricky = "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
     rows = [(1, "u", "same"), (9, "v", "same"), (3, None, "same"), (4, "a\r\nX: y", tricky), (5, "w", None), (6, "w", ""), (7, "ü", "ünï 😀")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'p' AS payload").repartition(3)
-    warc.write_warc(df, str(tmp_path / "w"))
+    warc.write_warc(df, str(tmp_path / "w"), compression="none")
+    warc.write_warc(df, str(tmp_path / "z"))
+    whole = warc.read_warc(spark, str(tmp_path / "w"))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, warc.read_warc(spark, str(tmp_path / "z")).collect()))
     records = warc.read_warc(spark, str(tmp_path / "w"))
     number = warc.page_number
     found = records.selectExpr(f"{number('record_id')} AS i", "http_length AS n", "substr(payload_digest, 6) AS d", "record_type AS t", f"{number('refers_to')} AS r")
