@@ -33,6 +33,7 @@ from lustra.functions.people import (
 )
 from lustra.operators import missing, stats
 from lustra.operators.dedup import first_rows, later_copies
+from lustra.operators.issues import detect_issues, total_issues
 from lustra.session import stage
 
 # Action names, and the issues each of them is meant to clear.
@@ -46,18 +47,31 @@ CLEARS = {
 # Fixed value: age proposed when no row has a readable age.
 DEFAULT_AGE = 30
 
-_ACTIONS = "ARRAY<STRUCT<seq: BIGINT, action_type: STRING, new_value: STRING>>"
+_ACTIONS = "ARRAY<STRUCT<seq: BIGINT, action_type: STRING, new_value: STRING, whole: BOOLEAN>>"
+_STEP = "STRUCT<column_name: STRING, seq: BIGINT, action_type: STRING, new_value: STRING, whole: BOOLEAN, old: STRING, new: STRING>"
+
+
+def _next(x: str, spec: CellSpec) -> str:
+    """Cell ``x`` after action ``a``."""
+    return f"""CASE
+        WHEN a.action_type = 'fix_missing' AND {is_missing(x)} THEN {cast_cell('a.new_value', spec)}
+        WHEN a.action_type = 'fix_format' THEN {format_cell(f'coalesce(a.new_value, {x})', spec)}
+        WHEN a.action_type = 'fix_type' THEN {cast_cell(f'coalesce(a.new_value, {x})', spec)}
+        WHEN a.action_type = 'fix_outlier' AND {out_of_range(x, spec)} THEN {cast_cell('a.new_value', spec)}
+        ELSE {x} END"""
 
 
 def _folded(todo: str, cell: str, spec: CellSpec) -> str:
     """Cell after the actions of an array, in order of ``seq``."""
-    step = f"""CASE
-        WHEN a.action_type = 'fix_missing' AND {is_missing('x')} THEN {cast_cell('a.new_value', spec)}
-        WHEN a.action_type = 'fix_format' THEN {format_cell('coalesce(a.new_value, x)', spec)}
-        WHEN a.action_type = 'fix_type' THEN {cast_cell('coalesce(a.new_value, x)', spec)}
-        WHEN a.action_type = 'fix_outlier' AND {out_of_range('x', spec)} THEN {cast_cell('a.new_value', spec)}
-        ELSE x END"""
-    return f"aggregate(array_sort({todo}), CAST({cell} AS STRING), (x, a) -> {step})"
+    return f"aggregate(array_sort({todo}), CAST({cell} AS STRING), (x, a) -> {_next('x', spec)})"
+
+
+def _steps(todo: str, column: str, cell: str, spec: CellSpec) -> str:
+    """The actions of an array that changed the cell, each with the cell before and after it."""
+    step = f"struct({lit(column)} AS column_name, a.seq, a.action_type, a.new_value, a.whole, s.x AS old, y AS new)"
+    taken = f"IF(y <=> s.x, s, struct(y AS x, concat(s.done, array({step})) AS done))"
+    start = f"struct(CAST({cell} AS STRING) AS x, CAST(array() AS ARRAY<{_STEP}>) AS done)"
+    return f"aggregate(array_sort({todo}), {start}, (s, a) -> transform(array({_next('s.x', spec)}), y -> {taken})[0]).done"
 
 
 def _representatives(actions: DataFrame, by: Sequence[str], spec: Spec) -> DataFrame:
@@ -66,13 +80,13 @@ def _representatives(actions: DataFrame, by: Sequence[str], spec: Spec) -> DataF
     outlying = " OR ".join(f"(column_name = {lit(c)} AND {out_of_range(cast_cell('new_value', s), s)})" for c, s in ranged.items())
     usable = f"NOT {is_missing('new_value')} AND NOT (action_type = 'fix_outlier' AND ({outlying or 'false'}))"
     known = actions.filter(f"action_type IN ({lits(CELL_ACTIONS)}) AND column_name IN ({lits(spec)})").selectExpr(
-        *[ref(c) for c in by], "seq", "action_type", "column_name", "new_value",
+        *[ref(c) for c in by], "CAST(seq AS BIGINT) AS seq", "action_type", "column_name", "new_value",
         "action_type IN ('fix_missing', 'fix_outlier') AS first",
         f"CASE WHEN action_type IN ('fix_missing', 'fix_outlier') THEN {usable} ELSE new_value IS NOT NULL END AS given",
     )
     # Usable values first; among them the earliest, or the latest for overwriting actions.
     rank = "struct(NOT given, IF(first AND given, seq, -seq))"
-    chosen = f"min_by(struct(seq, action_type, new_value), {rank})"
+    chosen = f"min_by(struct(seq, action_type, new_value, {lit(not by)} AS whole), {rank})"
     return aggregate_by(known, [*by, "column_name", "action_type"], {"action": chosen}).drop("action_type")
 
 
@@ -84,6 +98,26 @@ def _whole(row_id: Sequence[str]) -> str:
     return " AND ".join(f"{ref(c)} IS NULL" for c in row_id)
 
 
+def _planned(df: DataFrame, actions: DataFrame, row_id: list[str], spec: Spec) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with their own actions, and per column the array of actions to run, null where there are none."""
+    # Bounded by columns x action types, so it can be turned into literals.
+    literal: dict[str, list[str]] = {c: [] for c in spec}
+    for r in _representatives(actions.filter(_whole(row_id)), [], spec).collect():
+        literal[r["column_name"]].append(f"struct({lits(r['action'])})")
+
+    # At most one entry per action type and column is collected for a row.
+    collected = {f"__a_{c}": f"collect_list(CASE WHEN column_name = {lit(c)} THEN action END)" for c in spec}
+    per_row = aggregate_by(_representatives(_single(actions, row_id), row_id, spec), row_id, collected)
+    todo = {}
+    for c in spec:
+        own = f"CAST({ref(f'__a_{c}')} AS {_ACTIONS})"
+        if literal[c]:
+            todo[c] = f"concat(coalesce({own}, CAST(array() AS {_ACTIONS})), CAST(array({', '.join(literal[c])}) AS {_ACTIONS}))"
+        else:
+            todo[c] = f"CASE WHEN size({own}) > 0 THEN {own} END"
+    return df.join(per_row, row_id, "left"), todo
+
+
 def apply_repairs(
     df: DataFrame,
     actions: DataFrame,
@@ -96,25 +130,8 @@ def apply_repairs(
     The actions are read three times, so a computed action table is best staged first.
     """
     row_id = as_list(row_id)
-
-    # Bounded by columns x action types, so it can be turned into literals.
-    literal: dict[str, list[str]] = {c: [] for c in spec}
-    for r in _representatives(actions.filter(_whole(row_id)), [], spec).collect():
-        literal[r["column_name"]].append(f"struct({lits(r['action'])})")
-
-    # At most one entry per action type and column is collected for a row.
-    collected = {f"__a_{c}": f"collect_list(CASE WHEN column_name = {lit(c)} THEN action END)" for c in spec}
-    per_row = aggregate_by(_representatives(_single(actions, row_id), row_id, spec), row_id, collected)
-    joined = df.join(per_row, row_id, "left")
-
-    fixed = {}
-    for c, s in spec.items():
-        own, cell = ref(f"__a_{c}"), ref(c)
-        if literal[c]:
-            todo = f"concat(coalesce({own}, CAST(array() AS {_ACTIONS})), CAST(array({', '.join(literal[c])}) AS {_ACTIONS}))"
-            fixed[c] = _folded(todo, cell, s)
-        else:
-            fixed[c] = f"CASE WHEN size({own}) > 0 THEN {_folded(own, cell, s)} ELSE {cell} END"
+    joined, todo = _planned(df, actions, row_id, spec)
+    fixed = {c: f"CASE WHEN {todo[c]} IS NOT NULL THEN {_folded(todo[c], ref(c), s)} ELSE {ref(c)} END" for c, s in spec.items()}
     repaired = pick(with_exprs(joined, fixed), df.columns)
     return repaired.join(removed_rows(df, actions, row_id, key), row_id, "left_anti")
 
@@ -154,55 +171,101 @@ def repair_audit(
     truth: DataFrame | None = None,
     key: str = "id",
 ) -> DataFrame:
-    """Actions on rows with ``valid`` (something changed), ``correct`` (the issue it is meant
-    to clear is gone) and ``destructive`` (not correct, and a cell that agreed with the truth
-    no longer does).
-
-    Only rows with actions take part; joins are on the unique row id and on the key of the
-    truth table, where a key holding many actions is split at run time.
+    """All actions, each judged on its own step: the cell just before and just after it.
+
+    * ``valid``: it changed a cell of a row that stays, or removed its row; ``no_op`` always is.
+    * ``correct``: the issue it is meant to clear is gone; for a whole column, fewer cells have
+      it; for ``no_op``, no issue is left in ``after``.
+    * ``destructive``: valid, not correct, and more cells stopped agreeing with the truth than
+      began to.  Of truth rows with the same key the smallest counts.
+    * ``rows_changed``: cells changed, or rows removed.  ``value_before`` and ``value_after``
+      are null for whole columns; an action without effect shows the cell as it was.
+
+    An action is known by row id, ``seq``, type, column and value.  Single actions join on the
+    unique row id; whole columns are counted per action, with partial aggregation.
     """
     row_id = as_list(row_id)
     ids = [ref(c) for c in row_id]
-    single = _single(actions, row_id)
+    planned, todo = _planned(before, actions, row_id, spec)
+    steps = [f"coalesce({_steps(todo[c], c, ref(c), s)}, CAST(array() AS ARRAY<{_STEP}>))" for c, s in spec.items()]
+    cells = [f"{ref(c)} AS {ref('__b_' + c)}" for c in spec]
+    seen = planned.selectExpr(*ids, *cells, f"concat({', '.join(steps)}) AS __steps", "true AS __b_")
+    seen = seen.join(after.selectExpr(*ids, "true AS __c_"), row_id, "left")
+
+    def with_truth(df: DataFrame) -> DataFrame:
+        if truth is None:
+            return df.withColumn("value_true", F.lit(None).cast("string"))
+        one = f"min(struct({', '.join(f'CAST({ref(c)} AS STRING) AS {ref(c)}' for c in spec)}))"
+        true = aggregate_by(truth, [key], {"__true": one}).selectExpr(f"{ref(key)} AS __key", "__true")
+        joined = df.join(true, F.expr(f"{ref('__b_' + key)} = __key"), "left").drop("__key")
+        return with_exprs(joined, {"value_true": f"CASE column_name {' '.join(f'WHEN {lit(c)} THEN __true.{ref(c)}' for c in spec)} END"})
 
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.selectExpr(*ids, *[f"{ref(c)} AS {ref(mark + c)}" for c in spec], f"true AS {mark}")
+    # Issue and comparable form of the cell before, after and in truth, by its column's rules.
+    judge = f"struct({_cases(spec, cell_issue)} AS issue, {_cases(spec, normal_cell)} AS normal)"
+    judged = {"__cells": f"transform(array(value_before, value_after, value_true), x -> {judge})"}
+    known = "false" if truth is None else "true"
+    lost = f"{known} AND __cells[0].normal <=> __cells[2].normal AND NOT (__cells[1].normal <=> __cells[2].normal)"
+    found = f"{known} AND __cells[1].normal <=> __cells[2].normal AND NOT (__cells[0].normal <=> __cells[2].normal)"
+    verdict = ["value_before", "value_after", "valid", "correct", "valid AND NOT correct AND lost > 0 AS destructive", "rows_changed"]
 
-    joined = single.join(side(before, "__b_"), row_id, "left").join(side(after, "__c_"), row_id, "left")
-    if truth is not None:
-        true = truth.selectExpr(*[f"{ref(c)} AS {ref('__t_' + c)}" for c in spec])
-        joined = joined.join(true, F.expr(f"{ref('__b_' + key)} = {ref('__t_' + key)}"), "left")
-    true_value = "CAST(NULL AS STRING)" if truth is None else _named_cell("__t_", spec, lambda c, s: c)
+    def fewer(issue: str) -> str:
+        return f"CAST(__cells[0].issue <=> {lit(issue)} AS INT) - CAST(__cells[1].issue <=> {lit(issue)} AS INT)"
 
-    cleared = " ".join(
-        f"WHEN {lit(kind)} THEN __cells[0].issue IN ({lits(issues)}) AND NOT coalesce(__cells[1].issue IN ({lits(issues)}), false)"
-        for kind, issues in CLEARS.items()
-    )
-    named = with_exprs(
-        joined,
+    single = _single(actions, row_id)
+    mine = "d.seq = seq AND d.action_type = action_type AND d.column_name = column_name AND d.new_value <=> new_value AND NOT d.whole"
+    # The names of the lambda variable's fields are those of the action's columns.
+    looked = single.join(seen, row_id, "left").withColumn("__step", F.expr(f"get(filter(__steps, d -> {mine}), 0)"))
+    cell = _named_cell("__b_", spec, lambda c, s: c)
+    looked = with_exprs(
+        looked,
         {
-            "value_before": _named_cell("__b_", spec, lambda c, s: c),
-            "value_after": _named_cell("__c_", spec, lambda c, s: c),
-            "value_true": true_value,
             "__gone": "__b_ IS NOT NULL AND __c_ IS NULL",
+            "value_before": f"IF(__step IS NULL, {cell}, __step.old)",
+            "value_after": f"CASE WHEN __c_ IS NULL THEN NULL WHEN __step IS NULL THEN {cell} ELSE __step.new END",
         },
     )
-    # Issue and comparable form of the cell before, after and in truth, by its column's rules.
-    judge = f"struct({_cases(spec, cell_issue)} AS issue, {_cases(spec, normal_cell)} AS normal)"
-    looked = with_exprs(named, {"__cells": f"transform(array(value_before, value_after, value_true), x -> {judge})"})
-    lost = "__cells[0].normal <=> __cells[2].normal AND NOT (__cells[1].normal <=> __cells[2].normal)"
-    changed = "__b_ IS NOT NULL AND __c_ IS NOT NULL AND NOT (value_before <=> value_after)"
-    kinds = f"action_type IN ({lits(CELL_ACTIONS)})"
-    judged = with_exprs(
+    clears = " ".join(f"WHEN {lit(kind)} THEN {' OR '.join(f'{fewer(i)} > 0' for i in issues)}" for kind, issues in CLEARS.items())
+    clean = _nothing_left(actions, after, spec, key)
+    looked = with_exprs(with_exprs(with_truth(looked), judged), {"__changed": "__step IS NOT NULL AND __c_ IS NOT NULL"})
+    of_rows = with_exprs(
         looked,
         {
-            "valid": f"CASE action_type WHEN 'no_op' THEN true WHEN 'remove_duplicate' THEN __gone ELSE {kinds} AND {changed} END",
-            "correct": f"CASE WHEN action_type = 'remove_duplicate' THEN __gone ELSE {changed} AND coalesce(CASE action_type {cleared} END, false) END",
+            "valid": "CASE action_type WHEN 'no_op' THEN true WHEN 'remove_duplicate' THEN __gone ELSE __changed END",
+            "correct": f"CASE action_type WHEN 'no_op' THEN {clean} WHEN 'remove_duplicate' THEN __gone ELSE __changed AND coalesce(CASE action_type {clears} END, false) END",
+            "lost": f"CAST(__changed AND {lost} AS BIGINT)",
+            "rows_changed": "CAST(__changed OR (action_type = 'remove_duplicate' AND __gone) AS BIGINT)",
         },
     )
-    known = "false" if truth is None else "true"
-    destructive = f"{kinds} AND valid AND NOT correct AND {known} AND {lost} AS destructive"
-    return judged.selectExpr(*[ref(c) for c in single.columns], "value_before", "value_after", "valid", "correct", destructive)
+
+    changes = seen.filter("__c_").selectExpr(ref("__b_" + key), "inline(filter(__steps, d -> d.whole))")
+    changes = with_exprs(with_truth(changes.withColumnsRenamed({"old": "value_before", "new": "value_after"})), judged)
+    every = sorted({i for issues in CLEARS.values() for i in issues})
+    counts = {"rows_changed": "count(1)", "lost": f"sum(CAST({lost} AS INT) - CAST({found} AS INT))"} | {f"__{i}": f"sum({fewer(i)})" for i in every}
+    counted = aggregate_by(changes, ["seq", "action_type", "column_name", "new_value"], counts)
+    counted = counted.withColumnsRenamed({"seq": "__seq", "action_type": "__type", "column_name": "__column", "new_value": "__value"})
+    same = "seq = __seq AND action_type = __type AND column_name = __column AND new_value <=> __value"
+    # At most one row per column and action type.
+    columns = actions.filter(_whole(row_id)).join(F.broadcast(counted), F.expr(same), "left")
+    cleared = " ".join(f"WHEN {lit(kind)} THEN {' OR '.join(f'__{i} > 0' for i in issues)}" for kind, issues in CLEARS.items())
+    of_columns = with_exprs(
+        columns,
+        {
+            "valid": "action_type <=> 'no_op' OR __seq IS NOT NULL",
+            "correct": f"CASE action_type WHEN 'no_op' THEN {clean} ELSE coalesce(CASE action_type {cleared} END, false) END",
+            "value_before": "CAST(NULL AS STRING)",
+            "value_after": "CAST(NULL AS STRING)",
+            "rows_changed": "coalesce(rows_changed, 0L)",
+        },
+    )
+    given = [ref(c) for c in actions.columns]
+    return of_rows.selectExpr(*given, *verdict).unionByName(of_columns.selectExpr(*given, *verdict))
+
+
+def _nothing_left(actions: DataFrame, after: DataFrame, spec: Spec, key: str) -> str:
+    """Whether no issue is left, as a literal; counted only if an action asks for it."""
+    if actions.filter("action_type = 'no_op'").isEmpty():
+        return "false"
+    return lit(total_issues(detect_issues(after, key, spec)).first()["total_issues"] == 0)
 
 
 def median_of_readable(df: DataFrame, column: str, spec: CellSpec) -> float | None:

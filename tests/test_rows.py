@@ -230,6 +230,43 @@ def test_destructive_repairs_are_marked(spark):
     assert {r["k"]: r["destructive"] for r in audit.collect()} == {1: True, 2: False}
 
 
+def test_each_repair_is_judged_on_its_own_step(spark):
+    df = spark.createDataFrame([person(1, age=""), person(2, age="999"), person(3, phone="5551234567"), person(4), person(4, 1)], PEOPLE_DDL)
+    truth = spark.createDataFrame([person(k) for k in (1, 2, 3, 4)] * 2, PEOPLE_DDL).select(*CELLS)
+    actions = [
+        (1, 0, 1, "fix_missing", "age", "30", "acts"), (1, 0, 2, "fix_missing", "age", "40", "too late"), (1, 0, 3, "fix_outlier", "age", "50", "no outlier"),
+        (2, 0, 1, "fix_outlier", "age", "33", "acts"), (2, 0, 2, "fix_type", "age", "34", "changes, clears nothing"),
+        (3, 0, 1, "fix_format", "name", "someone else", "destroys"), (4, 1, 1, "remove_duplicate", "id", None, "copy"),
+        (4, 1, 2, "fix_format", "name", "gone", "row is removed"),
+        (None, None, 5, "fix_format", "phone", None, "one cell"), (None, None, 6, "fix_missing", "email", "x@y.zz", "none missing"),
+        (None, None, 7, "fix_type", "salary", "7", "overwrites all"), (1, 0, 9, "no_op", None, None, ""),
+    ]
+    todo = spark.createDataFrame(actions, ACTION_DDL)
+    fixed = repair.apply_repairs(df, todo, ROW)
+    audit = repair.repair_audit(df, fixed, todo, ROW, truth=truth).collect()
+    assert len(audit) == len(actions)
+    found = {(r["k"], r["seq"]): (r["valid"], r["correct"], r["destructive"], r["rows_changed"]) for r in audit}
+    assert found[1, 1] == (True, True, False, 1)
+    assert found[1, 2] == found[1, 3] == (False, False, False, 0)
+    assert found[2, 1][:2] == (True, True) and found[2, 2][:2] == (True, False)
+    assert found[3, 1] == (True, False, True, 1)
+    assert found[4, 1] == (True, True, False, 1) and found[4, 2] == (False, False, False, 0)
+    assert found[None, 5] == (True, True, False, 1)
+    assert found[None, 6] == (False, False, False, 0)
+    assert found[None, 7] == (True, False, True, 4)
+    assert (found[1, 9][0], found[1, 9][3]) == (True, 0)
+    values = {(r["k"], r["seq"]): (r["value_before"], r["value_after"]) for r in audit}
+    assert values[2, 1] == ("999", "33") and values[2, 2] == ("33", "34") and values[1, 2] == ("", "")
+
+
+def test_no_op_is_correct_once_nothing_is_left(spark):
+    todo = spark.createDataFrame([(1, 0, 1, "no_op", None, None, ""), (None, None, 2, "no_op", None, None, "")], ACTION_DDL)
+    for people, correct in (([person(1)], True), ([person(1, age="")], False), ([person(1), person(1, 1)], False)):
+        df = spark.createDataFrame(people, PEOPLE_DDL)
+        audit = repair.repair_audit(df, df, todo, ROW).collect()
+        assert [(r["valid"], r["correct"], r["rows_changed"]) for r in audit] == [(True, correct, 0)] * 2
+
+
 def test_true_values_repair_everything(spark):
     truth = generated.synthesize_people(spark, 200)
     dirty = generated.inject_issues(truth, rates={"exact_copy": 0.0, "near_copy": 0.0})
