@@ -254,6 +254,7 @@ def repair_audit(
             "correct": f"CASE action_type WHEN 'no_op' THEN {clean} ELSE coalesce(CASE action_type {cleared} END, false) END",
             "value_before": "CAST(NULL AS STRING)",
             "value_after": "CAST(NULL AS STRING)",
+            "lost": "coalesce(lost, 0L)",
             "rows_changed": "coalesce(rows_changed, 0L)",
         },
     )

@@ -133,13 +133,24 @@ def grades(
     before: DataFrame, after: DataFrame, match: DataFrame, steps: int, max_steps: int, destructive: int = 0
 ) -> DataFrame:
     """One row with the three grades from two issue counts and one match score."""
-    at, most = str(steps), str(max_steps)
+    table = issues_fixed(before, after).selectExpr("*", f"{steps} AS steps", f"{destructive} AS destructive")
+    return _graded(table, match, max_steps)
+
+
+def audited_grades(before: DataFrame, after: DataFrame, match: DataFrame, audit: DataFrame, max_steps: int) -> DataFrame:
+    """As ``grades``, with the steps and the destructive actions counted in the audit of the repairs."""
+    taken = aggregate(audit, {"steps": "count(1)", "destructive": "coalesce(sum(CAST(destructive AS BIGINT)), 0)"})
+    # One aggregate row each.
+    return _graded(issues_fixed(before, after).crossJoin(F.broadcast(taken)), match, max_steps)
+
+
+def _graded(table: DataFrame, match: DataFrame, max_steps: int) -> DataFrame:
+    most = str(max_steps)
     # One aggregate row each.
-    table = issues_fixed(before, after).crossJoin(F.broadcast(match.select("ratio")))
-    return table.selectExpr(
-        f"{grade_easy(at, most)} AS easy",
+    return table.crossJoin(F.broadcast(match.select("ratio"))).selectExpr(
+        f"{grade_easy('steps', most)} AS easy",
         f"{grade_medium()} AS medium",
-        f"{grade_hard('ratio', at, most, str(destructive))} AS hard",
+        f"{grade_hard('ratio', 'steps', most, 'destructive')} AS hard",
     )
 
 

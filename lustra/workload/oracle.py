@@ -527,14 +527,44 @@ ORACLE["apply_column_repairs"] = with_people(
     )
 )
 ORACLE["repair_audit"] = with_people(
-    """SELECT a.k, a.copy_no, a.seq, a.action_type, a.column_name, a.new_value,
+    """SELECT a.k, a.copy_no, a.seq, a.action_type, a.column_name, a.new_value, a.reason,
       CASE a.column_name WHEN 'id' THEN b.id WHEN 'age' THEN b.age WHEN 'email' THEN b.email WHEN 'hire_date' THEN b.hire_date END AS value_before,
       CASE a.column_name WHEN 'id' THEN c.id WHEN 'age' THEN c.age WHEN 'email' THEN c.email WHEN 'hire_date' THEN c.hire_date END AS value_after,
       CASE WHEN action_type = 'remove_duplicate' THEN c.id IS NULL ELSE value_before IS DISTINCT FROM value_after END AS valid,
-      valid AS correct, false AS destructive
+      valid AS correct, false AS destructive, CAST(valid AS BIGINT) AS rows_changed
     FROM actions a JOIN people b USING (k, copy_no) LEFT JOIN fixed c USING (k, copy_no)""",
     _MIDDLE, _REST, _ACTIONS, f"fixed AS ({_FIXED})",
 )
+_PRISTINE = "copy_no = 0 AND k % 61 = 0 AND k % 19 <> 0 AND k % 23 <> 0"
+
+
+def _acts(seq: int, kind: str, column: str, value: str, why: str, after: str, valid: bool, correct: bool, destructive: bool, when: str) -> str:
+    return f"""SELECT k, copy_no, {seq}::BIGINT AS seq, '{kind}' AS action_type, '{column}' AS column_name, '{value}' AS new_value, '{why}' AS reason,
+      {column} AS value_before, {after} AS value_after, {valid} AS valid, {correct} AS correct, {destructive} AS destructive,
+      {int(valid)}::BIGINT AS rows_changed FROM people WHERE {when}"""
+
+
+def _on_column(seq: int, kind: str, column: str, value: str, why: str, when: str) -> str:
+    return f"""SELECT NULL, NULL, {seq}, '{kind}', {column}, {value}, '{why}', NULL, NULL, count(*) > 0 OR '{kind}' = 'no_op', count(*) > 0, false, count(*)
+      FROM people WHERE {when}"""
+
+
+_MIXED_AUDIT = union((
+    _acts(1, "fix_missing", "age", "30", "acts", "'30'", True, True, False, "age IS NULL OR age = ''"),
+    _acts(2, "fix_missing", "age", "40", "too late", "age", False, False, False, "age IS NULL OR age = ''"),
+    _acts(3, "fix_outlier", "age", "35", "acts", "'35'", True, True, False, "age = '999'"),
+    _acts(4, "fix_format", "name", "Someone Else", "destroys", "'Someone Else'", True, False, True, _PRISTINE),
+    _on_column(10, "fix_missing", "'phone'", "'000-000-0000'", "acts on some", "phone IS NULL OR phone = ''"),
+    _on_column(11, "fix_missing", "'is_active'", "'true'", "none is missing", "is_active IS NULL OR is_active = ''"),
+    _on_column(12, "no_op", "NULL", "NULL", "issues are left", "false"),
+))
+_MIXED = replaced(
+    "people",
+    age="CASE WHEN age IS NULL OR age = '' THEN '30' WHEN age = '999' THEN '35' ELSE age END",
+    name=f"CASE WHEN {_PRISTINE} THEN 'Someone Else' ELSE name END",
+    phone="CASE WHEN phone IS NULL OR phone = '' THEN '000-000-0000' ELSE phone END",
+)
+ORACLE["repair_audit_known"] = with_people(_MIXED_AUDIT)
 _GOOD_SALARY = "CASE WHEN TRY_CAST(salary AS DOUBLE) > 0 AND TRY_CAST(salary AS DOUBLE) <= 300000 THEN TRY_CAST(salary AS DOUBLE) END"
 _GOOD_AGE = "CASE WHEN regexp_full_match(age, '[+-]?[0-9]+') AND TRY_CAST(age AS INT) BETWEEN 18 AND 80 THEN TRY_CAST(age AS DOUBLE) END"
 _FILLED = replaced(
@@ -595,12 +625,18 @@ ORACLE["cell_match_keyed"] = with_people(
       FROM (SELECT * FROM people QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, copy_no) = 1) l FULL JOIN truth r ON l.id = r.id)"""
 )
 _ALL_ISSUES = (*CELL_ISSUES, "duplicates", "near_duplicates")
-_BOTH = (
-    _MIDDLE, _REST, f"fixed AS ({_FIXED})", f"b AS (SELECT * FROM {issue_counts('people')})", f"a AS (SELECT * FROM {issue_counts('fixed')})",
-    f"""counters AS (SELECT {', '.join(f'b.{i} AS original_{i}' for i in _ALL_ISSUES)},
-      {', '.join(f'greatest(b.{i} - a.{i}, 0) AS fixed_{i}' for i in _ALL_ISSUES)} FROM a, b)""",
-)
-ORACLE["issues_fixed"] = with_people("SELECT * FROM counters", *_BOTH)
+
+
+def _counters(fixed: str) -> tuple[str, ...]:
+    """Issues of the people before and after repair."""
+    return (
+        f"fixed AS ({fixed})", f"b AS (SELECT * FROM {issue_counts('people')})", f"a AS (SELECT * FROM {issue_counts('fixed')})",
+        f"""counters AS (SELECT {', '.join(f'b.{i} AS original_{i}' for i in _ALL_ISSUES)},
+          {', '.join(f'greatest(b.{i} - a.{i}, 0) AS fixed_{i}' for i in _ALL_ISSUES)} FROM a, b)""",
+    )
+
+
+ORACLE["issues_fixed"] = with_people("SELECT * FROM counters", _MIDDLE, _REST, *_counters(_FIXED))
 
 
 def _earned(issue_name: str) -> str:
@@ -608,12 +644,13 @@ def _earned(issue_name: str) -> str:
 
 
 ORACLE["grades"] = with_people(
-    f"""SELECT round(least(1, 0.5 * {_earned('missing_values')} + 0.5 * {_earned('duplicates')} + greatest(0, 0.1 * (1 - 10 / 80))), 8) AS easy,
+    f"""SELECT round(least(1, 0.5 * {_earned('missing_values')} + 0.5 * {_earned('duplicates')} + saved), 8) AS easy,
       round(least(1, 0.25 * {_earned('missing_values')} + 0.2 * {_earned('duplicates')} + 0.3 * {_earned('wrong_format')} + 0.25 * {_earned('wrong_type')}), 8) AS medium,
       round(greatest(0, least(1, 0.7 * ratio + 0.2 * ({' + '.join(f'fixed_{i}' for i in _ALL_ISSUES)}) / ({' + '.join(f'original_{i}' for i in _ALL_ISSUES)})
-        + 0.1 * (1 - 10 / 80) - 0.05)), 8) AS hard
-    FROM counters, {positional(f'SELECT {CELLS} FROM fixed', f'SELECT {CELLS} FROM truth')}""",
-    *_BOTH,
+        + saved - 0.05 * destroyed)), 8) AS hard
+    FROM counters, {positional(f'SELECT {CELLS} FROM fixed', f'SELECT {CELLS} FROM truth')},
+      (SELECT greatest(0, 0.1 * (1 - count(*) / 100000)) AS saved, count(*) FILTER (WHERE destructive) AS destroyed FROM audit)""",
+    *_counters(_MIXED), f"audit AS ({_MIXED_AUDIT})",
 )
 _LOG = """log AS (SELECT user_id AS run_id, event_id AS step,
     CASE event_id % 7 WHEN 0 THEN 'fix_missing' WHEN 1 THEN 'remove_duplicate' WHEN 2 THEN 'fix_format'

@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ROW = list(ROW_ID)
 CELLS = list(DATA)
+ACTION_DDL = "k long, copy_no int, seq long, action_type string, column_name string, new_value string, reason string"
 
 ORDER_RULES = {
     "columns": {
@@ -523,8 +524,7 @@ def apply_column_repairs(spark: SparkSession, sf: str) -> DataFrame:
         (None, None, 7, "fix_format", "nowhere", None, "no such column"),
         (None, None, 8, "polish", "name", "x", "no such action"),
     ]
-    schema = "k long, copy_no int, seq long, action_type string, column_name string, new_value string, reason string"
-    return repair.apply_repairs(people(spark, sf), spark.createDataFrame(rows, schema), ROW)
+    return repair.apply_repairs(people(spark, sf), spark.createDataFrame(rows, ACTION_DDL), ROW)
 
 
 @query
@@ -532,7 +532,42 @@ def repair_audit(spark: SparkSession, sf: str) -> DataFrame:
     dirty = people(spark, sf)
     actions = _proposed(spark, sf)
     after = repair.apply_repairs(dirty, actions, ROW)
-    return repair.repair_audit(dirty, after, actions, ROW, truth=people_truth(spark, sf)).drop("reason")
+    return repair.repair_audit(dirty, after, actions, ROW, truth=people_truth(spark, sf))
+
+
+def _mixed_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """Several actions on a cell, one that is outdone, one that destroys, whole columns and a ``no_op``."""
+    asked = [
+        ("age IS NULL OR age = ''", 1, "fix_missing", "age", "30", "acts"),
+        ("age IS NULL OR age = ''", 2, "fix_missing", "age", "40", "too late"),
+        ("age = '999'", 3, "fix_outlier", "age", "35", "acts"),
+        ("copy_no = 0 AND k % 61 = 0 AND k % 19 <> 0 AND k % 23 <> 0", 4, "fix_format", "name", "Someone Else", "destroys"),
+    ]
+    whole = [
+        ("fix_missing", "phone", "000-000-0000", "acts on some"),
+        ("fix_missing", "is_active", "true", "none is missing"),
+        ("no_op", None, None, "issues are left"),
+    ]
+    dirty = people(spark, sf)
+    rows = [
+        F.expr(f"IF({when}, struct({seq}L AS seq, '{kind}' AS action_type, '{c}' AS column_name, '{value}' AS new_value, '{why}' AS reason), NULL)")
+        for when, seq, kind, c, value, why in asked
+    ]
+    single = dirty.select(*ROW, F.explode(F.array(*rows)).alias("a")).filter("a IS NOT NULL").select(*ROW, "a.*")
+    columns = [(None, None, 10 + i, *a) for i, a in enumerate(whole)]
+    return stage(single.unionByName(spark.createDataFrame(columns, ACTION_DDL)), "actions")
+
+
+def _mixed_audit(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The table repaired by the mixed actions, and their audit."""
+    dirty, actions = people(spark, sf), _mixed_actions(spark, sf)
+    after = stage(repair.apply_repairs(dirty, actions, ROW), "repaired")
+    return after, repair.repair_audit(dirty, after, actions, ROW, truth=people_truth(spark, sf))
+
+
+@query
+def repair_audit_known(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed_audit(spark, sf)[1]
 
 
 @query
@@ -577,9 +612,10 @@ def issues_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def grades(spark: SparkSession, sf: str) -> DataFrame:
-    after = _repaired(spark, sf)
+    """Grades of the mixed actions, steps and destructive ones counted in their audit."""
+    after, audit = _mixed_audit(spark, sf)
     match = score.cell_match_ratio(after, people_truth(spark, sf), CELLS, row_id=ROW)
-    found = score.grades(issues.detect_issues(people(spark, sf)), issues.detect_issues(after), match, 10, 80, 1)
+    found = score.audited_grades(issues.detect_issues(people(spark, sf)), issues.detect_issues(after), match, audit, 100_000)
     return rounded(found, "easy", "medium", "hard", places=8)
 
 
