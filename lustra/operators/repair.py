@@ -34,6 +34,7 @@ from lustra.functions.people import (
 from lustra.operators import missing, stats
 from lustra.operators.dedup import first_rows, later_copies
 from lustra.operators.issues import detect_issues, total_issues
+from lustra.operators.rows import number_rows
 from lustra.session import stage
 
 # Action names, and the issues each of them is meant to clear.
@@ -354,16 +355,34 @@ def table_diff(
 ) -> DataFrame:
     """Changed cells side by side: ``(key, column, change, before, after)``.
 
-    Rows on one side only give one line per non-null cell, as ``added`` or ``removed``.
+    Rows on one side only give one line per non-null cell, as ``added`` or ``removed``.  Rows
+    that repeat a key are compared in order of their cells as text, the first with the first;
+    the others of the longer side are on one side only.
     """
     key = as_list(key)
     ids = [ref(c) for c in key]
     columns = [c for c in before.columns if c in after.columns and c not in key] if columns is None else list(columns)
     packed = f"struct({', '.join(f'CAST({ref(c)} AS STRING) AS {ref(c)}' for c in columns)})"
-    joined = before.selectExpr(*ids, f"{packed} AS __b").join(after.selectExpr(*ids, f"{packed} AS __a"), key, "full")
+    old, new = before.selectExpr(*ids, f"{packed} AS __b"), after.selectExpr(*ids, f"{packed} AS __a")
+    if _repeats(old, key) or _repeats(new, key):
+        old, new = _with_place(old, key, "__b"), _with_place(new, key, "__a")
+        joined = old.join(new, [*key, "__place"], "full")
+    else:
+        joined = old.join(new, key, "full")
     change = "CASE WHEN __b IS NULL THEN 'added' WHEN __a IS NULL THEN 'removed' ELSE 'changed' END AS change"
     cells = ", ".join(
         f"struct({lit(c)} AS column, __b.{ref(c)} AS before, __a.{ref(c)} AS after)" for c in columns
     )
     long = joined.selectExpr(*ids, change, f"inline(array({cells}))").filter("NOT (before <=> after)")
     return long.selectExpr(*ids, "column", "change", "before", "after")
+
+
+def _repeats(df: DataFrame, key: Sequence[str]) -> bool:
+    return not aggregate_by(df, key, {"__n": "count(1)"}).filter("__n > 1").isEmpty()
+
+
+def _with_place(df: DataFrame, key: Sequence[str], cells: str) -> DataFrame:
+    """Place of a row among those of its key, from a range sort, which splits a key that holds many rows."""
+    numbered = number_rows(df, [*[ref(c) for c in key], cells], "__at")
+    firsts = aggregate_by(numbered, key, {"__first": "min(__at)"})
+    return numbered.join(firsts, list(key), "left").selectExpr(*[ref(c) for c in key], cells, "__at - __first AS __place")

@@ -592,10 +592,11 @@ ORACLE["auto_clean"] = with_people(
 )
 ORACLE["table_diff"] = with_people(
     union(
-        f"""SELECT id, '{c}' AS "column", 'changed' AS change, p.{c} AS before, t.{c} AS after
-          FROM people p JOIN truth t USING (id) WHERE p.copy_no = 0 AND p.{c} IS DISTINCT FROM t.{c}"""
+        f"""SELECT p.id, '{c}' AS "column", CASE WHEN nth = 1 THEN 'changed' ELSE 'removed' END AS change, p.{c} AS before, t.{c} AS after
+          FROM placed p LEFT JOIN truth t ON t.id = p.id AND nth = 1 WHERE p.{c} IS DISTINCT FROM t.{c}"""
         for c in DATA[1:]
-    )
+    ),
+    f"""placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {', '.join(f'{c} NULLS FIRST' for c in DATA[1:])}) AS nth FROM people)""",
 )
 
 # ---------------------------------------------------------------- scores
