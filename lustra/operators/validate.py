@@ -1,7 +1,8 @@
 """Rule-driven validation in one scan without a shuffle.
 
 Every rule compiles to a test and an error.  The same compiled rules give the valid rows, the
-long error table and the quarantine table, in batch and on streams.
+long error table and the quarantine table, in batch and on streams.  ``allowed_values`` is a
+short list, which becomes a literal, or a table, whose first column is joined.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lustra.functions import types
 from lustra.functions.columns import any_of, as_list, dtype, is_numeric, lit, lits, ref
-from lustra.functions.frames import with_exprs
+from lustra.functions.frames import pick, with_exprs
 
 ERROR = "column: string, rule: string, value: string, message: string"
 
@@ -72,7 +74,9 @@ def _checks(df: DataFrame, schema: Mapping, row_id: Sequence[str]) -> list[_Chec
         if "pattern" in rules:
             found = types.matches(shown, java_pattern(rules["pattern"], df.sparkSession))
             add("pattern", f"{present} AND NOT {found}", f"'{name}' lacks the form {rules['pattern']}: '", "'")
-        if "allowed_values" in rules:
+        if isinstance(rules.get("allowed_values"), DataFrame):
+            add("allowed_values", f"{present} AND {ref('__allowed_' + name)} IS NULL", f"'{name}' is not in the table of values: '", "'")
+        elif "allowed_values" in rules:
             known = f"{shown} IN ({lits(str(v) for v in rules['allowed_values'])})"
             add("allowed_values", f"{present} AND NOT {known}", f"'{name}' is none of {rules['allowed_values']}: '", "'")
     return out
@@ -88,36 +92,56 @@ def missing_columns(df: DataFrame, schema: Mapping) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, ERROR)
 
 
+def _marked(df: DataFrame, schema: Mapping) -> DataFrame:
+    """Rows with the value found in each table of allowed values, null if it is not there.
+
+    Such a table may hold any number of values; the join is left to adaptive execution.
+    """
+    for name, rules in schema.get("columns", {}).items():
+        allowed, mark = rules.get("allowed_values"), ref(f"__allowed_{name}")
+        if isinstance(allowed, DataFrame) and name in df.columns:
+            values = allowed.selectExpr(f"CAST({ref(allowed.columns[0])} AS STRING) AS {mark}").distinct()
+            df = df.join(values, F.expr(f"CAST({ref(name)} AS STRING) = {mark}"), "left")
+    return df
+
+
+def _failed(marked: DataFrame, schema: Mapping) -> str:
+    return any_of([check.failed for check in _checks(marked, schema, ())])
+
+
 def valid_rows(df: DataFrame, schema: Mapping) -> DataFrame:
     """Rows that break no rule."""
-    return df.filter(f"NOT ({any_of([check.failed for check in _checks(df, schema, ())])})")
+    marked = _marked(df, schema)
+    return pick(marked.filter(f"NOT ({_failed(marked, schema)})"), df.columns)
 
 
 def validation_errors(df: DataFrame, schema: Mapping, row_id: str | Sequence[str] = ()) -> DataFrame:
     """Long ``(row id, column, rule, value, message)``; one cell may break several rules."""
     row_id = as_list(row_id)
-    checks = _checks(df, schema, row_id)
+    marked = _marked(df, schema)
+    checks = _checks(marked, schema, row_id)
     nulls = [f"CAST(NULL AS {dtype(df, c).simpleString()}) AS {ref(c)}" for c in row_id]
     absent = missing_columns(df, schema).selectExpr(*nulls, "*")
     if not checks:
         return absent
     ids = [ref(c) for c in row_id]
-    broken = df.filter(any_of([check.failed for check in checks]))
+    broken = marked.filter(any_of([check.failed for check in checks]))
     long = broken.selectExpr(*ids, f"explode(array({', '.join(check.error for check in checks)})) AS __e")
     return long.filter("__e IS NOT NULL").selectExpr(*ids, "__e.*").unionByName(absent)
 
 
 def with_errors(df: DataFrame, schema: Mapping, row_id: str | Sequence[str] = (), name: str = "errors") -> DataFrame:
     """Add the array of broken rules per row; empty for a valid row."""
-    checks = _checks(df, schema, as_list(row_id))
+    marked = _marked(df, schema)
+    checks = _checks(marked, schema, as_list(row_id))
     found = f"array_compact(array({', '.join(check.error for check in checks)}))" if checks else "array()"
-    return with_exprs(df, {name: f"CAST({found} AS ARRAY<STRUCT<{ERROR}>>)"})
+    return pick(with_exprs(marked, {name: f"CAST({found} AS ARRAY<STRUCT<{ERROR}>>)"}), [*[c for c in df.columns if c != name], name])
 
 
 def quarantine(df: DataFrame, schema: Mapping, row_id: str | Sequence[str] = ()) -> DataFrame:
     """Rows that break a rule, with what they broke."""
-    broken = df.filter(any_of([check.failed for check in _checks(df, schema, ())]))
-    return with_errors(broken, schema, row_id)
+    marked = _marked(df, schema)
+    return with_errors(pick(marked.filter(_failed(marked, schema)), df.columns), schema, row_id)
 
 
 def validate(df: DataFrame, schema: Mapping, row_id: str | Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

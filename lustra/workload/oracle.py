@@ -494,6 +494,10 @@ ORACLE["cell_issues"] = with_people(
     WHERE issue IS NOT NULL"""
 )
 
+ORACLE["validate_against_table"] = """SELECT l_orderkey, l_linenumber, 'l_suppkey' AS "column", 'allowed_values' AS rule, CAST(l_suppkey AS VARCHAR) AS value,
+  'Row ' || l_orderkey || '/' || l_linenumber || ': ''l_suppkey'' is not in the table of values: ' || chr(39) || l_suppkey || chr(39) AS message
+  FROM lineitem WHERE l_suppkey IS NOT NULL AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"""
+
 # ---------------------------------------------------------------- repairs
 
 _INT_AGE = "CASE WHEN regexp_full_match(age, '[+-]?[0-9]+') THEN CAST(age AS DOUBLE) END"

@@ -462,6 +462,13 @@ def cell_issues(spark: SparkSession, sf: str) -> DataFrame:
     return issues.cell_issues(people(spark, sf), ROW)
 
 
+@query
+def validate_against_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items whose supplier is not among those in credit."""
+    rules = {"columns": {"l_suppkey": {"allowed_values": table(spark, sf, "supplier").filter("s_acctbal > 0").select("s_suppkey")}}}
+    return validate.validation_errors(table(spark, sf, "lineitem"), rules, ["l_orderkey", "l_linenumber"])
+
+
 # ---------------------------------------------------------------- repairs
 
 

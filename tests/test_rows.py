@@ -332,6 +332,16 @@ def test_table_diff_pairs_rows_of_a_repeated_key_once(spark):
     assert found == [(1, "v", "changed", "b", "c"), (1, "v", "removed", "b", None), (2, "v", "added", None, "x"), (2, "v", "changed", "x", None)]
 
 
+def test_allowed_values_from_a_table(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c"), (5, "a")], "k int, v string")
+    rules = {"columns": {"v": {"allowed_values": spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "w string")}}}
+    valid, errors = validate.validate(df, rules, "k")
+    assert valid.columns == df.columns and sorted(r["k"] for r in valid.collect()) == [1, 3, 4, 5]
+    assert [(r["k"], r["rule"], r["value"]) for r in errors.collect()] == [(2, "allowed_values", "b")]
+    held = validate.quarantine(df, rules, "k")
+    assert held.columns == ["k", "v", "errors"] and [(r["k"], len(r["errors"])) for r in held.collect()] == [(2, 1)]
+
+
 def grade(spark, expression, **counters):
     names = {f"{side}_{i}": 0 for side in ("original", "fixed") for i in ISSUES} | counters
     row = spark.createDataFrame([tuple(names.values())], ", ".join(f"{n} long" for n in names))
