@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from lustra.functions.columns import ref
 from lustra.llm.words import word_count
 from lustra.operators.rows import number_rows
-from lustra.session import stage
+from lustra.session import cut, stage
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # copies of a document, and times its size that a source may be asked for
-BLOCK = 1 << 17  # words rounded together
-LIGHT = 64  # words that an empty document counts for when blocks are dealt out
+BLOCK = 256  # sizes rounded in one step
 NEWTON = 64  # steps; the dual converges quadratically after about log(size / target) of them
 
 
@@ -56,6 +55,26 @@ def tilt(targets: DataFrame) -> DataFrame:
     return targets.withColumn("rate", F.expr(f"if(target > 0 AND source_size > 0, exp({dual}), 0D)"))
 
 
+def size_copies(counted: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """(source, size, total): copies of all documents of a size; ``counted`` has source, size, n and rate.
+
+    Sizes of a source are taken from long to short, and what is owed after one goes on to the next, so at
+    most half a document of a size is owed after it, unless that is more than the copies left can make up
+    for.  A source is one row with its distinct sizes, which grow at most as the root of twice its words.
+    ``block`` sizes at a time keep the arrays that grow short.
+    """
+    due = "t.n * rate + i.owed / t.size"
+    total = f"CAST(greatest(0D, least({most}D * t.n, round({due}))) AS BIGINT)"
+    one = f"""aggregate(b, struct(s.owed AS owed, CAST(array() AS ARRAY<BIGINT>) AS out),
+              (i, t) -> transform(array({total}), k -> struct(i.owed + (t.n * rate - k) * t.size AS owed, array_append(i.out, k) AS out))[0])"""
+    rows = counted.filter("size > 0").groupBy("source", "rate").agg(F.expr("reverse(array_sort(collect_list(struct(size, n)))) AS sizes"))
+    blocks = f"transform(sequence(0, (size(sizes) - 1) DIV {block}), j -> slice(sizes, j * {block} + 1, {block}))"
+    totals = f"""aggregate({blocks}, struct(0D AS owed, CAST(array() AS ARRAY<ARRAY<BIGINT>>) AS out),
+                 (s, b) -> transform(array({one}), i -> struct(i.owed AS owed, array_append(s.out, i.out) AS out))[0], s -> flatten(s.out))"""
+    rows = rows.withColumn("totals", F.expr(totals)).select("source", F.explode(F.expr("arrays_zip(sizes, totals)")).alias("x"))
+    return rows.selectExpr("source", "x.sizes.size AS size", "x.totals AS total")
+
+
 def mix(
     docs: DataFrame,
     carry: Sequence[str] | None = None,
@@ -65,12 +84,11 @@ def mix(
 ) -> DataFrame:
     """One row per document: its columns ``carry`` (all) as struct ``doc``, size, source_size, target and copies.
 
-    Rates become whole copies, 0 to ``most``, in hashed blocks of about ``block`` words of one source:
-    documents are taken from long to short and each carries the words still owed to the next, so a block
-    ends within about its shortest document of what it is due, and no window spans a source.  Ties go by a
-    hash of id and text, so reruns agree.  Null texts and empty ones have size 0 and 0 copies; a null source
-    is a source; an empty table gives an empty one; repeated rows are documents each.  Other columns are
-    only carried.
+    Rates become whole copies, 0 to ``most``, first for all documents of a source and size (``size_copies``),
+    then for each: the copies of a size are dealt out evenly, and those left over go to the smallest hashes
+    of id and text, so reruns agree.  Only hashes are sorted, by range; documents stay where they are.  Null
+    texts and empty ones have size 0 and 0 copies; a null source is a source; an empty table gives an empty
+    one; repeated rows are documents each.  Other columns are only carried.
     """
     sized = docs.select(
         F.struct(*[docs[ref(c)] for c in carry or docs.columns]).alias("doc"),
@@ -78,25 +96,42 @@ def mix(
         F.expr(f"{word_count('text')} AS size"),
         F.expr("xxhash64(doc_id, text) AS tie"),
     )
-    rated = tilt(source_targets(sized.select("source", "size"), weights, most))
-    due = rated.withColumn("blocks", F.expr(f"CAST(ceil((source_size + {LIGHT} * rows) / {block}) AS BIGINT)"))
-    due = due.withColumnRenamed("source", "__source").drop("rows")
-    owed = sized.join(due, F.expr("source <=> __source")).withColumn("block", F.expr("pmod(tie, blocks)"))
-    rows = owed.groupBy("source", "block", "source_size", "target", "rate").agg(F.expr("collect_list(struct(size, tie, doc)) AS docs"))
-    rows = rows.withColumn(
-        "docs",
-        F.expr("""array_sort(docs, (a, b) -> CASE WHEN a.size > b.size THEN -1 WHEN a.size < b.size THEN 1
-                  WHEN a.tie < b.tie THEN -1 WHEN a.tie > b.tie THEN 1 ELSE 0 END)"""),
-    )
-    copies = f"CAST(greatest(0D, least({most}D, round(rate + s.owed / d.size))) AS BIGINT)"
-    step = f"if(d.size = 0, 0L, {copies})"
-    rows = rows.withColumn(
-        "copies",
-        F.expr(f"""aggregate(docs, struct(0D AS owed, CAST(array() AS ARRAY<BIGINT>) AS out),
-                   (s, d) -> struct(s.owed + (rate - {step}) * d.size AS owed, array_append(s.out, {step}) AS out), s -> s.out)"""),
-    )
-    each = rows.select("source_size", "target", F.explode(F.arrays_zip("docs", "copies")).alias("x"))
-    return each.selectExpr("x.docs.doc AS doc", "x.docs.size AS size", "source_size", "target", "x.copies AS copies")
+    # Rows equal in id and text are one row with their number m; pieces are a range partition's part of a size.
+    ties = sized.groupBy("source", "size", "tie").agg(F.expr("count(1) AS m"))
+    ties = cut(ties.orderBy("source", "size", "tie")).withColumn("part", F.expr("shiftright(monotonically_increasing_id(), 33)"))
+    pieces = stage(ties.groupBy("source", "size", "part").agg(F.expr("sum(m) AS held")), "pieces")
+    counted = pieces.groupBy("source", "size").agg(F.expr("sum(held) AS n"))
+    words = pieces.selectExpr("source", "size * held AS size", "held")
+    rated = tilt(source_targets(words, weights, most)).withColumnRenamed("source", "__source").drop("rows")
+    rated = stage(rated, "rates")
+    counted = stage(counted.join(rated, F.expr("source <=> __source")).drop("__source"), "sizes")
+    totals = size_copies(counted, most, block).selectExpr("source AS __source", "size AS __size", "total")
+    each = counted.join(totals, F.expr("source <=> __source AND size = __size"), "left").drop("__source", "__size", "rate")
+    each = each.withColumn("least", F.expr("coalesce(total DIV n, 0L)")).withColumn("more", F.expr("coalesce(total % n, 0L)"))
+    each = stage(each.drop("total", "n"), "copies")
+    # The hash up to which documents of a size get one copy more, and how many of the documents of that hash do.
+    named = each.filter("more > 0").selectExpr("source AS __source", "size AS __size", "more")
+    before = "coalesce(sum({}) OVER (PARTITION BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
+    places = pieces.join(named, F.expr("source <=> __source AND size = __size"))
+    places = places.withColumn("more", F.expr("more - " + before.format("held", "__source, __size ORDER BY part")))
+    places = places.filter("more > 0 AND more <= held").selectExpr("__source", "__size", "part AS __part", "more")
+    ends = ties.join(places, F.expr("source <=> __source AND size = __size AND part = __part"))
+    ends = ends.withColumn("more", F.expr("more - " + before.format("m", "__source, __size, __part ORDER BY tie")))
+    ends = ends.filter("more > 0 AND more <= m").selectExpr("__source", "__size", "tie AS last", "more AS lasts", "m")
+    due = each.join(ends, F.expr("source <=> __source AND size = __size"), "left").drop("__source", "__size", "more")
+    due = stage(due.withColumnRenamed("source", "__source").withColumnRenamed("size", "__size"), "due")
+    found = sized.join(due, F.expr("source <=> __source AND size = __size"))
+    out = ("doc", "size", "source_size", "target")
+    whole = found.filter("NOT coalesce(tie = last AND lasts < m, false)")
+    whole = whole.selectExpr(*out, "least + if(coalesce(tie <= last, false), 1L, 0L) AS copies")
+    if due.filter("lasts < m").isEmpty():
+        return whole
+    # Of rows equal in id and text, as many as are left get one more; which of them makes no difference.
+    equal = found.filter("tie = last AND lasts < m").withColumn("__row", F.monotonically_increasing_id())
+    equal = number_rows(equal, ["__source IS NULL", "__source", "__size", "__row"], "place")
+    first = equal.groupBy("source", "size").agg(F.expr("min(place) AS first")).withColumnsRenamed({"source": "__of", "size": "__long"})
+    equal = equal.join(first, F.expr("source <=> __of AND size = __long"))
+    return whole.unionAll(equal.selectExpr(*out, "least + if(place - first < lasts, 1L, 0L) AS copies"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

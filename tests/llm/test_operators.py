@@ -194,6 +194,38 @@ def test_mixing_many_blocks(spark):
     check_mix(got, {i: (s, len(t.split())) for i, t, s, _ in rows})
 
 
+def test_mixing_of_long_documents(spark):
+    """Books, each longer than a block of words: rounded alone, all of them would err the same way."""
+    longs = [(i, 140_000 + 37 * i, "abc"[i % 3]) for i in range(180)] + [(200 + i, 1000 + i, "b") for i in range(200)]
+    df = spark.createDataFrame(longs, "doc_id long, n int, source string").selectExpr("doc_id", "concat(doc_id, repeat(' w', n - 1)) AS text", "source")
+    got = mixing.mix(df.repartition(8), ["doc_id"], weights=(5, 4, 2)).selectExpr("doc.doc_id", "size", "source_size", "target", "copies * size AS taken").collect()
+    totals = {}
+    for r in got:
+        t = totals.setdefault(r["target"], [0, r["target"], []])
+        t[0] += r["taken"]
+        t[2].append(r["size"])
+    assert len(got) == len(longs) and len(totals) == 3 and {round(t / sum(z), 1) for _, t, z in totals.values()} & {0.5, 0.6}
+    for taken, target, sizes in totals.values():
+        assert abs(taken - target) <= min(sizes) / 2 + 1
+
+
+def test_mixing_of_repeated_rows(spark):
+    """Rows equal in id and text are rounded together, a group of null ids and texts among them."""
+    rows = [(7, "a b c", "x")] * 101 + [(8, "a b c d", "x")] * 11 + [(None, None, "x")] * 50 + [(9, "a b", "y")] * 60 + [(None, "k l m n o", "y")] * 7
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, ["doc_id"], weights=(3, 2)).collect()
+    again = mixing.mix(df.repartition(3), ["doc_id"], weights=(3, 2)).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, again))
+    for target in {r["target"] for r in got}:
+        mine = [r for r in got if r["target"] == target]
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - target) <= 2
+    for size in {r["size"] for r in got}:
+        copies = [r["copies"] for r in got if r["size"] == size]
+        assert max(copies) - min(copies) <= 1
+
+
+
+
 # ------------------------------------------------------------------ 5
 
 
