@@ -128,30 +128,31 @@ def entity_table(docs: DataFrame) -> DataFrame:
 def redrawn(entities: DataFrame, key: str = KEY, attempts: int = ATTEMPTS) -> DataFrame:
     """(value, surrogate) of the entities whose first draw collides, with draws that do not.
 
-    A draw collides if it is an entity of the corpus or the draw of another entity, of which the smallest
-    keeps it.  Losers draw again, against all draws made; what loses every attempt gets its draw with a part
-    of its own digest behind, which no pattern draws.  Each round handles only the losers.
+    A draw collides if it is an entity of the corpus or the draw of another entity, of which the earliest
+    round and then the smallest value keeps it.  Losers draw again, against all draws made; what loses every
+    attempt gets its draw with a part of its own digest behind, which no pattern draws.  Each round handles
+    only the losers.
     """
     drawn = stage(entities.withColumn("surrogate", F.expr(surrogate("kind", "value", 0, key))), "surrogates")
-    taken = drawn.selectExpr("surrogate AS word", "value AS by").unionAll(drawn.selectExpr("value AS word", "'' AS by"))
+    # A word belongs to its earliest claimant: the corpus, then the draws of each round, the smallest value first.
+    claim = "surrogate AS word", "struct({} AS round, value) AS by"
+    taken = drawn.selectExpr(claim[0], claim[1].format(0)).unionAll(drawn.selectExpr("value AS word", "struct(-1 AS round, value) AS by"))
 
-    def losers(rows: DataFrame, taken: DataFrame) -> DataFrame:
-        # The owner of a word is the smallest claimant; an entity text of the corpus is claimed by the empty one.
+    def judged(rows: DataFrame, taken: DataFrame, round: int) -> DataFrame:
         owner = taken.groupBy("word").agg(F.min("by").alias("owner"))
-        lost = rows.join(owner, F.expr("surrogate = word")).filter("owner != value")
-        return stage(lost.select("kind", "value"), "collisions")
+        own = f"owner.round = {round} AND owner.value = value AS own"
+        return rows.join(owner, F.expr("surrogate = word")).selectExpr("kind", "value", "surrogate", own)
 
-    lost, out = losers(drawn, taken), None
+    lost, out = stage(judged(drawn, taken, 0).filter("NOT own").select("kind", "value"), "collisions"), None
     for attempt in range(1, attempts + 1):
         if lost.isEmpty():
             break
         again = stage(lost.withColumn("surrogate", F.expr(surrogate("kind", "value", attempt, key))), "redrawn")
-        held = again.selectExpr("surrogate AS word", "concat('~', value) AS by").unionAll(taken)
-        owner = held.groupBy("word").agg(F.min("by").alias("owner"))
-        kept = again.join(owner, F.expr("surrogate = word AND owner = concat('~', value)"), "left_semi")
+        taken = again.selectExpr(claim[0], claim[1].format(attempt)).unionAll(taken)
+        settled = stage(judged(again, taken, attempt), "settled")
+        kept = settled.filter("own").select("kind", "value", "surrogate")
         out = kept if out is None else out.unionAll(kept)
-        taken = held
-        lost = stage(again.join(kept.select("value"), "value", "left_anti").select("kind", "value"), "collisions")
+        lost = settled.filter("NOT own").select("kind", "value")
     last = lost.withColumn("surrogate", F.expr(f"concat({surrogate('kind', 'value', attempts + 1, key)}, '-', substr(sha2(concat({_literal(key)}, value), 256), 1, 24))"))
     out = last if out is None else out.unionAll(last)
     return stage(out.select("value", "surrogate"), "overrides")

@@ -125,6 +125,18 @@ def test_surrogates_of_a_small_space_stay_distinct(spark):
     assert len(set(out)) == len(values) and not {t.split()[1] for t in out} & set(values)
 
 
+def test_surrogates_of_other_scripts_stay_distinct(spark):
+    """Values that sort after all ASCII texts: redraws must not take what another entity holds."""
+    small, names = "абвгдежзиклмнопрстуфхцчшэюя", set()
+    rnd = random.Random(8)
+    while len(names) < 5000:
+        names.add("Господин " + rnd.choice(small).upper() + "".join(rnd.choice(small) for _ in range(rnd.randint(3, 7))))
+    values = sorted(names) + [f"{x}{y}@почта.example.com" for x in "эюя" for y in small]
+    df = spark.createDataFrame([(i, f"{v} .") for i, v in enumerate(values)], "doc_id long, text string")
+    out = [r["text"] for r in pii.pseudonymize(df).collect()]
+    assert len(set(out)) == len(values) and not {t[:-2] for t in out} & set(values)
+
+
 def test_surrogates_leave_no_entity(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
