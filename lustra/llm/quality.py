@@ -10,6 +10,7 @@ from lustra.llm.words import BLANKS, computed, has_word, without, word_list
 
 BUCKETS = 10_000
 TRUSTED = 100_000  # labelled documents, at most, that make the trusted target
+SMOOTH = 30  # n-grams a bucket that the target is given in the corpus' own shares
 KEEP_FROM = -0.06  # mean log ratio an n-gram needs; see ``judge``
 FEWEST_WORDS = 20
 REPEATED_PER_100 = 30
@@ -71,14 +72,17 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> li
     """log(p_trusted / p_raw) of every bucket: two multinomials over hashed words and word pairs.
 
     All documents count for the raw corpus; those whose doc_id is in ``trusted`` (distinct ids, a bounded
-    number) count for the target as well.  Both are smoothed by one n-gram a bucket.  Counts are combined in
-    each task, and ``buckets`` rows reach the driver whatever the size of the corpus.
+    number) count for the target as well.  A bucket's count in the target and the count that the corpus lets
+    expect there are both raised by ``SMOOTH``, so buckets a small target can hardly hold stay near 0 instead
+    of counting against text that it has not seen.  Counts are combined in each task, and ``buckets`` rows
+    reach the driver whatever the size of the corpus.
     """
     marks = F.broadcast(trusted.selectExpr("doc_id AS __id", "1L AS __mark"))
     words = _with_words(docs.select("doc_id", "text")).withColumn("__two", F.expr(_pairs("__hashes", 1)))
     grams = words.join(marks, F.expr("doc_id = __id"), "left").select(F.explode(F.expr(_grams(buckets))).alias("bucket"), "__mark")
     counts = grams.groupBy("bucket").agg(F.expr("count(1) AS raw"), F.expr("count(__mark) AS target"))
-    total = counts.withColumn("share", F.expr(f"log((target + 1D) / (sum(target) OVER () + {buckets})) - log((raw + 1D) / (sum(raw) OVER () + {buckets}))"))
+    expected = "raw / sum(raw) OVER () * sum(target) OVER ()"
+    total = counts.withColumn("share", F.expr(f"log((target + {SMOOTH}) / ({expected} + {SMOOTH}))"))
     ratio = [0.0] * buckets
     for row in total.select("bucket", "share").collect():
         ratio[row["bucket"]] = row["share"]
@@ -95,9 +99,10 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, keep_from
 
     A document is kept unless it fails the base rules or its score is below ``keep_from``; nothing is drawn
     at random.  Ordinary prose scores near 0, since it is most of the corpus and of the target alike; text
-    whose n-grams the target lacks scores far below.  Null and empty texts have zero counts and score and
-    fail the base rules.  Repeated rows are judged each; without trusted ids all ratios are about the
-    inverse of the corpus; an empty table gives an empty one.  Result columns replace input columns.
+    whose n-grams the target lacks scores far below.  The cut lies below trusted documents scored without
+    their own counts, as all others are.  Null and empty texts have zero counts and score and fail the base
+    rules.  Repeated rows are judged each; without trusted ids all ratios are 0 and only the base rules
+    count; an empty table gives an empty one.  Result columns replace input columns.
     """
     ratio = fit_ratio(docs, trusted, buckets)
     weights = "array(" + ", ".join(f"{x!r}D" for x in ratio) + ")"

@@ -81,6 +81,17 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.15 * len(bad)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_keeps_clean_documents_the_target_lacks(spark, sf):
+    """Documents without a label, and labelled ones held out of the target, are clean if they have no symbol."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet") for name in ("documents", "labels"))
+    unlabelled = quality.judge(docs, quality.trusted_ids(labels)).join(labels, "doc_id", "left_anti")
+    held_out = quality.judge(docs, quality.trusted_ids(labels.filter("doc_id % 10 != 3"))).join(labels.filter("doc_id % 10 = 3 AND quality = 1"), "doc_id", "left_semi")
+    for judged in (unlabelled, held_out):
+        kept = [r["kept"] for r in judged.filter("NOT base_failed AND n_symbols = 0").select("kept").collect()]
+        assert len(kept) > 3 and sum(kept) >= 0.99 * len(kept)
+
+
 def test_quality_stage_and_empty(spark, odd, nothing):
     labels = spark.createDataFrame([(k, 1) for k in range(7, 50)] + [(7, 1), (None, 1), (81, 0)], "doc_id long, quality int")
     clash = odd.withColumnRenamed("n_chars", "kept")
