@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lustra.llm import chat, jaccard, lines, mixing, pii, quality, suffixes, tokens, warc, wumanber
+from lustra.llm import chat, jaccard, lines, mixing, packing, pii, quality, spelling, suffixes, tokens, warc, whitening, wumanber
 from lustra.session import new_shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,22 @@ def op9_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf, "documents").select("doc_id", "text"))
+    return pieces.selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset", "window")
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    rows = whitening.whiten_embeddings(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    # Exact decimals beyond the contract's long (from some 3 million distinct vectors on) are null.
+    deviation = "TRY_CAST(deviation AS BIGINT) AS deviation"
+    return rows.selectExpr("id AS vec_id", "component", "n", deviation, "whitened", "explained", "identity_error")
