@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ WINDOW = 2048
 END = 1  # id behind every document
 OPEN = 4096  # partially filled windows a task holds before it joins them
 WORDS = 1 << 20  # words a worker remembers
+CHUNK = 1 << 20  # characters encoded together
 LONGEST = 64  # characters of a word worth remembering
 
 # Where the splitting pattern reads alike in both libraries: no rare white space or control characters, no other scripts.
@@ -46,30 +47,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.odd = regex.compile(_PLAIN).search
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.odd(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = self.split(text)
-        known = self.known
-        try:
-            parts = [known[w] for w in words]
-        except KeyError:
-            own = self._learn(words)
-            parts = [known[w] if w in known else own[w] for w in words]
-        return np.fromiter(chain.from_iterable(parts), np.uint32)
-
-    def _learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Remember the new words; the ones too long to remember are returned."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        ids = dict(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        if len(self.known) + len(new) > WORDS:
-            ids |= {w: self.known[w] for w in dict.fromkeys(words) if w in self.known}
-            self.known.clear()
-        self.known.update((w, i) for w, i in ids.items() if len(w) <= LONGEST)
-        return ids
+        self.odd = re.compile(_PLAIN).search
+        self.known: dict[str, bytes] = {}
+        self.line = self._whole(["\n"])[0][0]
+
+    def _whole(self, texts: Sequence[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Ids of each text; their new words are encoded together, and remembered while there is room."""
+        words = [None if self.odd(t) else self.split(t) for t in texts]
+        new = set().union(*(w for w in words if w)).difference(self.known)
+        self._learn(new)
+        ids = self.known.__getitem__
+        out = [np.array(self._whole([t])[0], "<u4") if w is None else np.frombuffer(b"".join(map(ids, w)), "<u4") for t, w in zip(texts, words)]
+        full = len(self.known) > WORDS
+        for w in new:
+            if full or len(w) > LONGEST:
+                del self.known[w]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode words as one text with a line feed behind each, which is a word of its own there."""
+        # White space would run into the line feed.
+        blank = [w for w in words if w[-1].isspace()]
+        plain = [w for w in words if not w[-1].isspace()]
+        ids = np.array(self._whole(["".join(f"{w}\n" for w in plain)])[0], "<u4")
+        ends = np.flatnonzero(ids == self.line)
+        data, begin = ids.tobytes(), 0
+        for w, end in zip(plain, (4 * ends).tolist(), strict=True):
+            self.known[w] = data[begin:end]
+            begin = end + 4
+        self.known.update((w, np.array(i, "<u4").tobytes()) for w, i in zip(blank, self._whole(blank)))
 
 
 def encoder(path: str) -> Encoder:
@@ -182,10 +191,21 @@ def _packed(path: str, end: int, window: int, open_: int, schema: pa.Schema):
             rows.clear()
             return out
 
-        for batch in batches:
-            held = 0
+        def chunks(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+            """Documents of a batch, about CHUNK characters at a time."""
+            held, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
+                held.append((doc, text.as_py() or ""))
+                size += len(held[-1][1])
+                if size >= CHUNK:
+                    yield held
+                    held, size = [], 0
+            if held:
+                yield held
+
+        for chunk in (c for batch in batches for c in chunks(batch)):
+            for (doc, _), found in zip(chunk, encode([text for _, text in chunk])):
+                ids = np.append(found, np.array(end, "<u4"))
                 whole = len(ids) - len(ids) % window
                 for start in range(0, whole, window):
                     put(window, [(doc, start, ids[start : start + window], len(ids))])
@@ -193,10 +213,6 @@ def _packed(path: str, end: int, window: int, open_: int, schema: pa.Schema):
                     put(window, full)
                 if levels.open > open_:
                     join(last=False)
-                held += len(ids)
-                if held > 1 << 20 and rows:
-                    yield flush()
-                    held = 0
             if rows:
                 yield flush()
         join(last=True)
