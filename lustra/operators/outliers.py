@@ -57,19 +57,25 @@ def cap_zscore(df: DataFrame, columns: str | list[str], threshold: float = 3.0)
     return apply_clip(df, fit_zscore(df, columns, threshold))
 
 
+def inside_iqr(df: DataFrame, column: str, factor: float = 1.5, exact: bool = True) -> str:
+    """Whether a cell lies inside the bounds of its column, as an expression; null is not inside.
+
+    Without finite bounds every cell that is not null is inside.
+    """
+    bounds = fit_iqr(df, column, factor, exact)
+    if not bounds:
+        return f"{number(df, column)} IS NOT NULL"
+    low, high = bounds[column]
+    return f"{ref(column)} BETWEEN {lit(low)} AND {lit(high)}"
+
+
 def remove_iqr(df: DataFrame, column: str, factor: float = 1.5, exact: bool = True) -> DataFrame:
     """Keep rows inside the bounds; rows null in the column go as well.
 
     The bounds are literals, so the comparison reaches the parquet scan.  Without finite
     bounds only the rows null in the column go.
     """
-    if not is_numeric(dtype(df, column)):
-        return df
-    bounds = fit_iqr(df, column, factor, exact)
-    if not bounds:
-        return df.filter(f"{number(df, column)} IS NOT NULL")
-    low, high = bounds[column]
-    return df.filter(f"{ref(column)} BETWEEN {lit(low)} AND {lit(high)}")
+    return df.filter(inside_iqr(df, column, factor, exact)) if is_numeric(dtype(df, column)) else df
 
 
 def flag_range(df: DataFrame, spec: Mapping[str, CellSpec]) -> DataFrame:

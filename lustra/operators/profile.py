@@ -1,7 +1,8 @@
 """Column profiles as a long table with one row per column.
 
-The work is a fixed number of scans: null counts, moments, quantiles, one pass for histograms
-and outliers, value counts, and a bounded top-k per column for sample values.
+The work is a fixed number of scans, whatever the number of columns: null counts, moments,
+quantiles, one pass for histograms and outliers, value counts, and one look at the first rows
+for sample values.  Long texts are counted by digest, so they are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,14 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lustra.functions import types
-from lustra.functions.columns import dtype, is_groupable, is_numeric, lit, number, numeric_columns, ref, refs, text_columns
+from lustra.functions.columns import dtype, is_fractional, is_groupable, is_numeric, is_text, lit, lits, number, numeric_columns, ref, refs, text_columns
 from lustra.functions.frames import aggregate, aggregate_by, fetch
 from lustra.operators import stats
 from lustra.operators.outliers import iqr_bounds
+from lustra.session import stage
 
 BINS = 10
 TOP = 5
 SAMPLES = 5
+# Rows looked at first for sample values.
+FIRST_ROWS = 200
+# Items an approximate count of frequent values keeps track of, a power of two.
+TRACKED = 16_384
 _DIGITS = Context(prec=400)  # room for every double
 
 SCHEMA = (
@@ -58,11 +64,22 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def count_duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row: rows beyond the first of each identical row; null equals null."""
-    groups = aggregate_by(df, list(columns or df.columns), {"__n": "count(1)"})
+    """One row: rows beyond the first of each identical row; null equals null.
+
+    Long texts are compared by digest and are not shuffled.
+    """
+    columns = list(columns or df.columns)
+    short = [f"{stats.text_key(ref(c)) if is_text(dtype(df, c)) else ref(c)} AS {ref(c)}" for c in columns]
+    groups = aggregate_by(df.selectExpr(*short), columns, {"__n": "count(1)"})
     return aggregate(groups, {"duplicate_rows": "coalesce(sum(__n - 1), 0)"})
 
 
+def dataset(df: DataFrame) -> DataFrame:
+    """One row about the whole table: rows, columns, total_missing, missing_pct, duplicate_rows."""
+    # Two one-row aggregates.
+    return shape(df).crossJoin(F.broadcast(count_duplicate_rows(df)))
+
+
 def _per_column(row: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     """Turn a one-row aggregate into one row per column."""
     structs = ", ".join(f"struct({lit(name)} AS column, {parts})" for name, parts in fields.items())
@@ -99,12 +116,12 @@ def column_numbers(df: DataFrame, columns: Sequence[str] | None = None, exact: b
 
 
 def _counted(df: DataFrame, columns: Sequence[str]) -> list[DataFrame]:
-    """Value counts per column type."""
-    return [stats.value_counts(df, same) for same in stats.by_type(df, columns)]
+    """Value counts per column type, long texts by their keys."""
+    return [stats.key_counts(df, same) for same in stats.by_type(df, columns)]
 
 
 def column_uniques(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """``(column, unique_count)`` of distinct non-null values."""
+    """``(column, unique_count)`` of distinct non-null values; without ``exact`` only sketches are shuffled."""
     columns = [c for c in columns or df.columns if is_groupable(dtype(df, c))]
     if not exact:
         sketched = aggregate(df, {f"u{i}": f"approx_count_distinct({ref(c)})" for i, c in enumerate(columns)})
@@ -116,16 +133,38 @@ def column_uniques(df: DataFrame, columns: Sequence[str] | None = None, exact: b
     return joined.selectExpr("column", "coalesce(n, 0) AS unique_count")
 
 
-def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP) -> DataFrame:
-    """``(column, rank, value, n)``: the most frequent values, smaller value first on ties."""
-    columns = text_columns(df) if columns is None else list(columns)
-    return reduce(DataFrame.unionByName, [_ranked(counts, k) for counts in _counted(df, columns)])
-
+def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP, exact: bool = True) -> DataFrame:
+    """``(column, rank, value, n)``: the most frequent values, smaller value first on ties.
 
-def _ranked(counts: DataFrame, k: int) -> DataFrame:
-    # Each task keeps its own k best per column before the shuffle (WindowGroupLimit).
-    rank = "row_number() OVER (PARTITION BY column ORDER BY n DESC, value) AS rank"
-    return counts.selectExpr("column", rank, "value", "n").filter(f"rank <= {k}").withColumn("value", F.expr("CAST(value AS STRING)"))
+    Without ``exact`` the winners come from sketches that keep track of ``TRACKED`` values a column, and only
+    those are shuffled; how often the winners occur is counted all the same.
+    """
+    columns = text_columns(df) if columns is None else list(columns)
+    if not exact:
+        return _top_sketched(df, columns, k)
+    parts = []
+    for same in stats.by_type(df, columns):
+        texts = is_text(dtype(df, same[0]))
+        best = stats.ranked(stats.key_counts(df, same), k, keys=texts)
+        best = stats.with_texts(df, stage(best, "frequent"), k) if texts else best
+        parts.append(best.withColumn("value", F.expr("CAST(value AS STRING)")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _top_sketched(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """Winners by sketch, as keys of text, then one scan that counts the cells with one of these keys."""
+    shown = {c: "nullif(CAST(CAST({0} AS DOUBLE) + 0 AS STRING), 'NaN')" if is_fractional(dtype(df, c)) else "CAST({0} AS STRING)" for c in columns}
+    texts = df.selectExpr(*[f"{shown[c].format(ref(c))} AS {ref(c)}" for c in columns])
+    # Null is an item of the sketch like any other, hence one more.
+    asked = {f"t{i}": f"approx_top_k({stats.text_key(ref(c))}, {k + 1}, {TRACKED})" for i, c in enumerate(columns)}
+    row = fetch(texts, asked)
+    rows = [(c, item["item"]) for i, c in enumerate(columns) for item in row[f"t{i}"] or () if item["item"] is not None]
+    # At most k keys a column.
+    keys = F.broadcast(df.sparkSession.createDataFrame(rows, "__column string, __key string"))
+    cells = texts.unpivot([], [F.expr(ref(c)) for c in columns], "column", "value")
+    found = cells.selectExpr("column", f"{stats.text_key('value')} AS key", "value").join(keys, F.expr("column = __column AND key = __key"))
+    counts = found.groupBy("column", "key").agg(F.expr("any_value(value) AS value"), F.expr("count(1) AS n"))
+    return stats.ranked(counts.drop("key"), k)
 
 
 def sample_values(
@@ -133,20 +172,27 @@ def sample_values(
 ) -> DataFrame:
     """``(column, rank, value)``: the first non-null values in the given order.
 
-    One bounded top-k per column; no column is sorted as a whole.
+    The first rows of the table serve all columns that are filled there; only the others are looked for in a
+    second scan, which keeps the first ``k`` per column in every task.
     """
     columns = [c for c in df.columns if is_groupable(dtype(df, c))] if columns is None else list(columns)
     order = [F.expr(ref(c)) for c in order_by]
-    firsts = [
-        df.filter(f"{ref(c)} IS NOT NULL")
-        .orderBy(*order)
-        .limit(k)
-        .selectExpr(f"{lit(c)} AS column", f"CAST({ref(c)} AS STRING) AS value", f"struct({refs(order_by)}) AS __at")
-        for c in columns
-    ]
-    # At most k rows per column are left to number.
-    rank = "row_number() OVER (PARTITION BY column ORDER BY __at) AS rank"
-    return reduce(DataFrame.unionByName, firsts).selectExpr("column", rank, "value")
+    at = f"struct({refs(order_by)}) AS __at"
+    cells = df.selectExpr(at, *[f"CAST({ref(c)} AS STRING) AS {ref(c)}" for c in columns])
+    shown = ", ".join(f"struct({lit(c)} AS column, {ref(c)} AS value)" for c in columns)
+
+    def long(rows: DataFrame) -> DataFrame:
+        return rows.selectExpr("__at", f"inline(array({shown}))").filter("value IS NOT NULL")
+
+    first = stage(df.orderBy(*order).limit(FIRST_ROWS).selectExpr(at, *[f"CAST({ref(c)} AS STRING) AS {ref(c)}" for c in columns]), "first")
+    seen = aggregate(first, {"rows": "count(1)"} | {f"n{i}": f"count({ref(c)})" for i, c in enumerate(columns)}).first()
+    sparse = [c for i, c in enumerate(columns) if seen["rows"] == FIRST_ROWS and seen[f"n{i}"] < k]
+    found = long(first)
+    if sparse:
+        rest = cells.selectExpr("__at", f"inline(array({', '.join(f'struct({lit(c)} AS column, {ref(c)} AS value)' for c in sparse)}))")
+        found = found.filter(f"column NOT IN ({lits(sparse)})").unionByName(rest.filter("value IS NOT NULL"))
+    rank = "CAST(row_number() OVER (PARTITION BY column ORDER BY __at) AS INT) AS rank"
+    return found.selectExpr("column", rank, "value").filter(f"rank <= {k}")
 
 
 def _edges(low: float, high: float, bins: int) -> list[float]:
@@ -262,27 +308,32 @@ def _scan_values(
     """Distinct counts of all columns and frequent values of text columns, sharing one count."""
     for c in countable:
         found[c]["unique_count"] = 0
-    parts = []
-    for counts, same in zip(_counted(df, countable), stats.by_type(df, countable)):
-        if exact:
-            # Reading n keeps this side equal to the ranking side, so both reuse one shuffle.
-            distinct = aggregate_by(counts, ["column"], {"n": "count_if(n > 0)"})
-            parts.append(distinct.selectExpr("column", "0 AS rank", "CAST(NULL AS STRING) AS value", "n"))
-        if same[0] in texts:
-            parts.append(_ranked(counts, TOP))
-    if parts:
-        for r in sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: r["rank"]):
-            if r["rank"] == 0:
-                found[r["column"]]["unique_count"] = r["n"]
-            else:
-                found[r["column"]].setdefault("top_values", []).append((r["value"], r["n"]))
     if not exact:
         for r in column_uniques(df, countable, exact=False).collect():
             found[r["column"]]["unique_count"] = r["unique_count"]
+        best = top_values(df, texts, exact=False) if texts else None
+    else:
+        parts, best = [], None
+        for counts, same in zip(_counted(df, countable), stats.by_type(df, countable)):
+            # Reading n keeps this side equal to the ranking side, so both reuse one shuffle.
+            distinct = aggregate_by(counts, ["column"], {"n": "count_if(n > 0)"})
+            parts.append(distinct.selectExpr("column", "0 AS rank", "CAST(NULL AS STRING) AS value", "n"))
+            if same[0] in texts:
+                parts.append(stats.ranked(counts, TOP, keys=True))
+        both = stage(reduce(DataFrame.unionByName, parts), "values")
+        for r in both.filter("rank = 0").collect():
+            found[r["column"]]["unique_count"] = r["n"]
+        best = stats.with_texts(df, both.filter("rank > 0"), TOP) if texts else None
+    if best is not None:
+        for r in sorted(best.collect(), key=lambda r: r["rank"]):
+            found[r["column"]].setdefault("top_values", []).append((r["value"], r["n"]))
 
 
-def profile_summary(found: DataFrame) -> DataFrame:
-    """One text line per column, with statistics only and no further data."""
+def profile_summary(found: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """``(position, column, summary)``: one text line per column, with statistics only and no further data.
+
+    With ``whole``, the row of ``dataset``, three lines about the table come first; they name no column.
+    """
     numbers = ", ".join(f"concat('{k}=', coalesce(CAST({k} AS STRING), 'None'))" for k in ("mean", "std", "min", "max"))
     parts = ", ".join(
         (
@@ -293,7 +344,12 @@ def profile_summary(found: DataFrame) -> DataFrame:
             "CASE WHEN size(top_values) > 0 THEN concat('top_vals=[', array_join(slice(top_values.value, 1, 3), ', '), ']') END",
         )
     )
-    return found.selectExpr("position", "column", f"concat(column, ' [', dtype, ']: ', concat_ws(', ', {parts})) AS summary")
+    lines = found.selectExpr("position", "column", f"concat(column, ' [', dtype, ']: ', concat_ws(', ', {parts})) AS summary")
+    if whole is None:
+        return lines
+    texts = ("concat(rows, ' rows, ', columns, ' columns')", "concat(total_missing, ' cells missing (', missing_pct, '%)')", "concat(duplicate_rows, ' duplicate rows')")
+    head = whole.selectExpr(f"posexplode(array({', '.join(texts)})) AS (position, summary)")
+    return head.selectExpr(f"position - {len(texts)} AS position", "CAST(NULL AS STRING) AS column", "summary").unionByName(lines)
 
 
 DIFF_FIELDS = ("null_count", "unique_count", "mean", "std", "min", "max", "outlier_count_iqr")

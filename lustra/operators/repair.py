@@ -13,6 +13,7 @@ one cell run in ``seq`` order.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from lustra.functions.people import (
 from lustra.operators import missing, stats
 from lustra.operators.dedup import first_rows, later_copies
 from lustra.operators.issues import detect_issues, total_issues
-from lustra.operators.rows import number_rows
+from lustra.operators.rows import sums_before
 from lustra.session import stage
 
 # Action names, and the issues each of them is meant to clear.
@@ -47,6 +48,8 @@ CLEARS = {
 }
 # Fixed value: age proposed when no row has a readable age.
 DEFAULT_AGE = 30
+# Rows of one key whose places one task may count.
+HOT_KEY = 1_000_000
 
 _ACTIONS = "ARRAY<STRUCT<seq: BIGINT, action_type: STRING, new_value: STRING, whole: BOOLEAN>>"
 _STEP = "STRUCT<column_name: STRING, seq: BIGINT, action_type: STRING, new_value: STRING, whole: BOOLEAN, old: STRING, new: STRING>"
@@ -62,11 +65,6 @@ def _next(x: str, spec: CellSpec) -> str:
         ELSE {x} END"""
 
 
-def _folded(todo: str, cell: str, spec: CellSpec) -> str:
-    """Cell after the actions of an array, in order of ``seq``."""
-    return f"aggregate(array_sort({todo}), CAST({cell} AS STRING), (x, a) -> {_next('x', spec)})"
-
-
 def _steps(todo: str, column: str, cell: str, spec: CellSpec) -> str:
     """The actions of an array that changed the cell, each with the cell before and after it."""
     step = f"struct({lit(column)} AS column_name, a.seq, a.action_type, a.new_value, a.whole, s.x AS old, y AS new)"
@@ -76,19 +74,25 @@ def _steps(todo: str, column: str, cell: str, spec: CellSpec) -> str:
 
 
 def _representatives(actions: DataFrame, by: Sequence[str], spec: Spec) -> DataFrame:
-    """At most one action per group and action type; combines inside tasks first."""
+    """At most one action per group, column and action type, and the last ``remove_duplicate``; combines inside tasks first.
+
+    Actions of no known type or column share one row per group, without a column.
+    """
     ranged = {c: s for c, s in spec.items() if s.low is not None or s.high is not None}
     outlying = " OR ".join(f"(column_name = {lit(c)} AND {out_of_range(cast_cell('new_value', s), s)})" for c, s in ranged.items())
     usable = f"NOT {is_missing('new_value')} AND NOT (action_type = 'fix_outlier' AND ({outlying or 'false'}))"
-    known = actions.filter(f"action_type IN ({lits(CELL_ACTIONS)}) AND column_name IN ({lits(spec)})").selectExpr(
-        *[ref(c) for c in by], "CAST(seq AS BIGINT) AS seq", "action_type", "column_name", "new_value",
+    known = f"action_type IN ({lits(CELL_ACTIONS)}) AND column_name IN ({lits(spec)})"
+    prepared = actions.selectExpr(
+        *[ref(c) for c in by], "CAST(seq AS BIGINT) AS seq", "new_value",
+        f"IF({known}, action_type, NULL) AS action_type", f"IF({known}, column_name, NULL) AS column_name",
         "action_type IN ('fix_missing', 'fix_outlier') AS first",
         f"CASE WHEN action_type IN ('fix_missing', 'fix_outlier') THEN {usable} ELSE new_value IS NOT NULL END AS given",
-    )
+        "CASE WHEN action_type = 'remove_duplicate' THEN CAST(seq AS BIGINT) END AS removal",
+    )
     # Usable values first; among them the earliest, or the latest for overwriting actions.
     rank = "struct(NOT given, IF(first AND given, seq, -seq))"
     chosen = f"min_by(struct(seq, action_type, new_value, {lit(not by)} AS whole), {rank})"
-    return aggregate_by(known, [*by, "column_name", "action_type"], {"action": chosen}).drop("action_type")
+    return aggregate_by(prepared, [*by, "column_name", "action_type"], {"action": chosen, "removal": "max(removal)"}).drop("action_type")
 
 
 def _single(actions: DataFrame, row_id: Sequence[str]) -> DataFrame:
@@ -100,15 +104,18 @@ def _whole(row_id: Sequence[str]) -> str:
 
 
 def _planned(df: DataFrame, actions: DataFrame, row_id: list[str], spec: Spec) -> tuple[DataFrame, dict[str, str]]:
-    """Rows with their own actions, and per column the array of actions to run, null where there are none."""
+    """Rows with their own actions, and per column the array of actions to run, null where there are none.
+
+    ``__touched`` marks rows that an action names, ``__asked`` is the last place at which one is to be removed.
+    """
     # Bounded by columns x action types, so it can be turned into literals.
     literal: dict[str, list[str]] = {c: [] for c in spec}
-    for r in _representatives(actions.filter(_whole(row_id)), [], spec).collect():
+    for r in _representatives(actions.filter(_whole(row_id)), [], spec).filter("column_name IS NOT NULL").collect():
         literal[r["column_name"]].append(f"struct({lits(r['action'])})")
 
     # At most one entry per action type and column is collected for a row.
     collected = {f"__a_{c}": f"collect_list(CASE WHEN column_name = {lit(c)} THEN action END)" for c in spec}
-    per_row = aggregate_by(_representatives(_single(actions, row_id), row_id, spec), row_id, collected)
+    per_row = aggregate_by(_representatives(_single(actions, row_id), row_id, spec), row_id, collected | {"__asked": "max(removal)", "__touched": "true"})
     todo = {}
     for c in spec:
         own = f"CAST({ref(f'__a_{c}')} AS {_ACTIONS})"
@@ -119,6 +126,66 @@ def _planned(df: DataFrame, actions: DataFrame, row_id: list[str], spec: Spec) -
     return df.join(per_row, row_id, "left"), todo
 
 
+@dataclass(frozen=True)
+class Repairs:
+    """An action table applied: every row as it is afterwards, with the steps that changed it.
+
+    ``rows`` is staged and has the columns of the table, ``__steps``, ``__touched`` and ``__gone``.  The repaired
+    table and the audit both read it, so the table is joined with its actions once.
+    """
+
+    rows: DataFrame
+    columns: tuple[str, ...]
+    actions: DataFrame
+    row_id: tuple[str, ...]
+    spec: Spec
+    key: str
+
+    def table(self) -> DataFrame:
+        return pick(self.rows.filter("NOT __gone"), self.columns)
+
+    def audit(self, truth: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:
+        """See ``repair_audit``."""
+        return _audit(self, truth, self.table() if after is None else after)
+
+
+def run_repairs(df: DataFrame, actions: DataFrame, row_id: str | list[str], spec: Spec = PEOPLE, key: str = "id") -> Repairs:
+    """Join the table with its actions on the unique row id, once, and write the result in the shared folder.
+
+    A row asked to be removed goes when its key occurs more than once; when every row of a key is asked for,
+    the last one asked for stays.  Rows are counted only for keys that an action asks for.
+    """
+    row_id = as_list(row_id)
+    ids = [ref(c) for c in row_id]
+    joined, todo = _planned(df, actions, row_id, spec)
+    done = {f"__s_{c}": f"coalesce({_steps(todo[c], c, ref(c), s)}, CAST(array() AS ARRAY<{_STEP}>))" for c, s in spec.items()}
+    stepped = with_exprs(joined, done)
+    last = {c: f"CASE WHEN size({ref('__s_' + c)}) > 0 THEN element_at({ref('__s_' + c)}, -1).new ELSE {ref(c)} END" for c in spec}
+    cells = [f"{last.get(c, ref(c))} AS {ref(c)}" for c in df.columns]
+    steps = f"concat({', '.join(ref('__s_' + c) for c in spec)}) AS __steps"
+    rows = stage(stepped.selectExpr(*cells, steps, "coalesce(__touched, false) AS __touched", "__asked"), "repaired")
+    asked = rows.filter("__asked IS NOT NULL")
+    if asked.isEmpty():
+        gone = rows.withColumn("__gone", F.lit(False))
+    else:
+        own = _cell_before(key) if key in spec else ref(key)
+        keyed = rows.selectExpr(*ids, f"{own} AS __key", "__asked")
+        named = keyed.filter("__asked IS NOT NULL").selectExpr("__key AS __named").distinct()
+        of_key = keyed.join(named, F.expr("__key <=> __named"), "left_semi")
+        latest = f"max(CASE WHEN __asked IS NOT NULL THEN struct(__asked, struct({refs(row_id)}) AS id) END)"
+        groups = aggregate_by(of_key, ["__key"], {"__n": "count(1)", "__of": "count(__asked)", "__last": latest})
+        full = groups.filter("__of = __n").selectExpr("__key AS __full", "__last.id AS __stays")
+        marked = rows.join(full, F.expr(f"__asked IS NOT NULL AND {own} <=> __full"), "left")
+        gone = marked.withColumn("__gone", F.expr(f"__asked IS NOT NULL AND NOT coalesce(struct({refs(row_id)}) = __stays, false)"))
+    return Repairs(gone, tuple(df.columns), actions, tuple(row_id), spec, key)
+
+
+def _cell_before(c: str) -> str:
+    """Cell before all actions: as the first step on its column found it."""
+    first = f"get(filter(__steps, d -> d.column_name = {lit(c)}), 0)"
+    return f"IF({first} IS NULL, {ref(c)}, {first}.old)"
+
+
 def apply_repairs(
     df: DataFrame,
     actions: DataFrame,
@@ -126,15 +193,8 @@ def apply_repairs(
     spec: Spec = PEOPLE,
     key: str = "id",
 ) -> DataFrame:
-    """Apply the action table; all joins are on the unique row id.
-
-    The actions are read three times, so a computed action table is best staged first.
-    """
-    row_id = as_list(row_id)
-    joined, todo = _planned(df, actions, row_id, spec)
-    fixed = {c: f"CASE WHEN {todo[c]} IS NOT NULL THEN {_folded(todo[c], ref(c), s)} ELSE {ref(c)} END" for c, s in spec.items()}
-    repaired = pick(with_exprs(joined, fixed), df.columns)
-    return repaired.join(removed_rows(df, actions, row_id, key), row_id, "left_anti")
+    """The table after its actions, see ``run_repairs``."""
+    return run_repairs(df, actions, row_id, spec, key).table()
 
 
 def removed_rows(df: DataFrame, actions: DataFrame, row_id: str | list[str], key: str = "id") -> DataFrame:
@@ -183,15 +243,17 @@ def repair_audit(
       are null for whole columns; an action without effect shows the cell as it was.
 
     An action is known by row id, ``seq``, type, column and value.  Single actions join on the
-    unique row id; whole columns are counted per action, with partial aggregation.
+    unique row id the rows they name; whole columns are counted per action, with partial aggregation.
+    ``after`` is the repaired table; who has the ``Repairs`` asks them for their audit.
     """
-    row_id = as_list(row_id)
+    return run_repairs(before, actions, row_id, spec, key).audit(truth, after)
+
+
+def _audit(done: Repairs, truth: DataFrame | None, after: DataFrame) -> DataFrame:
+    actions, spec, key, row_id = done.actions, done.spec, done.key, list(done.row_id)
     ids = [ref(c) for c in row_id]
-    planned, todo = _planned(before, actions, row_id, spec)
-    steps = [f"coalesce({_steps(todo[c], c, ref(c), s)}, CAST(array() AS ARRAY<{_STEP}>))" for c, s in spec.items()]
-    cells = [f"{ref(c)} AS {ref('__b_' + c)}" for c in spec]
-    seen = planned.selectExpr(*ids, *cells, f"concat({', '.join(steps)}) AS __steps", "true AS __b_")
-    seen = seen.join(after.selectExpr(*ids, "true AS __c_"), row_id, "left")
+    cells = [f"{_cell_before(c)} AS {ref('__b_' + c)}" for c in spec]
+    seen = done.rows.filter("__touched OR size(__steps) > 0").selectExpr(*ids, *cells, "__steps", "__touched", "true AS __b_", "IF(__gone, NULL, true) AS __c_")
 
     def with_truth(df: DataFrame) -> DataFrame:
         if truth is None:
@@ -215,7 +277,7 @@ def repair_audit(
     single = _single(actions, row_id)
     mine = "d.seq = seq AND d.action_type = action_type AND d.column_name = column_name AND d.new_value <=> new_value AND NOT d.whole"
     # The names of the lambda variable's fields are those of the action's columns.
-    looked = single.join(seen, row_id, "left").withColumn("__step", F.expr(f"get(filter(__steps, d -> {mine}), 0)"))
+    looked = single.join(seen.filter("__touched"), row_id, "left").withColumn("__step", F.expr(f"get(filter(__steps, d -> {mine}), 0)"))
     cell = _named_cell("__b_", spec, lambda c, s: c)
     looked = with_exprs(
         looked,
@@ -351,38 +413,56 @@ def _number_text(value: float, spec: CellSpec) -> str:
 
 
 def table_diff(
-    before: DataFrame, after: DataFrame, key: str | list[str], columns: Sequence[str] | None = None
+    before: DataFrame, after: DataFrame, key: str | list[str], columns: Sequence[str] | None = None, hot: int = HOT_KEY
 ) -> DataFrame:
     """Changed cells side by side: ``(key, column, change, before, after)``.
 
     Rows on one side only give one line per non-null cell, as ``added`` or ``removed``.  Rows
     that repeat a key are compared in order of their cells as text, the first with the first;
-    the others of the longer side are on one side only.
+    the others of the longer side are on one side only.  Null keys equal each other.
+
+    Keys whose rows are the same on both sides go first, by counts and 128 bits of digests, so that whole rows are
+    only shuffled for the others.  There equal rows are counted, and a group of them is a range of places
+    among the rows of its key; where the ranges of both sides overlap nothing has changed.  If a key holds more than ``hot``
+    rows, places come from a range sort, which splits it.
     """
     key = as_list(key)
     ids = [ref(c) for c in key]
     columns = [c for c in before.columns if c in after.columns and c not in key] if columns is None else list(columns)
-    packed = f"struct({', '.join(f'CAST({ref(c)} AS STRING) AS {ref(c)}' for c in columns)})"
-    old, new = before.selectExpr(*ids, f"{packed} AS __b"), after.selectExpr(*ids, f"{packed} AS __a")
-    if _repeats(old, key) or _repeats(new, key):
-        old, new = _with_place(old, key, "__b"), _with_place(new, key, "__a")
-        joined = old.join(new, [*key, "__place"], "full")
+    packed = f"struct({', '.join(f'CAST({ref(c)} AS STRING) AS {ref(c)}' for c in columns)}) AS __cells"
+    sides = before.selectExpr(*ids, packed, "true AS __old").unionAll(after.selectExpr(*ids, packed, "false AS __old"))
+    signed = "sum(if(__old, 1, -1) * CAST({} AS DECIMAL(20, 0)))"
+    marks = {"__b": "count_if(__old)", "__a": "count_if(NOT __old)", "__x": signed.format("xxhash64(__cells)"), "__y": signed.format("xxhash64(7, __cells)")}
+    differing = aggregate_by(sides, key, marks).filter("__b <> __a OR __x <> 0 OR __y <> 0")
+    differing = stage(differing.selectExpr(*[f"{ref(c)} AS {ref('__k_' + c)}" for c in key], "__b + __a AS __rows"), "differing")
+    same = F.expr(" AND ".join(f"{ref(c)} <=> {ref('__k_' + c)}" for c in key))
+    counted = aggregate_by(sides.join(differing, same, "left_semi"), [*key, "__cells"], {"__b": "count_if(__old)", "__a": "count_if(NOT __old)"})
+    if differing.filter(f"__rows > {hot}").isEmpty():
+        places = "coalesce(sum({}) OVER (PARTITION BY {} ORDER BY __cells ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        counted = counted.selectExpr("*", *[f"{places.format(n, ', '.join(ids))} AS {n}0" for n in ("__b", "__a")])
     else:
-        joined = old.join(new, key, "full")
+        counted = sums_before(counted, [*ids, "__cells"], {"__b0": "__b", "__a0": "__a"})
+        firsts = aggregate_by(counted, key, {"__bf": "min(__b0)", "__af": "min(__a0)"})
+        firsts = firsts.selectExpr(*[f"{ref(c)} AS {ref('__k_' + c)}" for c in key], "__bf", "__af")
+        counted = counted.join(firsts, same).withColumns({"__b0": F.expr("__b0 - __bf"), "__a0": F.expr("__a0 - __af")})
+    low, high = "greatest(__b0, __a0)", "least(__b0 + __b, __a0 + __a)"
+
+    def around(first: str, n: str, old: str) -> str:
+        """The places of a side outside the overlap, as up to two ranges."""
+        end = f"{first} + {n}"
+        overlap = f"{high} > {low}"
+        ranges = f"struct({first} AS lo, IF({overlap}, {low}, {end}) AS hi, {old} AS old), struct(IF({overlap}, {high}, {end}) AS lo, {end} AS hi, {old} AS old)"
+        return f"filter(array({ranges}), r -> r.hi > r.lo)"
+
+    ranges = counted.selectExpr(*ids, "__cells", f"inline(concat({around('__b0', '__b', 'true')}, {around('__a0', '__a', 'false')}))")
+    # A row that occurs very often becomes places a thousand at a time.
+    ranges = ranges.selectExpr(*ids, "__cells", "lo", "hi", "old", "explode(sequence(0L, (hi - lo - 1) DIV 1000)) AS __chunk")
+    places = ranges.selectExpr(*ids, "__cells", "old", "explode(sequence(lo + 1000 * __chunk, least(hi, lo + 1000 * __chunk + 1000) - 1)) AS __place")
+    side = "max(IF({}, __cells, NULL))"
+    joined = aggregate_by(places, [*key, "__place"], {"__b": side.format("old"), "__a": side.format("NOT old")})
     change = "CASE WHEN __b IS NULL THEN 'added' WHEN __a IS NULL THEN 'removed' ELSE 'changed' END AS change"
     cells = ", ".join(
         f"struct({lit(c)} AS column, __b.{ref(c)} AS before, __a.{ref(c)} AS after)" for c in columns
     )
     long = joined.selectExpr(*ids, change, f"inline(array({cells}))").filter("NOT (before <=> after)")
     return long.selectExpr(*ids, "column", "change", "before", "after")
-
-
-def _repeats(df: DataFrame, key: Sequence[str]) -> bool:
-    return not aggregate_by(df, key, {"__n": "count(1)"}).filter("__n > 1").isEmpty()
-
-
-def _with_place(df: DataFrame, key: Sequence[str], cells: str) -> DataFrame:
-    """Place of a row among those of its key, from a range sort, which splits a key that holds many rows."""
-    numbered = number_rows(df, [*[ref(c) for c in key], cells], "__at")
-    firsts = aggregate_by(numbered, key, {"__first": "min(__at)"})
-    return numbered.join(firsts, list(key), "left").selectExpr(*[ref(c) for c in key], cells, "__at - __first AS __place")

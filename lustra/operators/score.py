@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from lustra.functions.columns import as_list, lit, ref
 from lustra.functions.frames import aggregate, aggregate_by, pick, with_exprs
 from lustra.functions.people import ISSUES, PEOPLE, Spec
 from lustra.operators.dedup import remove_duplicates
-from lustra.operators.rows import number_rows
+from lustra.operators.rows import sums_before
 from lustra.operators.textual import normalized_row
+from lustra.session import stage
 
 # Reward per correct action and the other terms of an action's reward.
 REWARDS = {"fix_missing": 0.15, "remove_duplicate": 0.12, "fix_format": 0.18, "fix_type": 0.15, "fix_outlier": 0.20}
@@ -22,6 +24,7 @@ WRONG, IDLE, INVALID, STEP = -0.08, -0.05, -0.12, -0.01
 REWARD_RANGE = (-0.3, 0.5)
 COMPLETION_BONUS, COMPLETION_LIMIT = 0.30, 0.8
 SORT_KEY = ("id", "name", "email")
+STRIDE = 1 << 16  # positions that one task compares
 
 
 def _ratio(counted: DataFrame, width: int) -> DataFrame:
@@ -51,18 +54,41 @@ def cell_match_ratio(
 ) -> DataFrame:
     """One row ``(matches, cells, ratio)`` comparing both tables by sorted position.
 
-    Rows equal in the sort key are ordered by their other columns, so the range sort can
-    split a key that holds many rows; ``row_id`` (columns of ``df``) lets it also split one
-    row that occurs very often.  A cell absent on one side equals null.
+    Rows equal in the sort key are ordered by their other columns.  A cell absent on one side equals null.
+
+    Equal rows are counted first, so a row that occurs very often is one row here: a range of positions on each side.
+    Ranges are cut at every ``STRIDE`` positions, and where the range of one side meets that of the other their cells are
+    compared once for all positions they share.  ``row_id`` is not needed any more and ignored.
     """
     columns = list(truth.columns) if columns is None else list(columns)
     order = [f"coalesce(CAST({ref(c)} AS STRING), 'None')" for c in sort_key if c in columns] + [ref(c) for c in columns]
-
-    def ranked(side: DataFrame, ids: Sequence[str]) -> DataFrame:
-        kept = pick(side, [*columns, *[c for c in ids if c not in columns]])
-        return number_rows(kept, order + [ref(c) for c in ids], "__at")
-
-    return _ratio(_compared(ranked(df, row_id), ranked(truth, ()), columns, ["__at"]), len(columns))
+    both = pick(df, columns).withColumn("__l", F.lit(True)).unionAll(pick(truth, columns).withColumn("__l", F.lit(False)))
+    counted = aggregate_by(both, columns, {"__ln": "count_if(__l)", "__rn": "count_if(NOT __l)"})
+    placed = stage(sums_before(counted, order, {"__l0": "__ln", "__r0": "__rn"}), "placed")
+    rows = aggregate(placed, {"l": "coalesce(sum(__ln), 0)", "r": "coalesce(sum(__rn), 0)"}).first()
+    end = max(rows["l"], rows["r"])
+    cells = f"struct({', '.join(ref(c) for c in columns)}) AS cells"
+
+    def runs(side: str) -> DataFrame:
+        blocks = f"explode(sequence(__{side}0 DIV {STRIDE}, (__{side}0 + __{side}n - 1) DIV {STRIDE})) AS block"
+        cut = placed.filter(f"__{side}n > 0").selectExpr(f"__{side}0 AS first", cells, blocks)
+        return cut.selectExpr("block", f"greatest(first, block * {STRIDE}L) AS at", f"'{side}' AS side", "cells")
+
+    parts = [runs("l"), runs("r")]
+    if rows["l"] != rows["r"]:
+        # Behind its end the shorter side has absent cells only.
+        side, least = ("l", rows["l"]) if rows["l"] < rows["r"] else ("r", rows["r"])
+        absent = f"CAST(NULL AS {parts[0].schema['cells'].dataType.simpleString()})"
+        blocks = df.sparkSession.range(least // STRIDE, (end - 1) // STRIDE + 1)
+        parts.append(blocks.selectExpr("id AS block", f"greatest({least}L, id * {STRIDE}L) AS at", f"'{side}' AS side", f"{absent} AS cells"))
+    events = reduce(DataFrame.unionAll, parts)
+    # Null cells still tell that there is a run, hence the struct around them.
+    latest = "max_by(IF(side = '{0}', struct(cells), NULL), IF(side = '{0}', at, NULL)) OVER (PARTITION BY block ORDER BY at) AS {0}"
+    until = f"coalesce(lead(at) OVER (PARTITION BY block ORDER BY at), least({end}L, (block + 1) * {STRIDE}L)) AS until"
+    met = events.selectExpr("at", latest.format("l"), latest.format("r"), until).filter("until > at")
+    hits = " + ".join(f"CAST(l.cells.{ref(c)} <=> r.cells.{ref(c)} AS BIGINT)" for c in columns)
+    found = aggregate(met, {"hits": f"sum((until - at) * ({hits}))", "l": f"{rows['l']}L", "r": f"{rows['r']}L"})
+    return _ratio(found, len(columns))
 
 
 def cell_match_by_key(
@@ -176,16 +202,29 @@ def score_actions(log: DataFrame) -> DataFrame:
     return with_exprs(log, {"reward": f"IF(issues_after = 0, {bonus}, {base})", "completed": "issues_after = 0"})
 
 
-def run_summary(scored: DataFrame, run: str | list[str] = "run_id", step: str = "step") -> DataFrame:
-    """Per run: steps, mean and total reward, last score, whether it was completed."""
-    return aggregate_by(
-        scored,
-        as_list(run),
-        {
-            "steps": "count(1)",
-            "mean_reward": "round(avg(reward), 4)",
-            "total_reward": "round(sum(reward), 4)",
-            "final_score": f"max_by(score, {ref(step)})",
-            "completed": "bool_or(completed)",
-        },
-    )
+def run_summary(scored: DataFrame, run: str | list[str] = "run_id", step: str = "step", level: str | None = None) -> DataFrame:
+    """Per run: steps, mean and total reward, last score, whether it was completed.
+
+    With ``level``, a column that groups runs by difficulty, the same rows per run and level come with one per level
+    and one of all runs, in one aggregation.  ``grouped`` says which (``run``, ``level``, ``all``), ``runs`` counts
+    the runs, and a level's final score and completion are the means of its runs'.
+    """
+    run = as_list(run)
+    per_run = {
+        "steps": "count(1)",
+        "total_reward": "sum(reward)",
+        "final_score": f"max_by(score, {ref(step)})",
+        "completed": "bool_or(completed)",
+    }
+    if level is None:
+        found = aggregate_by(scored, run, per_run | {"mean_reward": "round(avg(reward), 4)"})
+        return found.withColumn("total_reward", F.round("total_reward", 4)).select(*run, "steps", "mean_reward", "total_reward", "final_score", "completed")
+    runs = aggregate_by(scored, [*run, level], per_run)
+    keys = [F.expr(ref(c)) for c in (*run, level)]
+    grouped = runs.groupingSets([keys, [keys[-1]], []], *keys).agg(
+        F.expr(f"CASE WHEN grouping({ref(run[0])}) = 0 THEN 'run' WHEN grouping({ref(level)}) = 0 THEN 'level' ELSE 'all' END AS grouped"),
+        F.expr("count(1) AS runs"), F.expr("sum(steps) AS steps"), F.expr("round(sum(total_reward) / sum(steps), 4) AS mean_reward"),
+        F.expr("round(sum(total_reward), 4) AS total_reward"), F.expr("round(avg(final_score), 4) AS final_score"),
+        F.expr("round(avg(CAST(completed AS INT)), 4) AS completed_share"),
+    )
+    return grouped

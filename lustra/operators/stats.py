@@ -13,14 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lustra.functions.columns import any_of, dtype, is_fractional, is_groupable, lit, lits, number, ref
+from lustra.functions.columns import any_of, dtype, is_fractional, is_groupable, is_text, lit, lits, number, ref
 from lustra.functions.frames import fetch
+from lustra.session import stage
 
 # Values per column an exact ranking may hold in one task.
 BRACKET_LIMIT = 100_000
 # Rank error of the approximate percentile is 1 / SKETCH_ACCURACY of the rows.
 SKETCH_ACCURACY = 10_000
 _COLUMNS_PER_JOB = 16
+# Longer texts are counted by their first characters and a digest of 128 bits.
+SHORT = 64
+# Keys of texts that are looked up by broadcast.
+LOOKED_UP = 10_000
 
 
 @dataclass(frozen=True)
@@ -230,6 +235,54 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.filter("value IS NOT NULL").groupBy("column", "value").agg(F.expr("count(1) AS n"))
 
 
+def text_key(x: str) -> str:
+    """A short text itself, a longer one as its first ``SHORT`` characters and a digest.
+
+    Keys are equal where texts are, are never longer than ``SHORT`` + 32 characters, and sort like the texts up
+    to those with the same first characters.
+    """
+    return f"if(char_length({x}) <= {SHORT}, {x}, concat(substring({x}, 1, {SHORT}), md5({x})))"
+
+
+def key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """As ``value_counts`` with texts replaced by their keys, so that no long text is shuffled."""
+    same = by_type(df, columns)
+    if len(same) != 1 or not is_text(dtype(df, same[0][0])):
+        return value_counts(df, columns)
+    return value_counts(df.selectExpr(*[f"{text_key(ref(c))} AS {ref(c)}" for c in columns]), columns)
+
+
+def ranked(counts: DataFrame, k: int, keys: bool = False) -> DataFrame:
+    """``(column, rank, value, n)`` of the ``k`` most frequent values per column, smaller value first on ties.
+
+    Each task keeps its own best per column before the shuffle (WindowGroupLimit).  Where values are ``keys``,
+    ties that only the rest of the texts can break are all kept, under one rank.
+    """
+    head = f"substring(value, 1, {SHORT}), char_length(value) > {SHORT}" if keys else "value"
+    call = "rank()" if keys else "row_number()"
+    rank = f"CAST({call} OVER (PARTITION BY column ORDER BY n DESC, {head}) AS INT) AS rank"
+    return counts.selectExpr("column", rank, "value", "n").filter(f"rank <= {k}")
+
+
+def with_texts(df: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """``ranked`` keys as the texts they stand for; ``best`` is staged.
+
+    Only if long texts are among them is the table scanned once more, for the cells with one of their keys.
+    """
+    long = best.filter(f"char_length(value) > {SHORT}").selectExpr("column AS __column", "value AS __key", "n")
+    size = long.count()
+    if not size:
+        return best
+    columns = [r[0] for r in long.select("__column").distinct().collect()]
+    cells = df.selectExpr(*[ref(c) for c in columns]).unpivot([], [F.expr(ref(c)) for c in columns], "column", "value")
+    cells = cells.filter(f"char_length(value) > {SHORT}").selectExpr("column", f"{text_key('value')} AS key", "value")
+    # Unless very many texts share their beginning and their count, these are k keys a column.
+    side = F.broadcast(long) if size <= LOOKED_UP else long
+    found = cells.join(side, F.expr("column = __column AND key = __key")).groupBy("column", "key").agg(F.expr("any_value(value) AS value"), F.expr("any_value(n) AS n"))
+    short = best.filter(f"char_length(value) <= {SHORT}").select("column", "value", "n")
+    return ranked(short.unionByName(found.drop("key")), k)
+
+
 def by_type(df: DataFrame, columns: Iterable[str]) -> list[list[str]]:
     """Group countable columns by family (whole, fractional, or their type), keeping their order."""
     groups: dict[str, list[str]] = {}
@@ -245,6 +298,10 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """Most frequent non-null value per column, the smallest one on ties."""
     found: dict[str, object] = {}
     for same in by_type(df, columns):
-        best = value_counts(df, same).groupBy("column").agg(F.expr("min_by(value, struct(-n, value)) AS mode"))
-        found |= {r["column"]: r["mode"] for r in best.collect()}
+        if is_text(dtype(df, same[0])):
+            best = with_texts(df, stage(ranked(key_counts(df, same), 1, keys=True), "modes"), 1)
+            found |= {r["column"]: r["value"] for r in best.collect()}
+        else:
+            best = value_counts(df, same).groupBy("column").agg(F.expr("min_by(value, struct(-n, value)) AS mode"))
+            found |= {r["column"]: r["mode"] for r in best.collect()}
     return found

@@ -1,6 +1,7 @@
-"""Rule-driven validation in one scan without a shuffle.
+"""Rule-driven validation without a shuffle.
 
-Every rule compiles to a test and an error.  The same compiled rules give the valid rows, the
+``validate`` scans the table once for all it returns; the single results each take a scan of
+their own and are not written anywhere.  Every rule compiles to a test and an error.  The same compiled rules give the valid rows, the
 long error table and the quarantine table, in batch and on streams.  ``allowed_values`` is a
 short list, which becomes a literal, or a table, whose first column is joined.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from lustra.functions import types
 from lustra.functions.columns import any_of, as_list, dtype, is_numeric, lit, lits, ref
 from lustra.functions.frames import pick, with_exprs
+from lustra.session import stage
 
 ERROR = "column: string, rule: string, value: string, message: string"
 
@@ -130,19 +132,58 @@ def validation_errors(df: DataFrame, schema: Mapping, row_id: str | Sequence[str
     return long.filter("__e IS NOT NULL").selectExpr(*ids, "__e.*").unionByName(absent)
 
 
+def _errors(marked: DataFrame, schema: Mapping, row_id: Sequence[str]) -> str:
+    """The array of rules a marked row breaks, empty for a valid one."""
+    checks = _checks(marked, schema, row_id)
+    found = f"array_compact(array({', '.join(check.error for check in checks)}))" if checks else "array()"
+    return f"CAST({found} AS ARRAY<STRUCT<{ERROR}>>)"
+
+
 def with_errors(df: DataFrame, schema: Mapping, row_id: str | Sequence[str] = (), name: str = "errors") -> DataFrame:
     """Add the array of broken rules per row; empty for a valid row."""
     marked = _marked(df, schema)
-    checks = _checks(marked, schema, as_list(row_id))
-    found = f"array_compact(array({', '.join(check.error for check in checks)}))" if checks else "array()"
-    return pick(with_exprs(marked, {name: f"CAST({found} AS ARRAY<STRUCT<{ERROR}>>)"}), [*[c for c in df.columns if c != name], name])
+    return pick(with_exprs(marked, {name: _errors(marked, schema, as_list(row_id))}), [*[c for c in df.columns if c != name], name])
 
 
 def quarantine(df: DataFrame, schema: Mapping, row_id: str | Sequence[str] = ()) -> DataFrame:
     """Rows that break a rule, with what they broke."""
     marked = _marked(df, schema)
-    return with_errors(pick(marked.filter(_failed(marked, schema)), df.columns), schema, row_id)
+    broken = marked.filter(_failed(marked, schema))
+    return pick(with_exprs(broken, {"errors": _errors(marked, schema, as_list(row_id))}), [*[c for c in df.columns if c != "errors"], "errors"])
+
+
+@dataclass(frozen=True)
+class Validated:
+    """A table validated once: valid rows, error table and quarantine read the one staged table, by its partitions."""
+
+    rows: DataFrame
+    absent: DataFrame
+    columns: tuple[str, ...]
+    row_id: tuple[str, ...]
+
+    def valid(self) -> DataFrame:
+        return pick(self.rows.filter("__broken = 0"), self.columns)
+
+    def quarantine(self) -> DataFrame:
+        kept = [c for c in self.columns if c != "errors"]
+        return self.rows.filter("__broken = 1").selectExpr(*[ref(c) for c in kept], "__errors AS errors")
+
+    def errors(self) -> DataFrame:
+        ids = [ref(c) for c in self.row_id]
+        long = self.rows.filter("__broken = 1").selectExpr(*ids, "inline(__errors)")
+        return long.unionByName(self.absent.selectExpr(*[f"CAST(NULL AS {dtype(self.rows, c).simpleString()}) AS {ref(c)}" for c in self.row_id], "*"))
+
+
+def validated(df: DataFrame, schema: Mapping, row_id: str | Sequence[str] = ()) -> Validated:
+    """Validate in one scan: every row is written once with what it broke, partitioned by whether it broke anything."""
+    row_id = as_list(row_id)
+    marked = _marked(df, schema)
+    found = with_exprs(marked, {"__errors": _errors(marked, schema, row_id)})
+    found = pick(found, [*df.columns, "__errors"]).withColumn("__broken", F.expr("IF(size(__errors) > 0, 1, 0)"))
+    return Validated(stage(found, "validated", "__broken"), missing_columns(df, schema), tuple(df.columns), tuple(row_id))
 
 
 def validate(df: DataFrame, schema: Mapping, row_id: str | Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    return valid_rows(df, schema), validation_errors(df, schema, row_id)
+    """Valid rows and error table, from one scan of ``df``."""
+    found = validated(df, schema, row_id)
+    return found.valid(), found.errors()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,21 +49,33 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lustra/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Later passes then read only the columns they need, and a lost executor costs a re-read
-    of a file instead of the whole history.
+    of a file instead of the whole history.  Readers of one value of ``partition_by`` open its files only.
     """
     spark = df.sparkSession
     for field in df.schema.fields:
         if isinstance(field.dataType, T.NullType):
             df = df.withColumn(field.name, F.expr(f"CAST({ref(field.name)} AS STRING)"))
     path = new_shared_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, measures: Mapping[str, str], label: str = "stage") -> tuple[DataFrame, dict[str, object]]:
+    """``stage`` with aggregates of the written rows, taken while they are written.
+
+    They are measured in the stage that writes, whose tasks count once each however often they are tried.
+    """
+    seen = Observation()
+    names = list(measures)
+    # Whatever the names are, the metrics are numbered.
+    written = stage(df.observe(seen, *[F.expr(measures[n]).alias(f"m{i}") for i, n in enumerate(names)]), label)
+    return written, {n: seen.get[f"m{i}"] for i, n in enumerate(names)}
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table this application has staged; call it when no result that reads them is needed."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lustra/{spark.sparkContext.applicationId}")

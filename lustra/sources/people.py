@@ -116,14 +116,14 @@ def inject_issues(people: DataFrame, key: str = "k", seed: int = 11, rates: dict
         people,
         {
             "age": broken(
-                "age", age_null="NULL", age_blank="''", age_word="'thirty'",
-                age_decimal="concat(age, '.0')", age_outlier="'999'",
+                "age", age_null="NULL", age_blank="''", age_word="'forty-two'",
+                age_decimal="concat(age, '.0')", age_outlier="'431'",
             ),
             "email": broken("email", email_blank="''", email_broken="replace(email, '@', '.')"),
             "phone": broken(
                 "phone", phone_null="NULL", phone_digits="replace(phone, '-', '')", phone_spaces="replace(phone, '-', ' ')"
             ),
-            "salary": broken("salary", salary_blank="''", salary_outlier="'-50000'"),
+            "salary": broken("salary", salary_blank="''", salary_outlier="'-7250'"),
             "hire_date": broken(
                 "hire_date", date_slashes=f"concat_ws('/', {', '.join(parts)})", date_reversed=f"concat_ws('-', {', '.join(parts[::-1])})"
             ),

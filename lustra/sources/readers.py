@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lustra.functions.columns import is_fractional, is_text, lits, number, ref
 from lustra.functions.frames import with_exprs
 from lustra.operators.casting import infer_types
+from lustra.session import stage
 
 # Texts read as missing.
 NULL_TOKENS = (
@@ -68,6 +71,49 @@ def read_json(spark: SparkSession, path: str | list[str], lines: bool = False, s
     return normalize_columns(reader.json(path))
 
 
+@dataclass(frozen=True)
+class Checked:
+    """Records read, and those that could not be: ``(file, block_start, record)``, for the quarantine."""
+
+    rows: DataFrame
+    malformed: DataFrame
+
+
+def read_checked(
+    spark: SparkSession, path: str | list[str], kind: str = "csv", schema: str | T.StructType | None = None, header: bool = True, infer: bool = True,
+) -> Checked:
+    """Read ``csv``, ``tsv``, ``jsonl`` or ``json`` without failing on broken records and without losing them.
+
+    Malformed are records with too few or too many fields, values that do not fit a given ``schema``, and JSON that
+    cannot be parsed, each with its text, its file and where the part of the file it was read in begins.  The input is
+    parsed once: a table staged by whether a record was broken serves both sides.  Column names and missing
+    values are treated as by the other readers, types are inferred unless a schema is given.
+    """
+    if kind not in ("csv", "tsv", "json", "jsonl"):
+        raise ValueError(f"cannot check records of {kind!r}")
+    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN)
+    if kind in ("csv", "tsv"):
+        sep = "\t" if kind == "tsv" else ","
+        reader = reader.option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
+        given = spark.read.options(header=header, sep=sep, quote='"', escape='"').csv(path).schema if schema is None else schema
+    else:
+        reader = reader.option("multiLine", kind == "json")
+        given = spark.read.option("multiLine", kind == "json").option("columnNameOfCorruptRecord", _BROKEN).json(path).schema if schema is None else schema
+    fields = [f for f in (T.StructType.fromDDL(given) if isinstance(given, str) else given).fields if f.name != _BROKEN]
+    reader = reader.schema(T.StructType([*fields, T.StructField(_BROKEN, T.StringType())]))
+    raw = reader.csv(path) if kind in ("csv", "tsv") else reader.json(path)
+    names = [ref(f.name) for f in fields]
+    parsed = raw.selectExpr(*names, _BROKEN, "_metadata.file_path AS __file", "_metadata.file_block_start AS __block")
+    parsed = stage(parsed.withColumn("__kind", F.expr(f"IF({_BROKEN} IS NULL, 0, 1)")), "parsed", "__kind")
+    rows = normalize_columns(null_tokens(parsed.filter("__kind = 0").selectExpr(*names)))
+    if infer and schema is None and kind in ("csv", "tsv"):
+        rows = infer_types(rows)
+    return Checked(rows, parsed.filter("__kind = 1").selectExpr("__file AS file", "__block AS block_start", f"{_BROKEN} AS record"))
+
+
+_BROKEN = "__record"
+
+
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return normalize_columns(spark.read.parquet(*([path] if isinstance(path, str) else path)))
 

@@ -27,9 +27,14 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     write_csv(df, path, "\t", mode)
 
 
-def write_report(df: DataFrame, path: str, job_id: str, kind: str = "json", mode: str = "append") -> None:
-    """Append a report table under ``job_id=<id>``, so that jobs can be read together."""
-    df.withColumn("job_id", F.lit(job_id)).write.mode(mode).partitionBy("job_id").format(kind).save(path)
+def write_report(df: DataFrame, path: str, job_id: str, kind: str = "json", mode: str = "overwrite") -> None:
+    """Write a report table under ``job_id=<id>``, so that jobs can be read together.
+
+    Only the partition of this job is replaced, so a job that is tried again leaves one report and no other job's
+    is touched; ``append`` adds to what is there.
+    """
+    own = df.withColumn("job_id", F.lit(job_id))
+    own.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("job_id").format(kind).save(path)
 
 
 def write_profile(profile: DataFrame, path: str, job_id: str, kind: str = "json") -> None:
@@ -42,3 +47,12 @@ def write_audit(audit: DataFrame, path: str, job_id: str, kind: str = "json") ->
 
 def write_errors(errors: DataFrame, path: str, job_id: str, kind: str = "json") -> None:
     write_report(errors, path, job_id, kind)
+
+
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One record per line; nested values stay nested."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    df.write.mode(mode).parquet(path)

@@ -233,12 +233,39 @@ def _summary_row(c: str, kind: str) -> str:
     return f"""SELECT '{c}' AS "column", '{c} [{kind}]: null=0.0%, unique=' || (SELECT count(DISTINCT {c}) FROM part) || {tail} AS summary"""
 
 
+_PART = (("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double"))
 ORACLE["profile_summary"] = union(
-    _summary_row(c, kind)
-    for c, kind in (
-        ("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
-        ("p_size", "int"), ("p_retailprice", "double"),
-    )
+    [
+        "SELECT NULL AS \"column\", count(*) || ' rows, 6 columns' AS summary FROM part",
+        f"SELECT NULL, sum({' + '.join(f'CAST({c} IS NULL AS INT)' for c, _ in _PART)}) || ' cells missing (0.0%)' FROM part",
+        "SELECT NULL, (SELECT count(*) FROM part) - (SELECT count(*) FROM (SELECT DISTINCT * FROM part)) || ' duplicate rows'",
+        *(_summary_row(c, kind) for c, kind in _PART),
+    ]
+)
+ORACLE["profile_documents"] = union(
+    f"""SELECT "column", rank, md5(value) AS value, n, (SELECT count(DISTINCT {c}) FROM documents) AS unique_count FROM ({top('documents', c)})"""
+    for c in ("text", "lang", "source")
+)
+_SAMPLED = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+ORACLE["profile_sample_lineitem"] = union(
+    f"""(SELECT '{c}' AS "column", CAST(row_number() OVER (ORDER BY {', '.join(_SAMPLED)}) AS INT) AS rank, CAST({x} AS VARCHAR) AS value
+      FROM lineitem WHERE {x} IS NOT NULL QUALIFY rank <= 5)"""
+    for c, x in (*((c, c) for c in _SAMPLED), ("rare", "CASE WHEN l_orderkey % 400 = 0 THEN l_returnflag END"))
+)
+
+
+def _merged_row(c: str, numeric: bool) -> str:
+    numbers = ("avg", "stddev_samp", "min", "max")
+    shown = ", ".join(f"round({f}({c}), 4)" if numeric else "NULL::DOUBLE" for f in numbers)
+    names = ("mean", "std", "min", "max")
+    return f"""SELECT '{c}' AS "column", rows, null_count, {', '.join(names)}, true AS estimates_close
+      FROM (SELECT count(*) AS rows, count(*) - count({c}) AS null_count, {shown} FROM lineitem) t(rows, null_count, {', '.join(names)})"""
+
+
+ORACLE["profile_merged"] = union([_merged_row("l_extendedprice", True), _merged_row("l_quantity", True), _merged_row("l_linestatus", False)])
+ORACLE["profile_merged_dataset"] = with_people(
+    f"""SELECT count(*) AS rows, 11 AS columns, CAST(sum(miss) AS BIGINT) AS total_missing, round(sum(miss) / (count(*) * 11) * 100, 2) AS missing_pct
+    FROM (SELECT {' + '.join(f'CAST({c} IS NULL AS INT)' for c in DATA)} AS miss FROM pn)"""
 )
 
 
@@ -382,7 +409,7 @@ _PADDED = "padded AS (SELECT k, copy_no, '  ' || name || chr(9) || '  ' || depar
 ORACLE["normalize_text"] = with_people(
     f"SELECT k, copy_no, regexp_replace(lower({strip('label')}), '\\s+', ' ', 'g') AS label FROM padded", _PADDED
 )
-ORACLE["normalize_documents"] = "SELECT p_partkey, lower(trim(p_name)) AS p_name, lower(trim(p_type)) AS p_type FROM part"
+ORACLE["normalize_documents"] = f"""SELECT doc_id, regexp_replace(lower({strip('text')}), '\\s+', ' ', 'g') AS text, lower(trim(source)) AS source FROM documents"""
 ORACLE["strip_whitespace"] = with_people(f"SELECT k, copy_no, {strip('label')} AS label FROM padded", _PADDED)
 ORACLE["fix_email"] = with_people(
     """SELECT k, copy_no, CASE WHEN regexp_full_match(email, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z]{2,}')
@@ -456,6 +483,10 @@ ORACLE["validate_errors"] = _ORDER_ERRORS
 ORACLE["validate_quarantine"] = f"""SELECT *, concat_ws(',', CASE WHEN {_PRICE_LOW} THEN 'o_totalprice/min' END,
     CASE WHEN {_PRICE_HIGH} THEN 'o_totalprice/max' END, CASE WHEN {_STATUS} THEN 'o_orderstatus/allowed_values' END,
     CASE WHEN {_PRIORITY} THEN 'o_orderpriority/pattern' END) AS errors FROM orders WHERE {_BROKEN}"""
+ORACLE["validate_once"] = f"""SELECT o_orderkey, o_totalprice, 'valid' AS part, NULL AS rule FROM orders WHERE NOT ({_BROKEN})
+  UNION ALL SELECT o_orderkey, o_totalprice, 'quarantine', concat_ws(',', CASE WHEN {_PRICE_LOW} THEN 'min' END, CASE WHEN {_PRICE_HIGH} THEN 'max' END,
+    CASE WHEN {_STATUS} THEN 'allowed_values' END, CASE WHEN {_PRIORITY} THEN 'pattern' END) FROM orders WHERE {_BROKEN}
+  UNION ALL SELECT o_orderkey, NULL, 'errors', rule FROM ({_ORDER_ERRORS})"""
 _PEOPLE_TESTS = {
     ("age", "required"): ("age IS NULL", "'''age'' must not be empty'"),
     ("age", "type"): ("age IS NOT NULL AND TRY_CAST(age AS DOUBLE) IS NULL", "'''age'' holds no number: ''' || age || ''''"),
@@ -674,6 +705,13 @@ ORACLE["action_scores"] = f"WITH {_LOG} SELECT * FROM scored"
 ORACLE["run_summary"] = f"""WITH {_LOG} SELECT run_id, count(*) AS steps, round(avg(reward), 4) AS mean_reward,
   round(sum(reward), 4) AS total_reward, max_by(score, step) AS final_score, bool_or(completed) AS completed FROM scored GROUP BY run_id"""
 
+ORACLE["run_summary_levels"] = f"""WITH {_LOG}, runs AS (SELECT run_id, ['easy', 'medium', 'hard'][run_id % 3 + 1] AS level, count(*) AS steps,
+    sum(reward) AS total_reward, max_by(score, step) AS final_score, bool_or(completed) AS completed FROM scored GROUP BY run_id)
+  SELECT run_id, level, CASE WHEN grouping(run_id) = 0 THEN 'run' WHEN grouping(level) = 0 THEN 'level' ELSE 'all' END AS grouped, count(*) AS runs,
+    CAST(sum(steps) AS BIGINT) AS steps, round(sum(total_reward) / sum(steps), 4) AS mean_reward, round(sum(total_reward), 4) AS total_reward,
+    round(avg(final_score), 4) AS final_score, round(avg(CAST(completed AS INT)), 4) AS completed_share
+  FROM runs GROUP BY GROUPING SETS ((run_id, level), (level), ())"""
+
 # ---------------------------------------------------------------- cleaning runs
 
 _LOADED = """loaded AS (SELECT CAST(id AS BIGINT) AS id, name, age, email, phone, CAST(salary AS BIGINT) AS salary, hire_date, department, is_active FROM pn),
@@ -693,22 +731,47 @@ def _nulls_of(c: str) -> str:
     return f"(SELECT count(*) - count({c}) FROM single)"
 
 
+_TAKEN = "((SELECT count(*) FROM loaded) - (SELECT count(*) FROM single))"
+_GIVEN = {"age": "median", "email": "unknown@example.com", "phone": "000-000-0000", "salary": "median"}
+
+
+def _all_nulls(source: str) -> str:
+    return f"(SELECT CAST(sum({' + '.join(f'CAST({c} IS NULL AS INT)' for c in DATA)}) AS BIGINT) FROM {source})"
+
+
 _STEPS = (
-    ("duplicates", None, "(SELECT count(*) FROM loaded) - (SELECT count(*) FROM single)"),
-    ("fill_missing", "age", "0"),
-    *(("fill_missing", c, _nulls_of(c)) for c in ("email", "phone", "salary")),
-    *(("cast_type", c, "0") for c in ("age", "salary", "id")),
-    *(("normalize_text", c, "0") for c in ("name", "department", "email")),
-    *(("outlier_cap_iqr", c, "0") for c in ("age", "salary")),
-    ("summary", None, "0"),
+    ("duplicates", None, _TAKEN, f"{_TAKEN} || ' repeated rows taken out'"),
+    *(("fill_missing", c, "0" if c == "age" else _nulls_of(c), f"'{c}: ' || {_nulls_of(c)} || ' nulls given the {_GIVEN[c]}'") for c in _GIVEN),
+    *(("cast_type", c, "0", f"'{c} read as numeric'") for c in ("age", "salary", "id")),
+    *(("normalize_text", c, "0", f"'{c} trimmed and in lower case'") for c in ("name", "department", "email")),
+    *(("outlier_cap_iqr", c, "0", f"'{c} limited by quartiles'") for c in ("age", "salary")),
+    (
+        "summary", None, "0",
+        f"(SELECT count(*) FROM cleaned) || ' of ' || (SELECT count(*) FROM loaded) || ' rows left, nulls from ' || {_all_nulls('loaded')} || ' to ' || {_all_nulls('cleaned')}",
+    ),
 )
 ORACLE["clean_audit"] = with_people(
     union(
-        f"""SELECT CAST({i + 1} AS INT) AS seq, '{step}' AS step, {f"'{c}'" if c else 'NULL'} AS "column", CAST({n} AS BIGINT) AS rows_affected"""
-        for i, (step, c, n) in enumerate(_STEPS)
+        f"""SELECT CAST({i + 1} AS INT) AS seq, '{step}' AS step, {f"'{c}'" if c else 'NULL'} AS "column", {detail} AS detail, CAST({n} AS BIGINT) AS rows_affected"""
+        for i, (step, c, n, detail) in enumerate(_STEPS)
     ),
-    _LOADED,
+    _LOADED, _CLEANED,
 )
+_INSIDE = "BETWEEN q1 - 0.3 * (q3 - q1) AND q3 + 0.3 * (q3 - q1)"
+ORACLE["clean_events_audit"] = f"""WITH t AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value,
+    CASE WHEN event_id % 40 <> 0 THEN event_type END AS event_type, CAST(event_id % 1000 AS DOUBLE) AS place FROM events),
+  a AS (SELECT * FROM t WHERE user_id IS NOT NULL), b AS (SELECT * REPLACE (coalesce(value, 1.5) AS value) FROM a WHERE event_type IS NOT NULL),
+  q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM b), c AS (SELECT b.* FROM b, q WHERE value {_INSIDE}),
+  r AS (SELECT quantile_cont(place, 0.25) AS q1, quantile_cont(place, 0.75) AS q3 FROM c), d AS (SELECT c.* FROM c, r WHERE place {_INSIDE}),
+  n AS (SELECT (SELECT count(*) FROM t) AS nt, (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM c) AS nc, (SELECT count(*) FROM d) AS nd,
+    (SELECT count(*) - count(value) FROM a) AS holes, (SELECT 3 * count(*) - count(user_id) - count(value) - count(event_type) FROM t) AS nulls)
+  SELECT CAST(seq AS INT) AS seq, step, "column", detail, CAST(rows_affected AS BIGINT) AS rows_affected FROM (
+    SELECT 1 AS seq, 'drop_rows' AS step, 'user_id' AS "column", (nt - na) || ' rows without user_id taken out' AS detail, nt - na AS rows_affected FROM n
+    UNION ALL SELECT 2, 'fill_missing', 'value', 'value: ' || holes || ' nulls given the 1.5', holes FROM n
+    UNION ALL SELECT 3, 'drop_rows', 'event_type', (na - nb) || ' rows without event_type taken out', na - nb FROM n
+    UNION ALL SELECT 4, 'outlier_remove_iqr', 'value', (nb - nc) || ' rows beyond the quartile limits of value taken out', nb - nc FROM n
+    UNION ALL SELECT 5, 'outlier_remove_iqr', 'place', (nc - nd) || ' rows beyond the quartile limits of place taken out', nc - nd FROM n
+    UNION ALL SELECT 6, 'summary', NULL, nd || ' of ' || nt || ' rows left, nulls from ' || nulls || ' to 0', 0 FROM n)"""
 ORACLE["clean_events"] = """WITH t AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, event_type,
     CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id FROM events),
   f AS (SELECT event_id, coalesce(value, (SELECT avg(value) FROM t)) AS value, event_type, user_id FROM t),
@@ -756,10 +819,10 @@ def _hit(i: int) -> str:
 
 ORACLE["inject_issues"] = f"""WITH {_MADE},
   broken AS (SELECT k, id, name,
-    CASE WHEN {_hit(0)} THEN NULL WHEN {_hit(1)} THEN '' WHEN {_hit(2)} THEN 'thirty' WHEN {_hit(3)} THEN age || '.0' WHEN {_hit(4)} THEN '999' ELSE age END AS age,
+    CASE WHEN {_hit(0)} THEN NULL WHEN {_hit(1)} THEN '' WHEN {_hit(2)} THEN 'forty-two' WHEN {_hit(3)} THEN age || '.0' WHEN {_hit(4)} THEN '431' ELSE age END AS age,
     CASE WHEN {_hit(5)} THEN '' WHEN {_hit(6)} THEN replace(email, '@', '.') ELSE email END AS email,
     CASE WHEN {_hit(7)} THEN NULL WHEN {_hit(8)} THEN replace(phone, '-', '') WHEN {_hit(9)} THEN replace(phone, '-', ' ') ELSE phone END AS phone,
-    CASE WHEN {_hit(10)} THEN '' WHEN {_hit(11)} THEN '-50000' ELSE salary END AS salary,
+    CASE WHEN {_hit(10)} THEN '' WHEN {_hit(11)} THEN '-7250' ELSE salary END AS salary,
     CASE WHEN {_hit(12)} THEN hire_date[1:4] || '/' || hire_date[6:7] || '/' || hire_date[9:10]
       WHEN {_hit(13)} THEN hire_date[9:10] || '-' || hire_date[6:7] || '-' || hire_date[1:4] ELSE hire_date END AS hire_date,
     CASE WHEN {_hit(14)} THEN CASE department WHEN 'Engineering' THEN 'Eng' WHEN 'HR' THEN 'hr' WHEN 'Operations' THEN 'ops' ELSE lower(department) END ELSE department END AS department,
@@ -774,7 +837,28 @@ ORACLE["inject_issues"] = f"""WITH {_MADE},
 ORACLE["csv_roundtrip"] = "SELECT * REPLACE (CAST(p_size AS BIGINT) AS p_size) FROM part"
 ORACLE["tsv_roundtrip"] = "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer"
 ORACLE["json_roundtrip"] = "SELECT * REPLACE (CAST(s_nationkey AS BIGINT) AS s_nationkey) FROM supplier"
+ORACLE["json_documents"] = """SELECT s_suppkey, s_name, s_acctbal, NULL::BIGINT AS broken FROM supplier WHERE s_nationkey % 7 <> 3
+  UNION ALL SELECT DISTINCT NULL, NULL, NULL, CAST(s_nationkey AS BIGINT) FROM supplier WHERE s_nationkey % 7 = 3"""
+_ILL = "p_partkey % 31 = 0 OR (p_partkey % 17 = 0) <> (p_partkey % 23 = 0) OR (p_partkey % 17 = 0 AND p_partkey % 23 = 0)"
+ORACLE["csv_malformed"] = f"""SELECT p_partkey, p_name, p_retailprice, p_size, NULL AS record, NULL::BOOLEAN AS placed FROM part WHERE NOT ({_ILL})
+  UNION ALL SELECT p_partkey, NULL, NULL, NULL, concat_ws(',', CAST(p_partkey AS VARCHAR), '"' || p_name || '"',
+    CASE WHEN p_partkey % 31 = 0 THEN 'much' ELSE CAST(p_retailprice AS VARCHAR) END, CASE WHEN p_partkey % 17 <> 0 THEN CAST(p_size AS VARCHAR) END,
+    CASE WHEN p_partkey % 23 = 0 THEN 'extra' END), true FROM part WHERE {_ILL}"""
 ORACLE["parquet_roundtrip"] = "SELECT * FROM orders"
+_REPORTED = ("o_orderkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderpriority", "string")
+ORACLE["reports_retried"] = f"""SELECT * FROM (VALUES ('job-1'), ('job-2')) j(job_id), (
+    {union(f"SELECT 'profile' AS report, '{c}/{kind}/' || (count(*) - count({c})) AS entry, 1::BIGINT AS n FROM orders" for c, kind in _REPORTED)}
+    UNION ALL SELECT 'audit', entry, 1 FROM (VALUES ('outlier_cap_iqr/o_orderkey'), ('outlier_cap_iqr/o_totalprice'), ('summary')) a(entry)
+    UNION ALL SELECT 'errors', "column" || '/' || rule, count(*) FROM ({_ORDER_ERRORS}) GROUP BY "column", rule)"""
+_LATE_FILES = """landed AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value,
+    CAST(least(trunc(8 * percent_rank() OVER (ORDER BY ts, event_id)), 7) + CASE WHEN event_id % 11 = 0 THEN 2 ELSE 0 END AS INT) AS file FROM events),
+  marks AS (SELECT file, max(max(ts)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS mark FROM landed GROUP BY file),
+  marked AS (SELECT *, coalesce(ts < mark, false) AS late FROM landed JOIN marks USING (file)),
+  seen AS (SELECT *, max(ts) FILTER (NOT late) OVER earlier AS last_time, max(file) FILTER (NOT late) OVER earlier AS last_file FROM marked
+    WINDOW earlier AS (PARTITION BY user_id, event_type ORDER BY file, ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+ORACLE["stream_dedup_late"] = f"""WITH {_LATE_FILES}
+  SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value,
+    CASE WHEN late THEN 'late' WHEN last_file = file OR last_time + INTERVAL 2 DAY >= coalesce(mark, last_time) THEN 'repeat' ELSE 'new' END AS kind FROM seen"""
 ORACLE["report_roundtrip"] = f"""SELECT 'job-1' AS job_id, "column", rule, count(*) AS n FROM ({_ORDER_ERRORS}) GROUP BY ALL"""
 _KINDS = "('click', 'view', 'purchase')"
 ORACLE["stream_clean"] = f"""SELECT event_id, user_id, lower(event_type) AS event_type, least(greatest(value, 0), 60) AS value

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lustra.functions import people as cells
 from lustra.functions import text
-from lustra.operators import casting, dedup, issues, missing, outliers, profile, repair, score, stats, textual, validate
+from lustra.operators import casting, dedup, issues, missing, outliers, profile, repair, score, sketches, stats, textual, validate
 from lustra.plans import advice
 from lustra.plans import clean as runs
 from lustra.plans.clean import clean
@@ -17,6 +17,7 @@ from lustra.session import new_shared_path, stage
 from lustra.sources import people as generated
 from lustra.sources import readers, writers
 from lustra.streaming import clean_stream as streaming
+from lustra.streaming import ordered
 from lustra.workload.tables import DATA, ROW_ID, people, people_truth, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,8 +142,56 @@ def profile_full(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def profile_summary(spark: SparkSession, sf: str) -> DataFrame:
-    found = profile.profile(table(spark, sf, "part"))
-    return profile.profile_summary(rounded(found, "mean", "std", "min", "max", places=2)).select("column", "summary")
+    """Lines about the table, then one per column."""
+    part = table(spark, sf, "part")
+    found = rounded(profile.profile(part), "mean", "std", "min", "max", places=2)
+    return profile.profile_summary(found, profile.dataset(part)).select("column", "summary")
+
+
+@query
+def profile_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct and frequent values of whole texts, told by digests."""
+    docs = table(spark, sf, "documents").select("text", "lang", "source")
+    tops = profile.top_values(docs).withColumn("value", F.md5("value"))
+    return tops.join(F.broadcast(profile.column_uniques(docs)), "column")
+
+
+@query
+def profile_sample_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select(*SAMPLED, F.expr("IF(l_orderkey % 400 = 0, l_returnflag, NULL) AS rare"))
+    return profile.sample_values(lines, SAMPLED, [*SAMPLED, "rare"])
+
+
+SAMPLED = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@query
+def profile_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items profiled flag by flag, the stored sketches summed up; estimates are held against exact values."""
+    columns = ["l_returnflag", "l_extendedprice", "l_quantity", "l_linestatus"]
+    lines = table(spark, sf, "lineitem").select(*columns)
+    parts = stage(sketches.sketch(lines, ["l_returnflag"]), "sketches")
+    merged = stage(sketches.merge(parts), "merged")
+    found = {r["column"]: r for r in sketches.profile_of(merged).collect()}
+    uniques = {r["column"]: r["unique_count"] for r in profile.column_uniques(lines).collect()}
+    rows = []
+    for c in columns[1:]:
+        r, close = found[c], abs(found[c]["unique_count"] - uniques[c]) <= 0.05 * uniques[c]
+        if r["median"] is not None:
+            below = [F.expr(f"count_if({c} < {r[q]!r}D) / count(1)") for q in ("q1", "median", "q3")]
+            upto = [F.expr(f"count_if({c} <= {r[q]!r}D) / count(1)") for q in ("q1", "median", "q3")]
+            shares = lines.agg(*below, *upto).first()
+            close = close and all(shares[i] - sketches.RANK_ERROR <= p <= shares[i + 3] + sketches.RANK_ERROR for i, p in enumerate((0.25, 0.5, 0.75)))
+        rows.append((c, r["rows"], r["null_count"], r["mean"], r["std"], r["min"], r["max"], close))
+    kind = "column string, rows long, null_count long, mean double, std double, min double, max double, estimates_close boolean"
+    return rounded(spark.createDataFrame(rows, kind), "mean", "std", "min", "max")
+
+
+@query
+def profile_merged_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    parts = sketches.sketch(_people(spark, sf).select(*ROW, *CELLS).withColumn("part", F.expr("k % 5")), ["part"])
+    found = sketches.dataset_of(sketches.merge(stage(parts, "sketches")))
+    return found.select("rows", "columns", "total_missing", "missing_pct")
 
 
 @query
@@ -321,8 +370,7 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def normalize_documents(spark: SparkSession, sf: str) -> DataFrame:
-    out = textual.normalize_text(table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), ["p_name", "p_type"])
-    return out
+    return textual.normalize_text(table(spark, sf, "documents").select("doc_id", "text", "source"), ["text", "source"])
 
 
 @query
@@ -434,6 +482,15 @@ def validate_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("errors", broken)
 
 
+@query
+def validate_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid rows, errors and quarantine of orders, all from one scan."""
+    found = validate.validated(table(spark, sf, "orders"), ORDER_RULES, "o_orderkey")
+    valid = found.valid().selectExpr("o_orderkey", "o_totalprice", "'valid' AS part", "NULL AS rule")
+    held = found.quarantine().selectExpr("o_orderkey", "o_totalprice", "'quarantine' AS part", "array_join(errors.rule, ',') AS rule")
+    return valid.unionAll(held).unionAll(found.errors().selectExpr("o_orderkey", "NULL AS o_totalprice", "'errors' AS part", "rule"))
+
+
 @query
 def validate_people_valid(spark: SparkSession, sf: str) -> DataFrame:
     return validate.valid_rows(_people(spark, sf), PEOPLE_RULES)
@@ -536,10 +593,8 @@ def apply_column_repairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def repair_audit(spark: SparkSession, sf: str) -> DataFrame:
-    dirty = people(spark, sf)
-    actions = _proposed(spark, sf)
-    after = repair.apply_repairs(dirty, actions, ROW)
-    return repair.repair_audit(dirty, after, actions, ROW, truth=people_truth(spark, sf))
+    done = repair.run_repairs(people(spark, sf), _proposed(spark, sf), ROW)
+    return done.audit(people_truth(spark, sf))
 
 
 def _mixed_actions(spark: SparkSession, sf: str) -> DataFrame:
@@ -567,9 +622,8 @@ def _mixed_actions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _mixed_audit(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The table repaired by the mixed actions, and their audit."""
-    dirty, actions = people(spark, sf), _mixed_actions(spark, sf)
-    after = stage(repair.apply_repairs(dirty, actions, ROW), "repaired")
-    return after, repair.repair_audit(dirty, after, actions, ROW, truth=people_truth(spark, sf))
+    done = repair.run_repairs(people(spark, sf), _mixed_actions(spark, sf), ROW)
+    return done.table(), done.audit(people_truth(spark, sf))
 
 
 @query
@@ -651,6 +705,13 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return score.run_summary(score.score_actions(_action_log(spark, sf)))
 
 
+@query
+def run_summary_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs, their levels and all of them, in one aggregation."""
+    log = score.score_actions(_action_log(spark, sf))
+    return score.run_summary(log.withColumn("level", F.expr("element_at(array('easy', 'medium', 'hard'), CAST(run_id % 3 AS INT) + 1)")), level="level")
+
+
 # ---------------------------------------------------------------- cleaning runs
 
 
@@ -673,7 +734,21 @@ def clean_people(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def clean_audit(spark: SparkSession, sf: str) -> DataFrame:
     _, audit = clean(_as_loaded(spark, sf))
-    return audit.drop("detail")
+    return audit
+
+
+@query
+def clean_events_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of a run that drops rows, removes outliers column by column and keeps repeated rows."""
+    df = table(spark, sf, "events").selectExpr(
+        "event_id", "IF(event_id % 50 = 0, NULL, user_id) AS user_id", "IF(event_id % 7 = 0, NULL, value) AS value", "IF(event_id % 40 = 0, NULL, event_type) AS event_type",
+        "CAST(event_id % 1000 AS DOUBLE) AS place",
+    )
+    rules = {
+        "duplicates": {"remove": False}, "fill_missing": {"user_id": "drop", "value": 1.5, "event_type": "drop"},
+        "outliers": {"strategy": "remove_iqr", "iqr_factor": 0.3, "skip_columns": ["event_id", "user_id"]},
+    }
+    return clean(df, rules)[1]
 
 
 @query
@@ -733,13 +808,40 @@ def tsv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = new_shared_path(spark, "suppliers") + ".jsonl"
-    table(spark, sf, "supplier").write.json(path)
+    writers.write_json(table(spark, sf, "supplier"), path)
     return readers.read_any(spark, path)
 
 
+@query
+def json_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that each hold an array of records, one per nation; every seventh is cut short and goes to the quarantine."""
+    path = new_shared_path(spark, "documents")
+    records = "to_json(collect_list(struct(s_suppkey, s_name, s_acctbal)), map('ignoreNullFields', 'false'))"
+    texts = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.expr(f"{records} AS text"))
+    cut = "IF(s_nationkey % 7 = 3, substring(text, 1, char_length(text) - 5), replace(text, '},{', '},\n {')) AS value"
+    texts.selectExpr(cut, "s_nationkey").write.partitionBy("s_nationkey").text(path)
+    found = readers.read_checked(spark, f"{path}/*", "json", "s_suppkey long, s_name string, s_acctbal double")
+    broken = found.malformed.selectExpr("NULL AS s_suppkey", "NULL AS s_name", "NULL AS s_acctbal", "CAST(regexp_extract(file, 's_nationkey=([0-9]+)', 1) AS BIGINT) AS broken")
+    return found.rows.selectExpr("*", "CAST(NULL AS BIGINT) AS broken").unionAll(broken)
+
+
+@query
+def csv_malformed(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as delimited text, some lines short of a field, with one too many, or with a text for a number."""
+    path = new_shared_path(spark, "parts") + ".csv"
+    line = """concat_ws(',', CAST(p_partkey AS STRING), concat('"', p_name, '"'), IF(p_partkey % 31 = 0, 'much', CAST(p_retailprice AS STRING)),
+        IF(p_partkey % 17 = 0, NULL, CAST(p_size AS STRING)), IF(p_partkey % 23 = 0, 'extra', NULL)) AS value"""
+    table(spark, sf, "part").selectExpr(line).write.text(path)
+    found = readers.read_checked(spark, path, "csv", "p_partkey long, p_name string, p_retailprice double, p_size int", header=False)
+    bad = found.malformed.selectExpr("CAST(split_part(record, ',', 1) AS BIGINT) AS p_partkey", "NULL AS p_name", "NULL AS p_retailprice", "NULL AS p_size", "record", "block_start = 0 AND file LIKE '%.csv/%' AS placed")
+    return found.rows.selectExpr("*", "NULL AS record", "NULL AS placed").unionAll(bad)
+
+
 @query
 def parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.read_any(spark, f"{sf}/orders.parquet")
+    path = new_shared_path(spark, "orders") + ".parquet"
+    writers.write_parquet(table(spark, sf, "orders"), path)
+    return readers.read_any(spark, path)
 
 
 @query
@@ -750,6 +852,44 @@ def report_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("job_id", "column", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def reports_retried(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile, audit and errors of two jobs; the second job is run twice and leaves one report of each kind."""
+    path = new_shared_path(spark, "reports")
+    raw = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    found = profile.profile(raw, ["o_orderkey"])
+    audit, errors = clean(raw)[1], validate.validation_errors(raw, ORDER_RULES, "o_orderkey")
+    for job in ("job-1", "job-2", "job-2"):
+        writers.write_profile(found, f"{path}/profile", job)
+        writers.write_audit(audit, f"{path}/audit", job)
+        writers.write_errors(errors, f"{path}/errors", job, "parquet")
+    read = {"profile": spark.read.json(f"{path}/profile"), "audit": spark.read.json(f"{path}/audit"), "errors": spark.read.parquet(f"{path}/errors")}
+    told = {"profile": "concat(column, '/', dtype, '/', null_count)", "audit": "concat_ws('/', step, column)", "errors": "concat(column, '/', rule)"}
+    parts = [df.selectExpr("job_id", f"'{name}' AS report", f"{told[name]} AS entry").groupBy("job_id", "report", "entry").agg(F.count(F.lit(1)).alias("n")) for name, df in read.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+# Every eleventh event comes two files late.
+LANDED = "CAST(least(CAST(8 * percent_rank() OVER (ORDER BY ts, event_id) AS INT), 7) + IF(event_id % 11 = 0, 2, 0) AS INT)"
+
+
+@query
+def stream_dedup_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten files in time order, some rows late; keys are forgotten two days after they were seen; the stream is stopped half way."""
+    path = new_shared_path(spark, "events")
+    events = table(spark, sf, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value")
+    # The ranks of the whole table say which file a row is in; one task sorts ids and times only.
+    placed = events.join(events.selectExpr("event_id AS __id", f"{LANDED} AS file"), F.expr("event_id = __id")).drop("__id")
+    placed = stage(placed, "landed", "file")
+    schema, out = events.schema, f"{path}-out"
+    for files in (range(5), range(5, 10)):
+        for i in files:
+            placed.filter(f"file = {i}").drop("file").coalesce(1).write.mode("append").parquet(f"{path}-in")
+        ordered.dedup_stream(spark, f"{path}-in", schema, ["user_id", "event_type"], "ts", "2 days", out, f"{path}-state", ["event_id"]).awaitTermination()
+    kinds = [ordered.read_kind(spark, out, kind, schema, "ts").withColumn("kind", F.lit(kind)) for kind in ordered.KINDS]
+    return kinds[0].unionAll(kinds[1]).unionAll(kinds[2]).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def _streamed(spark: SparkSession, sf: str) -> str:
     out = new_shared_path(spark, "stream")
     schema = table(spark, sf, "events").schema
