@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from lustra.functions.columns import ref
 from lustra.llm.words import word_count
 from lustra.operators.rows import number_rows
-from lustra.session import cut, stage
+from lustra.session import cut, stage, stage_observed
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # copies of a document, and times its size that a source may be asked for
 BLOCK = 256  # sizes rounded in one step
-NEWTON = 64  # steps; the dual converges quadratically after about log(size / target) of them
+LAST = 6  # shortest sizes of a source that are rounded together
+TOLERANCE = 1e-9  # share of its target that a source may miss before rounding
+ROUNDS = 200  # Newton steps at most; bisection alone would need fewer
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -42,39 +44,91 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     return ranked.withColumn("target", F.expr(f"least(__cap, {level!r}D * __weight)")).drop("__turn", "__weight", "__cap")
 
 
-def tilt(targets: DataFrame) -> DataFrame:
-    """``targets`` with rate, the exponentially tilted copies of every document of the source.
+def rate_of(most: int = MOST) -> str:
+    """Rate of a document of ``size`` words under the multiplier ``l`` of its source, as an expression."""
+    return f"IF(size = 0 OR target <= 0, 0D, IF(filled, {most}D, least({most}D, exp(l * size / scale))))"
 
-    Entropy balancing minimises the sum of size * (rate * log(rate) - rate) under one token constraint per
-    source.  Its dual is convex with a diagonal Hessian: the gradient of source s is size_s * exp(l_s) -
-    target_s, so all sources take their Newton steps side by side where their rows are.  Steps are held to
-    one unit, which keeps far starts stable.
-    """
-    step = "greatest(-1D, least(1D, 1D - target / (source_size * exp(l))))"
-    dual = f"aggregate(sequence(1, {NEWTON}), 0D, (l, i) -> l - {step})"
-    return targets.withColumn("rate", F.expr(f"if(target > 0 AND source_size > 0, exp({dual}), 0D)"))
 
+def balance(counted: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
+    """``targets`` with the multiplier ``l`` of every source, its ``scale`` and ``filled``, for :func:`rate_of`.
 
-def size_copies(counted: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    Entropy balancing looks for the rates w nearest to 1, by the sum of w * log(w) - w over documents, with w up
+    to ``most`` and the words of each source, the sum of w * size, at its target.  The dual is convex, and its
+    solution tilts documents exponentially by their size: w = min(most, exp(l * size)).  A Newton step takes the
+    gradient and the Hessian of every source, which are sums over ``counted`` (source, size, n), in one
+    aggregation; sources do not interact, so the Hessian is diagonal.  A step that leaves the bracket of what has
+    been tried is replaced by its middle.  Sources that meet their target to ``TOLERANCE`` stand still.
+    Only how many are left is on the driver.
+    """
+    start = targets.selectExpr(
+        "*", f"target >= {most}D * source_size * (1 - 1e-12) AS filled", "greatest(source_size / greatest(rows, 1L), 1D) AS scale",
+        "0D AS l", "CAST(NULL AS DOUBLE) AS low", "CAST(NULL AS DOUBLE) AS high",
+    )
+    state = stage(start.withColumn("done", F.expr("filled OR target <= 0 OR source_size = 0")), "multipliers")
+    words = counted.filter("size > 0").selectExpr("source AS __source", "size", "n")
+    tilted = "exp(l * size / scale)"
+    left = None
+    for _ in range(ROUNDS):
+        each = words.join(state.filter("NOT done"), F.expr("__source <=> source"))
+        sums = each.groupBy("__source").agg(
+            F.expr(f"sum(n * size * least({most}D, {tilted})) AS got"),
+            F.expr(f"sum(IF({tilted} < {most}D, n * size * (size / scale) * {tilted}, 0D)) AS slope"),
+        )
+        open_ = state.join(sums, F.expr("source <=> __source"), "left").drop("__source")
+        open_ = open_.withColumns({"low": F.expr("IF(got < target, l, low)"), "high": F.expr("IF(got >= target, l, high)"), "__new": F.expr("l - (got - target) / nullif(slope, 0D)")})
+        inside = "coalesce(__new > coalesce(low, double('-Infinity')) AND __new < coalesce(high, double('Infinity')), false)"
+        middle = "CASE WHEN low IS NULL THEN high - 1 - 2 * abs(high) WHEN high IS NULL THEN low + 1 + 2 * abs(low) ELSE (low + high) / 2 END"
+        met = f"done OR abs(got - target) <= {TOLERANCE} * target"
+        moved = open_.withColumns({"done": F.expr(met), "l": F.expr(f"CASE WHEN {met} THEN l WHEN {inside} THEN __new ELSE {middle} END")})
+        state, seen = stage_observed(moved.drop("got", "slope", "__new"), {"left": "count_if(NOT done)"}, "multipliers")
+        left = seen["left"]
+        if not left:
+            return state.drop("low", "high", "done")
+    raise ArithmeticError(f"{left} sources have not met their target")
+
+
+def size_copies(counted: DataFrame, most: int = MOST, block: int = BLOCK, last: int = LAST) -> DataFrame:
     """(source, size, total): copies of all documents of a size; ``counted`` has source, size, n and rate.
 
-    Sizes of a source are taken from long to short, and what is owed after one goes on to the next, so at
-    most half a document of a size is owed after it, unless that is more than the copies left can make up
-    for.  A source is one row with its distinct sizes, which grow at most as the root of twice its words.
-    ``block`` sizes at a time keep the arrays that grow short.
+    Sizes of a source are taken from long to short, and what is owed after one goes on to the next, as far
+    as the shorter ones can make up for it with the copies they are due.  The ``last`` shortest sizes are rounded
+    together: of the numbers of copies near those due, the combination that comes nearest to the target.  So what is
+    missed in the end is at most half a shortest document, unless copies run out.  A source is one row with its
+    distinct sizes, which grow at most as the root of twice its words.  ``block`` sizes at a time keep the
+    arrays that grow short.
     """
-    due = "t.n * rate + i.owed / t.size"
-    total = f"CAST(greatest(0D, least({most}D * t.n, round({due}))) AS BIGINT)"
+    below = "OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    rows = counted.filter("size > 0").selectExpr(
+        "source", "size", "n", "n * rate AS due", f"coalesce(sum(n * rate * size) {below}, 0D) AS spare", f"coalesce(sum(n * ({most}D - rate) * size) {below}, 0D) AS room"
+    )
+    rows = rows.groupBy("source").agg(F.expr("reverse(array_sort(collect_list(struct(size, n, due, spare, room)))) AS sizes"))
+    rows = rows.withColumn("head", F.expr(f"slice(sizes, 1, greatest(size(sizes) - {last}, 0))"))
+    # Fewest and most copies that the shorter sizes can make up for.
+    wish = "t.due + i.owed / t.size"
+    bounds = f"struct(ceil(t.due + (i.owed - t.room) / t.size) AS a, floor(t.due + (i.owed + t.spare) / t.size) AS b, round({wish}) AS k)"
+    total = f"transform(array({bounds}), x -> CAST(greatest(0D, least({most}D * t.n, IF(x.a <= x.b, greatest(x.a, least(x.b, x.k)), x.k))) AS BIGINT))[0]"
     one = f"""aggregate(b, struct(s.owed AS owed, CAST(array() AS ARRAY<BIGINT>) AS out),
-              (i, t) -> transform(array({total}), k -> struct(i.owed + (t.n * rate - k) * t.size AS owed, array_append(i.out, k) AS out))[0])"""
-    rows = counted.filter("size > 0").groupBy("source", "rate").agg(F.expr("reverse(array_sort(collect_list(struct(size, n)))) AS sizes"))
-    blocks = f"transform(sequence(0, (size(sizes) - 1) DIV {block}), j -> slice(sizes, j * {block} + 1, {block}))"
-    totals = f"""aggregate({blocks}, struct(0D AS owed, CAST(array() AS ARRAY<ARRAY<BIGINT>>) AS out),
-                 (s, b) -> transform(array({one}), i -> struct(i.owed AS owed, array_append(s.out, i.out) AS out))[0], s -> flatten(s.out))"""
-    rows = rows.withColumn("totals", F.expr(totals)).select("source", F.explode(F.expr("arrays_zip(sizes, totals)")).alias("x"))
+              (i, t) -> transform(array({total}), k -> struct(i.owed + (t.due - k) * t.size AS owed, array_append(i.out, k) AS out))[0])"""
+    blocks = f"IF(size(head) = 0, array(), transform(sequence(0, (size(head) - 1) DIV {block}), j -> slice(head, j * {block} + 1, {block})))"
+    first = f"""aggregate({blocks}, struct(0D AS owed, CAST(array() AS ARRAY<ARRAY<BIGINT>>) AS out),
+                (s, b) -> transform(array({one}), i -> struct(i.owed AS owed, array_append(s.out, i.out) AS out))[0])"""
+    # Four numbers of copies a size: all there are of a single document, else those around the one due.
+    start = f"greatest(0L, least({most} * t.n - 3, CAST(floor(t.due + a.owed / t.size) AS BIGINT) - 1))"
+    options = f"filter(transform(array(0L, 1L, 2L, 3L), o -> {start} + o), k -> k <= {most} * t.n)"
+    grow = f"flatten(transform(s, a -> transform({options}, k -> struct(a.owed + (t.due - k) * t.size AS owed, array_append(a.out, k) AS out))))"
+    tail = f"aggregate(slice(sizes, size(head) + 1, {last}), array(struct(first.owed AS owed, CAST(array() AS ARRAY<BIGINT>) AS out)), (s, t) -> {grow})"
+    best = f"array_min(transform({tail}, c -> struct(abs(c.owed) AS off, c.out AS out))).out"
+    rows = rows.withColumn("first", F.expr(first)).withColumn("totals", F.expr(f"concat(flatten(first.out), {best})"))
+    rows = rows.select("source", F.explode(F.expr("arrays_zip(sizes, totals)")).alias("x"))
     return rows.selectExpr("source", "x.sizes.size AS size", "x.totals AS total")
 
 
+def _rows_of(targets: DataFrame, counted: DataFrame) -> DataFrame:
+    """``targets`` whose ``rows`` is the number of documents with words."""
+    held = counted.filter("size > 0").groupBy("source").agg(F.expr("sum(n) AS __rows")).withColumnRenamed("source", "__source")
+    return targets.join(held, F.expr("source <=> __source"), "left").withColumn("rows", F.expr("coalesce(__rows, 0L)")).drop("__source", "__rows")
+
+
 def mix(
     docs: DataFrame,
     carry: Sequence[str] | None = None,
@@ -102,9 +156,10 @@ def mix(
     pieces = stage(ties.groupBy("source", "size", "part").agg(F.expr("sum(m) AS held")), "pieces")
     counted = pieces.groupBy("source", "size").agg(F.expr("sum(held) AS n"))
     words = pieces.selectExpr("source", "size * held AS size", "held")
-    rated = tilt(source_targets(words, weights, most)).withColumnRenamed("source", "__source").drop("rows")
-    rated = stage(rated, "rates")
-    counted = stage(counted.join(rated, F.expr("source <=> __source")).drop("__source"), "sizes")
+    counted = stage(counted, "counted")
+    rated = balance(counted, _rows_of(source_targets(words, weights, most), counted), most).withColumnRenamed("source", "__source")
+    counted = counted.join(rated, F.expr("source <=> __source")).withColumn("rate", F.expr(rate_of(most)))
+    counted = stage(counted.drop("__source", "rows", "filled", "scale", "l"), "sizes")
     totals = size_copies(counted, most, block).selectExpr("source AS __source", "size AS __size", "total")
     each = counted.join(totals, F.expr("source <=> __source AND size = __size"), "left").drop("__source", "__size", "rate")
     each = each.withColumn("least", F.expr("coalesce(total DIV n, 0L)")).withColumn("more", F.expr("coalesce(total % n, 0L)"))
