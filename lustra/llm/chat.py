@@ -26,17 +26,17 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])\\(\\*){_REST}", r"$1$2$3")
 
 
-def flatten(part: Column, sizes: Mapping[str, int] = EXPANDED) -> Column:
-    """A part as struct: what it is written as, whether it is text, its reference and its expanded tokens.
+def visit(part: Column, sizes: Mapping[str, int] = EXPANDED) -> Column:
+    """A part as struct: what it says, whether that is text, its reference and its expanded tokens.
 
     Image, audio and document parts become one placeholder named after their kind; any other kind, null
-    included, is text, and a null text is empty.
+    included, is text, still without escapes, and a null text is empty.
     """
     kind = F.lower(part["kind"])
     held = F.coalesce(kind.isin(*sizes), F.lit(False))
     default = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, n in sizes.items()], F.lit(0))
     return F.struct(
-        F.when(held, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit("")))).alias("out"),
+        F.when(held, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(F.coalesce(part["text"], F.lit(""))).alias("out"),
         (~held).alias("is_text"),
         F.when(held, kind).alias("kind"),
         F.when(held, part["ref"]).alias("ref"),
@@ -44,18 +44,34 @@ def flatten(part: Column, sizes: Mapping[str, int] = EXPANDED) -> Column:
     )
 
 
+def flatten(parts: Column, sizes: Mapping[str, int] = EXPANDED) -> Column:
+    """Parts as written: neighbouring texts joined and then escaped, so that no control string arises between two of them."""
+    seen = F.transform(parts, lambda p: visit(p, sizes))
+    text = lambda i: F.get(seen, i)["is_text"]
+    every = F.when(F.size(seen) > 0, F.sequence(F.lit(0), F.size(seen) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(every, lambda i: (i == 0) | ~(text(i) & text(i - 1)))
+    runs = F.transform(starts, lambda b, j: F.slice(seen, b + 1, F.coalesce(F.get(starts, j + 1), F.size(seen)) - b))
+
+    def joined(run: Column) -> Column:
+        first = F.get(run, F.lit(0))
+        out = F.when(first["is_text"], escape(F.array_join(F.transform(run, lambda p: p["out"]), ""))).otherwise(first["out"])
+        return F.struct(out.alias("out"), *[first[c].alias(c) for c in ("is_text", "kind", "ref", "tokens")])
+
+    return F.transform(runs, joined)
+
+
 def format_chat(messages: DataFrame, sizes: Mapping[str, int] = EXPANDED, learn: str = "assistant") -> DataFrame:
     """One row per conversation: formatted, loss, attachments, n_turns and expanded_tokens.
 
     ``messages`` has conv_id, turn, role and parts (an array as ``PARTS``); other columns are ignored.  Turns
     go by turn, nulls first, equal ones by role and written text.  A null role is empty, null or empty parts
     make an empty turn, rows with a null conv_id are one conversation, repeated rows are turns each, and no
-    rows make no conversation.  ``loss`` lists (first, length) in code points of each text part of
+    rows make no conversation.  ``loss`` lists (first, length) in code points of each run of text parts of
     ``learn`` turns; ``attachments`` lists kind, reference, code point of the placeholder and tokens, in order.
     """
     role = F.coalesce(F.col("role"), F.lit(""))
-    parts = F.transform(F.coalesce(F.col("parts"), F.expr(f"CAST(array() AS {PARTS})")), lambda p: flatten(p, sizes))
-    turns = messages.select("conv_id", "turn", role.alias("role"), parts.alias("parts"))
+    given = messages.select("conv_id", "turn", role.alias("role"), F.coalesce(F.col("parts"), F.expr(f"CAST(array() AS {PARTS})")).alias("__parts"))
+    turns = given.withColumn("parts", flatten(F.col("__parts"), sizes)).drop("__parts")
     turns = turns.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)))
     turns = turns.withColumn("body", F.expr("array_join(transform(parts, p -> p.out), '')"))
     turns = turns.withColumn("out", F.concat("head", "body", F.lit(END)))
@@ -99,10 +115,12 @@ def read_chat(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", turns.alias("turns"), F.array_join(learned, "").alias("learned"), "attachments", "expanded_tokens")
 
 
-def text_messages(conversations: DataFrame) -> DataFrame:
-    """Plain conversation rows as messages of one text part each."""
-    part = F.struct(F.lit("text").alias("kind"), F.col("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("tokens"))
-    return conversations.select("conv_id", "turn", "role", F.array(part).alias("parts"))
+def text_messages(conversations: DataFrame, pieces: int = 1) -> DataFrame:
+    """Plain conversation rows as messages of text parts; ``pieces`` cuts each text into so many of equal length."""
+    kind = "ARRAY<STRUCT<kind: STRING, text: STRING, ref: STRING, tokens: BIGINT>>"
+    text = "text" if pieces == 1 else f"substring(text, 1 + CAST(i * length(text) DIV {pieces} AS INT), CAST((i + 1) * length(text) DIV {pieces} - i * length(text) DIV {pieces} AS INT))"
+    parts = f"CAST(transform(sequence(0, {pieces - 1}), i -> struct('text' AS kind, {text} AS text, NULL AS ref, NULL AS tokens)) AS {kind}) AS parts"
+    return conversations.selectExpr("conv_id", "turn", "role", parts)
 
 
 def written(formatted: DataFrame) -> DataFrame:
