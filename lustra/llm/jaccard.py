@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lustra.functions.columns import ref
 from lustra.llm.components import components
-from lustra.llm.words import has_word
+from lustra.llm.words import has_word, renamed_in
 from lustra.session import stage
 
 WORDS = 5
@@ -416,12 +416,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without shingles all stay; of rows equal in doc_id and text, one of those chosen stays.
     """
-    found = stage(near_duplicates(docs), "found")
+    plain, back = renamed_in(docs, ("__id", "__hash"))
+    found = stage(near_duplicates(plain), "found")
     best = found.filter("comp IS NOT NULL").groupBy("comp").agg(F.expr("min(struct(doc_id IS NULL, doc_id, text_hash)) AS best"))
     best = best.selectExpr("best.doc_id AS __id", "best.text_hash AS __hash")
-    alone = docs.filter(f"text IS NULL OR NOT {has_word('text')}")
-    kept = docs.join(best, F.expr("doc_id <=> __id AND xxhash64(text) = __hash"), "left_semi")
+    alone = plain.filter(f"text IS NULL OR NOT {has_word('text')}")
+    kept = plain.join(best, F.expr("doc_id <=> __id AND xxhash64(text) = __hash"), "left_semi")
     repeated = found.filter("comp IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.expr("count(1) AS k")).filter("k > 1")
     if not repeated.isEmpty():
         kept = kept.withColumn("__hash", F.expr("xxhash64(text)")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
-    return kept.unionAll(alone).select(*[ref(c) for c in docs.columns])
+    return kept.unionAll(alone).withColumnsRenamed(back).select(*[ref(c) for c in docs.columns])

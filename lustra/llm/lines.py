@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lustra.functions.columns import ref
-from lustra.llm.words import computed, has_word
+from lustra.llm.words import computed, has_word, renamed_in, without
 
 WIDTH = 3
+_OWN = ("gone", "__id", "__hash", "__text_hash", "__lines", "__text")
 _KEY = ("doc_id", "__text_hash")
 
 
@@ -47,8 +48,8 @@ def drop_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     whose lines all go becomes empty.  Rows equal in doc_id and text are one occurrence and get the same
     result.  All other columns stay; n_lines and n_removed replace input columns of those names.
     """
+    rest, back = renamed_in(without(docs, ("n_lines", "n_removed")), _OWN)
     gone = repeated_lines(docs, width).withColumnsRenamed({"doc_id": "__id", "__text_hash": "__hash"})
-    rest = docs.select(*[docs[ref(c)] for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     found = rest.join(gone, F.expr("doc_id <=> __id AND xxhash64(text) = __hash"), "left")
     found = computed(found, {"__lines": f"coalesce({_lines('text')}, CAST(array() AS ARRAY<STRING>))"})
     marks = "transform(__lines, (l, i) -> i)"
@@ -61,11 +62,11 @@ def drop_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             "n_removed": "CAST(coalesce(size(gone), 0) AS BIGINT)",
         },
     )
-    return out.withColumn("text", F.col("__text")).drop("__id", "__hash", "gone", "__lines", "__text")
+    return out.withColumn("text", F.col("__text")).drop("__id", "__hash", "gone", "__lines", "__text").withColumnsRenamed(back)
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with repeated lines removed, columns unchanged."""
-    back = {f"__in{i}": c for i, c in enumerate(docs.columns) if c.lower() in ("n_lines", "n_removed")}
-    out = drop_repeated_lines(docs.withColumnsRenamed({c: n for n, c in back.items()}))
-    return out.drop("n_lines", "n_removed").withColumnsRenamed(back).select(*docs.columns)
+    plain, back = renamed_in(docs, ("n_lines", "n_removed"))
+    out = drop_repeated_lines(plain).drop("n_lines", "n_removed").withColumnsRenamed(back)
+    return out.select(*[ref(c) for c in docs.columns])

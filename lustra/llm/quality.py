@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lustra.functions.columns import ref
-from lustra.llm.words import BLANKS, computed, has_word, without, word_list
+from lustra.llm.words import BLANKS, computed, has_word, renamed_in, without, word_list
 
 BUCKETS = 10_000
 TRUSTED = 100_000  # labelled documents, at most, that make the trusted target
@@ -15,6 +15,7 @@ KEEP_FROM = -0.06  # mean log ratio an n-gram needs; see ``judge``
 FEWEST_WORDS = 20
 REPEATED_PER_100 = 30
 WINDOW = 8
+_OWN = ("__words", "__hashes", "__two", "__four", "__eight", "__lines", "__sorted", "__places", "__grams", "__id", "__mark")
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_grams", "score", "kept")
 
 
@@ -104,17 +105,18 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, keep_from
     rules.  Repeated rows are judged each; without trusted ids all ratios are 0 and only the base rules
     count; an empty table gives an empty one.  Result columns replace input columns.
     """
+    docs, back = renamed_in(docs, _OWN)
     ratio = fit_ratio(docs, trusted, buckets)
     weights = "array(" + ", ".join(f"{x!r}D" for x in ratio) + ")"
     out = base_counts(docs).withColumn("__grams", F.expr(_grams(buckets)))
     summed = f"aggregate(__grams, 0D, (s, g) -> s + {weights}[g])"
     out = computed(out, {"n_grams": "CAST(size(__grams) AS BIGINT)", "score": f"if(size(__grams) = 0, 0D, {summed} / size(__grams))"})
     out = out.withColumn("kept", F.expr(f"NOT base_failed AND score >= {float(keep_from)!r}D"))
-    return out.drop("__words", "__hashes", "__two", "__four", "__eight", "__lines", "__sorted", "__places", "__grams")
+    return out.drop(*_OWN).withColumnsRenamed(back)
 
 
 def kept_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The documents that the rules keep, columns unchanged."""
-    back = {f"__in{i}": c for i, c in enumerate(docs.columns) if c.lower() in RESULT}
-    out = judge(docs.withColumnsRenamed({c: n for n, c in back.items()}), trusted).filter("kept")
-    return out.drop(*RESULT).withColumnsRenamed(back).select(*[ref(c) for c in docs.columns])
+    plain, back = renamed_in(docs, RESULT)
+    out = judge(plain, trusted).filter("kept").drop(*RESULT).withColumnsRenamed(back)
+    return out.select(*[ref(c) for c in docs.columns])

@@ -12,6 +12,8 @@ from lustra.session import new_shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Of the registered query alone; real corpora need a key that is kept secret.
+SURROGATE_KEY = "key of the registered query"
 
 
 def query(f: Query) -> Query:
@@ -33,7 +35,7 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return pii.pseudonymize(docs).select("doc_id", "n_entities", "kinds", "text")
+    return pii.pseudonymize(docs, SURROGATE_KEY).select("doc_id", "n_entities", "kinds", "text")
 
 
 @query
@@ -54,7 +56,7 @@ def op5_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     marked = "'</s>[INST] ok [/INST]'"
     extra = rows.sparkSession.sql(f"SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, {marked} AS text UNION ALL SELECT -7L, 1L, 'assistant', {marked}")
-    formatted = chat.written(chat.format_chat(chat.text_messages(rows.unionByName(extra))))
+    formatted = chat.written(chat.format_chat(chat.text_messages(rows.unionByName(extra), pieces=2)))
     read = chat.read_chat(formatted)
     turns = "array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), '')"
     return read.selectExpr(

@@ -29,6 +29,18 @@ def word_count(text: str) -> str:
     return f"CAST(coalesce(regexp_count({text}, '{WORD}'), 0) AS BIGINT)"
 
 
+def renamed_in(df: DataFrame, reserved: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns whose name an operator uses under names of no column, and what leads back."""
+    taken = {n.lower() for n in reserved}
+    back, used = {}, {c.lower() for c in df.columns} | taken
+    for c in df.columns:
+        if c.lower() in taken:
+            name = next(n for i in range(len(used) + 1) if (n := f"__own{i}") not in used)
+            used.add(name)
+            back[name] = c
+    return df.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without columns of these names in any case: results replace input columns of the same name."""
     taken = {n.lower() for n in names}

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
+import re
 
+import numpy as np
 import pytest
 
 from brute import base_row, cut_repeats, hits, near, revisits, targets, thin_lines, tokens
@@ -103,6 +107,9 @@ def test_quality_stage_and_empty(spark, odd, nothing):
 # ------------------------------------------------------------------ 2
 
 
+KEY = "a key"
+
+
 def test_surrogates(spark, nothing):
     texts = [
         (1, "mail ada.long@mail7.example.com or +1 (017) 555-7713, card 4111 1111 1111 1111"),
@@ -111,7 +118,7 @@ def test_surrogates(spark, nothing):
         (4, "Госпожа Иванова и Господин Петров"), (5, None), (6, ""), (7, "no entity here"), (7, "no entity here"),
     ]
     df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS n_entities")
-    got = {r["doc_id"]: r for r in pii.pseudonymize(df).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymize(df, KEY).collect()}
     assert got[5]["text"] is None and got[6]["text"] == "" and got[7]["text"] == "no entity here"
     assert got[1]["kinds"] == ["card", "email", "phone"] and got[1]["n_entities"] == 3
     for i, text in texts[:4]:
@@ -125,14 +132,14 @@ def test_surrogates(spark, nothing):
     woman, man = got[3]["text"].split("Mrs. ")[1].split(" met Mr ")
     assert all(w[0].isupper() and w.endswith("a") for w in woman.split()) and all(w.endswith("o") for w in man.split())
     assert got[4]["text"].split()[1].endswith("ова") and got[4]["text"].split()[4].endswith("ов")
-    assert pii.pseudonymize(nothing).count() == 0
+    assert pii.pseudonymize(nothing, KEY).count() == 0
 
 
 def test_surrogates_of_a_small_space_stay_distinct(spark):
     """Nearly all values of a kind are taken, so most draws collide."""
     values = [f"{a}.{b}.0.1" for a in range(1, 30) for b in range(1, 30)] + [f"00{k}-00-0000" for k in range(10)]
     df = spark.createDataFrame([(i, f"x {v} y") for i, v in enumerate(values)], "doc_id long, text string")
-    out = [r["text"] for r in pii.pseudonymize(df, attempts=2).collect()]
+    out = [r["text"] for r in pii.pseudonymize(df, KEY).collect()]
     assert len(set(out)) == len(values) and not {t.split()[1] for t in out} & set(values)
 
 
@@ -144,10 +151,59 @@ def test_surrogates_of_other_scripts_stay_distinct(spark):
         names.add("Господин " + rnd.choice(small).upper() + "".join(rnd.choice(small) for _ in range(rnd.randint(3, 7))))
     values = sorted(names) + [f"{x}{y}@почта.example.com" for x in "эюя" for y in small]
     df = spark.createDataFrame([(i, f"{v} .") for i, v in enumerate(values)], "doc_id long, text string")
-    out = [r["text"] for r in pii.pseudonymize(df).collect()]
+    out = [r["text"] for r in pii.pseudonymize(df, KEY).collect()]
     assert len(set(out)) == len(values) and not {t[:-2] for t in out} & set(values)
 
 
+def replaced(spark, texts, key=KEY):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in pii.pseudonymize(df, key).orderBy("doc_id").collect()]
+
+
+def test_surrogates_of_one_entity_agree_however_written(spark):
+    out = replaced(spark, ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "Ada@x.org", "ada@x.org", "ADA@X.ORG", "+1 (017) 555-7713", "+1 017-555-7713", "+1.017.555.7713"])
+    assert len({t.replace(" ", "").replace("-", "") for t in out[:3]}) == 1 and out[0][4] == " " and out[2][4] == "-"
+    assert len({t.lower() for t in out[3:6]}) == 1 and out[3][0].isupper() and out[5].isupper() and out[4].islower()
+    assert len({re.sub("[^0-9]", "", t) for t in out[6:]}) == 1 and out[6].startswith("+1 (") and out[8].startswith("+1.")
+    full, family, other, wife = replaced(spark, ["Mr Tom Hill .", "Mr. Hill .", "Mr Tom Long .", "Mrs Hill ."])
+    assert full.split()[2] == family.split()[1] and full.split()[1] == other.split()[1] != other.split()[2]
+    assert full.split()[2].endswith("o") and wife.split()[1].endswith("a") and family.startswith("Mr. ")
+    assert replaced(spark, ["Mr Tom Hill"], "another key") != replaced(spark, ["Mr Tom Hill"])
+    with pytest.raises(ValueError):
+        pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string"), "")
+
+
+def test_surrogates_keep_script_check_and_format(spark):
+    greek, double, armenian = replaced(spark, ["Mr Γιώργος Παπάς", "Mrs Vera Long-Hill", "Mr Արամ Հակոբյան"])
+    assert all(0x370 <= ord(c) < 0x400 for w in greek.split()[1:] for c in w) and all(w.endswith("ος") for w in greek.split()[1:])
+    assert re.fullmatch("Mrs [A-Z][a-z]+a [A-Z][a-z]+a-[A-Z][a-z]+a", double)
+    assert all(0x530 <= ord(c) < 0x590 for w in armenian.split()[1:] for c in w) and armenian != "Mr Արամ Հակոբյան"
+    (iban, wrong) = replaced(spark, ["DE89 3704 0044 0532 0130 00", "DE12 3704 0044 0532 0130 00"])
+    number = lambda t: int("".join(str(int(c, 36)) for c in t.replace(" ", "")[4:] + t[:4])) % 97
+    assert iban.startswith("DE") and [len(p) for p in iban.split()] == [4, 4, 4, 4, 4, 2] and number(iban) == 1 and wrong != iban
+
+
+def test_surrogate_hosts_stay_distinct(spark):
+    hosts = [f"{a}{b}.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"][:600]
+    out = replaced(spark, [f"me@{h}" for h in hosts])
+    assert len({t.split("@")[1] for t in out}) == 600 and not {t.split("@")[1] for t in out} & set(hosts)
+
+
+def test_surrogates_of_many_names_stay_names(spark):
+    """More one-word names than the shortest surrogates can tell apart."""
+    df = spark.range(100_000).selectExpr("id AS doc_id", "concat('Mr ', initcap(translate(conv(id + 1000000, 10, 20), '0123456789ABCDEFGHIJ', 'abcdefghijklmnopqrst')), ' .') AS text")
+    found = pii.pseudonymize(df, KEY).selectExpr("count(DISTINCT text) AS n", "bool_and(text rlike '^Mr [A-Z][a-z]+o [.]$') AS named").first()
+    assert (found["n"], found["named"]) == (100_000, True)
+
+
+def test_surrogates_of_odd_rows(spark):
+    rows = [(None, "Mr Tom Hill met Mr Hill", 1), (None, "Mr Tom Hill met Mr Hill", 2), (1, None, 3), (2, "", 4), (3, "x" * 50_000 + " Mr Hill", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __found long").selectExpr("*", "__found AS __id", "__found AS kinds")
+    got = sorted(pii.pseudonymize(df, KEY).collect(), key=lambda r: r["__found"])
+    assert [r["__id"] for r in got] == [1, 2, 3, 4, 5] and got[0]["text"] == got[1]["text"] != rows[0][1]
+    assert (got[2]["text"], got[3]["text"], got[2]["n_entities"], got[4]["kinds"]) == (None, "", 0, ["name"])
+
+
 def test_surrogates_leave_no_entity(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -217,6 +273,44 @@ def test_mixing_many_blocks(spark):
     check_mix(got, {i: (s, len(t.split())) for i, t, s, _ in rows})
 
 
+def plain_rates(sizes, target, most=3):
+    """min(most, exp(l * size)) that meets the target, by bisection."""
+    low, high, scale = -1e6, 1e6, sum(sizes) / len(sizes)
+    for _ in range(300):
+        l = (low + high) / 2
+        got = sum(z * (most if l * z / scale > math.log(most) else math.exp(max(l * z / scale, -700))) for z in sizes)
+        low, high = (l, high) if got < target else (low, l)
+    return {z: min(most, math.exp(max(min(low * z / scale, 5), -700))) for z in sizes}
+
+
+def test_balance_tilts_by_size(spark):
+    """Rates differ by size, meet every target, and are those of the entropy problem."""
+    rnd = random.Random(12)
+    sizes = {s: [rnd.choice([3, 40, 90, 400, 2500]) * rnd.randint(1, 9) for _ in range(60)] for s in ("a", "b", "c", "d")} | {"e": [5], "f": [7, 7, 7]}
+    rows = [(s, z, sizes[s].count(z)) for s in sizes for z in set(sizes[s])]
+    counted = spark.createDataFrame(rows, "source string, size long, n long")
+    shares = {"a": 0.2, "b": 1.0, "c": 1.7, "d": 3.0, "e": 0.5, "f": 2.9}
+    targets = spark.createDataFrame([(s, len(z), sum(z), shares[s] * sum(z)) for s, z in sizes.items()], "source string, rows long, source_size long, target double")
+    rated = counted.join(mixing.balance(counted, targets), "source").selectExpr("source", "size", "n", "target", f"{mixing.rate_of()} AS rate").collect()
+    for s, z in sizes.items():
+        mine = [r for r in rated if r["source"] == s]
+        assert sum(r["n"] * r["rate"] * r["size"] for r in mine) == pytest.approx(shares[s] * sum(z), rel=1e-6)
+        want = plain_rates(z, shares[s] * sum(z)) if shares[s] < 3 else dict.fromkeys(z, 3)
+        assert all(r["rate"] == pytest.approx(want[r["size"]], rel=1e-4, abs=1e-9) and 0 <= r["rate"] <= 3 for r in mine)
+    assert len({round(r["rate"], 6) for r in rated if r["source"] == "a"}) > 10
+
+
+@pytest.mark.parametrize("target, missed", [(1219, 1), (3000, 23), (500, 23), (4000, 23), (47, 23)])
+def test_rounding_ends_near_the_target(spark, target, missed):
+    """A source of seven documents ends within half the shortest; one whose best is a word off is found to a word."""
+    sizes = [47, 71, 275, 350, 636, 665, 2770]
+    rates = plain_rates(sizes, target)
+    df = spark.createDataFrame([("s", z, 1, rates[z]) for z in sizes], "source string, size long, n long, rate double")
+    total = {r["size"]: r["total"] for r in mixing.size_copies(df).collect()}
+    best = min(abs(sum(z * k for z, k in zip(sizes, copies)) - target) for copies in itertools.product(range(4), repeat=7))
+    assert all(0 <= k <= 3 for k in total.values()) and abs(sum(z * k for z, k in total.items()) - target) <= max(missed, best)
+
+
 def test_mixing_of_long_documents(spark):
     """Books, each longer than a block of words: rounded alone, all of them would err the same way."""
     longs = [(i, 140_000 + 37 * i, "abc"[i % 3]) for i in range(180)] + [(200 + i, 1000 + i, "b") for i in range(200)]
@@ -268,6 +362,29 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(chat.text_messages(df.limit(0))).count() == 0
 
 
+def test_chat_of_split_control_strings(spark):
+    """Every control string cut in two at every place, and random part lists: what is read back is what was said."""
+    marks = ["<|turn|>", "<|text|>", "<|end|>", "<|image|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<\\|end|>", "<\\\\|turn|>x"]
+    talks = [[m[:i], m[i:] + "tail"] for m in marks for i in range(len(m) + 1)]
+    rnd = random.Random(7)
+    pieces = ["<", "|", "turn", "end", "|>", "[", "/", "INST]", "s>", "\\", "<SYS>>", " ", "é", None]
+    talks += [["".join(p or "" for p in rnd.choices(pieces, k=rnd.randint(0, 4))) if rnd.random() < 0.9 else None for _ in range(rnd.randint(0, 6))] for _ in range(300)]
+    rows = [(i, t, role, [("text", p, None, None) for p in talk]) for i, talk in enumerate(talks) for t, role in enumerate(("user", "assistant"))]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    got = {r["conv_id"]: r for r in chat.read_chat(chat.format_chat(df)).collect()}
+    for i, talk in enumerate(talks):
+        said = "".join(p or "" for p in talk)
+        assert [tuple(t) for t in got[i]["turns"]] == [("user", said), ("assistant", said)] and got[i]["learned"] == said
+
+
+def test_chat_texts_around_placeholders(spark):
+    """Texts that would make a control string with the placeholder between them or without it."""
+    parts = [("text", "<|", None, None), ("image", None, "a", None), ("text", "end|>", None, None), ("audio", None, "b", None), ("text", "<|en", None, None), (None, "d|>", None, None)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    row = chat.read_chat(chat.format_chat(df)).first()
+    assert [tuple(t) for t in row["turns"]] == [("assistant", "<|<|image|>end|><|audio|><|end|>")] and row["learned"] == "<|end|><|end|>"
+
+
 def test_chat_parts(spark):
     part = lambda k, t=None, r=None, n=None: (k, t, r, n)
     rows = [
@@ -281,7 +398,7 @@ def test_chat_parts(spark):
     assert one["formatted"].startswith("<|turn|>user<|text|>see <|image|><|audio|> <\\|image|><|end|><|turn|>assistant<|text|>it is <|document|>so<|end|>")
     assert [(a["kind"], a["ref"], a["tokens"]) for a in one["attachments"]] == [("image", "a.png", 576), ("audio", "b.wav", 7), ("document", "c.pdf", 1024)]
     assert all(one["formatted"][a["first"] :].startswith(f"<|{a['kind']}|>") for a in one["attachments"])
-    assert [one["formatted"][s["first"] : s["first"] + s["length"]] for s in one["loss"]] == ["it is ", "", "so"]
+    assert [one["formatted"][s["first"] : s["first"] + s["length"]] for s in one["loss"]] == ["it is ", "so"]
     assert one["expanded_tokens"] == 576 + 7 + 1024 and (one["n_turns"], formatted[2]["n_turns"]) == (3, 1)
 
 
@@ -385,13 +502,42 @@ def test_suffixes(spark, odd, nothing, monkeypatch):
 
 
 def test_suffixes_of_split_buckets(spark, odd, monkeypatch):
-    monkeypatch.setattr(suffixes, "BUCKET", 3)
+    monkeypatch.setattr(suffixes, "HOT", 3)
     monkeypatch.setattr(suffixes, "CHUNK", 1 << 12)
     assert spans(suffixes.remove_repeats(odd)) == cut_repeats(pairs(odd))
     twice = odd.unionAll(odd)
     assert spans(suffixes.remove_repeats(twice)) == cut_repeats(pairs(odd))
 
 
+def test_longest_previous_factors():
+    """The array against all pairs, with many equal suffixes and equal places."""
+    rnd = random.Random(6)
+    for n in (0, 1, 2, 40, 300):
+        text = np.array([rnd.choice(b"ab\0") for _ in range(n + 8)], np.uint8)
+        strings = np.lib.stride_tricks.sliding_window_view(text, 8)[:n] if n else np.empty((0, 8), np.uint8)
+        place = np.array([rnd.randrange(max(1, n - 5)) for _ in range(n)], np.int64)
+
+        def shared(i, j):
+            return next((k for k in range(8) if strings[i][k] != strings[j][k]), 8)
+
+        want = [max((shared(i, j) for j in range(n) if place[j] < place[i]), default=0) for i in range(n)]
+        assert suffixes.longest_previous(strings, place).tolist() == want
+
+
+def test_suffixes_leave_no_table(spark, odd):
+    suffixes.remove_repeats(odd).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
+def test_suffixes_of_a_shared_passage(spark):
+    """A passage in many surroundings, whose borders all documents have their own, and rows that repeat."""
+    passage = prose(31, 60)
+    rows = [(k, f"{prose(500 + k, 12)} {passage[k % 3 :]} {prose(900 + k, 12)}") for k in range(40)]
+    df = spark.createDataFrame(rows + rows[:7] * 2, "doc_id long, text string")
+    assert spans(suffixes.remove_repeats(df)) == cut_repeats(rows)
+    assert suffixes.remove_repeats(df).count() == len(rows) + 14
+
+
 # ------------------------------------------------------------------ 10
 
 
@@ -437,3 +583,25 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+# ------------------------------------------------------------------ columns that clash
+
+CLASHES = "gone", "__id", "__hash", "__text_hash", "__lines", "__text", "__words", "__hashes", "__grams", "__mark", "__own0", "n_lines", "kept", "score", "copies", "size", "target"
+
+
+def test_columns_with_inner_names_survive(spark, odd):
+    """Operators that hand documents on keep columns whatever their names."""
+    clash = odd.selectExpr("*", *[f"doc_id AS `{c}`" for c in CLASHES])
+    kept = {c for c in clash.columns}
+    ids = spark.createDataFrame([(k,) for k in range(7, 50)], "doc_id long")
+    bench = spark.createDataFrame([(1, prose(2, 40))], "item_id long, text string")
+    for out in (lines.without_repeated_lines(clash), jaccard.one_of_each(clash), quality.kept_documents(clash, ids), wumanber.decontaminate(clash, bench)):
+        assert out.columns == clash.columns
+        assert all(r[c] == r["doc_id"] for r in out.collect() for c in CLASHES)
+    mixed = mixing.mixed_documents(clash)
+    assert set(mixed.columns) == kept and all(r["gone"] == r["__id"] == r["doc_id"] for r in mixed.collect())
+    judged = quality.judge(clash, ids)
+    assert {r["__words"] == r["doc_id"] for r in judged.collect()} == {True}
+    thinned = lines.drop_repeated_lines(clash)
+    assert {r["gone"] == r["doc_id"] for r in thinned.collect()} == {True}
