@@ -19,8 +19,14 @@ def with_exprs(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
 
 
 def aggregate(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
-    """One row with the named aggregates."""
-    return df.agg(*[F.expr(f"{text} AS {ref(name)}") for name, text in exprs.items()])
+    """One row with the named aggregates; very many of them take one scan per ``AGGREGATES_PER_JOB``."""
+    named = [F.expr(f"{text} AS {ref(name)}") for name, text in exprs.items()]
+    parts = [df.agg(*named[at : at + AGGREGATES_PER_JOB]) for at in range(0, len(named), AGGREGATES_PER_JOB)]
+    out = parts[0]
+    for part in parts[1:]:
+        # One row each.
+        out = out.crossJoin(F.broadcast(part))
+    return out
 
 
 def aggregate_by(df: DataFrame, keys: Sequence[str], exprs: Mapping[str, str]) -> DataFrame:

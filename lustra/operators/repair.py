@@ -375,9 +375,11 @@ def auto_clean(df: DataFrame, row_id: str | list[str], spec: Spec = PEOPLE) -> D
     """Whole-table cleaning: missing, duplicates, format, type, outliers, in this order.
 
     Missing or unreadable numbers and outliers take the median of the readable cells inside
-    the accepted range, missing e-mails are derived, other missing cells take the mode.
+    the accepted range, missing e-mails are derived, other missing cells take the mode.  The table is
+    staged, so its own plan runs once and the fits read their columns only.
     """
     row_id = as_list(row_id)
+    df = stage(df, "dirty")
     measured = [c for c, s in spec.items() if s.kind in ("integer", "money")]
     numbers = {}
     for c in measured:

@@ -61,7 +61,16 @@ def stage(df: DataFrame, label: str = "stage", partition_by: str | None = None)
             df = df.withColumn(field.name, F.expr(f"CAST({ref(field.name)} AS STRING)"))
     path = new_shared_path(spark, label)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read again: what was computed from them is staged itself."""
+    for df in staged:
+        if path := getattr(df, "_staged_at", None):
+            _delete(df.sparkSession, path)
 
 
 def stage_observed(df: DataFrame, measures: Mapping[str, str], label: str = "stage") -> tuple[DataFrame, dict[str, object]]:
@@ -78,7 +87,11 @@ def stage_observed(df: DataFrame, measures: Mapping[str, str], label: str = "sta
 
 def release(spark: SparkSession) -> None:
     """Delete every table this application has staged; call it when no result that reads them is needed."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/lustra/{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/lustra/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
