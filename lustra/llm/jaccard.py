@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lustra.functions.columns import ref
 from lustra.llm.components import components
 from lustra.llm.words import has_word, renamed_in
-from lustra.session import stage
+from lustra.session import discard, stage
 
 WORDS = 5
 PER_100 = 75  # two sets link when 100 * intersection >= PER_100 * union
@@ -330,8 +330,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not lists.isEmpty():
         texts = stage(_texts_of(lists, base, docs), "texts")
         for _ in range(NARROWINGS - 1):
+            wider, listed = texts, lists
             lists = _inverted(texts, _sketch(texts.mapInArrow(_recount, "block long, counts binary")), light)
             texts = stage(texts.join(lists.select("sid").distinct(), "sid", "left_semi"), "texts")
+            discard(wider, listed)
         comps = _search(texts, lists, comps)
 
     ids = base.groupBy("sid").agg(F.min("doc_id").alias("first")).filter("sid IS NOT NULL")
@@ -353,21 +355,24 @@ def _texts_of(lists: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _search(texts: DataFrame, lists: DataFrame, comps: DataFrame) -> DataFrame:
     """Components after comparing sets that share a list until no list has an open pair."""
-    tested = None
+    tested, listed = None, lists
     for turn in range(HUB_ROUNDS + 1):
         rows = lists.join(comps, F.expr("sid = node"), "left").selectExpr("token", "sid", "n", "reach", "coalesce(comp, sid) AS comp")
         by_comp = rows.groupBy("token", "comp").agg(F.expr("count(1) AS k"))
         open_ = by_comp.groupBy("token").agg(F.expr("count(1) AS comps"), F.expr("max_by(comp, struct(k, comp)) AS main")).filter("comps > 1")
         open_ = open_.selectExpr("token AS __token", "main")
         rows = stage(rows.join(open_, F.expr("token = __token")).drop("__token"), "open")
+        discard(listed)
         if rows.isEmpty():
             break
-        lists = rows.select("token", "sid", "n", "reach")
+        lists, listed = rows.select("token", "sid", "n", "reach"), rows
         pairs = _all_pairs(rows) if turn == HUB_ROUNDS else _hub_pairs(rows, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        comps = _united(comps, stage(_linked(pairs, texts), "links"))
+        links, apart = stage(_linked(pairs, texts), "links"), comps
+        comps = _united(apart, links)
+        discard(links, apart)
         tested = pairs if tested is None else tested.unionAll(pairs)
     return comps
 
