@@ -17,7 +17,7 @@ from lustra.session import new_shared_path, stage
 LENGTH = 100  # bytes of a string that must not start twice
 GRAM = 24  # bytes of an anchor: 16 and 8
 REACH = LENGTH - GRAM + 1  # places an anchor can have in such a string
-CLASS = 32  # neighbouring starts of a run that are dealt out together
+CLASS = 48  # neighbouring starts of a run that are dealt out together
 HOT = 50_000  # runs of different bytes of one anchor that may meet in one task
 CHUNK = 1 << 21  # bytes hashed, or strings times LENGTH sorted, at a time
 
