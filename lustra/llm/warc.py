@@ -21,6 +21,8 @@ FIELDS = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to
 HEADERS = ("warc-record-id", "warc-type", "warc-target-uri", "warc-payload-digest", "warc-refers-to")
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, http_length bigint, payload binary"
 ID = "<urn:page:{}>"
+#: Schemes of Hadoop's connectors under the names that Arrow gives the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "wasbs": "abfss"}
 
 
 def base32_sha1(data: str) -> str:
@@ -69,6 +71,12 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, compression: str = "
     rows.select(F.expr(record).alias("value")).write.option("lineSep", "\r\n").option("compression", compression).text(path)
 
 
+def uri(name: str) -> str:
+    """A path as Spark's readers name it, as the readers in the tasks know it."""
+    scheme, separator, rest = name.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{separator}{rest}"
+
+
 class WarcFiles(InputPartition):
     def __init__(self, files: list[tuple[str, int]]):
         self.files = files
@@ -108,7 +116,7 @@ class WarcReader(DataSourceReader):
         kind = pa.schema([*[(n, pa.string()) for n in FIELDS], ("http_length", pa.int64()), ("payload", pa.binary())])
         rows, held = [], 0
         for name, _ in partition.files:
-            store, path = fs.FileSystem.from_uri(name)
+            store, path = fs.FileSystem.from_uri(uri(name))
             # Plain files are sought in; compressed ones are read through, and what is skipped is not decoded.
             with (store.open_input_stream if path.endswith(".gz") else store.open_input_file)(path) as stream:
                 for row in self._records(Lines(stream)):

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lustra.llm.words import schema_with, without
+from lustra.session import stage
 
 WINDOW = 10
 # Benchmark text searched in one pass over the documents; more text takes more passes.
 PASS_BYTES = 1 << 20
+TOGETHER = 4  # passes in one task
 RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 FOUND = "__spans array<struct<first:bigint,last:bigint>>, __items array<string>"
 COLUMNS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "__spans", "__items")
@@ -123,7 +125,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, p
     any occurrence is hit.  Null and empty texts have no words and are clean, and items without words
     are never found.  Repeated rows are judged each, repeated item ids count once, and an item whose id
     is null is searched and named ``null``.  Result columns replace input columns of the same name.  Only a part of the benchmark
-    of proven size goes to the tasks; a larger benchmark takes several passes, joined by no shuffle.
+    of proven size goes to the tasks; a larger benchmark takes several passes, joined by no shuffle.  ``TOGETHER`` of them
+    run in a task, each in a Python worker of its own; what they found is staged before the next ones.
     """
     spark = docs.sparkSession
     out = without(docs, COLUMNS)
@@ -134,6 +137,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, p
         last = turn == len(blocks) - 1
         fields = schema_with(without(out, COLUMNS), RESULT if last else FOUND)
         out = out.mapInArrow(_pass(sent, width, turn == 0, last, fields.names), fields)
+        if not last and turn % TOGETHER == TOGETHER - 1:
+            out = stage(out, "passes")
     return out
 
 

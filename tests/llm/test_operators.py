@@ -7,11 +7,13 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
-from brute import base_row, cut_repeats, hits, near, revisits, targets, thin_lines, tokens
+from brute import WORD, base_row, cut_repeats, hits, near, revisits, targets, thin_lines, tokens
 from lustra.llm import chat, components, jaccard, lines, mixing, pii, quality, queries, suffixes, warc, wumanber
 from lustra.llm import tokens as unigram
 
@@ -75,6 +77,32 @@ def test_quality_counts(spark, odd):
     assert got == {r[0]: base_row(r[1]) for r in table(spark, "documents")}
 
 
+def plain_scores(docs, trusted):
+    """{doc_id: mean log ratio of its words and neighbouring words}, hashed as Spark does."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    word = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    pair = lambda a, b: xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
+    grams = {}
+    for i, text in docs:
+        hashes = [word(w) for w in WORD.findall(text or "")]
+        grams[i] = [signed(h) % quality.BUCKETS for h in [*hashes, *(pair(a, b) for a, b in zip(hashes, hashes[1:]))]]
+    raw = Counter(b for held in grams.values() for b in held)
+    target = Counter(b for i, held in grams.items() if i in trusted for b in held)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log((target[b] + quality.SMOOTH) / (n * share + quality.SMOOTH)) for b, n in raw.items()}
+    return {i: sum(ratio[b] for b in held) / len(held) if held else 0.0 for i, held in grams.items()}
+
+
+def test_quality_scores(spark):
+    docs = [(r[0], r[1]) for r in table(spark, "documents")]
+    trusted = {r[0] for r in table(spark, "labels") if r[1] == 1}
+    want = plain_scores(docs, trusted)
+    got = by_id(queries.QUERIES["op1_quality_rules"](spark, SF), "score", "kept", "base_failed")
+    for i, _ in docs:
+        score, kept, failed = got[i]
+        assert score == pytest.approx(want[i], abs=1e-9) and kept == (not failed and want[i] >= quality.KEEP_FROM)
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     sf = "/root/testdata/sf0.01"
     judged = queries.QUERIES["op1_quality_rules"](spark, sf)
@@ -231,6 +259,16 @@ def test_decontamination(spark, odd, nothing):
     assert wumanber.find_benchmark(odd, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_in_many_passes(spark, odd):
+    """More passes than run in one task: what they found is staged in between."""
+    items = [(k, prose(2, 40) if k == 3 else prose(300 + k, 12)) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = wumanber.find_benchmark(odd, bench, pass_bytes=200)
+    assert len(wumanber.benchmark_blocks(bench, 200)) > 2 * wumanber.TOGETHER
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= wumanber.TOGETHER
+    assert by_id(found, "n_hit", "n_items") == {i: hits(t, [(str(k), x) for k, x in items])[1:3] for i, t in pairs(odd)}
+
+
 def test_decontamination_of_tables(spark):
     items = table(spark, "benchmark")
     got = by_id(queries.QUERIES["op3_decontamination"](spark, SF), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -444,6 +482,10 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_paths_of_object_stores():
+    assert warc.uri("s3a://b/k.gz") == "s3://b/k.gz" and warc.uri("file:/x/y") == "file:/x/y" and warc.uri("hdfs://n/x") == "hdfs://n/x"
+
+
 def test_warc_reader_pushes_headers():
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
@@ -483,6 +525,26 @@ def test_tokens(spark, odd, nothing):
     assert unigram.count_tokens(nothing, pieces).count() == 0
 
 
+def test_tokens_of_odd_rows(spark):
+    pieces = unigram.load_pieces()
+    unknown = min(pieces.values()) - 10.0
+    long = " ".join(f"w{i % 50} größe{i % 7}" for i in range(60_000))
+    rows = [(None, "a b"), (None, None), (1, ""), (2, "same text"), (2, "same text"), (3, long)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, N_TOKENS int").selectExpr("*", "N_TOKENS AS k")
+    got = {r["k"]: (r["n_pretokens"], r["n_tokens"]) for r in unigram.count_tokens(df, pieces).collect()}
+    one = {w: tokens("▁" + w, pieces, unknown) for w in set(long.split()) | {"a", "b", "same", "text"}}
+    assert got == {k: (len((t or "").split()), sum(one[w] for w in (t or "").split())) for k, (_, t) in enumerate(rows)}
+
+
+def test_token_counts_of_table(spark):
+    pieces = unigram.load_pieces()
+    unknown = min(pieces.values()) - 10.0
+    got = by_id(queries.QUERIES["op8_token_counts"](spark, SF), "n_pretokens", "n_tokens")
+    docs = {r[0]: (r[1] or "").split() for r in table(spark, "documents")}
+    cost = {w: tokens("▁" + w, pieces, unknown) for words in docs.values() for w in set(words)}
+    assert got == {i: (len(words), sum(cost[w] for w in words)) for i, words in docs.items()}
+
+
 # ------------------------------------------------------------------ 9
 
 
@@ -574,10 +636,13 @@ def test_one_of_each(spark, odd, nothing):
     assert jaccard.one_of_each(nothing).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 40, 1 << 20])
+def test_components(spark, small):
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000)]
-    got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    given = spark.createDataFrame([*edges, (None, 7), (7, None)], "a long, b long")
+    got = {r["node"]: r["comp"] for r in components.components(given, small).collect()}
+    assert components.components(given.limit(0), small).collect() == []
     root = {x: x for e in edges for x in e}
     for _ in range(400):
         for a, b in edges:

@@ -52,3 +52,35 @@ def test_mix_stage(steps):
 def test_run_equals_stages(spark, steps):
     rows = {r["doc_id"]: r.asDict() for r in corpus_pipeline.run(spark, SF).collect()}
     assert rows == steps[-1][2]
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Null ids, texts and sources, empty and very long texts, repeated rows, ties, and columns with inner names."""
+    text = " ".join(f"word{i % 37} other{i % 11}" for i in range(60))
+    rows = [(None, text, "a"), (None, None, None), (1, None, "a"), (2, "", "b"), (3, " \n ", None), (4, text, "a"), (4, text, "a"), (5, text + " end", "b"), (6, "x " * 40_000, "c"), (7, "one\ntwo\nthree\nfour", "c")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t or ""), k) for k, (i, t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, gone int")
+    return df.selectExpr("*", "gone AS __id", "gone AS __words", "gone AS __hash", "gone AS size", "gone AS target", "gone AS n_words", "gone AS kept")
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, odd_docs, name):
+    step = dict(corpus_pipeline.STAGES)[name]
+    out = step(spark, odd_docs, SF)
+    last = name == corpus_pipeline.STAGES[-1][0]
+    assert out.columns == [*odd_docs.columns, *(["copies"] if last else [])]
+    rows, given = out.collect(), {r["gone"]: r for r in odd_docs.collect()}
+    assert all(r[c] == r["gone"] for r in rows for c in ("__id", "__words", "__hash", "size", "target", "n_words", "kept"))
+    left = {r["gone"] for r in rows}
+    if name == "quality_rules":
+        assert left <= {0, 5, 6, 7} and {1, 2, 3, 4, 9} & left == set()
+    elif name == "line_dedup":
+        assert left == set(given) and all(r["text"] == given[r["gone"]]["text"] for r in rows)
+    elif name == "near_duplicates":
+        # One of the three copies and the near copy, all rows without words, and the others.
+        assert len(left & {0, 5, 6, 7}) == 1 and {1, 2, 3, 4, 8, 9} <= left
+    elif name == "decontamination":
+        assert left == set(given)
+    else:
+        assert all(1 <= r["copies"] <= 3 for r in rows) and left & {1, 2, 3, 4} == set()
+    assert step(spark, odd_docs.limit(0), SF).collect() == []
