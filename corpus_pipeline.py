@@ -1,4 +1,7 @@
-"""From raw documents to a mixed corpus: five stages, each written as Parquet and read by the next."""
+"""From raw documents to a mixed corpus: five stages, each written as Parquet and read by the next.
+
+Every stage keeps all columns of its input, whatever their names, and gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +17,40 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the likelihood ratio keep."""
+    """Documents that the base rules and the likelihood ratio keep.
+
+    Null, empty and very short texts go; repeated rows are judged each; a null id is like any other.
+    """
     return quality.kept_documents(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later occurrences of repeated lines; n_chars follows the text."""
+    """All documents, without later occurrences of repeated lines; n_chars follows the text.
+
+    Null texts stay null; rows equal in id and text are one occurrence and keep the same lines.
+    """
     out = lines.without_repeated_lines(docs)
     return out.withColumn("n_chars", F.expr("CAST(length(text) AS BIGINT)")) if "n_chars" in docs.columns else out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest id (null last).
+
+    Texts without words, null ones included, are near nothing and all stay; of rows equal in id and text one stays.
+    """
     return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
+    """Documents without any passage of the benchmark; texts without words have none and stay."""
     return wumanber.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with their number of copies."""
+    """Documents that the mix takes, with their number of copies.
+
+    Texts without words have no size and go; null sources are a source; repeated rows are documents each.
+    """
     return mixing.mixed_documents(docs)
 
 
