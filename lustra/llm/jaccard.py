@@ -357,15 +357,14 @@ def _search(texts: DataFrame, lists: DataFrame, comps: DataFrame) -> DataFrame:
     """Components after comparing sets that share a list until no list has an open pair."""
     tested, listed = None, lists
     for turn in range(HUB_ROUNDS + 1):
-        rows = lists.join(comps, F.expr("sid = node"), "left").selectExpr("token", "sid", "n", "reach", "coalesce(comp, sid) AS comp")
-        by_comp = rows.groupBy("token", "comp").agg(F.expr("count(1) AS k"))
-        open_ = by_comp.groupBy("token").agg(F.expr("count(1) AS comps"), F.expr("max_by(comp, struct(k, comp)) AS main")).filter("comps > 1")
-        open_ = open_.selectExpr("token AS __token", "main")
-        rows = stage(rows.join(open_, F.expr("token = __token")).drop("__token"), "open")
-        discard(listed)
-        if rows.isEmpty():
+        if turn == 1:
+            # Most lists lie in one component by now.
+            rows = _with_components(lists, comps)
+            lists = stage(rows.join(_open(rows).select("token"), "token", "left_semi").select("token", "sid", "n", "reach"), "open")
+            discard(listed)
+        if turn and lists.isEmpty():
             break
-        lists, listed = rows.select("token", "sid", "n", "reach"), rows
+        rows = _with_components(lists, comps)
         pairs = _all_pairs(rows) if turn == HUB_ROUNDS else _hub_pairs(rows, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -377,14 +376,25 @@ def _search(texts: DataFrame, lists: DataFrame, comps: DataFrame) -> DataFrame:
     return comps
 
 
+def _with_components(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    return lists.join(comps, F.expr("sid = node"), "left").selectExpr("token", "sid", "n", "reach", "coalesce(comp, sid) AS comp")
+
+
+def _open(rows: DataFrame, **wanted: str) -> DataFrame:
+    """Lists with sets of several components, with the ``wanted`` aggregates of each."""
+    found = rows.groupBy("token").agg(F.expr("min(comp) AS least"), F.expr("max(comp) AS most"), *[F.expr(x).alias(n) for n, x in wanted.items()])
+    return found.filter("least != most").drop("least", "most")
+
+
 def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """Each set with the hub of another component that it shares most lists with.
 
     The hub of a list is the set with the longest reach for its size, the one with most in common with
-    others; in every other turn it is drawn by a hash.
+    others; in every other turn it is drawn by a hash.  The sets of a hub's own component leave the join at once.
     """
-    hubs = rows.groupBy("token").agg(F.expr(f"max_by(struct(sid, n, reach, comp), struct({'reach / n' if turn % 2 == 0 else '0'}, xxhash64(sid, {turn}))) AS hub"))
-    near = rows.join(hubs, "token").filter("comp != hub.comp AND n <= hub.reach AND hub.n <= reach")
+    hub = f"max_by(struct(sid, n, reach, comp), struct({'reach / n' if turn % 2 == 0 else '0'}, xxhash64(sid, {turn})))"
+    hubs = _open(rows, hub=hub).withColumnRenamed("token", "__token")
+    near = rows.join(hubs, F.expr("token = __token AND comp != hub.comp AND n <= hub.reach AND hub.n <= reach"))
     shared = near.selectExpr("sid", "hub.sid AS h").groupBy("sid", "h").agg(F.expr("count(1) AS shared"))
     best = shared.groupBy("sid").agg(F.expr("max_by(h, struct(shared, h)) AS h"))
     return best.selectExpr("greatest(sid, h) AS a", "least(sid, h) AS b").distinct()
@@ -392,10 +402,12 @@ def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
     """Every pair of a list that fits and lies in two components: one of the two is not in the main one."""
-    other = rows.selectExpr("token", "sid AS other", "n AS m", "reach AS other_reach", "comp AS other_comp")
-    pairs = rows.filter("comp != main").join(other, "token")
-    pairs = pairs.filter("comp != other_comp AND (other_comp = main OR sid > other) AND n <= other_reach AND m <= reach")
-    return pairs.selectExpr("greatest(sid, other) AS a", "least(sid, other) AS b").distinct()
+    by_comp = rows.groupBy("token", "comp").agg(F.expr("count(1) AS k"))
+    main = by_comp.groupBy("token").agg(F.expr("count(1) AS comps"), F.expr("max_by(comp, struct(k, comp)) AS main")).filter("comps > 1")
+    outside = rows.join(main.selectExpr("token AS __token", "main"), F.expr("token = __token AND comp != main"))
+    other = rows.selectExpr("token AS __other", "sid AS other", "n AS m", "reach AS other_reach", "comp AS other_comp")
+    fits = "token = __other AND comp != other_comp AND (other_comp = main OR sid > other) AND n <= other_reach AND m <= reach"
+    return outside.join(other, F.expr(fits)).selectExpr("greatest(sid, other) AS a", "least(sid, other) AS b").distinct()
 
 
 def _linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
