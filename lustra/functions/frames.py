@@ -46,5 +46,10 @@ def fetch(df: DataFrame, exprs: Mapping[str, str]) -> dict[str, object]:
     return out
 
 
+def fetch_from(row: DataFrame, exprs: Mapping[str, str]) -> dict[str, object]:
+    """The named expressions over a table of one row."""
+    return row.selectExpr(*[f"{text} AS {ref(name)}" for name, text in exprs.items()]).first().asDict(recursive=False)
+
+
 def pick(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.expr(ref(n)) for n in names])

@@ -15,11 +15,12 @@ STATISTICS = ("mean", "median", "mode")
 
 
 def fit_fill(
-    df: DataFrame, strategies: Mapping[str, str], exact: bool = True
+    df: DataFrame, strategies: Mapping[str, str], exact: bool = True, rows: int | None = None
 ) -> dict[str, object]:
     """Fill value per column for ``mean``, ``median`` and ``mode``.
 
-    Columns a strategy cannot serve (mean of text, mode of an all-null column) are left out.
+    Columns a strategy cannot serve (mean of text, mode of an all-null column) are left out.  ``rows``, if
+    known, saves medians of short tables a scan.
     """
     unknown = {s for s in strategies.values() if s not in STATISTICS}
     if unknown:
@@ -30,7 +31,7 @@ def fit_fill(
 
     numeric = [c for c in strategies if is_numeric(dtype(df, c))]
     means = stats.moments(df, [c for c in asked("mean") if c in numeric])
-    medians = stats.quantiles(df, [c for c in asked("median") if c in numeric], [0.5], exact=exact)
+    medians = stats.quantiles(df, [c for c in asked("median") if c in numeric], [0.5], exact=exact, rows=rows)
     values: dict[str, object] = {c: m.mean for c, m in means.items()}
     values |= {c: q[0] for c, q in medians.items()}
     values |= stats.modes(df, asked("mode"))

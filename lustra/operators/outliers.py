@@ -24,9 +24,14 @@ def _finite(bounds: Bounds) -> dict[str, tuple[float, float]]:
     return {c: pair for c, pair in bounds.items() if all(map(isfinite, pair))}
 
 
-def fit_iqr(df: DataFrame, columns: str | list[str], factor: float = 1.5, exact: bool = True) -> dict[str, tuple[float, float]]:
-    """``q1 - f * iqr`` and ``q3 + f * iqr`` of each numeric column holding values, where both are finite."""
-    found = stats.quantiles(df, _numeric(df, columns), [0.25, 0.75], exact=exact)
+def fit_iqr(
+    df: DataFrame, columns: str | list[str], factor: float = 1.5, exact: bool = True, rows: int | None = None
+) -> dict[str, tuple[float, float]]:
+    """``q1 - f * iqr`` and ``q3 + f * iqr`` of each numeric column holding values, where both are finite.
+
+    ``rows``, if known, saves short tables a scan.
+    """
+    found = stats.quantiles(df, _numeric(df, columns), [0.25, 0.75], exact=exact, rows=rows)
     return _finite({c: iqr_bounds(q1, q3, factor) for c, (q1, q3) in found.items() if q1 is not None})
 
 
@@ -57,12 +62,12 @@ def cap_zscore(df: DataFrame, columns: str | list[str], threshold: float = 3.0)
     return apply_clip(df, fit_zscore(df, columns, threshold))
 
 
-def inside_iqr(df: DataFrame, column: str, factor: float = 1.5, exact: bool = True) -> str:
+def inside_iqr(df: DataFrame, column: str, factor: float = 1.5, exact: bool = True, rows: int | None = None) -> str:
     """Whether a cell lies inside the bounds of its column, as an expression; null is not inside.
 
     Without finite bounds every cell that is not null is inside.
     """
-    bounds = fit_iqr(df, column, factor, exact)
+    bounds = fit_iqr(df, column, factor, exact, rows)
     if not bounds:
         return f"{number(df, column)} IS NOT NULL"
     low, high = bounds[column]

@@ -50,7 +50,7 @@ def _rounded(x: float, places: int) -> float:
     return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP, _DIGITS)) if isfinite(x) else x
 
 
-def _tidy(x: str) -> str:
+def tidy(x: str) -> str:
     """Six decimals; infinities and NaN become null."""
     return f"CASE WHEN NOT isnan({x}) AND abs({x}) <> double('Infinity') THEN round({x}, 6) END"
 
@@ -109,8 +109,8 @@ def column_numbers(df: DataFrame, columns: Sequence[str] | None = None, exact: b
             outside = f"count_if({x} < {low} OR {x} > {high})"
         aggs |= {f"mean{i}": f"avg({x})", f"std{i}": f"stddev_samp({x})", f"min{i}": f"min({x})", f"max{i}": f"max({x})"}
         aggs[f"out{i}"] = outside
-        parts = [f"{_tidy(f'{k}{i}')} AS {k}" for k in ("mean", "std", "min", "max")]
-        parts += [f"{_tidy(f'CAST({lit(v)} AS DOUBLE)')} AS {k}" for k, v in (("median", q2), ("q1", q1), ("q3", q3))]
+        parts = [f"{tidy(f'{k}{i}')} AS {k}" for k in ("mean", "std", "min", "max")]
+        parts += [f"{tidy(f'CAST({lit(v)} AS DOUBLE)')} AS {k}" for k, v in (("median", q2), ("q1", q1), ("q3", q3))]
         fields[c] = ", ".join([*parts, f"CAST(out{i} AS BIGINT) AS outlier_count_iqr"])
     return _per_column(aggregate(df, aggs), fields)
 
@@ -244,7 +244,7 @@ def profile(df: DataFrame, order_by: Sequence[str] | None = None, exact: bool =
         c: {"position": i, "column": c, "dtype": dtype(df, c).simpleString()} for i, c in enumerate(df.columns)
     }
     rows, spread = _scan_counts(df, texts, numeric, found)
-    _scan_numbers(df, spread, exact, found)
+    _scan_numbers(df, spread, rows, exact, found)
     if countable:
         _scan_values(df, countable, texts, exact, found)
     if order_by is not None and countable:
@@ -271,19 +271,19 @@ def _scan_counts(
     return rows, stats.moments_of(row, numeric)
 
 
-def _tidy_number(x: float | None) -> float | None:
+def tidy_number(x: float | None) -> float | None:
     return _rounded(x, 6) if x is not None and isfinite(x) else None
 
 
-def _scan_numbers(df: DataFrame, spread: Mapping[str, stats.Moments], exact: bool, found: dict[str, dict]) -> None:
+def _scan_numbers(df: DataFrame, spread: Mapping[str, stats.Moments], rows: int, exact: bool, found: dict[str, dict]) -> None:
     """Quartiles, then outliers and histogram between the bounds they give."""
     numeric = list(spread)
-    quartiles = stats.quantiles(df, numeric, [0.25, 0.5, 0.75], exact=exact)
+    quartiles = stats.quantiles(df, numeric, [0.25, 0.5, 0.75], exact=exact, rows=rows)
     asked, edges = {}, {}
     for i, c in enumerate(numeric):
         m, (q1, q2, q3) = spread[c], quartiles[c]
         values = {"mean": m.mean, "std": m.std, "min": m.low, "max": m.high, "q1": q1, "median": q2, "q3": q3}
-        found[c] |= {k: _tidy_number(v) for k, v in values.items()} | {"outlier_count_iqr": 0}
+        found[c] |= {k: tidy_number(v) for k, v in values.items()} | {"outlier_count_iqr": 0}
         if not m.count:
             continue
         x, bounds = number(df, c), iqr_bounds(q1, q3)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lustra.functions.columns import dtype, is_fractional, is_groupable, is_numeric, is_text, lit, number, ref
 from lustra.functions.frames import aggregate_by
 from lustra.operators import stats
+from lustra.operators.profile import tidy
 
 HLL_BITS = 14  # relative error of distinct counts about 0.8 %
 KLL_SIZE = 4096  # rank error of quantiles below 0.2 %
@@ -99,8 +100,8 @@ def merge(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     exact = {
         "rows": "sum(rows)", "nulls": "sum(nulls)", "n": "sum(n)", "mean": "max(__mean)",
         "m2": "sum(coalesce(m2, 0D) + coalesce(n * (mean - __mean) * (mean - __mean), 0D))",
-        "low": "min(low)", "high": "max(high)", "distinct": "hll_union_agg(distinct, true)",
-        "quantiles": f"kll_merge_agg_double(quantiles, {KLL_SIZE})",
+        "low": "min(low)", "high": "max(high)", "distinct": "IF(count(`distinct`) > 0, hll_union_agg(`distinct`, true), NULL)",
+        "quantiles": f"IF(count(quantiles) > 0, kll_merge_agg_double(quantiles, {KLL_SIZE}), NULL)",
     }
 
     def merged(part: DataFrame, frequent: str) -> DataFrame:
@@ -120,14 +121,15 @@ def profile_of(sketches: DataFrame) -> DataFrame:
     def quantile(p: float) -> str:
         return f"CASE WHEN n > 0 THEN kll_sketch_get_quantile_double(quantiles, {p}D) END"
 
+    numbers = {"mean": "mean", "std": "sqrt(m2 / nullif(n - 1, 0))", "min": "low", "max": "high"}
+    numbers |= {"q1": quantile(0.25), "median": quantile(0.5), "q3": quantile(0.75)}
     # Null is an item of the sketch like any other.
     found = f"transform(filter(approx_top_k_estimate(frequent, {TOP + 1}), t -> t.item IS NOT NULL), t -> struct(t.item AS value, t.count AS n))"
 
     return sketches.filter("column IS NOT NULL").selectExpr(
         *[ref(c) for c in sketches.columns if c not in _FIELDS], "position", "column", "dtype", "rows",
         "nulls AS null_count", "round(nulls / greatest(rows, 1) * 100, 2) AS null_pct", "hll_sketch_estimate(distinct) AS unique_count",
-        "mean", "sqrt(m2 / nullif(n - 1, 0)) AS std", "low AS min", "high AS max",
-        f"{quantile(0.25)} AS q1", f"{quantile(0.5)} AS median", f"{quantile(0.75)} AS q3",
+        *[f"{tidy(x)} AS {name}" for name, x in numbers.items()],
         f"CASE WHEN frequent IS NOT NULL THEN slice({found}, 1, {TOP}) END AS top_values",
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lustra.functions.columns import any_of, dtype, is_fractional, is_groupable, is_text, lit, lits, number, ref
-from lustra.functions.frames import fetch
+from lustra.functions.frames import aggregate, fetch, fetch_from
 from lustra.session import stage
 
 # Values per column an exact ranking may hold in one task.
@@ -66,9 +66,13 @@ def quantiles(
     exact: bool = True,
     bracket: int = BRACKET_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
+    rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of numeric columns.
 
+    Who knows that the table has no more than ``rows`` rows, and these are within ``bracket``, saves the sketch:
+    one scan ranks all columns.
+
     An exact percentile has to hold every distinct value in one task.  So beyond ``bracket``
     values the wanted order statistics are searched for: a sketch proposes cut points around
     them, counts between the cuts verify where they lie, and the search goes on there until
@@ -82,6 +86,8 @@ def quantiles(
         part = list(columns[at : at + _COLUMNS_PER_JOB])
         if not exact:
             out |= _called(df, part, f"percentile_approx({{x}}, {wanted}, {accuracy})", len(probs))
+        elif rows is not None and rows <= bracket:
+            out |= _at_once(df, part, probs)
         else:
             out |= _exact(df, part, probs, bracket, accuracy)
     return out
@@ -209,7 +215,34 @@ def _exact(
         for i, b in enumerate(brackets):
             value |= {(b.column, rank): v for rank, v in zip(b.ranks, found[f"v{i}"])}
 
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    return _interpolated(columns, len(probs), wanted, value)
+
+
+def _at_once(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Quantiles of columns short enough to be sorted in one task, in one scan."""
+    held = fetch_from(
+        aggregate(df, {f"a{i}": f"collect_list({number(df, c)})" for i, c in enumerate(columns)}).selectExpr(
+            *[f"array_sort(a{i}) AS a{i}" for i in range(len(columns))]
+        ),
+        {f"n{i}": f"size(a{i})" for i in range(len(columns))}
+        | {
+            f"v{i}": f"transform(array({lits(float(p) for p in probs)}), p -> array({', '.join(f'get(a{i}, CAST({f}((size(a{i}) - 1) * p) AS INT))' for f in ('floor', 'ceil'))}))"
+            for i in range(len(columns))
+        },
+    )
+    wanted = {c: [p * (held[f"n{i}"] - 1) for p in probs] for i, c in enumerate(columns) if held[f"n{i}"]}
+    value: dict[tuple[str, int], float] = {}
+    for i, c in enumerate(columns):
+        for at, ends in zip(wanted.get(c, ()), held[f"v{i}"]):
+            value |= {(c, floor(at)): ends[0], (c, ceil(at)): ends[1]}
+    return _interpolated(columns, len(probs), wanted, value)
+
+
+def _interpolated(
+    columns: Sequence[str], width: int, wanted: Mapping[str, list[float]], value: Mapping[tuple[str, int], float]
+) -> dict[str, list[float | None]]:
+    """Quantiles from the order statistics around the wanted places."""
+    out: dict[str, list[float | None]] = {c: [None] * width for c in columns}
     for c, places in wanted.items():
         ends = [(value[c, floor(at)], value[c, ceil(at)], at - floor(at)) for at in places]
         # Equal ends need no arithmetic, which between infinities gives NaN.

@@ -35,7 +35,7 @@ def test_quantiles_agree_with_pandas_on_every_path(numbers):
     frame = numbers.toPandas()
     want = {c: frame[c].quantile(probs).tolist() for c in names}
     ways = (
-        {}, {"bracket": 500, "accuracy": 100}, {"bracket": 1, "accuracy": 20}, {"bracket": 50, "accuracy": 1000},
+        {}, {"bracket": 500, "accuracy": 100}, {"bracket": 1, "accuracy": 20}, {"bracket": 50, "accuracy": 1000}, {"rows": 5000}, {"rows": 10**9},
     )
     for way in ways:
         found = stats.quantiles(numbers, names, probs, **way)
@@ -212,7 +212,9 @@ def test_quantiles_do_not_depend_on_the_bracket(spark):
     rows = [((k * 7919) % 40_009 / 100,) for k in range(3000)]
     df = spark.createDataFrame(rows, "x double")
     found = [stats.quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.9], bracket=b)["x"] for b in (10, 100, 100_000)]
-    assert found[0] == found[1] == found[2]
+    assert found[0] == found[1] == found[2] == stats.quantiles(df, ["x"], [0.1, 0.25, 0.5, 0.9], rows=3000)["x"]
+    empty = spark.createDataFrame([(None,)], "x double")
+    assert stats.quantiles(empty, ["x"], [0.5], rows=1) == {"x": [None]}
 
 
 def test_one_rounding_rule(spark):
