@@ -24,8 +24,8 @@ CELLS = 1 << 21  # counters of the frequency sketch; a size of the plan, not of
 BLOCK = 1 << 12  # counters moved as one value
 COLD = 4096  # a token whose sketch counter is below this has a list short enough for one task
 MOST_LIGHT = 16  # largest boundary between light and heavy sets that is weighed
-NARROWINGS = 4  # times the candidates are counted and listed anew
-HUB_ROUNDS = 3
+ROUNDS = 4  # times that sets meet hubs, and what is left is counted and listed anew
+SENT = 1 << 20  # rows of two numbers that are broadcast at most
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([2 * k + 1 for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1D, 0x632BE59BD9B4E019, 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)], dtype=np.uint64)
@@ -158,7 +158,10 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(sent, light: int):
-    """(token, sid, n, reach, cold) of the prefixes of all sets that can link with a heavy one, rare tokens first."""
+    """(token, sid, n, reach, comp, cold) of the prefixes of all sets that can link with a heavy one, rare tokens first.
+
+    A set whose component is not told is one of its own.
+    """
     least = smallest_partner(light + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +169,20 @@ def _prefixes(sent, light: int):
         for batch in batches:
             parts: list[tuple[np.ndarray, ...]] = []
             met: set[int | None] = {None}
-            for text in _texts(batch):
+            comps = batch.column("comp").to_pylist() if "comp" in batch.schema.names else None
+            for i, text in enumerate(_texts(batch)):
                 tokens = shingle_set(text)
                 n, sid = len(tokens), set_id(tokens)
                 if n < least or sid in met:
                     continue
+                comp = sid if comps is None else comps[i]
                 met.add(sid)
                 counts = seen[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
                 first = np.lexsort((tokens, counts))[: prefix_length(n)]
                 k = len(first)
-                parts.append((tokens[first].view(np.int64), np.full(k, sid, np.int64), np.full(k, n), reach(n, np.arange(k)), counts[first] < COLD))
+                parts.append((tokens[first].view(np.int64), np.full(k, sid, np.int64), np.full(k, n), reach(n, np.arange(k)), np.full(k, comp, np.int64), counts[first] < COLD))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["token", "sid", "n", "reach", "cold"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["token", "sid", "n", "reach", "comp", "cold"])
 
     return run
 
@@ -203,29 +208,30 @@ def _fitting(n: np.ndarray, far: np.ndarray) -> np.ndarray:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cold rows that fit another row of their list; hot rows as they are.  Each row once."""
+    """Rows of cold lists with sets of several components that fit another row; hot rows as they are.  Each row once."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    names = ["token", "sid", "n", "reach", "cold"]
-    token, sid, n, far, cold = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in names)
+    names = ["token", "sid", "n", "reach", "comp", "cold"]
+    token, sid, n, far, comp, cold = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in names)
     order = np.lexsort((sid, token))
-    token, sid, n, far, cold = (a[order] for a in (token, sid, n, far, cold))
+    token, sid, n, far, comp, cold = (a[order] for a in (token, sid, n, far, comp, cold))
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-    token, sid, n, far, cold = (a[new] for a in (token, sid, n, far, cold))
+    token, sid, n, far, comp, cold = (a[new] for a in (token, sid, n, far, comp, cold))
     keep = ~cold
     edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
     sizes = np.diff(edges)
-    two = edges[:-1][sizes == 2]
+    open_ = np.minimum.reduceat(comp, edges[:-1]) != np.maximum.reduceat(comp, edges[:-1])
+    two = edges[:-1][(sizes == 2) & open_]
     fit = cold[two] & (n[two] <= far[two + 1]) & (n[two + 1] <= far[two])
     keep[two] |= fit
     keep[two + 1] |= fit
-    for k in np.flatnonzero(sizes > 2):
+    for k in np.flatnonzero((sizes > 2) & open_):
         a, b = edges[k], edges[k + 1]
         if cold[a]:
             keep[a:b] = _fitting(n[a:b], far[a:b])
-    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, sid, n, far)], names=names[:4])
+    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, sid, n, far, comp)], names=names[:5])
 
 
 def _subsets(light: int):
@@ -288,14 +294,14 @@ def _sketch(counted: DataFrame) -> np.ndarray:
 
 
 def _inverted(texts: DataFrame, seen: np.ndarray, light: int) -> DataFrame:
-    """Staged inverted lists of the texts' prefixes, only rows that fit another row of their list.
+    """Staged inverted lists of the texts' prefixes, only of lists that lie in several components and rows that fit another.
 
     Lists of cold tokens meet in one task and are bounded by COLD; those of hot ones are spread and kept.
     """
     sent = texts.sparkSession.sparkContext.broadcast(seen)
-    rows = texts.mapInArrow(_prefixes(sent, light), "token long, sid long, n long, reach long, cold boolean")
+    rows = texts.mapInArrow(_prefixes(sent, light), "token long, sid long, n long, reach long, comp long, cold boolean")
     rows = rows.repartition("token", F.expr("if(cold, 0, pmod(sid, 64))"))
-    return stage(rows.mapInArrow(_lists, "token long, sid long, n long, reach long"), "lists")
+    return stage(rows.mapInArrow(_lists, "token long, sid long, n long, reach long, comp long"), "lists")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -311,10 +317,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
       one is linking, so each subset is a star and nothing is left to compare.
     * Heavy sets scan the inverted lists of their prefixes, the rarest tokens by a sketch of all documents
       (which only orders tokens: any sketch gives the same links).  A token's place in a set bounds the sizes
-      it can link with; sets without a fitting partner in any list are done.  The others are counted and
-      listed anew, which sharpens the order.  Then every set is compared whole with the hub that shares
-      most lists with it and lies in another component, and at last all fitting pairs of lists between
-      components.  Pairs inside a component are never made.
+      it can link with; sets without a fitting partner in any list are done.  The others are compared whole with
+      the hub that shares most lists with them and lies in another component.  Sets whose lists all lie in their
+      own component by then are done; the others are counted and listed anew, which sharpens the order.  After
+      some rounds all fitting pairs of lists between components are compared.  Pairs inside a component are never made.
     """
     scanned = docs.selectExpr("doc_id", "text", "xxhash64(text) AS text_hash")
     scanned = stage(scanned.mapInArrow(_scan, "doc_id long, text_hash long, n long, sid long, tokens binary, block long, counts binary"), "sets")
@@ -328,13 +334,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     lists = _inverted(docs.select("text"), seen, light)
     if not lists.isEmpty():
-        texts = stage(_texts_of(lists, base, docs), "texts")
-        for _ in range(NARROWINGS - 1):
-            wider, listed = texts, lists
-            lists = _inverted(texts, _sketch(texts.mapInArrow(_recount, "block long, counts binary")), light)
-            texts = stage(texts.join(lists.select("sid").distinct(), "sid", "left_semi"), "texts")
-            discard(wider, listed)
-        comps = _search(texts, lists, comps)
+        comps = _search(stage(_texts_of(lists, base, docs), "texts"), lists, comps, light)
 
     ids = base.groupBy("sid").agg(F.min("doc_id").alias("first")).filter("sid IS NOT NULL")
     named = ids.join(comps, F.expr("sid = node"), "left").selectExpr("sid", "first", "coalesce(comp, sid) AS comp")
@@ -353,33 +353,38 @@ def _texts_of(lists: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("sid", "text")
 
 
-def _search(texts: DataFrame, lists: DataFrame, comps: DataFrame) -> DataFrame:
+def _sent(rows: DataFrame) -> DataFrame:
+    """A staged table of up to two numbers a row, to be broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
+def _search(texts: DataFrame, lists: DataFrame, comps: DataFrame, light: int) -> DataFrame:
     """Components after comparing sets that share a list until no list has an open pair."""
-    tested, listed = None, lists
-    for turn in range(HUB_ROUNDS + 1):
-        if turn == 1:
-            # Most lists lie in one component by now.
-            rows = _with_components(lists, comps)
-            lists = stage(rows.join(_open(rows).select("token"), "token", "left_semi").select("token", "sid", "n", "reach"), "open")
-            discard(listed)
-        if turn and lists.isEmpty():
-            break
-        rows = _with_components(lists, comps)
-        pairs = _all_pairs(rows) if turn == HUB_ROUNDS else _hub_pairs(rows, turn)
+    tested = None
+    for turn in range(ROUNDS + 1):
+        pairs = _all_pairs(lists) if turn == ROUNDS else _hub_pairs(lists, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         links, apart = stage(_linked(pairs, texts), "links"), comps
         comps = _united(apart, links)
         discard(links, apart)
+        if turn == ROUNDS:
+            break
         tested = pairs if tested is None else tested.unionAll(pairs)
+        # Components are told to sets, not to their many tokens; then only open lists come out.
+        own = stage(comps.join(texts.select("sid"), F.expr("node = sid"), "left_semi"), "own")
+        named = stage(texts.select("sid", "text").join(_sent(own), F.expr("sid = node"), "left").selectExpr("sid", "text", "coalesce(comp, sid) AS comp"), "named")
+        discard(texts, lists, own)
+        lists = _inverted(named, _sketch(named.mapInArrow(_recount, "block long, counts binary")), light)
+        if lists.isEmpty():
+            break
+        left = stage(lists.select("sid").distinct(), "left")
+        texts = stage(named.join(_sent(left), "sid", "left_semi"), "texts")
+        discard(named, left)
     return comps
 
 
-def _with_components(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    return lists.join(comps, F.expr("sid = node"), "left").selectExpr("token", "sid", "n", "reach", "coalesce(comp, sid) AS comp")
-
-
 def _open(rows: DataFrame, **wanted: str) -> DataFrame:
     """Lists with sets of several components, with the ``wanted`` aggregates of each."""
     found = rows.groupBy("token").agg(F.expr("min(comp) AS least"), F.expr("max(comp) AS most"), *[F.expr(x).alias(n) for n, x in wanted.items()])
