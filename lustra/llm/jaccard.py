@@ -25,6 +25,7 @@ BLOCK = 1 << 12  # counters moved as one value
 COLD = 4096  # a token whose sketch counter is below this has a list short enough for one task
 MOST_LIGHT = 16  # largest boundary between light and heavy sets that is weighed
 ROUNDS = 4  # times that sets meet hubs, and what is left is counted and listed anew
+FAIR = 5  # a set meets a hub that is in a fifth of its prefix's lists
 SENT = 1 << 20  # rows of two numbers that are broadcast at most
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -392,15 +393,17 @@ def _open(rows: DataFrame, **wanted: str) -> DataFrame:
 
 
 def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each set with the hub of another component that it shares most lists with.
+    """Each set with the hub of another component that it shares most lists with, if these are a fair part of its prefix.
 
-    The hub of a list is the set with the longest reach for its size, the one with most in common with
+    Most sets that share little with a hub have no link at all; they are found out by counting again, and if not, by
+    the last comparison.  The hub of a list is the set with the longest reach for its size, the one with most in common with
     others; in every other turn it is drawn by a hash.  The sets of a hub's own component leave the join at once.
     """
     hub = f"max_by(struct(sid, n, reach, comp), struct({'reach / n' if turn % 2 == 0 else '0'}, xxhash64(sid, {turn})))"
     hubs = _open(rows, hub=hub).withColumnRenamed("token", "__token")
     near = rows.join(hubs, F.expr("token = __token AND comp != hub.comp AND n <= hub.reach AND hub.n <= reach"))
-    shared = near.selectExpr("sid", "hub.sid AS h").groupBy("sid", "h").agg(F.expr("count(1) AS shared"))
+    shared = near.selectExpr("sid", "hub.sid AS h", "n").groupBy("sid", "h").agg(F.expr("count(1) AS shared"), F.expr("max(n) AS n"))
+    shared = shared.filter(f"{FAIR} * shared >= n - CAST(ceil(n * {PER_100} / 100) AS BIGINT) + 1")
     best = shared.groupBy("sid").agg(F.expr("max_by(h, struct(shared, h)) AS h"))
     return best.selectExpr("greatest(sid, h) AS a", "least(sid, h) AS b").distinct()
 
