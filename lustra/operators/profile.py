@@ -66,10 +66,16 @@ def shape(df: DataFrame) -> DataFrame:
 def count_duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: rows beyond the first of each identical row; null equals null.
 
-    Long texts are compared by digest and are not shuffled.
+    Long texts are compared by digest and are not shuffled; maps, arrays and structs are compared as JSON text.
     """
     columns = list(columns or df.columns)
-    short = [f"{stats.text_key(ref(c)) if is_text(dtype(df, c)) else ref(c)} AS {ref(c)}" for c in columns]
+
+    def key(c: str) -> str:
+        if not is_groupable(dtype(df, c)):
+            return stats.text_key(f"to_json({ref(c)})")
+        return stats.text_key(ref(c)) if is_text(dtype(df, c)) else ref(c)
+
+    short = [f"{key(c)} AS {ref(c)}" for c in columns]
     groups = aggregate_by(df.selectExpr(*short), columns, {"__n": "count(1)"})
     return aggregate(groups, {"duplicate_rows": "coalesce(sum(__n - 1), 0)"})
 

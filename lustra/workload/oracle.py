@@ -10,6 +10,7 @@ from lustra.workload.tables import BASE, DATA, DIRTY, TRUTH
 # ---------------------------------------------------------------- shared pieces
 
 CELLS = ", ".join(DATA)
+# Texts read as missing.
 TOKENS = (
     "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
     "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"
@@ -42,12 +43,14 @@ def title(x: str) -> str:
 
 
 def label(x: str) -> str:
+    # The departments and their other names.
     return f"""CASE lower({strip(x)}) WHEN 'engineering' THEN 'Engineering' WHEN 'eng' THEN 'Engineering'
       WHEN 'finance' THEN 'Finance' WHEN 'sales' THEN 'Sales' WHEN 'hr' THEN 'HR' WHEN 'operations' THEN 'Operations'
       WHEN 'ops' THEN 'Operations' WHEN 'marketing' THEN 'Marketing' ELSE {title(strip(x))} END"""
 
 
 def date(x: str) -> str:
+    # The layouts of dates.
     return f"coalesce(strftime(try_strptime({x}, ['%Y-%m-%d', '%Y/%m/%d', '%d-%m-%Y', '%m/%d/%Y']), '%Y-%m-%d'), {x})"
 
 
@@ -76,6 +79,7 @@ def derived(name: str) -> str:
 
 
 # Cell rules: column -> (issue test, issue) in order, after the test for missing cells.
+# The patterns, the accepted ranges and the names of issues.
 RULES = {
     "hire_date": [("NOT regexp_full_match({x}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')", "wrong_format")],
     "phone": [("NOT regexp_full_match({x}, '[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}')", "wrong_format")],
@@ -688,6 +692,7 @@ ORACLE["grades"] = with_people(
       (SELECT greatest(0, 0.1 * (1 - count(*) / 100000)) AS saved, count(*) FILTER (WHERE destructive) AS destroyed FROM audit)""",
     *_counters(_MIXED), f"audit AS ({_MIXED_AUDIT})",
 )
+# Rewards, their limits and the names of actions.
 _LOG = """log AS (SELECT user_id AS run_id, event_id AS step,
     CASE event_id % 7 WHEN 0 THEN 'fix_missing' WHEN 1 THEN 'remove_duplicate' WHEN 2 THEN 'fix_format'
       WHEN 3 THEN 'fix_type' WHEN 4 THEN 'fix_outlier' WHEN 5 THEN 'no_op' ELSE 'polish' END AS action_type,

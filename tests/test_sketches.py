@@ -52,6 +52,12 @@ def test_unique_counts_and_modes_of_long_texts(spark):
     assert profile.count_duplicate_rows(df.select("s")).first()[0] == len(values) - len(set(values))
 
 
+def test_duplicate_rows_of_nested_columns(spark):
+    rows = [({"a": 1}, [1, 2], "x"), ({"a": 1}, [1, 2], "x"), ({"a": 1}, None, "x"), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "m map<string,int>, l array<int>, s string")
+    assert profile.dataset(df).first().asDict() == {"rows": 5, "columns": 3, "total_missing": 7, "missing_pct": 46.67, "duplicate_rows": 2}
+
+
 def test_keys_stay_short(spark):
     df = spark.createDataFrame([(v,) for v in texts_around_the_limit()], "s string")
     longest = stats.key_counts(df, ["s"]).selectExpr("max(char_length(value)) AS n").first()["n"]
