@@ -23,6 +23,8 @@ LONGEST = 64  # characters of a word worth remembering
 
 # Where the splitting pattern reads alike in both libraries: no rare white space or control characters, no other scripts.
 _PLAIN = r"[^\t\n\r\x20-\x7e\xa1-ɏ]"
+# Characters that _PLAIN leaves to a text.
+_TAKEN = re.sub(_PLAIN, "", "".join(map(chr, range(0x250))))
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window long"
 
 
@@ -32,6 +34,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def plain_pattern(pattern: str) -> str:
+    """A splitting pattern with letters and numbers listed, which splits plain texts alike without Unicode properties.
+
+    The standard library's engine then takes less than half the time of one that knows the properties.
+    """
+    import regex
+
+    for kind in (r"\p{L}", r"\p{N}"):
+        listed = "".join(regex.findall(kind, _TAKEN))
+        pattern = re.sub(r"\[[^]]*]", lambda m: m[0].replace(kind, listed), pattern).replace(kind, f"[{listed}]")
+    return pattern
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE tokenizer file, words remembered.
 
@@ -41,12 +56,11 @@ class Encoder:
 
     def __init__(self, path: str):
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split = re.compile(plain_pattern(public_tokenizers.PATTERN)).findall
         self.odd = re.compile(_PLAIN).search
         self.known: dict[str, bytes] = {}
         self.line = self._whole(["\n"])[0][0]

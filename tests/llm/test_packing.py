@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from lustra.llm import packing, queries
@@ -76,6 +78,18 @@ def test_words_are_encoded_like_texts(tokenizer):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_texts_are_split_without_properties():
+    """The listed letters and numbers split every two neighbours as the tokenizer's pattern does."""
+    split = re.compile(packing.plain_pattern(public_tokenizers.PATTERN)).findall
+    like = regex.compile(public_tokenizers.PATTERN).findall
+    plain = [chr(c) for c in range(0x250) if not re.search(packing._PLAIN, chr(c))]
+    rnd = random.Random(4)
+    texts = [a + b for a in plain for b in rnd.choices(plain, k=40) + list(" \n'a1.")]
+    texts += ["".join(rnd.choices([*plain, *" \n''srtlmvd019" * 30], k=300)) for _ in range(300)]
+    assert [split(t) for t in texts] == [like(t) for t in texts]
+    assert packing.encoder(public_tokenizers.path("byte_bpe_50k.json")).split.__self__.pattern == packing.plain_pattern(public_tokenizers.PATTERN)
+
+
 def test_memory_of_words_is_bounded(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "WORDS", 10)
     encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
