@@ -23,12 +23,14 @@ PER_100 = 75  # two sets link when 100 * intersection >= PER_100 * union
 CELLS = 1 << 21  # counters of the frequency sketch; a size of the plan, not of the result
 BLOCK = 1 << 12  # counters moved as one value
 COLD = 4096  # a token whose sketch counter is below this has a list short enough for one task
+FEW = 3  # sets of a list that is told by its pairs: these are no more than its rows
 MOST_LIGHT = 16  # largest boundary between light and heavy sets that is weighed
 NARROWINGS = 4  # times the candidates are counted and listed anew
 HUB_ROUNDS = 3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([2 * k + 1 for k in (0x4F1BBCDCBFA53E0A, 0x2545F4914F6CDD1D, 0x632BE59BD9B4E019, 0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)], dtype=np.uint64)
+LISTED = ["token", "sid", "n", "reach", "other", "shared"]
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -203,7 +205,10 @@ def _fitting(n: np.ndarray, far: np.ndarray) -> np.ndarray:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cold rows that fit another row of their list; hot rows as they are.  Each row once."""
+    """The fitting pairs of short cold lists, with the number of lists; of longer ones the rows that fit another; hot rows as they are.
+
+    Each row counts once.
+    """
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -217,15 +222,19 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = ~cold
     edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
     sizes = np.diff(edges)
-    two = edges[:-1][sizes == 2]
-    fit = cold[two] & (n[two] <= far[two + 1]) & (n[two + 1] <= far[two])
-    keep[two] |= fit
-    keep[two + 1] |= fit
-    for k in np.flatnonzero(sizes > 2):
+    short = [(edges[:-1][(sizes == k) & cold[edges[:-1]]], i, j) for k in range(2, FEW + 1) for i, j in combinations(range(k), 2)]
+    low, high = (np.concatenate([at + x[k] for at, *x in short]) for k in (0, 1))
+    fit = (n[low] <= far[high]) & (n[high] <= far[low])
+    # The rows of a list are in the order of their sets.
+    pairs, shared = np.unique(np.stack([sid[high[fit]], sid[low[fit]]], 1), axis=0, return_counts=True)
+    for k in np.flatnonzero(sizes > FEW):
         a, b = edges[k], edges[k + 1]
         if cold[a]:
             keep[a:b] = _fitting(n[a:b], far[a:b])
-    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, sid, n, far)], names=names[:4])
+    kept = int(keep.sum())
+    nothing, unpaired = pa.nulls(len(pairs), pa.int64()), pa.nulls(kept, pa.int64())
+    yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in (token, sid, n, far)), unpaired, unpaired], names=LISTED)
+    yield pa.RecordBatch.from_arrays([nothing, pa.array(pairs[:, 0]), nothing, nothing, pa.array(pairs[:, 1]), pa.array(shared)], names=LISTED)
 
 
 def _subsets(light: int):
@@ -291,11 +300,18 @@ def _inverted(texts: DataFrame, seen: np.ndarray, light: int) -> DataFrame:
     """Staged inverted lists of the texts' prefixes, only rows that fit another row of their list.
 
     Lists of cold tokens meet in one task and are bounded by COLD; those of hot ones are spread and kept.
+    Most lists have two or three sets, and most pairs of sets that meet there meet in many lists: of them only
+    the pairs (sid, other) are told, and the number of lists that a task has seen them in.
     """
     sent = texts.sparkSession.sparkContext.broadcast(seen)
     rows = texts.mapInArrow(_prefixes(sent, light), "token long, sid long, n long, reach long, cold boolean")
     rows = rows.repartition("token", F.expr("if(cold, 0, pmod(sid, 64))"))
-    return stage(rows.mapInArrow(_lists, "token long, sid long, n long, reach long"), "lists")
+    return stage(rows.mapInArrow(_lists, ", ".join(f"{c} long" for c in LISTED)), "lists")
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    """The sets of lists and pairs."""
+    return lists.selectExpr("sid").unionAll(lists.filter("other IS NOT NULL").selectExpr("other")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -312,9 +328,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     * Heavy sets scan the inverted lists of their prefixes, the rarest tokens by a sketch of all documents
       (which only orders tokens: any sketch gives the same links).  A token's place in a set bounds the sizes
       it can link with; sets without a fitting partner in any list are done.  The others are counted and
-      listed anew, which sharpens the order.  Then every set is compared whole with the hub that shares
-      most lists with it and lies in another component, and at last all fitting pairs of lists between
-      components.  Pairs inside a component are never made.
+      listed anew, which sharpens the order.  Short lists are told by their pairs, longer ones have a hub each.
+      Then every set is compared whole with the hub or partner that shares most lists with it and lies in another
+      component, and at last all fitting pairs of lists between components.  Longer lists make no pairs inside
+      a component.
     """
     scanned = docs.selectExpr("doc_id", "text", "xxhash64(text) AS text_hash")
     scanned = stage(scanned.mapInArrow(_scan, "doc_id long, text_hash long, n long, sid long, tokens binary, block long, counts binary"), "sets")
@@ -332,7 +349,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         for _ in range(NARROWINGS - 1):
             wider, listed = texts, lists
             lists = _inverted(texts, _sketch(texts.mapInArrow(_recount, "block long, counts binary")), light)
-            texts = stage(texts.join(lists.select("sid").distinct(), "sid", "left_semi"), "texts")
+            texts = stage(texts.join(_listed(lists), "sid", "left_semi"), "texts")
             discard(wider, listed)
         comps = _search(texts, lists, comps)
 
@@ -346,7 +363,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _texts_of(lists: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
     """(sid, text) of every listed set, the text of one of its documents."""
-    chosen = base.join(lists.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.expr("min(struct(doc_id, text_hash)) AS one"))
+    chosen = base.join(_listed(lists), "sid", "left_semi").groupBy("sid").agg(F.expr("min(struct(doc_id, text_hash)) AS one"))
     chosen = chosen.selectExpr("sid", "one.doc_id AS __id", "one.text_hash AS __hash")
     found = docs.select("doc_id", "text").join(chosen, F.expr("xxhash64(text) = __hash AND doc_id <=> __id"))
     # Rows that repeat an id and a text are few, and equal: any of them will do.
@@ -356,16 +373,24 @@ def _texts_of(lists: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
 def _search(texts: DataFrame, lists: DataFrame, comps: DataFrame) -> DataFrame:
     """Components after comparing sets that share a list until no list has an open pair."""
     tested, listed = None, lists
+    near = lists.filter("other IS NOT NULL").groupBy("sid", "other").agg(F.expr("sum(shared) AS shared"))
+    near = stage(near.selectExpr("sid AS a", "other AS b", "shared"), "near")
+    lists = lists.filter("other IS NULL").drop("other", "shared")
     for turn in range(HUB_ROUNDS + 1):
         if turn == 1:
             # Most lists lie in one component by now.
             rows = _with_components(lists, comps)
             lists = stage(rows.join(_open(rows).select("token"), "token", "left_semi").select("token", "sid", "n", "reach"), "open")
             discard(listed)
-        if turn and lists.isEmpty():
+        if turn:
+            known = near
+            near = stage(_apart(known.join(pairs, ["a", "b"], "left_anti"), comps), "near")
+            discard(known)
+        if turn and lists.isEmpty() and near.isEmpty():
             break
         rows = _with_components(lists, comps)
-        pairs = _all_pairs(rows) if turn == HUB_ROUNDS else _hub_pairs(rows, turn)
+        met = near if turn else _apart(near, comps)
+        pairs = _all_pairs(rows, met) if turn == HUB_ROUNDS else _hub_pairs(rows, met, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
@@ -376,6 +401,13 @@ def _search(texts: DataFrame, lists: DataFrame, comps: DataFrame) -> DataFrame:
     return comps
 
 
+def _apart(near: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b, shared) whose sets lie in two components."""
+    own = comps.selectExpr("node AS x", "comp AS cx")
+    rows = near.join(own, F.expr("a = x"), "left").selectExpr("a", "b", "shared", "coalesce(cx, a) AS ca")
+    return rows.join(own, F.expr("b = x"), "left").filter("ca != coalesce(cx, b)").select("a", "b", "shared")
+
+
 def _with_components(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return lists.join(comps, F.expr("sid = node"), "left").selectExpr("token", "sid", "n", "reach", "coalesce(comp, sid) AS comp")
 
@@ -386,8 +418,8 @@ def _open(rows: DataFrame, **wanted: str) -> DataFrame:
     return found.filter("least != most").drop("least", "most")
 
 
-def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each set with the hub of another component that it shares most lists with.
+def _hub_pairs(rows: DataFrame, met: DataFrame, turn: int) -> DataFrame:
+    """Each set with the hub, or partner of short lists, of another component that it shares most lists with.
 
     The hub of a list is the set with the longest reach for its size, the one with most in common with
     others; in every other turn it is drawn by a hash.  The sets of a hub's own component leave the join at once.
@@ -396,18 +428,21 @@ def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     hubs = _open(rows, hub=hub).withColumnRenamed("token", "__token")
     near = rows.join(hubs, F.expr("token = __token AND comp != hub.comp AND n <= hub.reach AND hub.n <= reach"))
     shared = near.selectExpr("sid", "hub.sid AS h").groupBy("sid", "h").agg(F.expr("count(1) AS shared"))
+    both = met.select(F.inline(F.expr("array(struct(a AS sid, b AS h, shared), struct(b AS sid, a AS h, shared))")))
+    shared = shared.unionAll(both).groupBy("sid", "h").agg(F.expr("sum(shared) AS shared"))
     best = shared.groupBy("sid").agg(F.expr("max_by(h, struct(shared, h)) AS h"))
     return best.selectExpr("greatest(sid, h) AS a", "least(sid, h) AS b").distinct()
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
+def _all_pairs(rows: DataFrame, met: DataFrame) -> DataFrame:
     """Every pair of a list that fits and lies in two components: one of the two is not in the main one."""
     by_comp = rows.groupBy("token", "comp").agg(F.expr("count(1) AS k"))
     main = by_comp.groupBy("token").agg(F.expr("count(1) AS comps"), F.expr("max_by(comp, struct(k, comp)) AS main")).filter("comps > 1")
     outside = rows.join(main.selectExpr("token AS __token", "main"), F.expr("token = __token AND comp != main"))
     other = rows.selectExpr("token AS __other", "sid AS other", "n AS m", "reach AS other_reach", "comp AS other_comp")
     fits = "token = __other AND comp != other_comp AND (other_comp = main OR sid > other) AND n <= other_reach AND m <= reach"
-    return outside.join(other, F.expr(fits)).selectExpr("greatest(sid, other) AS a", "least(sid, other) AS b").distinct()
+    pairs = outside.join(other, F.expr(fits)).selectExpr("greatest(sid, other) AS a", "least(sid, other) AS b")
+    return pairs.unionAll(met.select("a", "b")).distinct()
 
 
 def _linked(pairs: DataFrame, held: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ import itertools
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -625,6 +626,31 @@ def test_near_duplicates_by_either_way(spark, light, monkeypatch):
     assert by_id(jaccard.near_duplicates(df), "n_shingles", "component_id") == near(rows)
 
 
+def test_short_lists_are_told_by_pairs():
+    """Pairs of sets that share many short lists are one row; lists that are longer or hot keep their rows."""
+    rnd = random.Random(8)
+    rows = [(t, s, 40 + s % 7, 46 + s % 3, True) for t in range(30) for s in rnd.sample(range(20), rnd.randrange(1, 6))]
+    rows += [(100 + t, s, 40, 50, True) for t in range(25) for s in (-5, 77)] + [(200, 3, 40, 50, False), (201, 5, 1, 1, True), (201, 6, 90, 99, True)]
+    rnd.shuffle(rows)
+    names = ["token", "sid", "n", "reach", "cold"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in part]) for part in (rows[:50], rows[50:], rows[:9])]
+    got = [r for b in jaccard._lists(iter(batches)) for r in b.to_pylist()]
+    held = defaultdict(set)
+    for r in rows:
+        held[r[0]].add(r[1:])
+    pairs, kept = Counter(), set()
+    for token, sets in held.items():
+        fits = {(a, b) for a in sets for b in sets if a[0] > b[0] and a[1] <= b[2] and b[1] <= a[2]}
+        if len(sets) <= jaccard.FEW and all(x[3] for x in sets):
+            pairs.update((a[0], b[0]) for a, b in fits)
+        else:
+            kept |= {(token, *x[:3]) for x in sets if not x[3] or any(x in f for f in fits)}
+    assert {(r["sid"], r["other"]): r["shared"] for r in got if r["other"] is not None} == pairs and pairs[77, -5] == 25
+    assert {(r["token"], r["sid"], r["n"], r["reach"]) for r in got if r["other"] is None} == kept
+    assert len(got) == len(pairs) + len(kept)
+    assert not [r for b in jaccard._lists(iter([pa.RecordBatch.from_pylist([dict(zip(names, rows[0]))])])) for r in b.to_pylist()]
+
+
 def test_one_of_each(spark, odd, nothing):
     twice = odd.unionAll(odd)
     want = near(pairs(odd))
