@@ -25,7 +25,12 @@ BLOCK = 1 << 12  # counters moved as one value
 COLD = 4096  # a token whose sketch counter is below this has a list short enough for one task
 FEW = 3  # sets of a list that is told by its pairs: these are no more than its rows
 MOST_LIGHT = 16  # largest boundary between light and heavy sets that is weighed
-NARROWINGS = 4  # times the candidates are counted and listed anew
+NARROWINGS = 4  # times the candidates are counted and listed anew at most
+WORTH = 8  # narrowing ends with a turn that leaves out less than one set in so many
+MARKS = 1 << 25  # bits of a map of names; a size of the plan, not of the result
+MARK_BLOCK = 1 << 15  # bits that Spark's bitmaps hold
+SPREAD = 1 << 9  # counters of one set
+FULL = 255  # what such a counter holds at most
 HUB_ROUNDS = 3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -159,6 +164,20 @@ def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(list(_blocks(seen)), names=["block", "counts"])
 
 
+def _spread(tokens: np.ndarray) -> bytes:
+    """The tokens of a set, counted by their low bits; a counter that is FULL tells nothing."""
+    return np.minimum(np.bincount((tokens & np.uint64(SPREAD - 1)).astype(np.int64), minlength=SPREAD), FULL).astype(np.uint8).tobytes()
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, text, spread) of texts that have a set."""
+    for batch in batches:
+        sets = [shingle_set(text) for text in _texts(batch)]
+        some = [k for k, tokens in enumerate(sets) if len(tokens)]
+        sids, spreads = pa.array([set_id(sets[k]) for k in some], pa.int64()), pa.array([_spread(sets[k]) for k in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([sids, batch.column("text").take(pa.array(some, pa.int64())), spreads], names=["sid", "text", "spread"])
+
+
 def _prefixes(sent, light: int):
     """(token, sid, n, reach, cold) of the prefixes of all sets that can link with a heavy one, rare tokens first."""
     least = smallest_partner(light + 1)
@@ -263,6 +282,15 @@ def _subsets(light: int):
     return run
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may link: sets have no more tokens in common than the smaller of their counters add up to."""
+    for batch in batches:
+        a, b = (np.array([np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()], np.int64).reshape(-1, SPREAD) for c in ("spread_a", "spread_b"))
+        need = -(-PER_100 * (a.sum(1) + b.sum(1)) // (100 + PER_100))
+        may = (np.minimum(a, b).sum(1) >= need) | (a == FULL).any(1) | (b == FULL).any(1)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(may))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that link, decided on the whole sets."""
     hub_id, hub = None, None
@@ -309,6 +337,20 @@ def _inverted(texts: DataFrame, seen: np.ndarray, light: int) -> DataFrame:
     return stage(rows.mapInArrow(_lists, ", ".join(f"{c} long" for c in LISTED)), "lists")
 
 
+def _named(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """The rows whose 64-bit ``key`` is in the one column of ``names``, and few others; no row is shuffled.
+
+    A map of the names' low bits, of MARKS bits whatever the input, goes to every task.  A row whose bit is that
+    of another name stays, so what must be exact joins afterwards.
+    """
+    at = names.toDF("__name").filter("__name IS NOT NULL").selectExpr(f"pmod(__name, {MARKS}) AS __at")
+    marks = at.groupBy(F.expr(f"__at DIV {MARK_BLOCK}").alias("__block")).agg(F.expr(f"bitmap_construct_agg(__at % {MARK_BLOCK})").alias("__bits"))
+    place = f"CAST(pmod({key}, {MARK_BLOCK}) AS INT)"
+    byte = f"CAST(conv(hex(substring(__bits, 1 + shiftright({place}, 3), 1)), 16, 10) AS INT)"
+    met = f"pmod({key}, {MARKS}) DIV {MARK_BLOCK} = __block AND bit_get({byte}, {place} % 8) = 1"
+    return rows.join(F.broadcast(marks), F.expr(met), "left_semi")
+
+
 def _listed(lists: DataFrame) -> DataFrame:
     """The sets of lists and pairs."""
     return lists.selectExpr("sid").unionAll(lists.filter("other IS NOT NULL").selectExpr("other")).distinct()
@@ -328,7 +370,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     * Heavy sets scan the inverted lists of their prefixes, the rarest tokens by a sketch of all documents
       (which only orders tokens: any sketch gives the same links).  A token's place in a set bounds the sizes
       it can link with; sets without a fitting partner in any list are done.  The others are counted and
-      listed anew, which sharpens the order.  Short lists are told by their pairs, longer ones have a hub each.
+      listed anew while that leaves sets out, which sharpens the order.  Short lists are told by their pairs, longer ones have a hub each.
       Then every set is compared whole with the hub or partner that shares most lists with it and lies in another
       component, and at last all fitting pairs of lists between components.  Longer lists make no pairs inside
       a component.
@@ -345,12 +387,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     lists = _inverted(docs.select("text"), seen, light)
     if not lists.isEmpty():
-        texts = stage(_texts_of(lists, base, docs), "texts")
+        texts = _texts_of(lists, base, docs)
+        left = texts.count()
         for _ in range(NARROWINGS - 1):
-            wider, listed = texts, lists
+            wider, listed, before = texts, lists, left
             lists = _inverted(texts, _sketch(texts.mapInArrow(_recount, "block long, counts binary")), light)
-            texts = stage(texts.join(_listed(lists), "sid", "left_semi"), "texts")
+            texts = stage(_named(texts, "sid", _listed(lists)), "texts")
             discard(wider, listed)
+            left = texts.count()
+            if (before - left) * WORTH < before:
+                break
         comps = _search(texts, lists, comps)
 
     ids = base.groupBy("sid").agg(F.min("doc_id").alias("first")).filter("sid IS NOT NULL")
@@ -362,12 +408,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _texts_of(lists: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
-    """(sid, text) of every listed set, the text of one of its documents."""
+    """Staged (sid, text, spread) of every listed set, the text of one of its documents, and of few others; no text is shuffled."""
     chosen = base.join(_listed(lists), "sid", "left_semi").groupBy("sid").agg(F.expr("min(struct(doc_id, text_hash)) AS one"))
-    chosen = chosen.selectExpr("sid", "one.doc_id AS __id", "one.text_hash AS __hash")
-    found = docs.select("doc_id", "text").join(chosen, F.expr("xxhash64(text) = __hash AND doc_id <=> __id"))
     # Rows that repeat an id and a text are few, and equal: any of them will do.
-    return found.select("sid", "text")
+    found = _named(docs.select("doc_id", "text"), "xxhash64(xxhash64(text), CAST(doc_id AS BIGINT))", chosen.selectExpr("xxhash64(one.text_hash, one.doc_id)"))
+    kind = docs.schema["text"].dataType.simpleString()
+    return stage(found.select("text").mapInArrow(_held, f"sid long, text {kind}, spread binary"), "texts")
 
 
 def _search(texts: DataFrame, lists: DataFrame, comps: DataFrame) -> DataFrame:
@@ -394,7 +440,7 @@ def _search(texts: DataFrame, lists: DataFrame, comps: DataFrame) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        links, apart = stage(_linked(pairs, texts), "links"), comps
+        links, apart = _linked(pairs, texts), comps
         comps = _united(apart, links)
         discard(links, apart)
         tested = pairs if tested is None else tested.unionAll(pairs)
@@ -445,10 +491,20 @@ def _all_pairs(rows: DataFrame, met: DataFrame) -> DataFrame:
     return pairs.unionAll(met.select("a", "b")).distinct()
 
 
-def _linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    left = held.selectExpr("sid AS a", "text AS text_a")
-    right = held.selectExpr("sid AS b", "text AS text_b")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The staged pairs that link; texts are shuffled only of sets whose counters leave it open."""
+    likely = stage(_both(pairs, texts, "spread").mapInArrow(_likely, "a long, b long").distinct(), "likely")
+    links = stage(_both(likely, texts, "text").mapInArrow(_verify, "a long, b long"), "links")
+    discard(likely)
+    return links
+
+
+def _both(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """The staged pairs with a column of both sets."""
+    held = _named(texts.select("sid", column), "sid", pairs.select(F.explode(F.array("a", "b"))))
+    left = held.selectExpr("sid AS a", f"{column} AS {column}_a")
+    right = held.selectExpr("sid AS b", f"{column} AS {column}_b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", f"{column}_a", f"{column}_b")
 
 
 def _united(comps: DataFrame, links: DataFrame) -> DataFrame:

@@ -651,6 +651,61 @@ def test_short_lists_are_told_by_pairs():
     assert not [r for b in jaccard._lists(iter([pa.RecordBatch.from_pylist([dict(zip(names, rows[0]))])])) for r in b.to_pylist()]
 
 
+def test_rows_of_names_are_found_without_a_shuffle(spark):
+    """Names of any sign and place in the map; what has no name hardly ever stays, and no table is sorted or dealt out for it."""
+    rnd = random.Random(11)
+    keys = [0, -1, 1, 7, 8, -(1 << 63), (1 << 63) - 1, jaccard.MARK_BLOCK, jaccard.MARK_BLOCK - 1, jaccard.MARKS - 1, jaccard.MARKS]
+    keys += [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    rows = spark.createDataFrame([(k, f"t{k}") for k in keys], "sid long, text string")
+    names = spark.createDataFrame([(k,) for k in keys[::2] + keys[:8:4]] + [(None,)], "n long")
+    found = jaccard._named(rows, "sid", names)
+    kept = [r["sid"] for r in found.collect()]
+    assert set(keys[::2]) <= set(kept) and len(kept) < len(keys) / 2 + 20 and found.columns == rows.columns
+    assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().toString()) and "text" not in "".join(x for x in plan.splitlines() if "Exchange hash" in x)
+    assert jaccard._named(rows, "sid", names.filter("n IS NULL")).count() == 0
+
+
+def test_counters_of_sets_never_leave_out_a_link():
+    rnd = np.random.default_rng(5)
+
+    def likely(a, b):
+        batch = {"a": [1], "b": [2], "spread_a": [jaccard._spread(a)], "spread_b": [jaccard._spread(b)]}
+        return sum(x.num_rows for x in jaccard._likely(iter([pa.RecordBatch.from_pydict(batch)])))
+
+    out = 0
+    for n in [1, 4, 7, 30, 100, 400, 900] * 12:
+        a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[int(n * rnd.random() * 0.5) :], rnd.integers(0, 1 << 63, rnd.integers(0, n // 3 + 1)).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        out += not likely(a, b)
+        assert likely(a, b) or 100 * both < 75 * (len(a) + len(b) - both)
+    assert out > 10
+    # Full counters tell nothing: 1200 tokens of one counter, all shared, and 300 of the others.
+    a = np.arange(1500, dtype=np.uint64) * np.uint64(jaccard.SPREAD)
+    assert likely(a, a[:1200]) and likely(a, a) and not likely(a[:200], a[:100])
+
+
+def test_texts_travel_only_where_sets_are_open(spark, monkeypatch):
+    """Narrowing ends when it leaves nothing out, and whole texts are compared only of pairs that may link."""
+    staged, kept = Counter(), {}
+
+    def stage(df, label="stage", **options):
+        staged[label] += 1
+        kept.setdefault(label, []).append(out := real(df, label, **options))
+        return out
+
+    real = jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", stage)
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
+    passage = prose(41, 90)
+    rows = [(k, edited(prose(k % 4, 80), k, k % 3)) for k in range(24)] + [(50 + k, f"{prose(300 + k, 70)} {passage}") for k in range(20)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    assert by_id(jaccard.near_duplicates(df), "n_shingles", "component_id") == near(rows)
+    assert staged["lists"] < jaccard.NARROWINGS
+    asked, likely, links = (sum(x.count() for x in kept[label]) for label in ("pairs", "likely", "links"))
+    assert asked > likely >= links / 4 and links
+
+
 def test_one_of_each(spark, odd, nothing):
     twice = odd.unionAll(odd)
     want = near(pairs(odd))
